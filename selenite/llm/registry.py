@@ -1,11 +1,12 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op6_bpe
+from . import op1_mix, op2_langid, op6_bpe
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix.op1_mix_sources,
+        "op2_language_id": op2_langid.op2_language_id,
         "op6_bpe": op6_bpe.op6_bpe,
     }
 

@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op2_langid, op6_bpe, op9_pii, op10_minhash
+from . import op1_mix, op2_langid, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
 
 
 def queries() -> dict:
@@ -8,6 +8,8 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix.op1_mix_sources,
         "op2_language_id": op2_langid.op2_language_id,
         "op6_bpe": op6_bpe.op6_bpe,
+        "op7_media_boxes": op7_isomedia.op7_media_boxes,
+        "op8_line_frequency": op8_quality.op8_line_frequency,
         "op9_personal_data": op9_pii.op9_personal_data,
         "op10_near_duplicates": op10_minhash.op10_near_duplicates,
     }
@@ -16,4 +18,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": op1_mix.SQL,
+        "op8_line_frequency": op8_quality.SQL,
     }

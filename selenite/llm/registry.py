@@ -1,12 +1,13 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op2_langid, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
+from . import op1_mix, op2_langid, op3_warc, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix.op1_mix_sources,
         "op2_language_id": op2_langid.op2_language_id,
+        "op3_warc_normalise": op3_warc.op3_warc_normalise,
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_media_boxes": op7_isomedia.op7_media_boxes,
         "op8_line_frequency": op8_quality.op8_line_frequency,
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": op1_mix.SQL,
+        "op3_warc_normalise": op3_warc.SQL,
         "op8_line_frequency": op8_quality.SQL,
     }

@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op2_langid, op3_warc, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
+from . import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
 
 
 def queries() -> dict:
@@ -8,6 +8,8 @@ def queries() -> dict:
         "op1_mix_sources": op1_mix.op1_mix_sources,
         "op2_language_id": op2_langid.op2_language_id,
         "op3_warc_normalise": op3_warc.op3_warc_normalise,
+        "op4_secret_scan": op4_secrets.op4_secret_scan,
+        "op5_licenses": op5_license.op5_licenses,
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_media_boxes": op7_isomedia.op7_media_boxes,
         "op8_line_frequency": op8_quality.op8_line_frequency,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import pixels
+
 FLAGSHIP = "quality_report"
+PARTS = (pixels,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PARTS for k, f in p.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in PARTS for k, s in p.SQL.items()}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import pixels
+from .plans import pixels, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels,)
+PARTS = (pixels, tiepoints)
 
 
 def queries() -> dict:

@@ -4,8 +4,9 @@ Two permutations of the 32-bit shingle universe make the whole signature: the fi
 shingles, the second is used again and again, circularly shifted by one place for each coordinate.
 Bands of coordinates name candidates, and every link is confirmed by the exact Jaccard index of the
 full sets. Equal sets are collapsed first. Within a bucket of a band, members are compared with one
-representative (three rounds with different ones); what is then still in different components is
-compared pair by pair, so no candidate is left out, while a group of copies costs one comparison each.
+representative (two rounds with different ones). What is then still in different components is
+compared pair by pair, unless the sizes or parity sketches of the sets exclude the similarity; so no
+candidate is left out, while a group of copies costs a few comparisons each.
 
 Defined results: a document with fewer words than a shingle is one shingle of all its words; one
 without words (or null) has an empty set and no links; rows without a doc_id have no links, no
@@ -93,29 +94,53 @@ class Circulant:
         return mix64((s * self.odd).sum(1, dtype=np.uint64) + self.salt).view(np.int64)
 
 
+#: Longs of a parity sketch.
+SKETCH = 16
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of 1024 cells, whether an odd number of elements falls into it.
+
+    The exclusive or of two such sketches is the sketch of the symmetric difference, so the number of its
+    ones is never above the number of elements in which two sets differ.
+    """
+    odd = np.bincount((hashes >> np.uint64(5)) & np.uint64(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: str, y: str, xn: str, yn: str, percent: int):
+    """False only if the sizes or the sketches of two sets exclude the similarity."""
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, SKETCH)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    return _near(xn, yn, percent) & ((100 + percent) * apart <= (100 - percent) * (F.col(xn) + F.col(yn)))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, key (128 bits of the set; null if empty), bands."""
+    """doc_id, n_shingles, key (128 bits of the set; null if empty), bands, sketch."""
 
     def make():
         shingles, circulant = Shingles(words), Circulant()
 
         def f(cols):
-            n, key, bands = [], [], []
+            n, key, bands, sketch = [], [], [], []
             for t in cols["text"]:
                 h = shingles(t)
                 n.append(len(h))
                 key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 bands.append(circulant.keys(h) if len(h) else None)
-            return [cols["doc_id"], n, key, bands]
+                sketch.append(parity(h) if len(h) else None)
+            return [cols["doc_id"], n, key, bands, sketch]
 
         return f
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, sketch array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs.distinct())
+    x = sketches.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("sa"))
+    y = sketches.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("sb"))
+    pairs = pairs.distinct().join(x, "a").join(y, "b").where(_may_link("sa", "sb", "an", "bn", percent)).select("a", "b")
+    pairs = cut(pairs)
     n = pairs.count()
     if n == 0:
         return pairs
@@ -152,15 +177,41 @@ def _near(big: str, small: str, percent: int):
     return F.least(big, small) * 100 >= F.greatest(big, small) * percent
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of bands that still hold several components: band, id, n, component."""
+    labelled = members.select("band", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return _mixed(labelled)
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("band")
+    return labelled.join(mixed, "band")
+
+
+def _last_pairs(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that share a band and whose sketches don't exclude the similarity.
+
+    One side only takes what lies outside of a band's largest component, so the members of a large group
+    are not paired with one another.
+    """
+    rest = cut(rest.drop("n").join(sketches, "id"))
+    main = rest.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("_main"))
+    x = rest.join(main, "band").where("component <> _main").select("band", "_main", F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("sa"), F.col("component").alias("ac"))
+    y = rest.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("sb"), F.col("component").alias("bc"))
+    pairs = x.join(y, "band").where("ac <> bc and (bc = _main or ac < bc)").where(_may_link("sa", "sb", "an", "bn", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept; one row for each row of docs."""
     sets = cut(_sets(docs, words))
     full = sets.where("key is not null and doc_id is not null")
-    reps = cut(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
+    reps = cut(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch")))
     rows = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("id", "n")).alias("_r")).where("_c > 1")
     members = cut(rows.join(shared.select("band", F.col("_r.id").alias("first"), F.col("_r.n").alias("first_n")), "band"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
+    sketches = reps.select("id", "n", "sketch")
     # rows with one doc_id and several texts: only the text of the representative's set counts
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     twins = sets.groupBy("doc_id").agg(F.countDistinct("key").alias("_k")).where("_k > 1 and doc_id is not null")
@@ -171,24 +222,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         texts = cut(keyed.groupBy("doc_id").agg(F.first("text").alias("text")))
     texts = _chosen(texts, ids)
 
-    links = _confirmed(members.where("id <> first").where(_near("n", "first_n", percent)).select(F.col("id").alias("a"), F.col("first").alias("b")), texts, words, percent)
-    for seed in (1, 2, None):
+    links = _confirmed(members.where("id <> first").where(_near("n", "first_n", percent)).select(F.col("id").alias("a"), F.col("first").alias("b")), sketches, texts, words, percent)
+    comp = cut(components(links))
+    open_ = cut(_open(members, comp))
+    if not open_.isEmpty():
+        pick = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id", "component")).alias("r"))
+        pick = pick.select("band", F.col("r.id").alias("b"), F.col("r.component").alias("bc"))
+        pairs = open_.join(pick, "band").where("component <> bc").select(F.col("id").alias("a"), "b")
+        links = links.unionByName(_confirmed(pairs, sketches, texts, words, percent))
         comp = cut(components(links))
-        labelled = members.select("band", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("band")
-        open_ = cut(labelled.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-        if seed:
-            pick = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "id", F.lit(seed)).alias("h"), "id", "n", "component")).alias("r"))
-            pick = pick.select("band", F.col("r.id").alias("b"), F.col("r.n").alias("bn"), F.col("r.component").alias("bc"))
-            pairs = open_.join(pick, "band").where("component <> bc").where(_near("n", "bn", percent)).select(F.col("id").alias("a"), "b")
-        else:
-            x = open_.select("band", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-            y = open_.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-            pairs = x.join(y, "band").where("ac < bc").where(_near("an", "bn", percent)).select("a", "b")
-        links = links.unionByName(_confirmed(pairs, texts, words, percent))
-    else:
+    rest = cut(_open(members, comp))
+    if not rest.isEmpty():
+        links = links.unionByName(_confirmed(_last_pairs(rest, sketches, percent), sketches, texts, words, percent))
         comp = cut(components(links))
     found = reps.select("key", "id").join(comp, "id", "left").select(F.col("key").alias("_key"), F.coalesce("component", "id").alias("component_id"))
     out = sets.join(found, sets["key"] == found["_key"], "left")

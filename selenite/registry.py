@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import pixels, tiepoints
+from .plans import labels, pixels, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels, tiepoints)
+PARTS = (pixels, tiepoints, labels)
 
 
 def queries() -> dict:

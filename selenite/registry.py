@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import labels, pixels, tiepoints
+from .plans import files, labels, pixels, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels, tiepoints, labels)
+PARTS = (pixels, tiepoints, labels, files)
 
 
 def queries() -> dict:

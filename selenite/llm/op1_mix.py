@@ -132,9 +132,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     twins = twins.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rows").where("_rows > 1")
     same = lambda a, b: [a[f"_{k}"].eqNullSafe(b[f"_{k}"]) for k in keys]
     j = copies.join(twins, same(copies, twins), "left").select(*[copies[f"_{k}"] for k in keys], F.ceil(F.col("_n") / F.coalesce("_rows", F.lit(1))).alias("_copies"))
-    d = docs.withColumn("_words", word_count(F.col("text")))
-    on = (d["doc_id"].eqNullSafe(j["_doc_id"])) & (d["source"].eqNullSafe(j["_source"])) & (d["_words"] == j["_size"])
-    return d.join(j, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    d = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_words", word_count(F.col("_doc.text")))
+    on = (F.col("_doc.doc_id").eqNullSafe(j["_doc_id"])) & (F.col("_doc.source").eqNullSafe(j["_source"])) & (d["_words"] == j["_size"])
+    return d.join(j, on).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

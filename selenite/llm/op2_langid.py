@@ -254,5 +254,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is found with a probability of `least` or more; a null lang is filled in."""
-    out = predict(docs, train(docs), docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash
+    at = own[docs.columns.index("lang")]
+    rows = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
+    out = predict(rows, train(docs), own).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.withColumn(at, F.coalesce(at, "lang_pred")).select(*own).toDF(*docs.columns)

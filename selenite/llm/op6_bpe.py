@@ -140,9 +140,9 @@ def _spec(path: str | None) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The documents' own columns, with n_tokens and token_ids instead of the text."""
+    """The documents' own columns, with n_tokens and token_ids instead of the text (and of columns of those names)."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(vocabulary))
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
 
     def make():
         bpe = Bpe(spec.value)
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         return f
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
     return map_rows(docs, make, f"{kinds}, n_tokens bigint, token_ids array<int>")
 
 

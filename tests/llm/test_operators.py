@@ -1,0 +1,395 @@
+"""Each operator against a plain version of itself, and on awkward tables."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from selenite.llm import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
+from selenite.llm.graph import components
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, row bigint, key string, score double, _words int"
+SF = "/root/testdata/sf0.001"
+EN, DE = "the house of the river and the stone that we saw there today with them", "das haus und der fluss und die steine die wir dort heute mit ihnen sahen"
+
+
+def rows():
+    long = " ".join(f"word{i % 977} and more" for i in range(20_000))
+    texts = [EN, EN, EN.upper(), DE, DE + " nicht", "", None, "   \n\t ", "12 34 !!", "x", long, long + " tail", "a" * 30_000, EN + "\n" + EN, "é ü ñ " * 30, "call +1 (310) 555-4510 or a.b@c.de"]
+    out = [(i, t, None if i % 5 == 0 else "en" if i % 2 else "de", None if i % 7 == 0 else f"s{i % 3}", len(t or ""), 1, 2, "k", 0.5, 9) for i, t in enumerate(texts)]
+    return [*out, out[0], out[3], (None, EN, "en", "s1", 1, 1, 1, "k", 0.0, 1), (50, EN, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1 ------------------------------------------------------------------------------------------------
+
+
+def test_mix_takes_near_targets(spark, docs):
+    parts, sized, s = op1_mix.mix(docs, block_words=64)
+    targets = {r.source: r for r in s.collect()}
+    assert sum(r.source_size for r in targets.values()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in rows())
+    taken = {r.source: r.n for r in parts.groupBy("source").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    words = collections.Counter()
+    for r in parts.collect():
+        words[r.source] += r.to_word - r.from_word
+        assert 0 <= r.from_word < r.to_word <= r.size
+    for k, t in targets.items():
+        assert abs(words[k] - t.target) <= 1 and t.target <= 3 * t.source_size + 1e-9
+    assert taken
+
+
+def test_mix_schedule_is_spread(spark):
+    d = spark.createDataFrame([(i, "w " * 50, None, f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, lang string, source string")
+    slots = op1_mix.mix(d, block_words=50)[0].select("slot", "source").distinct().orderBy("slot").collect()
+    share = collections.Counter(r.source for r in slots[: len(slots) // 4])
+    whole = collections.Counter(r.source for r in slots)
+    for k in whole:
+        assert abs(share[k] / sum(share.values()) - whole[k] / sum(whole.values())) < 0.05
+
+
+def test_mix_documents(spark, docs, none):
+    out = op1_mix.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert {r["_words"] for r in out.where("doc_id = 1").collect()} <= {9}
+    assert op1_mix.mixed_documents(none).count() == 0 and op1_mix.mix(none)[0].count() == 0
+
+
+def test_targets_fill_up(spark):
+    d = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 500)], "source string, size bigint")
+    t = {r.source: r.target for r in op1_mix.source_targets(d).collect()}
+    assert t["a"] == 30 and t["c"] == 30 and abs(sum(t.values()) - 1520) < 1e-6
+    assert abs(t["b"] / t[None] - 2) < 1e-9
+
+
+# 2 ------------------------------------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "ab", "abc", "b", "bc", "c"]
+    p = np.array([0.3, 0.1, 0.05, 0.2, 0.15, 0.2, 1e-7])[:, None]
+    lat = op2_langid.Lattice(["abc", "ab"], op2_langid.prefixes(pieces), len(pieces))
+    a = lat.forward(p)[[0, 1], lat.size, 0]
+    assert a == pytest.approx([0.3 * 0.2 * 0.2 + 0.1 * 0.2 + 0.3 * 0.15 + 0.05, 0.3 * 0.2 + 0.1])
+    e = lat.expected(p, np.ones(2))
+    assert e @ np.array([1, 2, 3, 1, 2, 1, 1]) == pytest.approx(5)  # every letter is covered once
+
+
+def test_language_held_out(spark):
+    out = op2_langid.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    got = [(r.lang == r.lang_pred) for r in out.where("held_out").collect()]
+    assert len(got) > 100 and np.mean(got) > 0.97
+
+
+def test_language_edges(spark, docs, none):
+    model = op2_langid.train(docs)
+    out = op2_langid.predict(docs, model, ["doc_id"]).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == docs.count() and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (5, 6, 7, 8))
+    assert all(0 <= r.score <= 1 for r in out)
+    assert op2_langid.kept_languages(none).count() == 0
+    kept = op2_langid.kept_languages(docs, 0.0)
+    assert kept.columns == docs.columns and kept.where("lang is null").count() == 0
+
+
+# 3 ------------------------------------------------------------------------------------------------
+
+
+def test_warc_records_split_anywhere():
+    made = [op3_warc.record(i, "http://a\n b", b"x" * n, None if i % 2 else 7) for i, n in enumerate([0, 1, 500, 70_000])]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    raw = z.compress(b"".join(made)) + z.flush()
+
+    class Stream:
+        def __init__(self, b):
+            self.b, self.at = b, 0
+
+        def read(self, n):
+            self.at += 37
+            return self.b[self.at - 37 : self.at]
+
+    assert list(op3_warc.records(op3_warc.inflated(Stream(raw)))) == made
+    with pytest.raises(ValueError):
+        list(op3_warc.records(op3_warc.inflated(Stream(raw[:-9]))))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    data = [(1, "u", "a"), (2, None, None), (3, "u", "a"), (4, "u", ""), (5, "u", "é" * 9999), (None, "u", "a"), (3, "u", "a"), (9, "u", "b")]
+    for i in range(3):
+        spark.createDataFrame(data if i else data[:0], "page_id bigint, url string, html string").withColumnRenamed("extra", "x").write.mode("overwrite").parquet(str(tmp_path / f"{i}/pages.parquet"))
+    assert op3_warc.op3_warc_normalise(spark, str(tmp_path / "0")).count() == 0
+    got = op3_warc.op3_warc_normalise(spark, str(tmp_path / "1")).collect()
+    assert len(got) == len(data)
+    text = {i: h for i, _, h in data}
+    first = {}
+    for i, _, h in data:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    for r in got:
+        raw = (text[r.page_id] or "").encode()
+        assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        own = first[text[r.page_id] or ""]
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == own else ("revisit", own))
+
+
+# 4, 5 ---------------------------------------------------------------------------------------------
+
+
+def test_secrets_held_out(spark, docs, none):
+    forest = op4_secrets.fit(op4_secrets.labelled_table(spark))
+    seen = op4_secrets.labelled_findings(600, seed=99)
+    d = spark.createDataFrame([(i, t, p) for i, (t, p, *_) in enumerate(seen)], "doc_id bigint, text string, source string")
+    got = {(r.doc_id): r.is_secret for r in op4_secrets.scan(d, forest).collect()}
+    right = [got.get(i, False) == bool(label) for i, (*_, label) in enumerate(seen)]
+    assert np.mean(right) > 0.9
+    assert op4_secrets.scan(docs, forest).columns == ["doc_id", "start", "end", "value_sha256", "score", "is_secret"]
+    assert op4_secrets.scan(none, forest).count() == 0
+
+
+def brute_licences(t):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
+    starts, labels = [], set()
+    for p, label in op5_license.BASE.items():
+        q = p.split()
+        for i in range(len(w) - len(q) + 1):
+            if w[i : i + len(q)] == q:
+                starts.append(i)
+                labels.add(label)
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def test_licences(spark, docs, none):
+    s, r = op5_license.Scanner(), random.Random(4)
+    words = "under the mit license apache version 2 cc by nc é ... A".split()
+    for _ in range(3000):
+        t = r.choice((" ", "\n", "-")).join(r.choice(words) for _ in range(60))
+        assert s.scan(t)[:5] == brute_licences(t)
+    assert op5_license.licences(docs).count() == docs.count() and op5_license.licences(none).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("MIT", [{"mit"}]), ("MIT OR Apache-2.0", [{"mit"}, {"apache-2"}]), ("MIT AND (X OR Y)", [{"mit", "x"}, {"mit", "y"}]), ("A OR B AND C", [{"a"}, {"b", "c"}]),
+    ("GPL-2.0-only WITH Classpath", [{"gpl-2-with-classpath"}]), ("(MIT", None), ("MIT OR", [{"mit"}]), ("", None), ("(A OR B) WITH C", None),
+])
+def test_expressions(text, want):
+    parts = op5_license.expression(text.lower().encode(), 0)
+    got = op5_license.choices(parts)
+    assert (got and [set(x) for x in got]) == want
+
+
+# 6 ------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(op6_bpe.default_vocabulary()), op6_bpe.Bpe(op6_bpe._spec(None))
+    r = random.Random(1)
+    texts = [t or "" for _, t, *_ in rows()] + ["<|endoftext|>", " a<|endoftext|><|endoftext|> b", "x" * 5000, "½²x３٣ 👩‍👩‍👧", "​﻿　 \x00", "it's WE'LL"]
+    texts += ["".join(chr(r.choice((32, 10, 65, 97, 101, 233, 0x4E2D, 39, 48))) for _ in range(80)) for _ in range(300)]
+    texts += [r_.text for r_ in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts:
+        want = lib.encode(t, add_special_tokens=False).ids
+        got = own.encode(t)
+        assert np.frombuffer(got, "<u4").tolist() == want
+        assert own.decode(got) == lib.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_long_words_merge_alike():
+    t = op6_bpe.load(op6_bpe._spec(None))
+    r = random.Random(2)
+    for _ in range(200):
+        ids = [t["first"][r.choice(b"etaoin shrdlu")] for _ in range(r.randint(1, 120))]
+        assert op6_bpe.merge_short(list(ids), t["pair"], t["new"]) == op6_bpe.merge_long(list(ids), t["pair"], t["new"])
+
+
+def test_bpe_edges(spark, docs, none):
+    out = op6_bpe.encode(docs)
+    assert set(out.columns) == {*docs.columns, "n_tokens", "token_ids"} - {"text"}
+    assert {r.n_tokens for r in out.where("doc_id in (5, 6)").collect()} == {0}
+    assert op6_bpe.encode(none).count() == 0
+
+
+# 7 ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 12, 576 * 13, 200_001])
+def test_media_round_trip(n):
+    p = op7_isomedia.padded(bytes(i * 7 % 256 for i in range(n)))
+    assert len(p) % 576 == 0 and len(p) > 0
+    m = op7_isomedia.write(p)
+    s = op7_isomedia.sample_table(m, op7_isomedia.tracks(m)[0])
+    assert op7_isomedia.read_back(m, s) == p and s["ticks"] == s["duration"] == len(p) // 576
+    assert s["sync"].sum() == -(-len(p) // 576 // 12) and s["codec"] == "raw "
+
+
+def test_media_broken_containers(spark):
+    m = op7_isomedia.write(op7_isomedia.padded(b"abc"))
+    r = random.Random(5)
+    for _ in range(500):
+        b = bytearray(m[: r.randint(0, len(m))])
+        for _ in range(r.randint(0, 5)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(256)
+        assert len(op7_isomedia.summary(bytes(b))) == 6
+    d = spark.createDataFrame([(1, bytearray(m)), (2, None), (3, bytearray(b"junk"))], "id int, media binary")
+    got = {x.id: x for x in op7_isomedia.media_columns(d).collect()}
+    assert got[1].codec == "raw " and got[1].error is None and got[2].error and got[3].codec is None
+
+
+# 8 ------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(w):
+    c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return len({i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+
+def test_quality_figures():
+    r = random.Random(6)
+    for _ in range(500):
+        t = "".join(r.choice(("a", "b ", "c\n", "é", "# ", "\t", "  x")) for _ in range(r.randint(0, 120)))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        got = op8_quality.base_figures(t)
+        assert got[:5] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), brute_repeats(w))
+
+
+def test_quality_rules(spark, docs, none):
+    common = "this line stands on every page of the host"
+    d = spark.createDataFrame([(i, common + "\n" + (" ".join(f"w{i}x{k}" for k in range(60)) if i % 2 else "tail " + str(i) + f" {chr(97 + i)}"), "h") for i in range(26)] + [(100, common, "other")], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in op8_quality.line_frequency_rules(d).collect()}
+    assert got[1].removed_words == 9 and got[1].kept and not got[2].kept and got[100].removed_words == 0
+    assert op8_quality.line_frequency_rules(docs).count() == docs.count() and op8_quality.line_frequency_rules(none).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------------
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(t):
+    out = []
+    for k, p in PATTERNS:
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": k != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and op9_pii.luhn(d), "phone": 9 <= len(d) <= 15}[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out, key=lambda s: (s[0], op9_pii.ORDER[s[1]], s[2]))
+
+
+def test_base_spans():
+    r = random.Random(8)
+    for _ in range(5000):
+        t = "".join(r.choice("1.2 -+@ab(5)é") for _ in range(60))
+        assert op9_pii.base_spans(t) == brute_spans(t)
+    assert op9_pii.base_spans("4111 1111 1111 1111 x 10.0.0.1 a@b.c +1 (310) 555-4510") == [(0, "card", 19), (22, "ip", 30), (31, "email", 36), (37, "phone", 54)]
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(3)
+    e, tr = r.normal(size=(20, 5, 3)), r.normal(size=(3, 3))
+    lens = r.integers(1, 6, 20)
+    got = op9_pii.viterbi(e, tr, lens)
+    for k in range(20):
+        paths = np.indices((3,) * lens[k]).reshape(lens[k], -1).T
+        score = [sum(e[k, i, y] for i, y in enumerate(p)) + sum(tr[a, b] for a, b in zip(p, p[1:])) for p in paths]
+        assert tuple(got[k, : lens[k]]) == tuple(paths[int(np.argmax(score))])
+
+
+def test_field_held_out(spark, docs, none):
+    field = op9_pii.Field(op9_pii.train(op9_pii.labelled_rows()))
+    seen = op9_pii.labelled_rows(200, seed=123)
+    got = field.spans([t for t, _ in seen], [[] for _ in seen])
+    want = [{(a, k, b) for a, b, k in s} for _, s in seen]
+    hit = sum(len(set(g) & w) for g, w in zip(got, want))
+    assert hit >= 0.95 * sum(map(len, want)) and sum(map(len, got)) <= hit * 1.05
+    out = op9_pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count() and op9_pii.redact(none).count() == 0
+    assert out.where("doc_id = 15").first().text == "call <PHONE> or <EMAIL>"
+
+
+# 10 -----------------------------------------------------------------------------------------------
+
+
+def shingles(t, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute_components(texts, k):
+    sets = {i: shingles(t, k) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}, sets
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates(spark, k):
+    r = random.Random(k)
+    texts = {}
+    for g in range(12):
+        base = [f"w{r.randrange(400)}" for _ in range(r.randint(3, 120))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 16))):
+                w[r.randrange(len(w))] = f"w{r.randrange(400)}"
+            texts[len(texts)] = " ".join(w)
+    d = spark.createDataFrame([*texts.items()], "doc_id bigint, text string").repartition(5)
+    want, sets = brute_components(texts, k)
+    got = {x.doc_id: x for x in op10_minhash.near_duplicates(d, k).collect()}
+    assert {i: x.component_id for i, x in got.items()} == want
+    assert all(x.n_shingles == len(sets[i]) and x.kept == (x.component_id == i) for i, x in got.items())
+
+
+def test_near_duplicate_edges(spark, docs, none):
+    got = op10_minhash.near_duplicates(docs, 2).collect()
+    assert len(got) == docs.count()
+    by = {r.doc_id: r for r in got}
+    assert by[1].component_id == by[2].component_id == 0 and by[50].component_id == 0 and by[None].component_id is None and by[None].kept
+    assert all(by[i].n_shingles == 0 and by[i].kept for i in (5, 6, 7)) and by[9].n_shingles == 1
+    assert op10_minhash.near_duplicates(none).count() == 0
+    out = op10_minhash.deduplicated(docs, 2)
+    assert out.columns == docs.columns and out.where("doc_id in (1, 2, 50)").count() == 0 and out.where("doc_id in (5, 6, 7, 8)").count() == 4
+
+
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = (np.unique(r.integers(0, 4000, 600)).astype(np.uint64) for _ in range(2))
+        x, y = (op10_minhash.mix64(v + np.uint64(1)) for v in (x, y))
+        apart = np.unpackbits((op10_minhash.parity(x) ^ op10_minhash.parity(y)).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(x, y))
+
+
+def test_components_of_a_path_and_a_star(spark):
+    e = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
+    assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 260)]}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

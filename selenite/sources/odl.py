@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 #: Fixed limits: bytes of a header, tokens, depth of sequences, items of one, depth of blocks.
 HEADER, TOKENS, DEPTH, ITEMS, BLOCKS = 1 << 20, 65_536, 16, 4096, 32
 LEX = re.compile(r"""(?P<skip>[\s;]+|/\*.*?\*/|&[ \t]*\r?\n)|"(?P<text>[^"]*)"|'(?P<symbol>[^'\r\n]*)'|(?P<mark>[=(),<>])|(?P<word>(?:(?!/\*)[^\s=(),<>;"'&])+)""", re.S)
-INTEGER, RADIX, REAL = re.compile(r"[+-]?[0-9]{1,24}"), re.compile(r"([+-]?)([0-9]{1,2})#([0-9A-Za-z]{1,24})#"), re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+LONGEST, UNITS = 24, 16
+INTEGER, RADIX, REAL = re.compile(r"[+-]?[0-9]+"), re.compile(r"([0-9]{1,2})#([+-]?)([0-9A-Fa-f]+)#"), re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+NAME = re.compile(r"[A-Za-z][\w:./+-]*|[0-9]{4}-[0-9TtZz:.+-]+", re.A)
 SENTINELS = {"NULL", "UNK", "N/A"}
 
 
@@ -46,13 +48,15 @@ def scalar(word: str) -> tuple[str, str]:
     if word.upper() in SENTINELS:
         return "null", word.upper()
     if INTEGER.fullmatch(word):
+        if len(word) > LONGEST:
+            raise OdlError("an integer too long")
         return "integer", str(int(word))
     if m := RADIX.fullmatch(word):
-        base = int(m[2])
-        if not 2 <= base <= 16:
+        base, sign, digits = int(m[1]), m[2], m[3]
+        if not 2 <= base <= 16 or len(sign + digits) > LONGEST:
             raise OdlError("radix")
         try:
-            return "integer", str(int(m[1] + m[3], base))
+            return "integer", str(int(sign + digits, base))
         except ValueError:
             raise OdlError("digits beyond the radix") from None
     if REAL.fullmatch(word):
@@ -60,6 +64,8 @@ def scalar(word: str) -> tuple[str, str]:
         if v in (float("inf"), float("-inf")):
             raise OdlError("a number that isn't finite")
         return "real", repr(v)
+    if not NAME.fullmatch(word):
+        raise OdlError("a word of no known form")
     return "name", word
 
 
@@ -122,8 +128,13 @@ def statements(data: bytes) -> tuple[list[tuple], int]:
             unit = None
             if i < len(stream) and stream[i][0] == "<":
                 take("<")
-                unit = take("WORD").upper()
+                unit = take("WORD")
+                while i < len(stream) and stream[i][0] == "WORD":
+                    unit += " " + take("WORD")
                 take(">")
+                if what not in ("integer", "real") or unit.count(" ") >= UNITS:
+                    raise OdlError("units")
+                unit = unit.upper()
             item += 1
             if item > ITEMS:
                 raise OdlError("too many items")

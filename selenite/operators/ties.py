@@ -28,6 +28,16 @@ def grid_top(ties: DataFrame, width: float, height: float, k: int = 1, cells: in
     return t.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
 
 
+def grid_flag(ties: DataFrame, width: float, height: float, eligible, cells: int = 8, keys: list[str] = ["job"]) -> DataFrame:  # noqa: B006
+    """Adds retained: whether a tie is the first of grid_top among the eligible ones. No tie is dropped, so one pass serves kept and withheld ties."""
+    order = [F.desc("conf"), F.col("i")]
+    t = ties.withColumns({"_e": eligible, "_gx": S.grid_cell(F.col("rx"), width, cells), "_gy": S.grid_cell(F.col("ry"), height, cells)})
+    t = t.withColumn("_one", F.row_number().over(Window.partitionBy(*keys, "_e", "rx", "ry").orderBy(*order)) == 1)
+    t = t.withColumn("_e", F.col("_e") & F.col("_one"))
+    first = F.row_number().over(Window.partitionBy(*keys, "_e", "_gx", "_gy").orderBy(*order)) == 1
+    return t.withColumn("retained", F.col("_e") & first).drop("_e", "_one", "_gx", "_gy")
+
+
 def occupancy(ties: DataFrame, width: float, height: float, cells: int = 5, keys: list[str] = ["job"]) -> DataFrame:  # noqa: B006
     t = ties.select(*keys, S.grid_cell(F.col("rx"), width, cells).alias("gx"), S.grid_cell(F.col("ry"), height, cells).alias("gy"))
     n = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gx", "gy").alias("occupied"))

@@ -183,10 +183,13 @@ def report_rollup(spark, d):
 SQL["report_rollup"] = duck(f"+{PROJ} select job, res <= 3.5 inlier, count(*) n, round(avg(conf), 6) conf from t group by rollup(job, inlier)", "tie")
 
 
-def _withheld(spark, d):
+def _flagged(spark, d):
     s = _scored(spark, d)
-    kept = ties.grid_top(_distinct(s.where("inlier")), SIDE, SIDE, 1).select("job", "i")
-    return s.where("inlier").join(kept, ["job", "i"], "left_anti")
+    return ties.grid_flag(s, SIDE, SIDE, F.col("inlier") & F.col("rx").between(0, SIDE) & F.col("ry").between(0, SIDE))
+
+
+def _withheld(spark, d):
+    return _flagged(spark, d).where("inlier and not retained")
 
 
 @query
@@ -204,13 +207,16 @@ SQL["withheld_validation"] = duck(f"+{GATE} select job, count(*) n, round(sqrt(a
 
 def _quality(spark, d):
     """One row for each job: ratio, thinned ties, their uniformity on a lattice, held-out error, reasons, status."""
-    s = _scored(spark, d)
-    kept = ties.grid_top(_distinct(s.where("inlier")), SIDE, SIDE, 1)
-    k = kept.groupBy("job").agg(F.count(F.lit(1)).alias("retained"), (ties.spans_plane("sx", "sy") & ties.spans_plane("rx", "ry")).alias("plane"))
-    u = ties.uniformity(ties.lattice_cells(kept, 1000, 1000, 50), ["job"])
-    w = _withheld(spark, d).groupBy("job").agg(F.count(F.lit(1)).alias("withheld"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rmse"))
-    q = ties.report(s).select("job", "candidates", "inliers", "ratio").join(k, "job", "left").join(u, "job", "left").join(w, "job", "left")
-    q = q.withColumns({"retained": F.coalesce("retained", F.lit(0)), "vsui": F.coalesce("vsui", F.lit(0.0)), "plane": F.coalesce("plane", F.lit(False)), "withheld": F.coalesce("withheld", F.lit(0))})
+    s = _flagged(spark, d)
+    kept, out = F.col("retained"), F.col("inlier") & ~F.col("retained")
+    only = lambda c: F.when(kept, F.col(c))
+    q = s.groupBy("job").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("inlier").alias("inliers"), (F.count_if("inlier") / F.count(F.lit(1))).alias("ratio"), F.count_if(kept).alias("retained"),
+        (ties.spans_plane(only("sx"), only("sy")) & ties.spans_plane(only("rx"), only("ry"))).alias("plane"),
+        F.count_if(out).alias("withheld"), F.sqrt(F.avg(F.when(out, F.col("res") * F.col("res")))).alias("rmse"),
+    )
+    u = ties.uniformity(ties.lattice_cells(s.where(kept).select("job", "i", "rx", "ry"), 1000, 1000, 50), ["job"])
+    q = q.join(u, "job", "left").withColumn("vsui", F.coalesce("vsui", F.lit(0.0)))
     reasons = ties.gate_reasons(F.col("ratio"), F.col("retained"), F.col("vsui"), F.col("plane"))
     q = q.withColumn("reasons", F.concat_ws(";", reasons))
     return q.withColumn("status", S.quality_status(F.col("reasons") == "", F.col("withheld") >= 8, F.col("rmse"), F.col("vsui")))

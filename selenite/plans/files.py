@@ -169,7 +169,7 @@ def xml_telemetry(spark, d):
     p = view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("s"))
     n = F.col("id")
     text = F.concat(
-        F.lit('<r xmlns:q="urn:q"><q:product_id>P'), n.cast("string"), F.lit('</q:product_id><q:gsd unit="'), F.when(n % 2 == 0, "cm/pixel").otherwise("m"), F.lit('">'), F.col("s").cast("string"), F.lit("</q:gsd>"),
+        F.lit('<r xmlns:q="urn:q"><q:product_id>P'), n.cast("string"), F.lit('</q:product_id><q:pixel_resolution unit="'), F.when(n % 2 == 0, "cm/pixel").otherwise("m"), F.lit('">'), F.col("s").cast("string"), F.lit("</q:pixel_resolution>"),
         F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("<incidence_angle>"), (n % 100).cast("string"), F.lit("</incidence_angle>"))),
         F.lit("<sun_azimuth>12</sun_azimuth><solar_azimuth>700</solar_azimuth>"), F.when(n % 13 == 0, "<r>").otherwise("</r>"),
     )

@@ -8,15 +8,22 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed limits of a label, and the field that each local tag name stands for.
+#: Fixed limits of a label.
 BYTES, ELEMENTS, DEPTH = 1 << 20, 20_000, 48
-TAGS = {
-    "logical_identifier": "product_id", "product_id": "product_id", "instrument_name": "instrument", "instrument_id": "instrument",
-    "ground_sample_distance": "gsd", "gsd": "gsd", "pixel_resolution": "pixel_res", "incidence_angle": "incidence", "solar_incidence_angle": "incidence",
-    "emission_angle": "emission", "sub_solar_azimuth": "azimuth", "solar_azimuth": "azimuth", "sun_azimuth": "azimuth",
-    "minimum_latitude": "lat_min", "maximum_latitude": "lat_max", "west_bounding_coordinate": "lon_min", "east_bounding_coordinate": "lon_max",
-    "south_bounding_coordinate": "lat_min", "north_bounding_coordinate": "lat_max", "minimum_longitude": "lon_min", "maximum_longitude": "lon_max",
+#: The local tag names (lower case) that stand for each field.
+NAMES = {
+    "gsd": "pixel_resolution ground_sampling_distance map_resolution map_scale spatial_resolution",
+    "incidence": "incidence_angle solar_incidence_angle solar_incidence incidence",
+    "emission": "emission_angle emission",
+    "azimuth": "solar_azimuth_angle sub_solar_azimuth sun_azimuth solar_azimuth",
+    "lat_min": "south_bounding_coordinate minimum_latitude southernmost_latitude",
+    "lat_max": "north_bounding_coordinate maximum_latitude northernmost_latitude",
+    "lon_min": "west_bounding_coordinate minimum_longitude westernmost_longitude",
+    "lon_max": "east_bounding_coordinate maximum_longitude easternmost_longitude",
+    "product_id": "logical_identifier product_id data_set_id",
+    "instrument": "instrument_name instrument_id",
 }
+TAGS = {tag: field for field, tags in NAMES.items() for tag in tags.split()}
 FIELDS = sorted(set(TAGS.values()))
 
 
@@ -61,7 +68,7 @@ def telemetry(labels: DataFrame, id_: str = "id", content: str = "content", stri
     number = lambda f: S.lenient_double(F.col(f)["text"])
     out = first.select(
         id_, "error", F.col("product_id")["text"].alias("product_id"), F.col("instrument")["text"].alias("instrument"),
-        *[S.metres(number(f), F.coalesce(F.col(f)["unit"], F.lit("m"))).alias(f) for f in ("gsd", "pixel_res")],
+        S.metres(number("gsd"), F.coalesce(F.col("gsd")["unit"], F.lit("m"))).alias("gsd"),
         *[S.degrees_of(number(f), F.coalesce(F.col(f)["unit"], F.lit("deg"))).alias(f) for f in ("incidence", "emission", "azimuth")],
         *[number(f).alias(f) for f in ("lat_min", "lat_max", "lon_min", "lon_max")],
     )

@@ -72,8 +72,8 @@ SQL["tiff_roundtrip"] = duck("select (x // 50)::bigint tile, y, (x % 50)::int x,
 def bundle_export(spark, d):
     """Images, tie records and dossiers of eight scenes, published together and read back by their digests."""
     folder = _folder(spark)
-    px = view(spark, d, "px").where("y < 40").withColumn("scene", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
-    ties = view(spark, d, "tie").where("i <= 200").withColumnRenamed("job", "scene")
+    px = view(spark, d, "px").withColumn("scene", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
+    ties = view(spark, d, "tie").withColumnRenamed("job", "scene")
     made = cut(raster.write_bundle(px, ties, folder))
     back = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("s"))
     out = cut(made.join(back, "name", "left").select("scene", "name", (F.col("bytes") > 0).alias("written"), (F.col("s") == F.col("sha256")).alias("same")))
@@ -146,7 +146,7 @@ union all select id, null, null, null, null, null, null, null, 'a block ends tha
 
 @query
 def odl_tokens(spark, d):
-    return odl.tokenised(_labels(spark, d).where("id <= 200"))
+    return odl.tokenised(_labels(spark, d))
 
 
 @query
@@ -187,7 +187,7 @@ select id, product_id, gsd, incidence, azimuth, concat_ws(';', case when broken
 def _scenes(spark, d):
     """Pixels as a smooth picture, in tiles with a halo of their neighbours."""
     v = F.floor(127 + 60 * F.sin(F.col("x") / 3.0) * F.cos(F.col("y") / 4.0) + 40 * F.sin((F.col("x") * F.col("y")) / 97.0))
-    return view(spark, d, "px").where("y < 100").select("y", "x", v.cast("double").alias("dn"), F.lit(0).cast("bigint").alias("scene"))
+    return view(spark, d, "px").select("y", "x", v.cast("double").alias("dn"), F.lit(0).cast("bigint").alias("scene"))
 
 
 @query
@@ -217,7 +217,8 @@ def lk_refine(spark, d):
         a = raster.image_array(pdf, "f8")
         if min(a.shape) < 40:
             return pd.DataFrame(columns=["x", "y", "dx", "dy", "kept"])
-        b = np.array([[float(127 + 60 * np.sin((x - 1.5) / 3) * np.cos((y + 0.75) / 4) + 40 * np.sin((x - 1.5) * (y + 0.75) / 97)) for x in range(a.shape[1])] for y in range(a.shape[0])])
+        y, x = np.indices(a.shape)
+        b = 127 + 60 * np.sin((x - 1.5) / 3) * np.cos((y + 0.75) / 4) + 40 * np.sin((x - 1.5) * (y + 0.75) / 97)
         p = np.array([(x, y) for y in range(20, a.shape[0] - 20, 12) for x in range(20, a.shape[1] - 20, 12)], float)
         q, ok = kernels.track(a, b, p, p)
         r, back = kernels.track(b, a, q, p)

@@ -402,8 +402,8 @@ SQL["nearest_tie"] = duck("+n as (select job, i, sqrt((rx - 500) * (rx - 500) +
 
 @query
 def shoelace_area(spark, d):
-    """Area of the polygon of each job's first ten ties in order, by neighbouring vertices."""
-    t = view(spark, d, "tie").where("i <= 10")
+    """Signed area of the closed line through each job's ties in order, by neighbouring vertices; taken positive."""
+    t = view(spark, d, "tie")
     w = Window.partitionBy("job").orderBy("i")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nx, ny = F.coalesce(F.lead("rx").over(w), F.first("rx").over(every)), F.coalesce(F.lead("ry").over(w), F.first("ry").over(every))
@@ -412,7 +412,7 @@ def shoelace_area(spark, d):
 
 
 SQL["shoelace_area"] = duck("""+v as (select job, rx * coalesce(lead(ry) over w, first_value(ry) over w) - coalesce(lead(rx) over w, first_value(rx) over w) * ry c
- from tie where i <= 10 window w as (partition by job order by i)) select job, round(abs(sum(c)) / 2, 3) area from v group by 1""", "tie")
+ from tie window w as (partition by job order by i)) select job, round(abs(sum(c)) / 2, 3) area from v group by 1""", "tie")
 
 
 @query

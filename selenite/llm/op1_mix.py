@@ -61,7 +61,7 @@ def _streams(sized: DataFrame, sources: DataFrame, n_sources: int, docs_per_cell
     source with a third of all rows is spread over many tasks.
     """
     d = sized.where("size > 0").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    s = sources.select(F.col("source").alias("_s"), "sid", "source_size", "block", F.ceil(F.col("n_docs") / docs_per_cell).alias("_cells"))
+    s = sources.select(F.col("source").alias("_s"), "sid", "source_size", "block", "_take", F.ceil(F.col("n_docs") / docs_per_cell).alias("_cells"))
     d = d.join(small(s, n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     d = d.withColumn("cell", F.floor(unit * F.col("_cells"))).drop("_cells")
@@ -79,7 +79,7 @@ def _slots(spark, sources: DataFrame, n_sources: int, n_slots: int) -> DataFrame
     n = spark.range(n_slots).withColumnRenamed("id", "slot")
     point = (F.pmod(F.col("slot"), F.lit(2**31)) * F.lit(PHI_31)) % F.lit(2**31)
     n = n.withColumn("_u", point.cast("double") / float(2**31)).withColumns({"cell": F.floor(F.col("_u") * CELLS), "_v": F.floor(F.col("_u") * n_slots)})
-    hit = n.join(small(spans.hint("shuffle_hash") if n_sources > 50_000 else spans, n_sources), "cell").where("_v >= _edge and _v < _end")
+    hit = n.join(small(spans, n_sources), "cell").where("_v >= _edge and _v < _end")
     hit = hit.select("sid", "slot", "quota", F.floor(F.col("slot") / 256).alias("chunk"))
     base = offsets(hit.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("v")), ["sid"], "chunk", "v", "_base")
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
@@ -110,8 +110,9 @@ def mix(docs: DataFrame, block_words: int = 1024, ceiling: int = 3, least_blocks
     s = cut(s)
     n_sources, n_slots = s.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
     placed = _streams(sized, s, n_sources)
-    pieces = placed.withColumn("b", F.explode(F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block"))))
-    pieces = pieces.withColumns({"_from": F.greatest("start", F.col("b") * F.col("block")), "_to": F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * F.col("block"))}).drop("block", "source_size")
+    # blocks that begin beyond the target are never taken
+    pieces = placed.where("start < _take").withColumn("b", F.explode(F.sequence(F.expr("start div block"), F.expr("(least(start + size, _take) - 1) div block"))))
+    pieces = pieces.withColumns({"_from": F.greatest("start", F.col("b") * F.col("block")), "_to": F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * F.col("block"))}).drop("block", "source_size", "_take")
     slots = _slots(spark, s, n_sources, max(1, n_slots)).join(small(s.select("sid", "blocks", "source_size", "_take"), n_sources), "sid")
     slots = slots.withColumns({"pass": F.expr("k div blocks"), "b": F.expr("k % blocks")}).withColumn("_left", F.col("_take") - F.col("pass") * F.col("source_size"))
     taken = pieces.join(slots.select("sid", "b", "slot", "pass", "_left"), ["sid", "b"]).withColumn("_to", F.least("_to", "_left")).where("_to > _from")

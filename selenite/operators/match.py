@@ -21,7 +21,7 @@ def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> Dat
     s = src.select("id", "v").withColumn("_a", dealt(a)).withColumn("_b", every(b))
     r = ref.select("id", "v").withColumn("_b", dealt(b)).withColumn("_a", every(a))
 
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"s": [], "r": [], "d": []})
         b = b.sort_values("id", ignore_index=True)

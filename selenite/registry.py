@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import files, labels, pixels, tiepoints
+from .plans import files, labels, pixels, register, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels, tiepoints, labels, files)
+PARTS = (pixels, tiepoints, labels, files, register)
 
 
 def queries() -> dict:

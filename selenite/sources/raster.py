@@ -203,7 +203,7 @@ def write_bundle(px: DataFrame, ties: DataFrame, folder: str, dtype: str = "f4")
     import hashlib
     import json
 
-    def run(key, image: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, image: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         scene = int(key[0])

@@ -86,8 +86,25 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
 TYPES = {"u1": (8, 1), "u2": (16, 1), "i2": (16, 2), "f4": (32, 3), "f8": (64, 3)}
 
 
-def tiff_bytes(a: np.ndarray, rows: int = 64, tags: dict[int, tuple[int, bytes]] | None = None) -> bytes:
-    """A little-endian TIFF of one band: deflated strips, integers by horizontal differences."""
+def geo_tags(west: float, north: float, step: float, nodata: float | None = None) -> dict[int, tuple | bytes]:
+    """Tags of a north-up grid in degrees: pixel size, the upper-left corner, area pixels, and the value of no data."""
+    keys = (1, 1, 0, 2, 1024, 0, 1, 2, 1025, 0, 1, 1)
+    tags: dict[int, tuple | bytes] = {33550: (step, step, 0.0), 33922: (0.0, 0.0, 0.0, west, north, 0.0), 34735: keys}
+    return tags | ({42113: f"{nodata!r}\0".encode()} if nodata is not None else {})
+
+
+def verified(b: bytes, like: np.ndarray, tags: dict[int, tuple | bytes]) -> bytes:
+    """The file, after its header was read again and found to say what was meant."""
+    _, t = tiff_tags(b)
+    bits, form = TYPES[like.dtype.str[1:]]
+    meant = {256: (like.shape[1],), 257: (like.shape[0],), 258: (bits,), 339: (form,)} | {k: v if isinstance(v, tuple) else (v,) for k, v in tags.items()}
+    if wrong := [k for k, v in meant.items() if t.get(k) != v]:
+        raise ValueError(f"the header's tags {wrong} differ")
+    return b
+
+
+def tiff_bytes(a: np.ndarray, rows: int = 64, tags: dict[int, tuple | bytes] | None = None) -> bytes:
+    """A little-endian TIFF of one band: deflated strips, integers by horizontal differences. Further tags are text, short integers or doubles."""
     kind = a.dtype.str[1:] if a.dtype.str[1:] in TYPES else None
     if kind is None or a.ndim != 2:
         raise ValueError("one band of u1, u2, i2, f4 or f8 samples is stored")
@@ -110,8 +127,13 @@ def tiff_bytes(a: np.ndarray, rows: int = 64, tags: dict[int, tuple[int, bytes]]
         at += len(s)
     for tag, type_, values in ((256, 4, [a.shape[1]]), (257, 4, [a.shape[0]]), (258, 3, [bits]), (259, 3, [8]), (262, 3, [1]), (273, 4, offsets), (277, 3, [1]), (278, 4, [rows]), (279, 4, list(map(len, strips))), (317, 3, [2 if whole else 1]), (339, 3, [form])):
         add(tag, type_, values)
-    for tag, (n, raw) in (tags or {}).items():
-        entries.append((tag, 2, n, raw))
+    for tag, v in (tags or {}).items():
+        if isinstance(v, bytes):
+            entries.append((tag, 2, len(v), v))
+        elif all(isinstance(x, int) for x in v):
+            add(tag, 3, list(v))
+        else:
+            entries.append((tag, 12, len(v), struct.pack(f"<{len(v)}d", *v)))
     entries.sort()
     body = b"".join(strips)
     body += b"\0" * (len(body) % 2)
@@ -180,6 +202,52 @@ def png_bytes(a: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def png_window(b: bytes, x: int = 0, y: int = 0, w: int | None = None, h: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Samples and validity of a window of an 8-bit PNG: colours are averaged, what is wholly transparent is invalid."""
+    if b[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, parts, head = 8, [], None
+    while at + 8 <= len(b):
+        n, kind = struct.unpack_from(">I4s", b, at)
+        if kind == b"IHDR":
+            head = struct.unpack_from(">IIBBBBB", b, at + 8)
+        elif kind == b"IDAT":
+            parts.append(b[at + 8 : at + 8 + n])
+        at += n + 12
+    width, height, bits, colour, _, _, laced = head
+    count = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if bits != 8 or count is None or laced:
+        raise ValueError("only plain 8-bit PNGs are read")
+    w, h = w or width - x, h or height - y
+    if x < 0 or y < 0 or x + w > width or y + h > height:
+        raise ValueError("the window lies outside of the image")
+    z, line = zlib.decompressobj(), width * count + 1
+    raw = z.decompress(b"".join(parts), line * (y + h))  # rows below the window stay packed
+    last, out = np.zeros(width * count, np.uint8), []
+    for k in range(y + h):
+        kind, v = raw[k * line], np.frombuffer(raw, np.uint8, line - 1, k * line + 1).copy()
+        if kind == 1:
+            v = np.cumsum(v.reshape(width, count), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            v = v + last
+        elif kind in (3, 4):
+            for i in range(len(v)):
+                left, up, corner = (int(v[i - count]), int(last[i]), int(last[i - count])) if i >= count else (0, int(last[i]), 0)
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                v[i] = (int(v[i]) + guess) & 255
+        last = v
+        if k >= y:
+            out.append(v.reshape(width, count)[x : x + w])
+    a = np.stack(out)
+    valid = a[..., -1] > 0 if count in (2, 4) else np.ones(a.shape[:2], bool)
+    tone = a[..., 0].astype(np.float32) if count < 3 else a[..., :3].mean(2).astype(np.float32)
+    return tone, valid
+
+
 def sniff(head: bytes) -> str:
     """The container that a file's first bytes name."""
     for kind, magic in (("tiff", (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+")), ("png", (b"\x89PNG\r\n\x1a\n",)), ("jpeg", (b"\xff\xd8\xff",)), ("bmp", (b"BM",))):
@@ -194,11 +262,12 @@ def image_array(pdf: pd.DataFrame, dtype: str) -> np.ndarray:
     return a
 
 
-def write_bundle(px: DataFrame, ties: DataFrame, folder: str, dtype: str = "f4") -> DataFrame:
+def write_bundle(px: DataFrame, ties: DataFrame, folder: str, dtype: str = "f4", grid: tuple[float, float, float] | None = None) -> DataFrame:
     """For each scene an image, the ties' records and a dossier, published together; returns name, bytes and sha256.
 
     All files are staged under other names and moved when all are written, so readers see all or none; an
-    existing bundle is refused. A scene's pixels are bounded by the upload limit (2**24 samples).
+    existing bundle is refused. With a grid (west, north, step) the image is georeferenced and the records have
+    lon and lat, else those are blank. A scene's pixels are bounded by the upload limit (2**24 samples).
     """
     import hashlib
     import json
@@ -207,8 +276,10 @@ def write_bundle(px: DataFrame, ties: DataFrame, folder: str, dtype: str = "f4")
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         scene = int(key[0])
-        lines = ["id,rx,ry,conf", *(f"P-{i:04d},{rx!r},{ry!r},{c!r}" for i, rx, ry, c in zip(rows.i, rows.rx, rows.ry, rows.conf))]
-        files = {f"scene-{scene}.tif": tiff_bytes(image_array(image, dtype)), f"scene-{scene}.csv": ("\r\n".join(lines) + "\r\n").encode()}
+        place = lambda x, y: f"{grid[0] + (x + 0.5) * grid[2]!r},{grid[1] - (y + 0.5) * grid[2]!r}" if grid else ","
+        lines = ["id,rx,ry,conf,lon,lat", *(f"P-{i:04d},{float(rx)!r},{float(ry)!r},{float(c)!r},{place(float(rx), float(ry))}" for i, rx, ry, c in zip(rows.i, rows.rx, rows.ry, rows.conf))]
+        a, tags = image_array(image, dtype), geo_tags(*grid) if grid else {}
+        files = {f"scene-{scene}.tif": verified(tiff_bytes(a, tags=tags), a, tags), f"scene-{scene}.csv": ("\r\n".join(lines) + "\r\n").encode()}
         files[f"scene-{scene}.json"] = json.dumps({"scene": scene, "ties": len(rows), "sha256": {n: hashlib.sha256(b).hexdigest() for n, b in files.items()}}, allow_nan=False).encode()
         if any(fs.get_file_info(f"{root}/{n}").type.name == "File" for n in files):
             raise FileExistsError(f"scene {scene} is published")

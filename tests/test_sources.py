@@ -102,3 +102,46 @@ def test_steps():
         s = jobs.step(*s, kind)
         seen.append(s)
     assert seen == [(None, 0), ("queued", 0), ("queued", 0), ("queued", 0), ("processing", 5), ("processing", 5), ("processing", 10), ("complete", 100), ("complete", 100), ("complete", 100)]
+
+
+def test_georeferenced_header():
+    a = np.arange(20, dtype="f4").reshape(4, 5)
+    tags = raster.geo_tags(22.0, 15.0, 0.001, -9999.0)
+    b = raster.verified(raster.tiff_bytes(a, tags=tags), a, tags)
+    t = raster.tiff_tags(b)[1]
+    assert t[33550] == (0.001, 0.001, 0.0) and t[33922][3:5] == (22.0, 15.0) and t[42113] == (b"-9999.0\0",)
+    with pytest.raises(ValueError):
+        raster.verified(b, a, raster.geo_tags(22.0, 16.0, 0.001))
+
+
+def chunked(kind, data):
+    import struct
+    import zlib
+
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+@pytest.mark.parametrize("colour, count", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_windows(colour, count):
+    import struct
+    import zlib
+
+    r = np.random.default_rng(colour)
+    a = r.integers(0, 256, (11, 7, count)).astype(np.uint8)
+    if count in (2, 4):
+        a[3, 2, -1] = 0
+    lines, last = [], np.zeros(7 * count, int)
+    for k, row in enumerate(a.reshape(11, -1).astype(int)):
+        f = k % 5
+        left = np.concatenate([np.zeros(count, int), row[:-count]])
+        corner = np.concatenate([np.zeros(count, int), last[:-count]])
+        p = left + last - corner
+        near = np.where((abs(p - left) <= abs(p - last)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - last) <= abs(p - corner), last, corner))
+        guess = [0, left, last, (left + last) // 2, near][f]
+        lines.append(bytes([f]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        last = row
+    png = b"\x89PNG\r\n\x1a\n" + chunked(b"IHDR", struct.pack(">IIBBBBB", 7, 11, 8, colour, 0, 0, 0)) + chunked(b"IDAT", zlib.compress(b"".join(lines))) + chunked(b"IEND", b"")
+    v, ok = raster.png_window(png, 1, 2, 5, 8)
+    tone = a[..., 0] if count < 3 else a[..., :3].astype(float).mean(2)
+    assert v == pytest.approx(tone[2:10, 1:6], abs=1e-4)
+    assert (ok == (a[2:10, 1:6, -1] > 0 if count in (2, 4) else True)).all()

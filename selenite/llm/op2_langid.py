@@ -58,37 +58,59 @@ def stretches(word: str) -> list[str]:
     return [" " + w[:LONG], *(w[i : i + LONG] for i in range(LONG, len(w), LONG))] if w else []
 
 
-def prefixes(pieces: list[str]) -> dict[str, int]:
-    """The number of each piece, and -1 for what only begins pieces."""
-    out = {x[:n]: -1 for x in pieces for n in range(1, len(x))}
-    return out | {x: i for i, x in enumerate(pieces)}
+class Trie:
+    """The vocabulary as sorted arrays: (state, letter) -> state, and the piece that ends in a state (-1 if none)."""
+
+    def __init__(self, pieces: list[str]):
+        states, edges, ends = {"": 0}, {}, {}
+        for i, x in enumerate(pieces):
+            for n in range(1, len(x) + 1):
+                if x[:n] not in states:
+                    states[x[:n]] = len(states)
+                    edges[states[x[: n - 1]] << 21 | ord(x[n - 1])] = states[x[:n]]
+            ends[states[x]] = i
+        self.keys = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[k] for k in sorted(edges)], np.int64)
+        self.piece = np.full(len(states), -1, np.int64)
+        for s, i in ends.items():
+            self.piece[s] = i
+        self.unseen = len(pieces)
 
 
 class Lattice:
     """All pieces of all places of some words, sorted by (end, start) for a pass over them in numpy.
 
-    A place is packed into one integer: end, start (6 bits each), word (19), piece (17).
+    All places walk down the trie together, a letter at a time. A found piece is packed into one integer:
+    end, start (6 bits each), word (19), piece (17).
     """
 
-    def __init__(self, words: list[str], index: dict[str, int], unseen: int):
-        codes: list[int] = []
-        add, get = codes.append, index.get
-        for k, w in enumerate(words):
-            n, k = len(w), k << 17
-            for i in range(n):
-                one = False
-                base = i << 36 | k
-                for j in range(i + 1, min(n, i + PIECE) + 1):
-                    p = get(w[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        add(j << 42 | base | p)
-                        one |= j == i + 1
-                if not one:
-                    add(i + 1 << 42 | base | unseen)
-        self.words, self.size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        c = np.sort(np.array(codes, np.int64))
+    def __init__(self, words: list[str], trie: Trie):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        first = np.repeat(np.cumsum(size) - size, size)
+        stop = first + np.repeat(size, size)
+        place = np.arange(len(letters))
+        single = np.zeros(len(letters), bool)
+        at, state, codes = place, np.zeros(len(letters), np.int64), []
+        for n in range(PIECE):
+            ok = at + n < stop[at]
+            at, state = at[ok], state[ok]
+            if not len(at):
+                break
+            key = state << 21 | letters[at + n]
+            j = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
+            ok = trie.keys[j] == key
+            at, state = at[ok], trie.next[j[ok]]
+            hit = trie.piece[state] >= 0
+            x = at[hit]
+            if n == 0:
+                single[x] = True
+            codes.append((x - first[x] + n + 1) << 42 | (x - first[x]) << 36 | word[x] << 17 | trie.piece[state[hit]])
+        x = place[~single]
+        codes.append((x - first[x] + 1) << 42 | (x - first[x]) << 36 | word[x] << 17 | trie.unseen)
+        c = np.sort(np.concatenate(codes))
+        self.words, self.size = len(words), size
         self.end, self.start, self.at, self.piece = c >> 42, c >> 36 & 63, c >> 17 & (1 << 19) - 1, c & (1 << 17) - 1
         cuts = np.flatnonzero(np.diff(c >> 36)) + 1
         self.parts = list(zip([0, *cuts], [*cuts, len(c)])) if len(c) else []
@@ -150,10 +172,10 @@ def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRA
         return f
 
     words = cut(map_rows(sample, count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    column, index = {x: i for i, x in enumerate(langs)}, prefixes(pieces)
+    column, trie = {x: i for i, x in enumerate(langs)}, Trie(pieces)
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(steps):
-        now = spark.sparkContext.broadcast((_scaled(p, pieces), index))
+        now = spark.sparkContext.broadcast((_scaled(p, pieces), trie))
 
         def expect(now=now):
             q, own = now.value
@@ -163,7 +185,7 @@ def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRA
                 lang, word, n = np.array([column[x] for x in cols["lang"]]), cols["word"], np.array(cols["n"], float)
                 for c in np.unique(lang):
                     own_rows = np.flatnonzero(lang == c)
-                    e = Lattice([word[i] for i in own_rows], own, len(q) - 1).expected(q[:, [c]], n[own_rows])[:-1]
+                    e = Lattice([word[i] for i in own_rows], own).expected(q[:, [c]], n[own_rows])[:-1]
                     hit = np.flatnonzero(e)
                     out.append((np.full(len(hit), c), hit, e[hit]))
                 return [np.concatenate(x) for x in zip(*out)]
@@ -183,7 +205,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.n = model["langs"], len(model["langs"])
-        self.index = prefixes(model["pieces"])
+        self.trie = Trie(model["pieces"])
         self.p = _scaled(model["p"], model["pieces"])
         self.clear()
 
@@ -199,7 +221,7 @@ class Scorer:
             of += [k] * len(s)
         got = np.zeros((len(words), self.n + 1))
         for i in range(0, len(parts), 4096):
-            lat = Lattice(parts[i : i + 4096], self.index, len(self.p) - 1)
+            lat = Lattice(parts[i : i + 4096], self.trie)
             a = lat.forward(self.p)[np.arange(lat.words), lat.size]
             np.add.at(got, of[i : i + 4096], np.column_stack([np.log(a) - np.log(SCALE) * lat.size[:, None], np.ones(lat.words)]))
         n = len(self.rows)

@@ -81,7 +81,7 @@ def test_targets_fill_up(spark):
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "abc", "b", "bc", "c"]
     p = np.array([0.3, 0.1, 0.05, 0.2, 0.15, 0.2, 1e-7])[:, None]
-    lat = op2_langid.Lattice(["abc", "ab"], op2_langid.prefixes(pieces), len(pieces))
+    lat = op2_langid.Lattice(["abc", "ab"], op2_langid.Trie(pieces))
     a = lat.forward(p)[[0, 1], lat.size, 0]
     assert a == pytest.approx([0.3 * 0.2 * 0.2 + 0.1 * 0.2 + 0.3 * 0.15 + 0.05, 0.3 * 0.2 + 0.1])
     e = lat.expected(p, np.ones(2))

@@ -145,3 +145,9 @@ def test_png_windows(colour, count):
     tone = a[..., 0] if count < 3 else a[..., :3].astype(float).mean(2)
     assert v == pytest.approx(tone[2:10, 1:6], abs=1e-4)
     assert (ok == (a[2:10, 1:6, -1] > 0 if count in (2, 4) else True)).all()
+
+
+def test_png_bytes_read_back():
+    a = np.random.default_rng(2).integers(0, 256, (9, 13)).astype(np.uint8)
+    v, ok = raster.png_window(raster.png_bytes(a), 2, 1, 6, 7)
+    assert (v == a[1:8, 2:8]).all() and ok.all()

@@ -31,7 +31,8 @@ LONG, PIECE = 48, 12
 UNSEEN = 1e-7
 #: Keeps the products of a word's probabilities within the range of doubles; cancels out.
 SCALE = 30.0
-CACHE = 400_000
+#: Words that a worker keeps at most; fewer where a row of many languages would take much memory.
+CACHE, CELLS = 400_000, 1 << 22
 
 RUNS = re.compile(r"[^\W\d_]+").findall
 
@@ -152,7 +153,8 @@ def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRA
     and piece, bounded by the vocabulary.
     """
     spark = labelled.sparkSession
-    rows = labelled.select("text", "lang", F.xxhash64(*labelled.columns).alias("_h")).where("text is not null and lang is not null")
+    own = [c for c in ("doc_id", "text") if c in labelled.columns]
+    rows = labelled.select("text", "lang", F.xxhash64(*own).alias("_h")).where("text is not null and lang is not null")
     count = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
     counts = {r["lang"]: r["count"] for r in count.collect()}
     langs, pieces = sorted(counts), vocabulary(path)
@@ -232,7 +234,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its posterior probability for each text."""
-        if len(self.rows) > CACHE:
+        if len(self.rows) > min(CACHE, CELLS // (self.n + 1)):
             self.clear()
         sums = np.zeros((len(texts), self.n + 1))
         for k, t in enumerate(texts):

@@ -2,8 +2,8 @@
 
 The field labels tokens by features of their shapes and of a few cue words around them. It is trained
 by maximum likelihood on a small labelled table and decoded by Viterbi, many sequences in one numpy
-array. Every kind that it finds has a digit or a title, so sequences are the stretches around those;
-text without any is outside on all paths and is not laid out.
+array. Every kind that it finds has a digit or a title, so sequences are the stretches around those,
+each decoded whole, however long; text without any is outside on all paths and is not laid out.
 
 Defined results: a null text is an empty one; a text without spans has an empty span list; spans of
 the field never overlap base spans or one another; repeated rows get equal results; other columns
@@ -27,8 +27,10 @@ BASE, ADDED = ("email", "ip", "card", "phone"), ("name", "ssn", "iban")
 ORDER = {k: i for i, k in enumerate(BASE + ADDED)}
 #: Rows of a labelled table that training takes at most.
 TRAIN_ROWS = 5000
-#: Characters around a trigger that belong to its sequence, and tokens of a sequence.
+#: Characters around a trigger that belong to its sequence, and tokens of a labelled text that training looks at.
 LEFT, RIGHT, TOKENS = 40, 60, 64
+#: Padded places of the sequences that are decoded together, and tokens whose features are laid out at once.
+CELLS, PIECE = 1 << 17, 4096
 
 # Base patterns ------------------------------------------------------------------------------------
 
@@ -250,23 +252,35 @@ class Field:
                 out.append([a, b])
         return out
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """For each token the weight of each label, a piece at a time; pieces see their neighbours' words."""
+        none, out = len(self.w) - 1, np.empty((len(words), len(LABELS)))
+        for i in range(0, len(words), PIECE):
+            a, n = max(0, i - 2), len(words[i : i + PIECE])
+            near = features(words[a : i + PIECE + 2])[i - a : i - a + n]
+            out[i : i + n] = self.w[[[self.index.get(f, none) for f in fs] for fs in near]].sum(1)
+        return out
+
     def spans(self, texts: list[str], taken: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
         """For each text the field's spans that overlap none of those taken."""
         seqs = []
         for k, t in enumerate(texts):
             for a, b in self.stretches(t):
-                toks = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(t, a, b)]
-                seqs += [(k, toks[i : i + TOKENS]) for i in range(0, len(toks), TOKENS)]
+                if toks := [m.span() for m in TOKEN.finditer(t, a, b)]:
+                    seqs.append((k, toks))
         out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
-        none = len(self.w) - 1
         seqs.sort(key=lambda s: len(s[1]))
-        for i in range(0, len(seqs), 512):
-            part = seqs[i : i + 512]
+        i = 0
+        while i < len(seqs):
+            n = 1
+            while i + n < len(seqs) and (n + 1) * len(seqs[i + n][1]) <= CELLS:
+                n += 1
+            part, i = seqs[i : i + n], i + n
             lens = np.array([len(s) for _, s in part])
-            x = np.full((len(part), int(lens.max()), 12), none)
-            for j, (_, toks) in enumerate(part):
-                x[j, : len(toks)] = [[self.index.get(f, none) for f in fs] for fs in features([w for *_, w in toks])]
-            best = viterbi(self.w[x].sum(2), self.tr, lens)
+            e = np.zeros((n, int(lens.max()), len(LABELS)))
+            for j, (k, toks) in enumerate(part):
+                e[j, : len(toks)] = self.scores([texts[k][a:b] for a, b in toks])
+            best = viterbi(e, self.tr, lens)
             for j in np.flatnonzero(best.any(1)):
                 k, toks = part[j]
                 out[k] += self._read(texts[k], toks, best[j], taken[k])

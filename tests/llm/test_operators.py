@@ -323,6 +323,27 @@ def test_field_held_out(spark, docs, none):
     assert out.where("doc_id = 15").first().text == "call <PHONE> or <EMAIL>"
 
 
+@pytest.mark.parametrize("kind, value", [("ssn", "her SSN is {123-45-6789} as filed"), ("iban", "pay to {DE12 3456 7890 1234 5678 12} by Friday"), ("name", "Dear Mrs. {Anla Timore}, thank you")])
+def test_field_at_every_offset(kind, value):
+    field = op9_pii.Field(op9_pii.train(op9_pii.labelled_rows()))
+    texts, want = [], []
+    for k in range(140):  # one stretch, twice as long as what training looks at, in which a find starts after k tokens and more
+        head = "see 12 of " * (k // 3) + "see 12 of ".rsplit(" ", 3 - k % 3)[0] * (k % 3 > 0) + " " + value.split("{")[0]
+        find = value[value.index("{") + 1 : value.index("}")]
+        texts.append(head + find + value.split("}")[1] + " see 12 of" * 50)
+        want.append([(len(head), kind, len(head) + len(find))])
+    assert all(len(field.stretches(t)) == 1 for t in texts)
+    assert [[s for s in x if s[1] == kind] for x in field.spans(texts, [[]] * len(texts))] == want
+
+
+def test_field_scores_in_pieces(monkeypatch):
+    field = op9_pii.Field(op9_pii.train(op9_pii.labelled_rows(100), steps=3))
+    words = [m[0] for m in op9_pii.TOKEN.finditer(" ".join(t for t, _ in op9_pii.labelled_rows(20, seed=5)))]
+    whole = field.scores(words)
+    monkeypatch.setattr(op9_pii, "PIECE", 7)
+    assert np.array_equal(field.scores(words), whole)
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 

@@ -28,9 +28,10 @@ from .common import table
 
 #: Rows of a labelled table that training takes at most; characters of a candidate that features look at.
 TRAIN_ROWS, LOOK = 20_000, 512
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
-ASSIGNED = re.compile(r"(?i:\b[a-z_]{0,24}(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_]{0,24}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?)([A-Za-z0-9+/_.=!@#$%^&*-]{6,})")
-NAMES = ("token", "secret", "passw", "auth", "key", "Token", "TOKEN", "Secret", "SECRET", "Passw", "PASSW", "Auth", "AUTH", "Key", "KEY")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+ASSIGNED = re.compile(r"(?i:(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_]{0,24}[\"']?\s*+[:=]{1,2}\s*+[\"']?)([A-Za-z0-9+/_.=!@#$%^&*-]{6,})")
+#: One of these is in each name that ASSIGNED knows.
+NAMES = ("token", "secret", "passw", "auth", "key")
 TELLING = re.compile(r"token|secret|passw|api.?key|access.?key|private.?key|auth|credential|bearer")
 HARMLESS = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|uuid|sha\d*|md5|checksum|commit|digest|hash|order|invoice|isbn|card|page|id\b")
 PATHS = re.compile(r"test|example|sample|doc|readme|fixture|mock|vendor|lock")
@@ -95,8 +96,8 @@ def features(value: str, before: str, after: str, path: str, assigned: bool, wor
 
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whether assigned to a telling name), by start."""
-    out = {}
-    if any(x in text for x in NAMES):
+    out, low = {}, text.casefold()
+    if any(x in low for x in NAMES):
         out = {m.span(1): True for m in ASSIGNED.finditer(text)}
     taken = sorted(out)
     for m in LONG.finditer(text):

@@ -13,7 +13,8 @@ def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> Dat
 
     src and ref: id, v (array). Both sides are dealt into blocks; every pair of blocks meets in one task
     of bounded size, where one matrix product gives all distances, and only two candidates for each
-    source leave it. The exact counterpart of an approximate tree search.
+    source leave it. The product only excludes what is farther than its rounding can explain; of equal
+    references the two first are enough. The exact counterpart of an approximate tree search.
     """
     a, b = (max(1, -(-t.count() // block_rows)) for t in (src, ref))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -25,17 +26,24 @@ def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> Dat
         if a.empty or b.empty:
             return pd.DataFrame({"s": [], "r": [], "d": []})
         b = b.sort_values("id", ignore_index=True)
-        y, ids = np.stack(b.v.to_numpy()).astype(float), b.id.to_numpy()
+        y = np.stack(b.v.to_numpy()).astype(float) + 0.0  # one zero
+        same = pd.Series([v.tobytes() for v in y])
+        two = (same.groupby(same).cumcount() < 2).to_numpy()
+        y, ids = y[two], b.id.to_numpy()[two]
         norms, out = (y * y).sum(1), []
         for i in range(0, len(a), 1024):
             x = np.stack(a.v.to_numpy()[i : i + 1024]).astype(float)
-            d = (x * x).sum(1)[:, None] + norms - 2 * x @ y.T
-            k = min(8, d.shape[1])  # a few, so that rounding in the product loses no neighbour
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            exact = ((x[:, None, :] - y[near]) ** 2).sum(2)
-            order = np.lexsort((ids[near], exact), axis=1)[:, :2]
-            rows = np.arange(len(x))[:, None]
-            out.append(pd.DataFrame({"s": np.repeat(a.id.to_numpy()[i : i + 1024], order.shape[1]), "r": ids[near[rows, order]].ravel(), "d": np.sqrt(exact[rows, order]).ravel()}))
+            xx = (x * x).sum(1)[:, None]
+            d = xx + norms - 2 * x @ y.T
+            slack = 4 * (y.shape[1] + 4) * np.finfo(float).eps * (xx + norms)
+            k = min(2, d.shape[1])
+            row, col = np.nonzero(d - slack <= np.partition(d + slack, k - 1, axis=1)[:, k - 1 : k])
+            step = max(1, (1 << 22) // y.shape[1])
+            exact = np.sqrt(np.concatenate([((x[row[j : j + step]] - y[col[j : j + step]]) ** 2).sum(1) for j in range(0, len(row), step)]))
+            order = np.lexsort((ids[col], exact, row))
+            first = np.searchsorted(row, np.arange(len(x)))  # every row has k at least
+            order = order[(first[:, None] + np.arange(k)).ravel()]
+            out.append(pd.DataFrame({"s": a.id.to_numpy()[i : i + 1024][row[order]], "r": ids[col[order]], "d": exact[order]}))
         return pd.concat(out)
 
     found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(best, "s bigint, r bigint, d double")

@@ -140,3 +140,17 @@ def test_grid_ties_duplicates_and_edges(spark):
     t = spark.createDataFrame(rows, "job int, i int, rx double, ry double, conf double")
     assert sorted(r.i for r in ties.grid_top(t, 800, 800, 1).collect()) == [1, 3]
     assert sorted(r.i for r in ties.grid_top(t, 800, 800, 2).collect()) == [0, 1, 3, 4]
+
+
+def test_nearest_two_of_many_copies(spark):
+    r = np.random.default_rng(5)
+    one = r.random(16)
+    refs = [(100 - k, one.tolist()) for k in range(50)] + [(1000 - k, (one + 1e-9 * r.random(16)).tolist()) for k in range(50)] + [(2000 + k, v.tolist()) for k, v in enumerate(r.random((9, 16)))]
+    srcs = [(1, one.tolist()), (2, (one + 0.25).tolist()), (3, (one + 1e-9).tolist()), (4, r.random(16).tolist())]
+    make = lambda x: spark.createDataFrame(x, "id bigint, v array<double>")
+    for refs_ in (refs, refs[:1]):
+        want = []
+        for s, x in srcs:
+            d = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for i, y in refs_)
+            want.append((s, d[0][1], d[0][0], d[1][0] if len(d) > 1 else None))
+        assert sorted(map(tuple, match.nearest_two(make(srcs), make(refs_)).collect())) == want

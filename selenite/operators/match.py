@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,25 +64,30 @@ def reciprocal(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.join(b, ["s", "r"]).select("s", "r", F.least("conf", "_c").alias("conf"))
 
 
-def unique_pairs(ties: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
+def unique_pairs(ties: DataFrame, keys: list[str]) -> DataFrame:
     """The strongest one-to-one endpoints: ties taken by confidence (then i), each source and reference once.
 
     A tie that is the best of both of its endpoints is taken in any order, so all of these are taken at
     once; their endpoints' other ties fall away, and the rest goes on until nothing is left. Each
-    round is a pair of windows; the number of rounds is the longest chain of ever weaker neighbours.
+    round is a pair of windows and takes the best tie of every job at least; the number of rounds is
+    the longest chain of ever weaker neighbours.
     """
     from ..shared import cut
 
-    left, taken = ties, None
-    by = lambda *c: Window.partitionBy(*keys, *c).orderBy(F.desc("conf"), "i")
-    for _ in range(rounds):
+    ends = ["sx", "sy", "rx", "ry"]
+    left, taken = ties.dropDuplicates([*keys, "conf", "i", *ends]), []
+    by = lambda *c: Window.partitionBy(*keys, *c).orderBy(F.desc("conf"), "i", *ends)
+
+    def without(t: DataFrame, best: DataFrame, cols: list[str]) -> DataFrame:
+        gone = best.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
+        return t.join(gone, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]), "left_anti")
+
+    while True:
         r = left.withColumns({"_s": F.row_number().over(by("sx", "sy")), "_r": F.row_number().over(by("rx", "ry"))})
         best = cut(r.where("_s = 1 and _r = 1").select(*ties.columns))
-        taken = best if taken is None else taken.unionByName(best)
-        if best.isEmpty():
-            break
-        left = left.join(best.select(*keys, "sx", "sy").distinct(), [*keys, "sx", "sy"], "left_anti")
-        left = cut(left.join(best.select(*keys, "rx", "ry").distinct(), [*keys, "rx", "ry"], "left_anti").select(*ties.columns))
+        taken.append(best)
+        left = cut(without(without(left, best, [*keys, "sx", "sy"]), best, [*keys, "rx", "ry"]).select(*ties.columns))
         if left.isEmpty():
-            break
-    return taken
+            return reduce(DataFrame.unionByName, taken)
+        if len(taken) == 32:  # a short plan, however many rounds
+            taken = [cut(reduce(DataFrame.unionByName, taken).coalesce(best.rdd.getNumPartitions()))]

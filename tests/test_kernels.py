@@ -142,6 +142,13 @@ def test_grid_ties_duplicates_and_edges(spark):
     assert sorted(r.i for r in ties.grid_top(t, 800, 800, 2).collect()) == [0, 1, 3, 4]
 
 
+def test_one_to_one_long_chain(spark):
+    n = 134  # over 64 rounds: each tie shares an endpoint with the next weaker one, so every second is taken
+    rows = [(0, i, float((i + 1) // 2), 0.0, float(i // 2), 0.0, 1 - i / 1000) for i in range(n)]
+    t = spark.createDataFrame(rows, "job int, i int, sx double, sy double, rx double, ry double, conf double")
+    assert sorted(x.i for x in match.unique_pairs(t, ["job"]).collect()) == list(range(0, n, 2))
+
+
 def test_nearest_two_of_many_copies(spark):
     r = np.random.default_rng(5)
     one = r.random(16)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    A folder of our own is on this machine's disk, so it is made only where tasks run on this machine too.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        got = spark.sparkContext.getCheckpointDir()
-        if got:
-            return got
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="selenite-shared-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -36,6 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run: written as Parquet to the shared folder, dropped once nothing reads them any more.
+
+    A lost executor costs no recomputation of what lies before a table. Columns keep their types; small
+    files are read several to a task, so tables shrink to few tasks whatever the shuffles before them were.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, out))
+        return out
+
+    def drop(self, *done: DataFrame) -> None:
+        for path, df in self.tables:
+            if any(df is d for d in done):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if its counted rows stay within the bound, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 
 from selenite.llm import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
-from selenite.llm.graph import components
+from selenite.llm.common import Scratch
+from selenite.llm.graph import components, merged
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, row bigint, key string, score double, _words int"
 SF = "/root/testdata/sf0.001"
@@ -433,7 +434,63 @@ def test_parity_bounds_the_difference():
 
 
 def test_components_of_a_path_and_a_star(spark):
+    kinds, scratch = "a bigint, b bigint", Scratch(spark)
     e = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
-    assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 260)]}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    comp = components(spark.createDataFrame(e, kinds), scratch)
+    want = {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 260)]}
+    assert {r.id: r.component for r in comp.collect()} == want
+    assert components(spark.createDataFrame([], kinds), scratch).count() == 0
+    more = merged(comp, spark.createDataFrame([(300, 301), (301, 140), (210, 300), (400, 401), (9, 9)], kinds), scratch)
+    assert {r.id: r.component for r in more.collect()} == {i: 7 for i in [*want, 300, 301]} | {400: 400, 401: 400}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_of_a_whole_table(spark, k):
+    """Against all pairs of sf0.01 that share a shingle: the same components, so no link is lost that joins two."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text, k) for r in d.collect()}
+    at = collections.defaultdict(list)
+    for i in sorted(sets):
+        for g in sets[i]:
+            at[g].append(i)
+    both = collections.Counter((i, j) for ids in at.values() for n, j in enumerate(ids) for i in ids[:n])
+    links = [(i, j) for (i, j), n in both.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    got = {r.doc_id: r.component_id for r in op10_minhash.near_duplicates(d, k).collect()}
+    assert len(links) > 50 and sum(got[i] == got[j] for i, j in links) == len(links)
+    assert got == {i: find(i) for i in sets}
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Such rows are judged apart, in the operator and in the stage."""
+    other = DE.replace("haus", "heim")
+    d = spark.createDataFrame([(1, EN), (1, DE), (2, EN + " x"), (3, DE), (4, other + " y z"), (1, EN)], "doc_id bigint, text string")
+    by = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op10_minhash.near_duplicates(d, 2).collect())
+    n = [len(shingles(t, 2)) for t in (EN, DE, EN + " x", other + " y z")]
+    assert by == collections.Counter([(1, n[0], 1, True)] * 2 + [(1, n[1], 1, True), (2, n[2], 1, False), (3, n[1], 1, False), (4, n[3], 4, True)])
+    assert sorted(r.doc_id for r in op10_minhash.deduplicated(d, 2).collect()) == [1, 1, 1, 4]
+
+
+def test_a_large_bucket_in_blocks(spark, monkeypatch):
+    """A group of near copies far beyond one block, many of them unlike the first one."""
+    monkeypatch.setattr(op10_minhash, "BLOCK", 8)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(60), r.randint(0, 7)):
+            w[at] = f"v{r.randrange(90)}"
+        texts[i] = " ".join(w)
+    want, _ = brute_components(texts, 2)
+    d = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    assert {x.doc_id: x.component_id for x in op10_minhash.near_duplicates(d, 2).collect()} == want

@@ -5,9 +5,13 @@ word is the sum over all its segmentations into pieces, found by the forward alg
 cross words, so a text's log probability is the sum over its words. Training is expectation
 maximisation: forward-backward over the word counts of labelled texts gives expected piece counts.
 
+All languages that have a label are learned; the model has one number for each language and piece
+(0.3 MB a language), whatever the size of the corpus.
+
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing was
-learned; ties go to the first language by code point; repeated rows get equal results; null
-languages are not learned from; languages beyond MAX_LANGS by count are not learned.
+learned (an empty table, no labels); ties go to the first language by code point; repeated rows get
+equal results and count once in training; null languages are not learned from; texts and words of any
+length are scored whole; other columns are ignored, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -20,13 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .common import BROADCAST_ROWS, cut, table
+from .common import cut, table
 
-#: The sample that the classifier is fitted on: about so many texts of each language, by hash.
-TRAIN_DOCS = 1500
-MAX_LANGS, STEPS = 200, 3
-#: Runs of letters are scored in stretches of LONG letters; pieces have up to PIECE letters.
-LONG, PIECE = 48, 12
+#: The sample that the classifier is fitted on: about so many different texts of each language, by their hash.
+TRAIN_DOCS, STEPS = 1500, 3
+#: Words of up to so many letters are laid out together in one array; longer ones each by themselves.
+SHORT = 48
 #: Probability of a letter that the vocabulary lacks, in any language.
 UNSEEN = 1e-7
 #: Keeps the products of a word's probabilities within the range of doubles; cancels out.
@@ -49,14 +52,14 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
     pieces = {sp.id_to_piece(i).replace("▁", " ").lower() for i in range(sp.get_piece_size())}
-    ok = (p for p in pieces if p == " " or (p.lstrip(" ").isalpha() and p.rfind(" ") <= 0 and len(p) <= PIECE))
+    ok = (p for p in pieces if p == " " or (p.lstrip(" ").isalpha() and p.rfind(" ") <= 0))
     return sorted(ok)
 
 
-def stretches(word: str) -> list[str]:
-    """A run of letters as scored: with its start marked, in stretches; other numerals in it don't count."""
+def marked(word: str) -> str:
+    """A run of letters as scored: with its start marked; other numerals in it don't count."""
     w = word if word.isalpha() else "".join(filter(str.isalpha, word))
-    return [" " + w[:LONG], *(w[i : i + LONG] for i in range(LONG, len(w), LONG))] if w else []
+    return " " + w if w else ""
 
 
 class Trie:
@@ -75,40 +78,47 @@ class Trie:
         self.piece = np.full(len(states), -1, np.int64)
         for s, i in ends.items():
             self.piece[s] = i
-        self.unseen = len(pieces)
+        self.unseen, self.depth = len(pieces), max(map(len, pieces), default=0)
+
+    def walk(self, letters: np.ndarray, stop: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
+        """(starts, length, pieces) for each length: all places walk down together, a letter at a time, up to their stops."""
+        at, state, found = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for n in range(self.depth):
+            ok = at + n < stop[at]
+            at, state = at[ok], state[ok]
+            if not len(at):
+                break
+            key = state << 21 | letters[at + n]
+            j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[j] == key
+            at, state = at[ok], self.next[j[ok]]
+            hit = self.piece[state] >= 0
+            found.append((at[hit], n + 1, self.piece[state[hit]]))
+        return found
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
 
 class Lattice:
     """All pieces of all places of some words, sorted by (end, start) for a pass over them in numpy.
 
-    All places walk down the trie together, a letter at a time. A found piece is packed into one integer:
-    end, start (6 bits each), word (19), piece (17).
+    For words of up to SHORT letters. A found piece is packed into one integer: end, start (6 bits each),
+    word (19), piece (17).
     """
 
     def __init__(self, words: list[str], trie: Trie):
         size = np.fromiter(map(len, words), np.int64, len(words))
-        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        letters = _letters("".join(words))
         word = np.repeat(np.arange(len(words)), size)
         first = np.repeat(np.cumsum(size) - size, size)
-        stop = first + np.repeat(size, size)
-        place = np.arange(len(letters))
-        single = np.zeros(len(letters), bool)
-        at, state, codes = place, np.zeros(len(letters), np.int64), []
-        for n in range(PIECE):
-            ok = at + n < stop[at]
-            at, state = at[ok], state[ok]
-            if not len(at):
-                break
-            key = state << 21 | letters[at + n]
-            j = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
-            ok = trie.keys[j] == key
-            at, state = at[ok], trie.next[j[ok]]
-            hit = trie.piece[state] >= 0
-            x = at[hit]
-            if n == 0:
+        single, codes = np.zeros(len(letters), bool), []
+        for x, n, piece in trie.walk(letters, first + np.repeat(size, size)):
+            if n == 1:
                 single[x] = True
-            codes.append((x - first[x] + n + 1) << 42 | (x - first[x]) << 36 | word[x] << 17 | trie.piece[state[hit]])
-        x = place[~single]
+            codes.append((x - first[x] + n) << 42 | (x - first[x]) << 36 | word[x] << 17 | piece)
+        x = np.flatnonzero(~single)
         codes.append((x - first[x] + 1) << 42 | (x - first[x]) << 36 | word[x] << 17 | trie.unseen)
         c = np.sort(np.concatenate(codes))
         self.words, self.size = len(words), size
@@ -139,6 +149,63 @@ class Lattice:
         return np.bincount(self.piece, share * weight[self.at], len(p))
 
 
+class LongWord:
+    """The same for one word of any length: alpha is kept at 1 in sum from place to place, its logarithm apart."""
+
+    def __init__(self, word: str, trie: Trie):
+        letters = _letters(word)
+        self.n, self.depth = len(letters), max(trie.depth, 1)
+        found = trie.walk(letters, np.full(self.n, self.n))
+        single = np.zeros(self.n, bool)
+        for x, n, _ in found:
+            if n == 1:
+                single[x] = True
+        lone = np.flatnonzero(~single)
+        starts = np.concatenate([lone, *(x for x, _, _ in found)])
+        ends = np.concatenate([lone + 1, *(x + n for x, n, _ in found)])
+        pieces = np.concatenate([np.full(len(lone), trie.unseen), *(k for _, _, k in found)])
+        order = np.lexsort((starts, ends))
+        self.start, self.end, self.piece = starts[order], ends[order], pieces[order]
+        self.cuts = np.searchsorted(self.end, np.arange(self.n + 2))
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """The logarithm of the probability for each column."""
+        a, log = np.zeros((self.depth + 1, p.shape[1])), np.zeros(p.shape[1])
+        a[0] = 1
+        for e in range(1, self.n + 1):
+            x, y = self.cuts[e], self.cuts[e + 1]
+            now = (a[self.start[x:y] % (self.depth + 1)] * p[self.piece[x:y]]).sum(0)
+            a /= now
+            log += np.log(now)
+            a[e % (self.depth + 1)] = 1
+        return log
+
+    def expected(self, p: np.ndarray, weight: float) -> np.ndarray:
+        """Expected counts of the pieces, for one column of probabilities."""
+        q, grown, share = p[self.piece, 0], np.ones(self.n + 1), np.zeros(len(self.piece))
+        for e in range(1, self.n + 1):  # grown[e]: alpha at e by alpha at e - 1
+            x, y = self.cuts[e], self.cuts[e + 1]
+            share[x:y] = q[x:y] / [np.prod(grown[s + 1 : e]) for s in self.start[x:y]]
+            grown[e] = share[x:y].sum()
+            share[x:y] /= grown[e]
+        cut_at = np.zeros(self.n + 1)  # the share of segmentations that cut at a place
+        cut_at[self.n] = 1
+        for e in range(self.n, 0, -1):
+            x, y = self.cuts[e], self.cuts[e + 1]
+            share[x:y] *= cut_at[e]
+            np.add.at(cut_at, self.start[x:y], share[x:y])
+        return np.bincount(self.piece, share * weight, len(p))
+
+
+def expected(words: list[str], trie: Trie, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces over words of any length."""
+    short = np.array([len(w) <= SHORT for w in words], bool)
+    e = Lattice([w for w, ok in zip(words, short) if ok], trie).expected(p, weight[short])
+    for i in np.flatnonzero(~short):
+        e += LongWord(words[i], trie).expected(p, weight[i])
+    return e
+
+
 def _scaled(p: np.ndarray, pieces: list[str]) -> np.ndarray:
     """Probabilities with the unseen letter's row, each times SCALE to the power of its length."""
     lens = np.array([*map(len, pieces), 1], float)[:, None]
@@ -148,32 +215,31 @@ def _scaled(p: np.ndarray, pieces: list[str]) -> np.ndarray:
 def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRAIN_DOCS, steps: int = STEPS) -> dict:
     """The model {langs, pieces, p} from rows with text and lang.
 
-    The sample takes texts by their hash, at a rate that gives about docs_per_lang of each language.
-    Words are counted and expectations summed on Spark; the driver gets one row for each language
-    and piece, bounded by the vocabulary.
+    The sample takes texts by their hash, at a rate that gives about docs_per_lang different ones of each
+    language. Words are counted and expectations summed on Spark; the driver gets one row for each
+    language and piece, bounded by the vocabulary.
     """
     spark = labelled.sparkSession
-    own = [c for c in ("doc_id", "text") if c in labelled.columns]
-    rows = labelled.select("text", "lang", F.xxhash64(*own).alias("_h")).where("text is not null and lang is not null")
-    count = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    counts = {r["lang"]: r["count"] for r in count.collect()}
+    rows = labelled.select("text", "lang", F.xxhash64("text").alias("_h")).where("text is not null and lang is not null")
+    counts = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).collect()}
     langs, pieces = sorted(counts), vocabulary(path)
     if not langs:
         return {"langs": [], "pieces": pieces, "p": np.zeros((len(pieces), 0))}
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
     unit = F.pmod(F.col("_h"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sample = rows.where(unit < F.try_element_at(rate, F.col("lang"))).select("text", "lang")
+    # a text that is repeated, however often, counts once; its copies meet in partial aggregates
+    sample = rows.where(unit < F.try_element_at(rate, F.col("lang"))).groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def count_words():
         def f(cols):
             c = Counter()
             for text, lang in zip(cols["text"], cols["lang"]):
-                c.update((lang, s) for w in RUNS(text.lower()) for s in stretches(w))
+                c.update((lang, s) for w in RUNS(text.lower()) if (s := marked(w)))
             return [[k[0] for k in c], [k[1] for k in c], list(c.values())]
 
         return f
 
-    words = cut(map_rows(sample, count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = cut(map_rows(sample.select("text", "lang"), count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     column, trie = {x: i for i, x in enumerate(langs)}, Trie(pieces)
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(steps):
@@ -187,7 +253,7 @@ def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRA
                 lang, word, n = np.array([column[x] for x in cols["lang"]]), cols["word"], np.array(cols["n"], float)
                 for c in np.unique(lang):
                     own_rows = np.flatnonzero(lang == c)
-                    e = Lattice([word[i] for i in own_rows], own).expected(q[:, [c]], n[own_rows])[:-1]
+                    e = expected([word[i] for i in own_rows], own, q[:, [c]], n[own_rows])[:-1]
                     hit = np.flatnonzero(e)
                     out.append((np.full(len(hit), c), hit, e[hit]))
                 return [np.concatenate(x) for x in zip(*out)]
@@ -216,16 +282,16 @@ class Scorer:
         self.table = np.zeros((1 << 16, self.n + 1))
 
     def learn(self, words: list[str]) -> None:
-        parts, of = [], []
-        for k, w in enumerate(words):
-            s = stretches(w)
-            parts += s
-            of += [k] * len(s)
         got = np.zeros((len(words), self.n + 1))
-        for i in range(0, len(parts), 4096):
-            lat = Lattice(parts[i : i + 4096], self.trie)
+        scored = [(k, s) for k, w in enumerate(words) if (s := marked(w))]
+        short = [x for x in scored if len(x[1]) <= SHORT]
+        for i in range(0, len(short), 4096):
+            lat = Lattice([s for _, s in short[i : i + 4096]], self.trie)
             a = lat.forward(self.p)[np.arange(lat.words), lat.size]
-            np.add.at(got, of[i : i + 4096], np.column_stack([np.log(a) - np.log(SCALE) * lat.size[:, None], np.ones(lat.words)]))
+            got[[k for k, _ in short[i : i + 4096]]] = np.column_stack([np.log(a) - np.log(SCALE) * lat.size[:, None], np.ones(lat.words)])
+        for k, s in scored:
+            if len(s) > SHORT:
+                got[k] = [*(LongWord(s, self.trie).forward(self.p) - np.log(SCALE) * len(s)), 1]
         n = len(self.rows)
         while n + len(words) > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
@@ -254,7 +320,6 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns keep, with lang_pred and score from the text alone."""
-    assert len(model["langs"]) <= MAX_LANGS and len(model["pieces"]) <= BROADCAST_ROWS
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -277,9 +342,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is found with a probability of `least` or more; a null lang is filled in."""
+    """The documents whose language is found with a probability of `least` or more; a null lang is filled in.
+
+    Where no row has a lang nothing is learned, so nothing but texts without a letter is rejected.
+    """
+    model = train(docs)
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash
     at = own[docs.columns.index("lang")]
     rows = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
-    out = predict(rows, train(docs), own).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    out = predict(rows, model, own).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return out.withColumn(at, F.coalesce(at, "lang_pred")).select(*own).toDF(*docs.columns)

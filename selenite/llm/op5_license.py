@@ -5,8 +5,10 @@ identifier tags in the text as written, and what follows a tag on its line is re
 of licences with AND, OR, WITH and parentheses. WITH binds closest, then AND, then OR.
 
 Defined results: a null text is an empty one; without finds the labels are empty strings and the
-score is 0; an expression that doesn't parse gives no label; repeated rows get equal results; other
-columns are ignored.
+score is 0; an expression that doesn't parse gives no label, one that does gives all its licences,
+however long it is; a licence found in several ways counts once, by the strongest; an empty table
+gives an empty one; texts are scanned whole in one pass, whatever their length; repeated rows get
+equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +37,56 @@ NOTICES = {
     "cc by sa": "cc-by-sa",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "licensed under the mit license": "mit",
+    "the software is provided as is without warranty of any kind": "mit",
+    "released under the mit license": "mit",
+    "apache software license version 1 1": "apache-1.1",
+    "you may not use this file except in compliance with the license": "apache-2",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "new bsd license": "bsd",
+    "gnu library general public license": "lgpl",
+    "gnu free documentation license": "gfdl",
+    "either version 2 of the license or at your option any later version": "gpl-2",
+    "either version 3 of the license or at your option any later version": "gpl-3",
+    "common development and distribution license": "cddl",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "boost software license version 1 0": "bsl-1.0",
+    "business source license": "busl",
+    "server side public license": "sspl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "the zlib license": "zlib",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "community data license agreement": "cdla",
+    "do what the fuck you want to public license": "wtfpl",
+    "academic free license": "afl",
+    "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
+    "creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "cc by nd": "cc-by-nd",
+    "dedicated to the public domain": "public-domain",
+    "this work is in the public domain": "public-domain",
+    "proprietary and confidential": "proprietary",
 }
-TAGS = ("spdx-license-identifier:", "license-expression:")
+TAGS = ("spdx-license-identifier:", "license-expression:", "spdx-license:")
 #: Labels of identifiers that have one already; others become their own lower-cased identifier.
-KNOWN = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "mpl-2.0": "mpl-2", "isc": "isc"}
+KNOWN = {
+    "mit": "mit", "mit-0": "mit", "apache-2.0": "apache-2", "isc": "isc", "0bsd": "bsd", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd",
+    "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-2.0+": "gpl-2",
+    "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-3.0+": "gpl-3",
+    "lgpl-2.1": "lgpl", "lgpl-2.1-only": "lgpl", "lgpl-2.1-or-later": "lgpl", "lgpl-3.0": "lgpl", "lgpl-3.0-only": "lgpl", "lgpl-3.0-or-later": "lgpl",
+    "agpl-3.0": "agpl-3", "agpl-3.0-only": "agpl-3", "agpl-3.0-or-later": "agpl-3", "mpl-2.0": "mpl-2", "epl-1.0": "epl", "epl-2.0": "epl",
+    "cddl-1.0": "cddl", "eupl-1.1": "eupl", "eupl-1.2": "eupl", "cc0-1.0": "cc0", "ofl-1.1": "ofl", "odbl-1.0": "odbl", "gfdl-1.3": "gfdl", "gfdl-1.3-only": "gfdl",
+    "cc-by-3.0": "cc-by", "cc-by-4.0": "cc-by", "cc-by-sa-3.0": "cc-by-sa", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-4.0": "cc-by-nc",
+    "cc-by-nd-4.0": "cc-by-nd", "cc-by-nc-sa-4.0": "cc-by-nc-sa", "cc-by-nc-nd-4.0": "cc-by-nc-nd", "unlicense": "unlicense", "wtfpl": "wtfpl", "busl-1.1": "busl", "sspl-1.0": "sspl",
+}
 #: How much a find of each kind counts.
 WEIGHT = {"tag": 0.95, "base": 0.8, "notice": 0.6}
 
@@ -101,34 +149,28 @@ def postfix(parts: list[str]) -> list[str] | None:
     return out
 
 
-#: Alternatives of an expression beyond which it is left unread.
-MOST = 256
-
+def licences_of(order: list[str]) -> set[str] | None:
+    """The licences that an expression in postfix order names, in time linear in its length; None if it can't be read.
 
-def choices(parts: list[str]) -> list[frozenset[str]] | None:
-    """The alternatives that an expression leaves, each a set of licences to be kept together; None if it can't be read."""
-    order = postfix(parts)
-    if not order:
-        return None
-    stack: list[list[frozenset[str]]] = []
+    An exception goes with its one licence into one label.
+    """
+    stack: list[set[str]] = []
     for p in order:
         if p not in BINDS:
-            stack.append([frozenset([KNOWN.get(p, p)])])
+            stack.append({KNOWN.get(p, p)})
             continue
         if len(stack) < 2:
             return None
         b, a = stack.pop(), stack.pop()
-        if p == "or":
-            stack.append(a + b)
-        elif p == "and":
-            stack.append([x | y for x in a for y in b])
-        elif len(a) == len(b) == len(a[0]) == len(b[0]) == 1:
-            stack.append([frozenset([f"{min(a[0])}-with-{min(b[0])}"])])
+        if p == "with":
+            if len(a) != 1 or len(b) != 1:
+                return None
+            a = {f"{a.pop()}-with-{b.pop()}"}
         else:
-            return None
-        if len(stack[-1]) > MOST:
-            return None
-    return list(dict.fromkeys(stack[0])) if len(stack) == 1 else None
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a |= b
+        stack.append(a)
+    return stack[0] if len(stack) == 1 else None
 
 
 class Scanner:
@@ -145,7 +187,7 @@ class Scanner:
         self.tags.make_automaton()
 
     def scan(self, text: str | None) -> tuple:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, alternatives of tagged expressions."""
+        """n_words, n_base, first_word, last_word, base_labels, labels, score, tagged expressions in postfix order."""
         raw = (text or "").encode()
         words = raw.translate(WORDS).split()
         joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
@@ -159,16 +201,17 @@ class Scanner:
                 seen, at = (seen + joined.count(" ", at, start), start) if start >= at else (joined.count(" ", 0, start), start)
                 first = seen if first is None else min(first, seen)
                 last = seen if last is None else max(last, seen)
-        alternatives = []
+        expressions = []
         lower = raw.translate(LOWER)
         for end, _ in self.tags.iter(lower.decode("latin-1")):
-            if got := choices(expression(lower, end + 1)):
-                alternatives.append(" | ".join("+".join(sorted(x)) for x in got))
-                found |= {x: WEIGHT["tag"] for c in got for x in c}
+            order = postfix(expression(lower, end + 1))
+            if order and (got := licences_of(order)):
+                expressions.append(" ".join(order))
+                found |= dict.fromkeys(got, WEIGHT["tag"])
         rest = 1.0
         for w in sorted(found.values()):
             rest *= 1 - w
-        return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(found)), round(1 - rest, 6), alternatives
+        return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(found)), round(1 - rest, 6), expressions
 
 
 def licences(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality rules: lines that too many documents of a host share are removed, and depleted documents rejected.
 
 Lines are normalised (words joined by one space, A-Z lower-cased, digits as 0) and hashed; for each
-host the distinct texts that hold a line are counted, so exact copies of a page count once. A
-document is rejected if the lines above the limit leave less than a share of its words, or by the
-base rules (too short, or made of repeated 3-word windows).
-
-Defined results: a null text has no words and fails the base rule on length; a null source is a host
-of its own; repeated rows get equal results; other columns are ignored; lines without words are none.
+host the documents that hold a line are counted, each once however often it repeats the line. Exact
+copies are documents too. A document is rejected if the lines above the limit leave less than a share
+of its words, or by the base rules (too short, or made of repeated 3-word windows).
+
+Defined results: a null text has no words and fails the base rule on length, as an empty one does; a
+null source is a host of its own; each row is a document, so repeated rows count as several and get
+equal results; a line on exactly the limit of documents stays; lines without words are none; texts of
+any length are taken whole; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,17 +70,18 @@ def line_frequency_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left:
         def f(cols):
             got = [base_figures(t) for t in cols["text"]]
             lines = [[{"h": of(k), "w": n} for k, n in g[5].items()] for g in got]
-            return [cols["row"], cols["doc_id"], cols["host"], *([g[i] for g in got] for i in range(5)), [of((t or "").encode()) for t in cols["text"]], lines]
+            return [cols["row"], cols["doc_id"], cols["host"], *([g[i] for g in got] for i in range(5)), lines]
 
         return f
 
     host = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    kinds = "row bigint, doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, text_hash bigint, lines array<struct<h: bigint, w: bigint>>"
+    kinds = "row bigint, doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h: bigint, w: bigint>>"
     base = cut(map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.alias("host"), "text"), make, kinds))
-    lines = base.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", "l.h", "l.w")
-    often = cut(lines.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > max_docs).select("host", "h"))
+    # a document has a line once, so a plain count is one of documents, and each map task adds up what it can
+    lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.h", "l.w")
+    often = cut(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("host", "h"))
     gone = lines.join(small(often, often.count()), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
-    out = base.drop("lines", "text_hash", "host").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = base.drop("lines", "host").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= F.lit(least_left) * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & left).drop("row")
@@ -90,13 +93,13 @@ def op8_line_frequency(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-with d as (select doc_id, coalesce('s' || source, 'n') host, coalesce(text, '') text, md5(coalesce(text, '')) th from documents),
-w as (select doc_id, host, th, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') ws from d),
-l0 as (select doc_id, host, th, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from d),
+with d as (select doc_id, coalesce('s' || source, 'n') host, coalesce(text, '') text from documents),
+w as (select doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') ws from d),
+l0 as (select doc_id, host, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from d),
 l1 as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') lw from l0),
 l as (select *, translate(list_aggregate(lw, 'string_agg', ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') norm,
              row_number() over (partition by doc_id, line order by i) again from l1 where len(lw) > 0),
-often as (select host, norm from l group by 1, 2 having count(distinct th) > {MAX_DOCS}),
+often as (select host, norm from l group by 1, 2 having count(distinct doc_id) > {MAX_DOCS}),
 lines as (select l.doc_id, sum(case when again > 1 then 1 else 0 end) dups, sum(case when o.norm is not null then len(lw) else 0 end) gone
           from l left join often o on o.host = l.host and o.norm = l.norm group by 1),
 p as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) i from w),

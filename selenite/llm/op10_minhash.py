@@ -146,8 +146,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), make, kinds)
 
 
-def _representatives(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each set: key, node, doc_id and mark (of the row that stands for it), n, bands, sketch.
+def _representatives(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """One row for each set: key, node, doc_id and mark (of the row that stands for it), n, bands, sketch; whether nodes are not all doc_ids.
 
     The node is the smallest doc_id of the set's rows; of sets that share it, all but one get a hash instead.
     """
@@ -156,9 +156,9 @@ def _representatives(sets: DataFrame, scratch: Scratch) -> DataFrame:
     reps = scratch.save(full.select("key", "r.doc_id", "r.mark", F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"))
     twins = scratch.save(reps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c"), F.min("key").alias("_k")).where("_c > 1"))
     if not (n := twins.count()):
-        return reps.withColumn("node", F.col("doc_id"))
+        return reps.withColumn("node", F.col("doc_id")), False
     own = F.when(F.col("_k").isNull() | (F.col("_k") == F.col("key")), F.col("doc_id")).otherwise(F.xxhash64("key", "doc_id"))
-    return scratch.save(reps.join(small(twins, n), "doc_id", "left").withColumn("node", own).drop("_c", "_k"))
+    return scratch.save(reps.join(small(twins, n), "doc_id", "left").withColumn("node", own).drop("_c", "_k")), True
 
 
 class _Run:
@@ -167,7 +167,7 @@ class _Run:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.scratch, self.words, self.percent = Scratch(docs.sparkSession), words, percent
         self.sets = self.scratch.save(_sets(docs, words))
-        self.reps = _representatives(self.sets, self.scratch)
+        self.reps, self.twins = _representatives(self.sets, self.scratch)
         self.texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("doc_id is not null and text is not null")
 
     def passing(self, pairs: DataFrame) -> DataFrame:
@@ -270,10 +270,12 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, mark, n_shingles, component_id, kept of each row."""
     run = _Run(docs, words, percent)
     found = run.reps.select("key", "doc_id", "node").join(run.components().withColumnRenamed("id", "node"), "node", "left")
-    # where doc_ids are nodes, a component is its smallest doc_id; twins have other nodes, and never a smaller doc_id
-    found = found.select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("_component"), F.col("doc_id").alias("_doc_id"))
-    least = found.groupBy("_component").agg(F.min("_doc_id").alias("component_id"))
-    found = run.scratch.save(found.join(least, "_component").select("_key", "component_id"))
+    found = found.select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("component_id"), F.col("doc_id").alias("_doc_id"))
+    if run.twins:  # a component's smallest node need not be its smallest doc_id
+        found = run.scratch.save(found.withColumnRenamed("component_id", "_component"))
+        least = found.groupBy("_component").agg(F.min("_doc_id").alias("component_id"))
+        found = found.join(least, "_component")
+    found = run.scratch.save(found.select("_key", "component_id"))
     out = run.sets.select("doc_id", "mark", "n_shingles", "key")
     out = out.join(found, out["key"] == found["_key"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -89,6 +89,56 @@ def test_forward_sums_all_segmentations():
     assert e @ np.array([1, 2, 3, 1, 2, 1, 1]) == pytest.approx(5)  # every letter is covered once
 
 
+def test_long_words_are_one_lattice():
+    pieces = ["a", "ab", "abc", "b", "bc", "c", "bcabca"]
+    p = np.array([[0.3, 0.1], [0.1, 0.1], [0.05, 0.2], [0.2, 0.1], [0.15, 0.2], [0.2, 0.1], [0.01, 0.05], [1e-7, 1e-7]])
+    word, trie = "abcabcbcxabca" * 3, op2_langid.Trie(pieces)
+    short, long = op2_langid.Lattice([word], trie), op2_langid.LongWord(word, trie)
+    assert long.forward(p) == pytest.approx(np.log(short.forward(p)[0, len(word)]))
+    assert long.expected(p[:, [1]], 2.5) == pytest.approx(short.expected(p[:, [1]], np.array([2.5])))
+    assert op2_langid.LongWord(word * 2000, trie).forward(p) == pytest.approx(plain_forward(word * 2000, dict(zip(pieces, p)), p[-1]), rel=1e-9)
+
+
+def plain_forward(word, of, unseen):
+    """Log probability of a word for each column, in integers of a power of two that can't underflow."""
+    from math import frexp, log
+
+    width, depth, out = len(unseen), max(map(len, of)), []
+    for c in range(width):
+        best = [(1.0, 0)]
+        for e in range(1, len(word) + 1):
+            parts = []
+            for s in range(max(0, e - depth), e):
+                x = word[s:e]
+                q = of[x][c] if x in of else unseen[c] if e - s == 1 else 0
+                if q:
+                    parts.append((best[s][0] * q, best[s][1]))
+            top = max(k for _, k in parts)
+            m, k = frexp(sum(v * 2.0 ** max(k - top, -1000) for v, k in parts))
+            best.append((m, k + top))
+        out.append(log(best[-1][0]) + best[-1][1] * log(2))
+    return np.array(out)
+
+
+def test_language_of_texts_by_plain_sums(spark, docs):
+    """lang_pred and score of whole texts against a plain sum over words, a word of thousands of letters among them."""
+    model = op2_langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    of = dict(zip(model["pieces"], model["p"]))
+    d = docs.unionByName(spark.createDataFrame([(900, "die und " + "hausdersteine" * 300 + "2a²b")], "doc_id bigint, text string"), True).where("length(text) < 5000")
+    d = d.unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000 and doc_id < 60").selectExpr("doc_id + 10000 as doc_id", "text"), True)
+    seen = 0
+    for r in op2_langid.predict(d, model, ["text"]).collect():
+        words = ["".join(filter(str.isalpha, w)) for w in re.findall(r"[^\W\d_]+", r.text.lower())]
+        total = sum((plain_forward(" " + w, of, np.full(len(model["langs"]), op2_langid.UNSEEN)) for w in words if w), np.zeros(len(model["langs"])))
+        if not any(words):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert r.lang_pred == model["langs"][int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-6)
+        seen += 1
+    assert seen > 40
+
+
 def test_language_held_out(spark):
     out = op2_langid.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     got = [(r.lang == r.lang_pred) for r in out.where("held_out").collect()]
@@ -102,6 +152,10 @@ def test_language_edges(spark, docs, none):
     assert len(out) == docs.count() and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (5, 6, 7, 8))
     assert all(0 <= r.score <= 1 for r in out)
     assert op2_langid.kept_languages(none).count() == 0
+    unnamed = docs.selectExpr(*[f"cast(null as string) as {c}" if c == "lang" else c for c in docs.columns])
+    assert sorted(r.doc_id for r in op2_langid.kept_languages(unnamed).where("doc_id < 20").collect()) == sorted(i for i, t, *_ in rows() if i is not None and i < 20 and any(map(str.isalpha, t or "")))
+    many = spark.createDataFrame([(i, f"{EN} {'abcdefghij'[i % 10] * (1 + i % 7)}", f"l{i}") for i in range(260)], "doc_id bigint, text string, lang string")
+    assert len(op2_langid.train(many, steps=1)["langs"]) == 260
     kept = op2_langid.kept_languages(docs, 0.0)
     assert kept.columns == docs.columns and kept.where("lang is null").count() == 0
 
@@ -202,17 +256,100 @@ def test_licences(spark, docs, none):
     for _ in range(3000):
         t = r.choice((" ", "\n", "-")).join(r.choice(words) for _ in range(60))
         assert s.scan(t)[:5] == brute_licences(t)
-    assert op5_license.licences(docs).count() == docs.count() and op5_license.licences(none).count() == 0
+    got = collections.Counter(tuple(map(str, x)) for x in op5_license.licences(docs).collect())
+    assert got == collections.Counter(tuple(map(str, (i, *s.scan(t)))) for i, t, *_ in rows())
+    assert op5_license.licences(none).count() == 0
+
+
+def plain_labels(t):
+    """Labels and score by plain word search and a recursive reader of expressions."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    w = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)) + " "
+    best = {}
+    for kind, phrases in (("notice", op5_license.NOTICES), ("base", op5_license.BASE)):
+        for p, label in phrases.items():
+            if f" {p} " in w:
+                best[label] = max(best.get(label, 0), op5_license.WEIGHT[kind])
+    for tag in op5_license.TAGS:
+        for at in re.finditer(re.escape(tag), low):
+            parts = op5_license.expression(low.encode(), len(low[: at.end()].encode()))
+            names = read_expression(parts)
+            for x in names or ():
+                best[x] = op5_license.WEIGHT["tag"]
+    rest = 1.0
+    for v in sorted(best.values()):
+        rest *= 1 - v
+    return ",".join(sorted(best)), round(1 - rest, 6)
+
+
+def read_expression(parts):
+    """or: and {or and}; and: one {and one}; one: atom [with atom]."""
+    at = 0
+
+    def part(bind):
+        nonlocal at
+        if bind == 3:
+            x = atom()
+            while at < len(parts) and parts[at] == "with":
+                at += 1
+                y = atom()
+                if len(x) != 1 or len(y) != 1:
+                    raise ValueError
+                x = {f"{min(x)}-with-{min(y)}"}
+            return x
+        x = part(bind + 1)
+        while at < len(parts) and parts[at] == ("or", "and")[bind - 1]:
+            at += 1
+            x = x | part(bind + 1)
+        return x
+
+    def atom():
+        nonlocal at
+        if at == len(parts):
+            raise ValueError
+        p, at = parts[at], at + 1
+        if p == "(":
+            x = part(1)
+            if at == len(parts) or parts[at] != ")":
+                raise ValueError
+            at += 1
+            return x
+        return {op5_license.KNOWN.get(p, p)}
+
+    try:
+        x = part(1)
+        return x if at == len(parts) else None
+    except ValueError:
+        return None
+
+
+def test_licence_labels_by_plain_search(spark):
+    s, r = op5_license.Scanner(), random.Random(11)
+    atoms = ["MIT", "Apache-2.0", "GPL-2.0-only", "X", "Foo-1.0", "(", ")", "OR", "AND", "WITH", "and", "or", "\n", ";"]
+    phrases = [*op5_license.BASE, *op5_license.NOTICES, "some other words", "licence"]
+    for _ in range(3000):
+        t = " ".join(r.choice((r.choice(phrases), "SPDX-License-Identifier: " + " ".join(r.choice(atoms) for _ in range(r.randint(0, 9))) + r.choice(("\n", " ")))) for _ in range(r.randint(0, 5)))
+        got = s.scan(t)
+        assert (got[5], got[6]) == plain_labels(t), t
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: plain_labels(r.text) for r in d.collect()}
+    assert {r.doc_id: (r.labels, r.score) for r in op5_license.licences(d).collect()} == want and any(x for x, _ in want.values())
+
+
+def test_long_expressions_keep_all_licences():
+    s = op5_license.Scanner()
+    clauses = " AND ".join(f"(L{i}a OR L{i}b)" for i in range(400))
+    got = s.scan("SPDX-License-Identifier: " + clauses)
+    assert got[5] == ",".join(sorted(f"l{i}{x}" for i in range(400) for x in "ab")) and got[6] == 1 and len(got[7]) == 1
 
 
 @pytest.mark.parametrize("text, want", [
-    ("MIT", [{"mit"}]), ("MIT OR Apache-2.0", [{"mit"}, {"apache-2"}]), ("MIT AND (X OR Y)", [{"mit", "x"}, {"mit", "y"}]), ("A OR B AND C", [{"a"}, {"b", "c"}]),
-    ("GPL-2.0-only WITH Classpath", [{"gpl-2-with-classpath"}]), ("(MIT", None), ("MIT OR", [{"mit"}]), ("", None), ("(A OR B) WITH C", None),
+    ("MIT", {"mit"}), ("MIT OR Apache-2.0", {"mit", "apache-2"}), ("MIT AND (X OR Y)", {"mit", "x", "y"}), ("A OR B AND C", {"a", "b", "c"}),
+    ("GPL-2.0-only WITH Classpath", {"gpl-2-with-classpath"}), ("(MIT", None), ("MIT OR", {"mit"}), ("", None), ("(A OR B) WITH C", None),
 ])
 def test_expressions(text, want):
-    parts = op5_license.expression(text.lower().encode(), 0)
-    got = op5_license.choices(parts)
-    assert (got and [set(x) for x in got]) == want
+    order = op5_license.postfix(op5_license.expression(text.lower().encode(), 0))
+    assert (op5_license.licences_of(order) if order else None) == want
 
 
 # 6 ------------------------------------------------------------------------------------------------
@@ -298,7 +435,25 @@ def test_quality_rules(spark, docs, none):
     d = spark.createDataFrame([(i, common + "\n" + (" ".join(f"w{i}x{k}" for k in range(60)) if i % 2 else "tail " + str(i) + f" {chr(97 + i)}"), "h") for i in range(26)] + [(100, common, "other")], "doc_id bigint, text string, source string")
     got = {r.doc_id: r for r in op8_quality.line_frequency_rules(d).collect()}
     assert got[1].removed_words == 9 and got[1].kept and not got[2].kept and got[100].removed_words == 0
-    assert op8_quality.line_frequency_rules(docs).count() == docs.count() and op8_quality.line_frequency_rules(none).count() == 0
+    copies = spark.createDataFrame([(i, EN + "\n" + " ".join(f"w{k}" for k in range(60)), "h") for i in range(25)], "doc_id bigint, text string, source string")
+    assert all(r.removed_words == r.n_words and not r.kept for r in op8_quality.line_frequency_rules(copies).collect())  # each is a document
+    assert op8_quality.line_frequency_rules(none).count() == 0
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.removed_words, r.kept) for r in op8_quality.line_frequency_rules(docs, max_docs=2).collect())
+    assert got == collections.Counter(plain_quality([(r[0], r[1], r[3]) for r in rows()], 2))
+
+
+def plain_quality(table, limit):
+    """Rows of the rules by a plain count of documents for each host and normalised line."""
+    def normal(x):
+        return re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(re.findall(r"[^\x20\x09-\x0D]+", x))))
+
+    on = collections.Counter((host, x) for _, t, host in table for x in {normal(y) for y in (t or "").split("\n")} if x)
+    for i, t, host in table:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        n, (_, chars, symbols, dup, again, _) = len(w), op8_quality.base_figures(t)
+        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", y)) for y in (t or "").split("\n") if on[host, normal(y)] > limit)
+        failed = n < 50 or 100 * again > 50 * n
+        yield i, n, chars, symbols, dup, again, failed, gone, not failed and n - gone >= op8_quality.LEAST_LEFT * n
 
 
 # 9 ------------------------------------------------------------------------------------------------

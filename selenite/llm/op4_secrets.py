@@ -6,8 +6,9 @@ the path, and the neighbouring words. It is trained from a labelled table of fin
 the dictionary are the longer pieces of a public vocabulary.
 
 Defined results: null and empty texts have no candidates and no rows; a candidate that occurs twice
-is two rows; repeated rows get repeated results; a null path counts as an empty one; other columns
-are ignored.
+is two rows; of a long token and an assigned value that overlap the value counts; candidates and texts
+of any length are looked at whole; a score of exactly a half is a secret; an empty table gives an empty
+one; repeated rows get repeated results; a null path counts as an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .arrow import map_rows
 from .common import table
 
-#: Rows of a labelled table that training takes at most; characters of a candidate that features look at.
-TRAIN_ROWS, LOOK = 20_000, 512
+#: Rows of a labelled table that training takes at most, by a hash.
+TRAIN_ROWS = 20_000
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
 ASSIGNED = re.compile(r"(?i:(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key|auth)[a-z_]{0,24}[\"']?\s*+[:=]{1,2}\s*+[\"']?)([A-Za-z0-9+/_.=!@#$%^&*-]{6,})")
 #: One of these is in each name that ASSIGNED knows.
@@ -68,8 +69,7 @@ def _kind(c: str) -> int:
 
 
 def features(value: str, before: str, after: str, path: str, assigned: bool, words: set[str]) -> list[float]:
-    v = value[:LOOK]
-    n, counts = len(v), Counter(v)
+    v, n, counts = value, len(value), Counter(value)
     kinds = list(map(_kind, v))
     near, p = before[-60:].lower(), path.lower()
     return [
@@ -99,10 +99,13 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     out, low = {}, text.casefold()
     if any(x in low for x in NAMES):
         out = {m.span(1): True for m in ASSIGNED.finditer(text)}
-    taken = sorted(out)
+    # both are in order and free of overlaps of their own, so one pass finds those between them
+    taken, i = list(out), 0
     for m in LONG.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, y in taken):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
             out[a, b] = False
     return sorted((a, b, k) for (a, b), k in out.items())
 
@@ -140,7 +143,7 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 
 def fit(labelled: DataFrame, trees: int = 30, depth: int = 7):
-    """The forest, from a labelled table of findings (text, path, start, end, label), its first TRAIN_ROWS rows by text."""
+    """The forest, from a labelled table of findings (text, path, start, end, label), TRAIN_ROWS of its rows by a hash at most."""
     words = dictionary()
 
     def make():
@@ -153,7 +156,7 @@ def fit(labelled: DataFrame, trees: int = 30, depth: int = 7):
 
         return f
 
-    rows = map_rows(labelled.orderBy("text", "start").limit(TRAIN_ROWS), make, "label int, f array<double>")
+    rows = map_rows(labelled.orderBy(F.xxhash64("text", "start", "label"), "text", "start", "label").limit(TRAIN_ROWS), make, "label int, f array<double>")
     rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features")).repartition(1).sortWithinPartitions("label", F.col("features").cast("string"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, featureSubsetStrategy="sqrt").fit(rows)
 

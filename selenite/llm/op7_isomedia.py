@@ -2,12 +2,14 @@
 
 The writer stores a payload of 8-bit samples as a track of raw 24 x 24 frames (576 bytes each). The
 walker takes any container of this family: it descends through nested boxes with 32-bit, 64-bit and
-open-ended sizes, decodes stts, stsc, stsz, stco, co64 and stss, and gives codec, duration and the
-byte ranges of keyframes.
-
-Defined results: a null text is an empty one, stored as one frame of padding; null or broken
-containers give nulls and an error instead of a failure; repeated rows get equal results; other
-columns are ignored.
+open-ended sizes, decodes stts, stsc, stsz, stco, co64 and stss, and the runs of movie fragments
+(trex, tfhd, trun), and gives codec, duration and the byte ranges of keyframes of every track.
+
+Defined results: a null text is an empty one, stored as one frame of padding; null, empty or broken
+containers give no tracks and an error instead of a failure; a track without samples has none; samples
+of a track come in the order of their tables, then of the fragments; texts and containers of any length
+are taken whole; an empty table gives an empty one; repeated rows get equal results; media_columns()
+keeps other columns, the query ignores them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import table
 FRAME, SIDE, RATE = 576, 24, 25
 #: Frames of a chunk; its first one is marked as a sync sample.
 GROUP = 12
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 
 
 def padded(raw: bytes) -> bytes:
@@ -99,7 +101,7 @@ def boxes(buf: bytes, start: int = 0, end: int | None = None):
 
 
 def tracks(buf: bytes) -> list[dict[bytes, tuple[int, int]]]:
-    """For each track the bodies of the boxes within it, however deep."""
+    """For each track the bodies of the boxes within it, however deep, in the order of the tracks."""
     out: list[dict] = []
     level = [(0, len(buf), None)]
     while level:
@@ -116,6 +118,70 @@ def tracks(buf: bytes) -> list[dict[bytes, tuple[int, int]]]:
     return out
 
 
+def _optional(buf: bytes, at: int, flags: int, kinds: tuple[tuple[int, str], ...]) -> tuple[dict[int, int], int]:
+    """The fields that the flags say are there, by their flag, and the place after them."""
+    out = {}
+    for bit, kind in kinds:
+        if flags & bit:
+            out[bit] = struct.unpack_from(kind, buf, at)[0]
+            at += struct.calcsize(kind)
+    return out, at
+
+
+def fragments(buf: bytes) -> dict[int, list[np.ndarray]]:
+    """For each track id the samples of its fragments: rows of offset, size, duration and whether it is a sync sample."""
+    defaults, out, at = {}, {}, 0
+    for kind, x, y in boxes(buf):
+        if kind == b"moov":
+            for k, a, b in boxes(buf, x, y):
+                if k == b"mvex":
+                    for k2, c, _ in boxes(buf, a, b):
+                        if k2 == b"trex":
+                            track, _, *own = struct.unpack_from(">5I", buf, c + 4)
+                            defaults[track] = own
+        elif kind == b"moof":
+            end = at  # of what the fragment's runs have named so far
+            for k, a, b in boxes(buf, x, y):
+                if k == b"traf":
+                    track, rows, end = _run(buf, a, b, at, end, defaults)
+                    out.setdefault(track, []).append(rows)
+        at = y
+    return out
+
+
+def _run(buf: bytes, a: int, b: int, moof: int, end: int, defaults: dict) -> tuple[int, np.ndarray, int]:
+    """The samples of one track's part of a fragment: track id, rows, and where they end."""
+    inner = list(boxes(buf, a, b))
+    head = next(x for k, x, _ in inner if k == b"tfhd")
+    flags, track = struct.unpack_from(">II", buf, head)
+    own, _ = _optional(buf, head + 8, flags & 0xFFFFFF, ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")))
+    base = own.get(1, moof if flags & 0x20000 else end)
+    duration, size, marks = (own.get(bit, x) for bit, x in zip((8, 16, 32), defaults.get(track, (0, 0, 0))))
+    at, rows = base, [np.zeros((0, 4), np.int64)]
+    for kind, x, y in inner:
+        if kind != b"trun":
+            continue
+        flags, n = struct.unpack_from(">II", buf, x)
+        lead, x = _optional(buf, x + 8, flags, ((1, ">i"), (4, ">I")))
+        fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if x + 4 * n * len(fields) > y:
+            raise ValueError("a run is cut short")
+        if not fields and not size and n:
+            raise ValueError("a run names no sizes")
+        if n * max(size, 1) > len(buf) and 0x200 not in fields:
+            raise ValueError("samples lie outside")
+        table = dict(zip(fields, np.frombuffer(buf, ">u4", n * len(fields), x).astype(np.int64).reshape(n, len(fields)).T))
+        sizes = table.get(0x200, np.full(n, size, np.int64))
+        kinds = table.get(0x400, np.full(n, marks, np.int64)).copy()
+        if 4 in lead and n:
+            kinds[0] = lead[4]
+        at = base + lead[1] if 1 in lead else at
+        offset = at + np.concatenate([[0], np.cumsum(sizes)])
+        at = int(offset[-1])
+        rows.append(np.stack([offset[:-1], sizes, table.get(0x100, np.full(n, duration, np.int64)), kinds >> 16 & 1 ^ 1], 1))
+    return track, np.concatenate(rows), at
+
+
 def _numbers(buf: bytes, at: tuple[int, int], kind: str, columns: int = 1) -> np.ndarray:
     """The rows of a table box after its version, flags and count."""
     n = struct.unpack_from(">I", buf, at[0] + 4)[0]
@@ -125,11 +191,12 @@ def _numbers(buf: bytes, at: tuple[int, int], kind: str, columns: int = 1) -> np
     return np.frombuffer(buf, kind, n * columns, at[0] + 8).astype(np.int64).reshape(n, columns)
 
 
-def sample_table(buf: bytes, t: dict) -> dict:
-    """codec, timescale, duration, and for each sample its offset, size and whether it is a sync sample."""
+def sample_table(buf: bytes, t: dict, more: dict[int, list[np.ndarray]] | None = None) -> dict:
+    """id, codec, timescale, duration, and for each sample its offset, size and whether it is a sync sample; more are the samples of fragments."""
     version = buf[t[b"mdhd"][0]]
     scale, duration = struct.unpack_from(">IQ" if version == 1 else ">II", buf, t[b"mdhd"][0] + (20 if version == 1 else 12))
-    codec = next(boxes(buf, t[b"stsd"][0] + 8, t[b"stsd"][1]))[0].decode("latin-1")
+    track = struct.unpack_from(">I", buf, t[b"tkhd"][0] + (20 if buf[t[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in t else None
+    codec = "+".join(k.decode("latin-1") for k, _, _ in boxes(buf, t[b"stsd"][0] + 8, t[b"stsd"][1]))
     same, n = struct.unpack_from(">II", buf, t[b"stsz"][0] + 4)
     if same:
         sizes = np.full(n, same, np.int64)
@@ -150,9 +217,13 @@ def sample_table(buf: bytes, t: dict) -> dict:
         sync[:] = False
         sync[_numbers(buf, t[b"stss"], ">u4")[:, 0] - 1] = True
     steps = _numbers(buf, t[b"stts"], ">u4", 2)
+    ticks = int((steps[:, 0] * steps[:, 1]).sum())
+    for rows in (more or {}).get(track, ()):
+        offset, sizes, sync = np.append(offset, rows[:, 0]), np.append(sizes, rows[:, 1]), np.append(sync, rows[:, 3] == 1)
+        ticks += int(rows[:, 2].sum())
     if len(offset) and (offset.min() < 0 or (offset + sizes).max() > len(buf)):
         raise ValueError("samples lie outside")
-    return {"codec": codec, "timescale": scale, "duration": duration, "ticks": int((steps[:, 0] * steps[:, 1]).sum()), "offset": offset, "size": sizes, "sync": sync}
+    return {"id": track, "codec": codec, "timescale": scale, "duration": duration or ticks, "ticks": ticks, "offset": offset, "size": sizes, "sync": sync}
 
 
 def read_back(buf: bytes, s: dict) -> bytes:
@@ -163,22 +234,27 @@ def read_back(buf: bytes, s: dict) -> bytes:
     return b"".join(buf[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
 
 
-SUMMARY = "codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<offset: bigint, size: bigint>>, error string"
+SUMMARY = "tracks array<struct<track: bigint, codec: string, timescale: bigint, duration: bigint, n_samples: bigint, keyframes: array<struct<offset: bigint, size: bigint>>>>, error string"
 
 
 def summary(buf: bytes | None) -> list:
+    """[tracks, error] of a container, as SUMMARY has them."""
     try:
-        found = tracks(buf or b"")
-        s = sample_table(buf, found[0])
-        k = np.flatnonzero(s["sync"])
-        keys = [{"offset": a, "size": b} for a, b in zip(s["offset"][k].tolist(), s["size"][k].tolist())]
-        return [s["codec"], s["timescale"], s["duration"], len(s["size"]), keys, None]
+        out, more = [], fragments(buf or b"")
+        for t in tracks(buf or b""):
+            s = sample_table(buf, t, more)
+            k = np.flatnonzero(s["sync"])
+            keys = [{"offset": a, "size": b} for a, b in zip(s["offset"][k].tolist(), s["size"][k].tolist())]
+            out.append({"track": s["id"], "codec": s["codec"], "timescale": s["timescale"], "duration": s["duration"], "n_samples": len(s["size"]), "keyframes": keys})
+        if not out:
+            raise ValueError("no tracks")
+        return [out, None]
     except (ValueError, KeyError, IndexError, struct.error, StopIteration) as e:
-        return [None, None, None, None, None, f"{type(e).__name__}: {e}"]
+        return [[], f"{type(e).__name__}: {e}"]
 
 
 def media_columns(df: DataFrame, content: str = "media") -> DataFrame:
-    """df without the container, with the columns of SUMMARY for its first track."""
+    """df without the container, with the columns of SUMMARY: all its tracks, or an error."""
     rest = [f for f in df.schema if f.name != content]
 
     def make():

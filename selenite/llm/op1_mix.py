@@ -6,8 +6,11 @@ source's interval of the cumulative weights; the source's k-th slot takes its k-
 over the stream again (at most `ceiling` times in all) once the blocks are used up.
 
 Defined results: null or blank texts have size 0 and are never taken; a null source is a source of
-its own, ranked last; a null doc_id is ordered as an empty string; repeated rows are documents of
-their own; an empty table gives an empty result; columns beside doc_id, text and source are ignored.
+its own, ranked last; rows without a doc_id are ordered by their texts; repeated rows are documents of
+their own, equal in all that orders them, so which of them is taken more often makes no difference; a
+text longer than a block is taken by several slots; an empty table gives an empty result; columns
+beside doc_id, text and source are ignored. Tables of sources (one row each, thousands at most) are
+ranked in one task.
 """
 
 from __future__ import annotations
@@ -57,10 +60,10 @@ def source_targets(sized: DataFrame, ceiling: int = 3, weights: DataFrame | None
 def _streams(sized: DataFrame, sources: DataFrame, n_sources: int, docs_per_cell: int = 64) -> DataFrame:
     """Documents with words and the place `start` of their first word in their source's shuffled stream.
 
-    Order: md5 of doc_id. A cell is a range of md5 values that holds about 64 documents, so even a
+    Order: md5 of doc_id, or of the text where that is null. A cell is a range of md5 values that holds about 64 documents, so even a
     source with a third of all rows is spread over many tasks.
     """
-    d = sized.where("size > 0").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    d = sized.where("size > 0")
     s = sources.select(F.col("source").alias("_s"), "sid", "source_size", "block", "_take", F.ceil(F.col("n_docs") / docs_per_cell).alias("_cells"))
     d = d.join(small(s, n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
@@ -99,7 +102,8 @@ def mix(docs: DataFrame, block_words: int = 1024, ceiling: int = 3, least_blocks
     Returns (mix, sized documents, sources).
     """
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(name.cast("binary")).alias("h")))
     s = source_targets(sized, ceiling, weights).withColumn("_take", F.floor("target"))
     s = s.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("_take") / least_blocks), F.col("source_size"))).cast("long"))
     blocks = F.ceil(F.col("source_size") / F.col("block"))
@@ -153,7 +157,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) h,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '-' || md5(coalesce(text, '')))) h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size from documents),
 g as (select source, sum(size)::bigint source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 sid from g),

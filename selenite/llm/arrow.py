@@ -1,4 +1,4 @@
-"""Whole texts through Arrow batches of bounded size."""
+"""Whole texts through Arrow batches in pieces of bounded size."""
 
 from __future__ import annotations
 
@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from pyspark.sql.types import _parse_datatype_string as parse
 
-#: Rows and bytes of a batch, so that a worker holds a few dozen MB of text at a time.
-ROWS, BYTES = 1000, 32 << 20
+#: Rows of a batch that are turned into Python values at a time; Spark bounds the bytes of a batch itself.
+ROWS = 1000
 
 
-def bounded_batches(spark) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, ROWS at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
     """For each batch, the columns as lists go to the function that make() built once in the task; it returns lists in the schema's order."""
-    bounded_batches(df.sparkSession)
     kinds: StructType = parse(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -28,10 +29,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for b in batches:
-            if b.num_rows:
-                f = f or make()
-                out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, arrow)], schema=arrow)
+        for b in pieces(batches):
+            f = f or make()
+            out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, kinds)

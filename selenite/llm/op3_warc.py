@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import bounded_batches
-from .common import cut, shared_dir, small, table
+from .arrow import pieces
+from .common import BROADCAST_ROWS, cut, shared_dir, table
 
 #: Uncompressed bytes after which a new archive is begun, and bytes read at once.
 ROTATE, BLOCK = 64 << 20, 1 << 20
@@ -105,7 +105,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
         task = TaskContext.get()
         part, n, out = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, None
         done = lambda: pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [count], "bytes": [size]})
-        for b in batches:
+        for b in pieces(batches):
             for page_id, url, html, refers_to in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if out is None:
                     name, count, size, z = f"{part}-{n:04d}.warc.gz", 0, 0, zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -123,7 +123,6 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield done()
 
-    bounded_batches(pages.sparkSession)
     return cut(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST))
 
 
@@ -202,11 +201,22 @@ def read_members(manifest: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, and refers_to: the smallest page_id of those with an equal payload, for all but itself.
 
-    Digests are counted first and only repeated ones joined back, so the pages themselves aren't shuffled.
+    Digests are counted first and only repeated ones joined back. Those of more than a thousandth of all
+    repeats are fewer than a thousand, so these are broadcast whatever the table's size, and no page of a
+    common payload is shuffled for its digest.
     """
-    p = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("_d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("_n"))
-    again = cut(p.where(F.col("_n") >= min_bytes).groupBy("_d").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"))
-    p = p.join(small(again, again.count()), "_d", "left")
+    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
+    p = pages.select("page_id", "url", "html", digest.alias("_d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("_n"))
+    again = cut(p.where(F.col("_n") >= min_bytes).groupBy("_d").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1"))
+    n, rows = again.agg(F.count(F.lit(1)), F.sum("_c")).first()
+    if n <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(again.drop("_c")), "_d", "left")
+    else:
+        often = F.col("_c") > rows / 1000
+        p = p.join(F.broadcast(again.where(often).select("_d", F.col("_first").alias("_often"))), "_d", "left")
+        # found already: a key of its own, so that those pages are dealt evenly
+        p = p.withColumn("_k", F.when(F.col("_often").isNull(), F.col("_d")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string"))))
+        p = p.join(again.where(~often).select(F.col("_d").alias("_k"), "_first"), "_k", "left").withColumn("_first", F.coalesce("_often", "_first"))
     refers = F.when((F.col("_n") >= min_bytes) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return p.select("page_id", "url", "html", refers.alias("refers_to"))
 

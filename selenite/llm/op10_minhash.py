@@ -277,6 +277,9 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
         found = found.join(least, "_component")
     found = run.scratch.save(found.select("_key", "component_id"))
     out = run.sets.select("doc_id", "mark", "n_shingles", "key")
+    # empty sets have no key: one byte more than a key has never equals one, and deals them evenly
+    none = F.concat(F.lit("0" * 17), F.xxhash64("doc_id", "mark").cast("string")).cast("binary")
+    out = out.withColumn("key", F.coalesce("key", none))
     out = out.join(found, out["key"] == found["_key"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

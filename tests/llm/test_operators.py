@@ -210,8 +210,12 @@ def test_secrets_held_out(spark, docs, none):
     got = {(r.doc_id): r.is_secret for r in op4_secrets.scan(d, forest).collect()}
     right = [got.get(i, False) == bool(label) for i, (*_, label) in enumerate(seen)]
     assert np.mean(right) > 0.9
-    assert op4_secrets.scan(docs, forest).columns == ["doc_id", "start", "end", "value_sha256", "score", "is_secret"]
     assert op4_secrets.scan(none, forest).count() == 0
+    again = spark.createDataFrame([(1, "token = " + KEY, None), (1, "token = " + KEY, None), (2, None, "x"), (3, "", "x"), (None, f"a {KEY} b {KEY}", "x"), (5, "k" * 50_000 + "7", "x")], "doc_id bigint, text string, source string")
+    for d in (docs, again):
+        out = op4_secrets.scan(d, forest)
+        assert out.columns == ["doc_id", "start", "end", "value_sha256", "score", "is_secret"]
+        assert collections.Counter(map(tuple, out.collect())) == collections.Counter(plain_secrets([(r.doc_id, r.text, r.source) for r in d.collect()], forest))
 
 
 KEY, SHORT = "q7Rz0Xk2Vb9Lw4Tn8Yc1Hd6", "q7!Rz0@Xk2"
@@ -237,6 +241,49 @@ def test_secrets_after_signs(spark):
     assert sorted(r.doc_id for r in got if r.is_secret) == [0, 1, 2, 3]
 
 
+def plain_candidates(t):
+    """Places tried one by one: assigned values from the left, then long tokens with a digit that overlap none of them."""
+    token = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    out, at = {}, 0
+    while m := op4_secrets.ASSIGNED.search(t, at):
+        out[m.span(1)] = True
+        at = m.end()
+    taken, i = list(out), 0
+    while i < len(t):
+        if t[i] in token and (i == 0 or t[i - 1] not in token):
+            j = i
+            while j < len(t) and t[j] in token:
+                j += 1
+            own, end = t[i:j], j
+            while end < len(t) and end < j + 2 and t[end] == "=":
+                end += 1
+            if len(own) >= 16 and any(c in "0123456789" for c in own) and not any(x < end and i < y for x, y in taken):
+                out[i, end] = False
+            i = j
+        else:
+            i += 1
+    return sorted((a, b, k) for (a, b), k in out.items())
+
+
+def plain_secrets(table, forest):
+    from pyspark.ml.linalg import Vectors
+
+    words = op4_secrets.dictionary()
+    for i, t, path in table:
+        t = t or ""
+        for a, b, assigned in plain_candidates(t):
+            f = op4_secrets.features(t[a:b], t[max(0, a - 80) : a], t[b : b + 40], path or "", assigned, words)
+            score = round(float(forest.predictProbability(Vectors.dense(f))[1]), 6)
+            yield i, a, b, hashlib.sha256(t[a:b].encode()).hexdigest(), score, score >= 0.5
+
+
+def test_secrets_of_a_whole_table(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    forest = op4_secrets.fit(op4_secrets.labelled_table(spark))
+    got, want = (sorted(map(str, x)) for x in (map(tuple, op4_secrets.op4_secret_scan(spark, SF).collect()), plain_secrets([(r.doc_id, r.text, r.source) for r in d.collect()], forest)))
+    assert got == want and len(want) > 5
+
+
 def brute_licences(t):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
@@ -406,10 +453,78 @@ def test_media_broken_containers(spark):
         for _ in range(r.randint(0, 5)):
             if b:
                 b[r.randrange(len(b))] = r.randrange(256)
-        assert len(op7_isomedia.summary(bytes(b))) == 6
-    d = spark.createDataFrame([(1, bytearray(m)), (2, None), (3, bytearray(b"junk"))], "id int, media binary")
-    got = {x.id: x for x in op7_isomedia.media_columns(d).collect()}
-    assert got[1].codec == "raw " and got[1].error is None and got[2].error and got[3].codec is None
+        assert len(op7_isomedia.summary(bytes(b))) == 2
+    d = spark.createDataFrame([(1, bytearray(m)), (2, None), (3, bytearray(b"junk")), (4, bytearray()), (1, bytearray(m))], "id int, media binary")
+    got = collections.defaultdict(list)
+    for x in op7_isomedia.media_columns(d).collect():
+        got[x.id].append(x)
+    assert len(got[1]) == 2 and got[1][0] == got[1][1] and got[1][0].tracks[0].codec == "raw " and got[1][0].error is None
+    assert all(got[i][0].error and got[i][0].tracks == [] for i in (2, 3, 4))
+
+
+def fragmented(sizes, base_is_moof, explicit):
+    """A container of two tracks without samples of their own, and fragments with runs of both; returns it and each track's samples."""
+    box, full, pack = op7_isomedia.box, op7_isomedia.full, op7_isomedia.struct.pack
+
+    def trak(i, codec):
+        stbl = box(b"stbl", full(b"stsd", pack(">I", 1), box(codec, bytes(70))), *(full(k, pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")), full(b"stsz", pack(">II", 0, 0)))
+        return box(b"trak", full(b"tkhd", pack(">IIIII", 0, 0, i, 0, 0)), box(b"mdia", full(b"mdhd", pack(">IIIIHH", 0, 0, 1000 * i, 0, 0, 0)), box(b"minf", stbl)))
+
+    trex = [full(b"trex", pack(">5I", i, 1, 40 * i, 7, 0x10000)) for i in (1, 2)]
+    out = box(b"ftyp", b"iso6", bytes(4)) + box(b"moov", full(b"mvhd", bytes(96)), trak(1, b"avc1"), trak(2, b"mp4a"), box(b"mvex", *trex))
+    want = {1: [], 2: []}
+    for part in sizes:  # of each fragment, the sample sizes of both tracks
+        payload = b"".join(bytes([17 * k % 251]) * n for k, n in enumerate(part[1] + part[2]))
+
+        def moof(at):
+            trafs = []
+            for i in (1, 2):
+                flags = 0x20000 if base_is_moof else 0x1 if explicit else 0
+                tfhd = full(b"tfhd", pack(">I", i), pack(">Q", 0) if flags == 1 else b"", flags=flags)
+                offset = at + 8 + (0 if i == 1 else sum(part[1]))
+                same = set(part[i]) <= {7}
+                rows = b"".join(pack(">I", n) for n in part[i]) if not same else b""
+                trun = full(b"trun", pack(">I", len(part[i])), pack(">i", offset - (len(out) if base_is_moof else 0)), pack(">I", 0), rows, flags=0x5 | (0 if same else 0x200))
+                trafs.append(box(b"traf", tfhd, trun))
+            return box(b"moof", full(b"mfhd", pack(">I", 1)), *trafs)
+
+        head = moof(0)
+        start = len(out) + len(head)
+        for i in (1, 2):
+            at = start + 8 + (0 if i == 1 else sum(part[1]))
+            for n in part[i]:
+                want[i].append((at, n))
+                at += n
+        out += moof(start) + box(b"mdat", payload)
+    return out, want
+
+
+@pytest.mark.parametrize("base_is_moof, explicit", [(True, False), (False, True)])
+def test_media_fragments_and_all_tracks(base_is_moof, explicit):
+    m, want = fragmented([{1: [5, 9, 2], 2: [7, 7]}, {1: [7], 2: [3, 4, 5]}], base_is_moof, explicit)
+    got, error = op7_isomedia.summary(m)
+    assert error is None and [(t["track"], t["codec"], t["timescale"], t["n_samples"], t["duration"]) for t in got] == [(1, "avc1", 1000, 4, 160), (2, "mp4a", 2000, 5, 400)]
+    # the first sample of each run is a sync sample, the others are marked otherwise by default
+    assert [[(k["offset"], k["size"]) for k in t["keyframes"]] for t in got] == [[want[1][0], want[1][3]], [want[2][0], want[2][2]]]
+    more = op7_isomedia.fragments(m)
+    for t in op7_isomedia.tracks(m):
+        s = op7_isomedia.sample_table(m, t, more)
+        assert list(zip(s["offset"].tolist(), s["size"].tolist())) == want[s["id"]]
+        assert op7_isomedia.read_back(m, s) == b"".join(m[a : a + n] for a, n in want[s["id"]])
+    r = random.Random(3)
+    for _ in range(500):
+        b = bytearray(m[: r.randint(0, len(m))] if r.random() < 0.3 else m)
+        for _ in range(r.randint(0, 4)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(256)
+        assert len(op7_isomedia.summary(bytes(b))) == 2
+
+
+def test_media_of_an_awkward_table(spark, docs, none):
+    for d in (docs, none):
+        got = collections.Counter((r.doc_id, r.n_bytes, hashlib.sha256(r.media).hexdigest()) for r in op7_isomedia.stored(d).collect())
+        want = collections.Counter((r.doc_id, len((r.text or "").encode()), hashlib.sha256(op7_isomedia.write(op7_isomedia.padded((r.text or "").encode()))).hexdigest()) for r in d.collect())
+        assert got == want
 
 
 # 8 ------------------------------------------------------------------------------------------------

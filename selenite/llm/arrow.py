@@ -1,4 +1,4 @@
-"""Whole texts through Arrow batches in pieces of bounded size."""
+"""Whole texts through Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -9,8 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from pyspark.sql.types import _parse_datatype_string as parse
 
-#: Rows of a batch that are turned into Python values at a time; Spark bounds the bytes of a batch itself.
+#: Rows of a batch that are turned into Python values at a time.
 ROWS = 1000
+#: Spark's settings of a batch: their defaults, and smaller ones, so that a worker holds a few dozen MB of text.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(32 << 20))}
+
+
+def bounded_batches(spark) -> None:
+    """Sets what the session left at its default; a plan reads these only when it runs. A user's own settings stay."""
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -22,6 +31,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
     """For each batch, the columns as lists go to the function that make() built once in the task; it returns lists in the schema's order."""
+    bounded_batches(df.sparkSession)
     kinds: StructType = parse(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import pieces
+from .arrow import bounded_batches, pieces
 from .common import BROADCAST_ROWS, cut, shared_dir, table
 
 #: Uncompressed bytes after which a new archive is begun, and bytes read at once.
@@ -123,6 +123,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield done()
 
+    bounded_batches(pages.sparkSession)
     return cut(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, MANIFEST))
 
 

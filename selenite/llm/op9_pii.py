@@ -263,7 +263,11 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 60, l
                 y[i] = LABELS.index(("I-" if n else "B-") + kind)
         seqs.append([[index.setdefault(f, len(index)) for f in features(w)] for w in windows(coder(toks))])
         gold.append(y)
+    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))  # so that those still running are the first ones
+    seqs, gold = [seqs[i] for i in order], [gold[i] for i in order]
     n, t, k, L = len(seqs), max(map(len, seqs)), len(seqs[0][0]), len(LABELS)
+    lens = np.array([len(s) for s in seqs])
+    running = [int((lens > j).sum()) for j in range(t)]
     x, y, on = np.full((n, t, k), len(index)), np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, s in enumerate(seqs):
         x[i, : len(s)], y[i, : len(s)], on[i, : len(s)] = s, gold[i], True
@@ -276,16 +280,18 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 60, l
     for step in range(1, steps + 1):
         e = np.zeros((n, t, L))
         e[on] = w[used].sum(1)
-        a = np.zeros((n, t, L))
-        b = np.zeros((n, t, L))
+        a, b = np.zeros((n, t, L)), np.zeros((n, t, L))
         a[:, 0] = e[:, 0]
         for j in range(1, t):
-            a[:, j] = np.where(on[:, j, None], _logsum(a[:, j - 1, :, None] + tr, 1) + e[:, j], a[:, j - 1])
-        z = _logsum(a[:, -1], 1)
+            m = running[j]
+            a[:m, j] = _logsum(a[:m, j - 1, :, None] + tr, 1) + e[:m, j]
+        z = _logsum(a[np.arange(n), lens - 1], 1)
         for j in range(t - 2, -1, -1):
-            b[:, j] = np.where(on[:, j + 1, None], _logsum(tr + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2), b[:, j + 1])
-        p = np.exp(a + b - z[:, None, None]) * on[:, :, None]
-        edge = np.exp(a[:, :-1, :, None] + tr + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])[both].sum(0)
+            m = running[j + 1]
+            b[:m, j] = _logsum(tr + (e[:m, j + 1] + b[:m, j + 1])[:, None, :], 2)
+        p = np.exp(a + b - z[:, None, None])
+        place = np.broadcast_to(z[:, None], both.shape)[both][:, None, None]
+        edge = np.exp(a[:, :-1][both][:, :, None] + tr + (e + b)[:, 1:][both][:, None, :] - place).sum(0)
         diff = (p - eye[y])[on]
         gw = np.stack([sum(np.bincount(used[:, j], diff[:, c], len(w)) for j in range(k)) for c in range(L)], 1)
         gw, gt = (gw + l2 * w) / n, (edge - gold_tr + l2 * tr) / n

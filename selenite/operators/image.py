@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,38 +37,86 @@ def entropy(px: DataFrame, keys: list[str], value: str = "dn", null: float | Non
     return n.groupBy(*keys).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"), F.sum("_c").alias("n"))
 
 
-def _padded(px: DataFrame, axis: str, other: str, radius: int, keys: list[str], values: list[str]) -> DataFrame:
-    """Means of the values over 2*radius+1 samples along an axis, borders mirrored.
+#: Samples along a side of a tile.
+TILE = 256
 
-    Only samples near an edge are repeated: each gives the places beyond the border that mirror onto it.
+
+def tiled(px: DataFrame, before: int, after: int, first: int | None = 0, side: int = TILE) -> DataFrame:
+    """px with _ty, _tx: a row for each tile whose window, wider than the tile by so many samples, holds the sample.
+
+    Only samples near a tile's edge are repeated, so a shuffle by tile moves about the raster itself. Tiles
+    before `first` are left out.
     """
-    size = px.groupBy(*keys).agg((F.max(axis) + 1).alias("_n"))
-    j = px.join(F.broadcast(size), keys) if keys else px.crossJoin(F.broadcast(size))
-    n, a = F.col("_n"), F.col(axis)
-    period = F.greatest(2 * (n - 1), F.lit(1))
-    # the places p in [-radius, n - 1 + radius] with reflected(p) = a: a + k * period and -a + k * period
-    span = F.sequence(-F.ceil((F.lit(radius) + n) / period).cast("int") - 1, F.ceil((F.lit(radius) + n) / period).cast("int") + 1)
-    places = F.array_distinct(F.flatten(F.transform(span, lambda k: F.array((a + k * period).cast("int"), (k * period - a).cast("int")))))
-    places = F.filter(places, lambda p: (p >= -radius) & (p < n + radius))
-    j = j.withColumn("_p", F.explode(places))
-    w = Window.partitionBy(*keys, other).orderBy("_p").rowsBetween(-radius, radius)
-    out = j.select(*keys, other, "_p", "_n", *[F.avg(v).over(w).alias(v) for v in values])
-    return out.where((F.col("_p") >= 0) & (F.col("_p") < F.col("_n"))).withColumnRenamed("_p", axis).drop("_n")
+    def tiles(c: str):
+        low = F.floor((F.col(c) - after) / side)
+        return F.explode(F.sequence(low if first is None else F.greatest(low, F.lit(first).cast("long")), F.floor((F.col(c) + before) / side)))
+
+    return px.withColumn("_ty", tiles("y")).withColumn("_tx", tiles("x"))
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def _box(a: np.ndarray, radius: int) -> np.ndarray:
+    """Means of square windows that lie within a."""
+    for axis in (0, 1):
+        n = a.shape[axis] - 2 * radius
+        parts = (np.take(a, range(k, k + n), axis) for k in range(2 * radius + 1))
+        a = sum(parts) / (2 * radius + 1)
+    return a
 
 
 def box_moments(px: DataFrame, radius: int, keys: list[str] = [], value: str = "dn") -> DataFrame:  # noqa: B006
-    """Local mean m and population deviation s (1e-6 at least) of square windows, one axis after the other."""
-    v = px.select(*keys, "y", "x", F.col(value).cast("double").alias("m"), (F.col(value) * F.col(value)).cast("double").alias("q"))
-    h = _padded(v, "x", "y", radius, keys, ["m", "q"])
-    b = _padded(h, "y", "x", radius, keys, ["m", "q"])
-    s = F.greatest(F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))), F.lit(1e-6))
-    return b.select(*keys, "y", "x", "m", s.alias("s"))
+    """The sample, local mean m and population deviation s (1e-6 at least) of square windows with mirrored borders.
+
+    One shuffle by tile with a halo; a tile is a numpy array. Rasters are dense: each (keys, y, x) once,
+    without gaps from 0 on. Where a window holds a null or NaN, m and s are NaN.
+    """
+    side = max(TILE, radius)
+    v = px.select(*keys, "y", "x", F.col(value).cast("double").alias(value))
+
+    def moments(key: tuple, t: pa.Table) -> pa.Table:
+        ty, tx = (int(k.as_py()) for k in key[-2:])
+        y, x, dn = (_column(t, c) for c in ("y", "x", value))
+        y0, x0 = int(y.min()), int(x.min())
+        a = np.full((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), np.nan)
+        a[y - y0, x - x0] = dn
+        pads, inner = [], []
+        for tile, low, n in ((ty, y0, a.shape[0]), (tx, x0, a.shape[1])):
+            # where the window's halo has no samples, the picture ends
+            first, last = tile * side, min(tile * side + side, low + n)
+            pads.append((low - (first - radius), max(0, last + radius - (low + n))))
+            inner.append((first, last))
+        (ya, yb), (xa, xb) = inner
+        if yb <= ya or xb <= xa:  # nothing but a halo
+            h = w = 0
+            m = s = own = np.zeros(0)
+        else:
+            p = np.pad(a, pads, mode="reflect")[: yb - ya + 2 * radius, : xb - xa + 2 * radius]
+            m = _box(p, radius)
+            s = np.maximum(np.sqrt(np.maximum(_box(p * p, radius) - m * m, 0)), 1e-6)
+            h, w = m.shape
+            own = a[ya - y0 : yb - y0, xa - x0 : xb - x0]
+        yy, xx = np.indices((h, w))
+        n = h * w
+        arrays = [pa.array([k.as_py()] * n, t.schema.field(c).type) for c, k in zip(keys, key)]
+        arrays += [pa.array((yy + ya).ravel().astype(np.int32)), pa.array((xx + xa).ravel().astype(np.int32)), *(pa.array(z.ravel()) for z in (own, m, s))]
+        return pa.Table.from_arrays(arrays, names=[*keys, "y", "x", value, "m", "s"])
+
+    return tiled(v, radius, radius, side=side).groupBy(*keys, "_ty", "_tx").applyInArrow(moments, f"{_fields(px, keys)}y int, x int, `{value}` double, m double, s double")
 
 
 def wallis(px: DataFrame, window: int = 41, keys: list[str] = [], **options) -> DataFrame:  # noqa: B006
     """Adds the locally conditioned sample w."""
     m = box_moments(px, window // 2, keys)
-    return px.join(m, [*keys, "y", "x"]).withColumn("w", S.wallis_value(F.col("dn"), F.col("m"), F.col("s"), **options).cast("int"))
+    if set(px.columns) != {*keys, "y", "x", "dn"}:  # columns that a tile doesn't carry
+        m = px.join(m.drop("dn"), [*keys, "y", "x"])
+    return m.withColumn("w", S.wallis_value(F.col("dn"), F.col("m"), F.col("s"), **options).cast("int"))
 
 
 def downsample(px: DataFrame, k: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -76,26 +126,46 @@ def downsample(px: DataFrame, k: int, keys: list[str] = []) -> DataFrame:  # noq
 
 
 def bilinear(points: DataFrame, px: DataFrame) -> DataFrame:
-    """Value v at (sx, sy) of each point by its four neighbours; what lies outside counts as 0."""
-    return _gathered(points, px, (0, 1), lambda t: 1 - F.abs(t))
+    """Value v at (sx, sy) of each point by its four neighbours; what lies outside counts as 0. One row for each row of points."""
+    return _gathered(points, px, (0, 1), lambda t: 1 - np.abs(t))
 
 
-def cubic_weight(t, a: float = -0.75):
+def cubic_weight(t: np.ndarray, a: float = -0.75) -> np.ndarray:
     """Keys' cubic kernel at a distance."""
-    d = F.abs(t)
-    return F.when(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1).when(d < 2, ((d - 5) * d + 8) * d * a - 4 * a).otherwise(0.0)
+    d = np.abs(t)
+    return np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, np.where(d < 2, ((d - 5) * d + 8) * d * a - 4 * a, 0.0))
 
 
 def bicubic(points: DataFrame, px: DataFrame, a: float = -0.75) -> DataFrame:
+    """The same by sixteen neighbours."""
     return _gathered(points, px, (-1, 0, 1, 2), lambda t: cubic_weight(t, a))
 
 
 def _gathered(points: DataFrame, px: DataFrame, steps: tuple[int, ...], weight) -> DataFrame:
-    """Joins each point with the samples around it and adds them up by their weights along both axes."""
-    names = points.columns
-    t = points.withColumns({"_i": F.explode(F.array(*map(F.lit, steps)))}).withColumn("_j", F.explode(F.array(*map(F.lit, steps))))
-    t = t.withColumns({"_x": (F.floor("sx") + F.col("_i")).cast("int"), "_y": (F.floor("sy") + F.col("_j")).cast("int")})
-    p = px.select(F.col("y").alias("_y"), F.col("x").alias("_x"), "dn")
-    j = t.join(p, ["_y", "_x"], "left")
-    w = weight(F.col("sx") - F.col("_x")) * weight(F.col("sy") - F.col("_y"))
-    return j.groupBy(*names).agg(F.sum(w * F.coalesce("dn", F.lit(0.0))).alias("v"))
+    """Points and samples meet by tile, samples with the halo of the kernel; a point's samples are looked up in an array.
+
+    Points are shuffled once and never repeated; a null place gives a null value.
+    """
+    low, high, names = -steps[0], steps[-1], points.columns
+    place = lambda c: F.floor(F.floor(c) / TILE)
+    p = points.withColumns({"_ty": place("sy"), "_tx": place("sx")})
+    samples = tiled(px.select("y", "x", F.col("dn").cast("double").alias("dn")), low, high, None)
+
+    def gather(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        own = a.select(names)
+        v = np.zeros(a.num_rows)
+        if a.num_rows and b.num_rows:
+            y0, x0 = (int(k.as_py()) * TILE - low for k in key)
+            grid = np.zeros((TILE + low + high,) * 2)
+            grid[_column(b, "y") - y0, _column(b, "x") - x0] = np.nan_to_num(_column(b, "dn"))
+            sx, sy = _column(a, "sx"), _column(a, "sy")
+            fx, fy = np.floor(sx), np.floor(sy)
+            for j in steps:
+                wy, y = weight(sy - fy - j), (fy + j - y0).astype(int)
+                for i in steps:
+                    v += weight(sx - fx - i) * wy * grid[y, (fx + i - x0).astype(int)]
+        value = pa.array(v) if key[0].as_py() is not None and key[1].as_py() is not None else pa.nulls(a.num_rows, pa.float64())
+        return own.append_column("v", value)
+
+    g = lambda t: t.groupBy("_ty", "_tx")
+    return g(p).cogroup(g(samples)).applyInArrow(gather, f"{_fields(points, names)}v double")

@@ -110,49 +110,69 @@ def projected(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.where(ok, q[:, :2] / np.where(ok, q[:, 2:], 1), np.inf)
 
 
+def _quartets(n: int, tries: int, seed: int) -> np.ndarray:
+    """Rows of four different numbers below n; they depend on the seed alone."""
+    r = np.random.default_rng(seed)
+    if n < 32:
+        return r.random((tries, n)).argsort(1)[:, :4]
+    k = np.sort(r.integers(0, n, (2 * tries, 4)), axis=1)
+    return k[(np.diff(k, axis=1) > 0).all(1)][:tries]
+
+
+def _from_quartets(src: np.ndarray, dst: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A homography for each row of k: one stacked null space of normalised direct linear transforms."""
+    a, b = _normaliser(src), _normaliser(dst)
+    x, y = (src @ a[:2, :2].T + a[:2, 2])[k], (dst @ b[:2, :2].T + b[:2, 2])[k]
+    one = np.ones((*k.shape, 1))
+    p = np.concatenate([x, one], 2)
+    nil = np.zeros_like(p)
+    rows = np.concatenate([np.concatenate([p, nil, -y[:, :, :1] * p], 2), np.concatenate([nil, p, -y[:, :, 1:] * p], 2)], 1)
+    h = np.linalg.inv(b) @ np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3) @ a
+    ok = (np.abs(h[:, 2, 2]) > 1e-12) & np.isfinite(h).all((1, 2))
+    return h[ok] / h[ok, 2, 2][:, None, None]
+
+
 def robust_homography(src: np.ndarray, dst: np.ndarray, limit: float = 3.5, tries: int = 1500, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
     """A homography from src to dst that most points agree on, and the mask of those within the limit.
 
     Hypotheses from four points are scored by a smooth loss marginalised over noise up to the limit, so
     no noise level has to be chosen; the best is refined by weighted fits over all points. The random
-    draws depend on the seed alone.
+    draws depend on the seed alone. Of equally good hypotheses the first one counts.
     """
     n = len(src)
     none = np.zeros(n, bool)
     if n < 4:
         return None, none
-    r = np.random.default_rng(seed)
-    levels = limit / 3 * np.arange(1, 5)[:, None] / 4
+    levels = limit / 3 * np.arange(1, 5) / 4
+    ends = np.column_stack([src, np.ones(n)])
 
     def weights(h):
-        d2 = ((projected(h, src) - dst) ** 2).sum(1)
-        d2 = np.where(np.isfinite(d2), d2, 1e18)
-        w = np.exp(-d2 / (2 * levels**2)) * (d2 < (3 * levels) ** 2)
-        return w.mean(0), d2
-
-    best, top = None, -1.0
-    for _ in range(tries):
-        k = r.choice(n, 4, replace=False)
-        try:
-            h = dlt(src[k], dst[k])
-        except np.linalg.LinAlgError:
-            continue
-        if h is not None and (s := weights(h)[0].sum()) > top:
-            best, top = h, s
-    if best is None:
+        """For a stack of homographies the weight and squared error of each point."""
+        q = ends @ h.transpose(0, 2, 1)
+        ok = np.abs(q[..., 2]) > 1e-12
+        d2 = ((q[..., :2] / np.where(ok, q[..., 2], 1)[..., None] - dst) ** 2).sum(2)
+        d2 = np.where(ok & np.isfinite(d2), d2, 1e18)
+        w = sum(np.exp(-d2 / (2 * v * v)) * (d2 < 9 * v * v) for v in levels) / len(levels)
+        return w, d2
+
+    h = _from_quartets(src, dst, _quartets(n, tries, seed))
+    if not len(h):
         return None, none
+    step = max(1, (1 << 20) // n)
+    score = np.concatenate([weights(h[i : i + step])[0].sum(1) for i in range(0, len(h), step)])
+    best, top = h[score.argmax()], score.max()
     for _ in range(5):
-        w, _ = weights(best)
+        w = weights(best[None])[0][0]
         if (w > 1e-6).sum() < 4:
             break
         try:
-            h = dlt(src[w > 1e-6], dst[w > 1e-6], w[w > 1e-6])
+            better = dlt(src[w > 1e-6], dst[w > 1e-6], w[w > 1e-6])
         except np.linalg.LinAlgError:
             break
-        if h is None or weights(h)[0].sum() < top:
+        if better is None or weights(better[None])[0].sum() < top:
             break
-        best, top = h, weights(h)[0].sum()
-    return best, weights(best)[1] <= limit**2
+        best, top = better, weights(better[None])[0].sum()
+    return best, weights(best[None])[1][0] <= limit**2
 
 
 def _blurred(v: np.ndarray, sigma: float) -> np.ndarray:

@@ -29,13 +29,13 @@ def grid_top(ties: DataFrame, width: float, height: float, k: int = 1, cells: in
 
 
 def grid_flag(ties: DataFrame, width: float, height: float, eligible, cells: int = 8, keys: list[str] = ["job"]) -> DataFrame:  # noqa: B006
-    """Adds retained: whether a tie is the first of grid_top among the eligible ones. No tie is dropped, so one pass serves kept and withheld ties."""
-    order = [F.desc("conf"), F.col("i")]
-    t = ties.withColumns({"_e": eligible, "_gx": S.grid_cell(F.col("rx"), width, cells), "_gy": S.grid_cell(F.col("ry"), height, cells)})
-    t = t.withColumn("_one", F.row_number().over(Window.partitionBy(*keys, "_e", "rx", "ry").orderBy(*order)) == 1)
-    t = t.withColumn("_e", F.col("_e") & F.col("_one"))
-    first = F.row_number().over(Window.partitionBy(*keys, "_e", "_gx", "_gy").orderBy(*order)) == 1
-    return t.withColumn("retained", F.col("_e") & first).drop("_e", "_one", "_gx", "_gy")
+    """Adds retained: whether a tie is the most confident eligible one of its cell, ties going to the smaller i. No tie is dropped.
+
+    Of a cell one row is looked for, by partial aggregates; i names a tie within its keys.
+    """
+    t = ties.withColumns({"_e": F.coalesce(eligible, F.lit(False)), "_gx": S.grid_cell(F.col("rx"), width, cells), "_gy": S.grid_cell(F.col("ry"), height, cells)})
+    best = t.where("_e").groupBy(*keys, "_gx", "_gy").agg(F.min(F.struct((-F.col("conf")).alias("c"), "i"))["i"].alias("_i"))
+    return t.join(best, [*keys, "_gx", "_gy"], "left").withColumn("retained", F.col("_e") & F.coalesce(F.col("i") == F.col("_i"), F.lit(False))).drop("_e", "_gx", "_gy", "_i")
 
 
 def occupancy(ties: DataFrame, width: float, height: float, cells: int = 5, keys: list[str] = ["job"]) -> DataFrame:  # noqa: B006
@@ -91,17 +91,25 @@ def gate_reasons(ratio, retained, vsui, plane):
     )
 
 
+#: Control points of one spline: the retained ties of a grid, 64 with its usual cells. They are collected, so more is an error.
+CONTROLS = 1024
+
+
 def spline_eval(points: DataFrame, coefficients: DataFrame, affine: tuple[float, float, float]) -> DataFrame:
-    """v at each (x, y): the affine part and the weighted kernels of all control points.
+    """v at each (x, y): the affine part and the weighted kernels of all control points; one row for each row of points.
 
-    coefficients: k, cx, cy, w. A spline has the retained ties of one pair as control points (64 at most), so the
-    table is broadcast after its rows are counted.
+    coefficients: cx, cy, w. They become a constant of the plan, so points are neither joined nor shuffled.
     """
-    n = coefficients.count()
-    c = F.broadcast(coefficients) if n <= 10_000 else coefficients
-    r2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
-    j = points.crossJoin(c).groupBy(*points.columns).agg(F.sum(F.col("w") * S.spline_kernel(r2)).alias("_k"))
-    return j.withColumn("v", affine[0] + affine[1] * F.col("x") + affine[2] * F.col("y") + F.col("_k")).drop("_k")
+    rows = coefficients.select("cx", "cy", "w").orderBy("cx", "cy", "w").limit(CONTROLS + 1).collect()
+    if len(rows) > CONTROLS:
+        raise ValueError(f"a spline of more than {CONTROLS} control points")
+    x, y = F.col("x"), F.col("y")
+    v = affine[0] + affine[1] * x + affine[2] * y
+    if rows:
+        control = F.array(*[F.struct(*(F.lit(float(r[c])).alias(c) for c in ("cx", "cy", "w"))) for r in rows])
+        term = lambda c: c["w"] * S.spline_kernel((x - c["cx"]) * (x - c["cx"]) + (y - c["cy"]) * (y - c["cy"]))
+        v = v + F.aggregate(control, F.lit(0.0), lambda total, c: total + term(c))
+    return points.withColumn("v", v)
 
 
 def lonlat(ties: DataFrame, west: float, north: float, step: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -32,9 +34,11 @@ def raw_roundtrip(spark, d):
     px = view(spark, d, "px").withColumn("dn", F.floor("dn").cast("double"))
     from pyarrow import fs
 
+    height = (px.agg(F.max("y")).first()[0] or 0) + 1
+    if height < 3:  # no row within the window
+        return px.select("y", "x", "dn").where(F.lit(False))
     store, root = fs.FileSystem.from_uri(folder := _folder(spark))
     store.create_dir(root, recursive=True)
-    height = px.agg(F.max("y")).first()[0] + 1
     cut(raster.write_raw(px, f"{folder}/a.raw", ">i2", b"H" * 64))
     out = cut(raster.read_raw(spark, f"{folder}/a.raw", dtype=">i2", width=100, height=height, offset=64, x=5, y=1, w=90, h=height - 2))
     store.delete_dir(root)
@@ -70,32 +74,54 @@ SQL["tiff_roundtrip"] = duck("select (x // 50)::bigint tile, y, (x % 50)::int x,
 
 @query
 def bundle_export(spark, d):
-    """Images, tie records and dossiers of eight scenes, published together and read back by their digests."""
+    """Images, tie records and dossiers of eight scenes, published together, read back and compared with what went in."""
+    from pyarrow import fs
+
     folder = _folder(spark)
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
     px = view(spark, d, "px").withColumn("scene", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
     ties = view(spark, d, "tie").withColumnRenamed("job", "scene")
     made = cut(raster.write_bundle(px, ties, folder))
-    back = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("s"))
-    out = cut(made.join(back, "name", "left").select("scene", "name", (F.col("bytes") > 0).alias("written"), (F.col("s") == F.col("sha256")).alias("same")))
-    from pyarrow import fs
+    back = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), "content")
 
-    store, root = fs.FileSystem.from_uri(folder)
+    def contents(batches):
+        for b in batches:
+            n, total = [], []
+            for name, raw in zip(b.name, b.content):
+                if name.endswith(".tif"):
+                    a = raster.tiff_window(raw)
+                    n.append(a.size)
+                    total.append(float(np.floor(a.astype(float)).sum()))
+                else:
+                    rows = raw.decode().splitlines()[1:] if name.endswith(".csv") else [f",,,{json.loads(raw)['ties']}"]
+                    n.append(len(rows))
+                    total.append(float(sum(round(float(r.split(",")[3]) * 100) for r in rows)))
+            yield pd.DataFrame({"name": b.name, "digest": [hashlib.sha256(x).hexdigest() for x in b.content], "n": n, "total": total})
+
+    read = back.mapInPandas(contents, "name string, digest string, n bigint, total double")
+    same = F.coalesce(F.col("digest") == F.col("sha256"), F.lit(False)).alias("same")
+    out = cut(made.join(read, "name", "left").select("scene", "name", same, "n", "total"))
     store.delete_dir(root)
     return out
 
 
-SQL["bundle_export"] = "select scene::bigint scene, 'scene-' || scene || kind name, true written, true same from (select unnest(range(8)) scene), (select unnest(['.tif', '.csv', '.json']) kind)"
+SQL["bundle_export"] = duck("""+i as (select count(*) n, sum(floor(dn::float::double)) total from px), r as (select job, count(*) n, sum(round(conf * 100)) total from tie group by 1)
+select job scene, 'scene-' || job || kind name, true same, case kind when '.tif' then i.n when '.csv' then r.n else 1 end n,
+ case kind when '.tif' then i.total when '.csv' then r.total else r.n * 100.0 end::double total from r, i, (select unnest(['.tif', '.csv', '.json']) kind)""", "px", "tie")
 
 
 @query
 def preview_png(spark, d):
-    """A preview of the stretched, averaged pixels as a PNG in a data address."""
-    px = image.stretch(image.downsample(view(spark, d, "px"), 4), value="dn").select("y", "x", F.col("display").alias("dn"), F.lit(0).alias("scene"))
+    """A preview of the stretched, averaged pixels, at most 1024 of them along an axis, as a PNG in a data address."""
+    px = view(spark, d, "px")
+    side = max(x or 0 for x in px.agg(F.max("y"), F.max("x")).first()) + 1
+    px = image.stretch(image.downsample(px, max(1, -(-side // 1024))), value="dn").select("y", "x", F.col("display").alias("dn"), F.lit(0).alias("scene"))
 
     def png(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"scene": [0], "png": [raster.png_bytes(raster.image_array(pdf, "u1"))]})
 
-    p = px.groupBy("scene").applyInPandas(png, "scene bigint, png binary")
+    p = px.groupBy("scene").applyInPandas(png, "scene bigint, png binary")  # at most 1024 x 1024 samples
     return p.select("scene", F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64("png"), "\r\n", "")).alias("address"))
 
 
@@ -104,11 +130,7 @@ def container_kinds(spark, d):
     """Containers by their first bytes."""
     heads = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("49492A00", "4D4D002A", "89504E470D0A1A0A", "FFD8FFE0", "424D0000", "00000000")]), (F.col("p_partkey") % 6 + 1).cast("int"))
 
-    @F.udf("string", useArrow=True)
-    def kind(b):
-        return raster.sniff(bytes(b))
-
-    return view(spark, d, "part").select(F.col("p_partkey").alias("id"), kind(heads).alias("kind"))
+    return view(spark, d, "part").select(F.col("p_partkey").alias("id"), raster.container(heads).alias("kind"))
 
 
 SQL["container_kinds"] = "select p_partkey id, ['tiff', 'tiff', 'png', 'jpeg', 'bmp', 'unknown'][p_partkey % 6 + 1] kind from part"
@@ -151,16 +173,13 @@ def odl_tokens(spark, d):
 
 @query
 def odl_sniff(spark, d):
-    """Which texts are labels: documents, and made-up labels among them."""
-    @F.udf("boolean", useArrow=True)
-    def label(t):
-        return odl.is_label(t or "")
-
-    t = view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(_labels(spark, d).select((F.col("id") + 10_000_000).alias("id"), "text"))
-    return t.select("id", label("text").alias("is_label"))
+    """Which texts are labels: documents, and made-up labels and broken ones among them."""
+    t = view(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    made = _labels(spark, d).select((F.col("id") + 10_000_000).alias("id"), F.when(F.col("id") % 5 == 0, F.replace("text", F.lit("PDS3"), F.lit("PDS4"))).when(F.col("id") % 5 == 1, F.concat(F.lit("= "), "text")).otherwise(F.col("text")).alias("text"))
+    return odl.sniffed(t.unionByName(made))
 
 
-SQL["odl_sniff"] = "select doc_id id, false is_label from documents union all select p_partkey + 10000000, true from part"
+SQL["odl_sniff"] = "select doc_id id, false is_label from documents union all select p_partkey + 10000000, p_partkey % 5 <> 0 from part"
 
 
 @query

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import files, labels, pixels, register, tiepoints
+from .plans import files, labels, pixels, records, register, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels, tiepoints, labels, files, register)
+PARTS = (pixels, tiepoints, labels, records, files, register)
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +26,26 @@ class OdlError(ValueError):
 def tokens(text: str) -> Iterator[tuple[str, str, int]]:
     """(kind, text, end) of each token; kinds are STRING, WORD and the marks themselves."""
     at = n = 0
-    while at < len(text):
-        m = LEX.match(text, at)
-        if m is None:
-            raise OdlError(f"no token at {at}")
-        at = m.end()
-        if m.lastgroup == "skip":
+    for m in LEX.finditer(text):
+        if m.start() != at:
+            break
+        at, kind = m.end(), m.lastgroup
+        if kind == "skip":
             continue
         n += 1
         if n > TOKENS:
             raise OdlError("too many tokens")
-        body = m[m.lastgroup]
-        if m.lastgroup in ("text", "symbol"):
+        body = m[kind]
+        if kind == "word":
+            yield "WORD", body, at
+        elif kind == "mark":
+            yield body, body, at
+        else:
             if "\\" in body or not body.isascii():
                 raise OdlError("escape or encoding in a string")
-            yield "STRING", body.upper() if m.lastgroup == "symbol" else body, at
-        else:
-            yield body if m.lastgroup == "mark" else "WORD", body, at
+            yield "STRING", body.upper() if kind == "symbol" else body, at
+    if at != len(text):
+        raise OdlError(f"no token at {at}")
 
 
 def scalar(word: str) -> tuple[str, str]:
@@ -163,31 +168,61 @@ def is_label(text: str) -> bool:
 ROWS = "path string, key string, ordinal int, item int, type string, value string, unit string, violation string"
 
 
+def _exploded(t: DataFrame, id_: str, column: str, rows, schema: str) -> DataFrame:
+    """For each row the tuples that rows() makes of its column, in Arrow batches, with the row's id in front."""
+    kinds = schema.split(", ")
+    arrow = pa.schema([pa.field(x.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[x.split()[1]]) for x in kinds])
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):  # labels of up to 1 MiB: a few at a time
+                part = b.slice(i, 512)
+                made = [rows(x) for x in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made])))
+                flat = [r for m in made for r in m]
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*flat) if flat else [()] * len(arrow), arrow)]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_, *arrow.names])
+
+    return t.select(id_, column).mapInArrow(run, f"`{id_}` {t.schema[id_].dataType.simpleString()}, {schema}")
+
+
 def parsed(labels: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
     """A row for each value of each label (binary), or one with a violation."""
 
-    @F.udf(f"array<struct<{', '.join(x.replace(' ', ': ') for x in ROWS.split(', ')) }>>", useArrow=True)
     def rows(data):
         try:
-            return [(*r, None) for r in statements(bytes(data or b""))[0]]
+            return [(*r, None) for r in statements(data or b"")[0]]
         except OdlError as e:
-            return [(None, None, None, None, None, None, None, str(e))]
+            return [(None,) * 7 + (str(e),)]
 
-    t = labels.select(id_, F.explode(rows(content)).alias("r"))
-    return t.select(id_, "r.*")
+    return _exploded(labels, id_, content, rows, ROWS)
+
+
+def sniffed(texts: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """id and is_label of each text."""
+
+    def run(batches):
+        for b in batches:
+            got = pa.array([is_label(x or "") for x in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_, "is_label"])
+
+    # the first tokens are within 4096 characters: no more leaves the JVM
+    t = texts.select(id_, F.substring(text, 1, 4096).alias(text))
+    return t.mapInArrow(run, f"`{id_}` {t.schema[id_].dataType.simpleString()}, is_label boolean")
 
 
 def tokenised(labels: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    @F.udf("array<struct<kind: string, text: string, end: int>>", useArrow=True)
+    """A row for each token: ord, kind, text, end; the last one of a text that can't be read is a violation."""
+
     def rows(t):
         out = []
         try:
             out.extend(tokens(t or ""))
         except OdlError as e:
             out.append(("VIOLATION", str(e), -1))
-        return out
+        return [(i, *x) for i, x in enumerate(out)]
 
-    return labels.select(id_, F.posexplode(rows(text)).alias("ord", "r")).select(id_, F.col("ord").cast("bigint").alias("ord"), "r.*")
+    return _exploded(labels, id_, text, rows, "ord bigint, kind string, text string, end int")
 
 
 def repeated_keys(values: DataFrame, id_: str = "id") -> DataFrame:

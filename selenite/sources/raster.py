@@ -9,11 +9,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -248,12 +249,19 @@ def png_window(b: bytes, x: int = 0, y: int = 0, w: int | None = None, h: int |
     return tone, valid
 
 
-def sniff(head: bytes) -> str:
+#: The first bytes of containers, as hexadecimal digits.
+MAGIC = {"tiff": ("49492A00", "4D4D002A", "49492B00", "4D4D002B"), "png": ("89504E470D0A1A0A",), "jpeg": ("FFD8FF",), "bmp": ("424D",)}
+
+
+def container(content: Column) -> Column:
     """The container that a file's first bytes name."""
-    for kind, magic in (("tiff", (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+")), ("png", (b"\x89PNG\r\n\x1a\n",)), ("jpeg", (b"\xff\xd8\xff",)), ("bmp", (b"BM",))):
-        if head.startswith(magic):
-            return kind
-    return "webp" if head[:4] == b"RIFF" and head[8:12] == b"WEBP" else "pds3" if b"PDS_VERSION_ID" in head[:4096] else "unknown"
+    head = F.hex(F.substring(content, 1, 16))
+    kind = F.when(content.isNull(), "unknown")
+    for name, marks in MAGIC.items():
+        kind = kind.when(reduce(lambda a, b: a | b, [head.startswith(m) for m in marks]), name)
+    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    label = F.locate("PDS_VERSION_ID", F.decode(F.substring(content, 1, 4096), "ISO-8859-1")) > 0
+    return kind.when(webp, "webp").when(label, "pds3").otherwise("unknown")
 
 
 def image_array(pdf: pd.DataFrame, dtype: str) -> np.ndarray:

@@ -186,9 +186,27 @@ def _blurred(v: np.ndarray, sigma: float) -> np.ndarray:
     return v
 
 
-def keypoints(v: np.ndarray, most: int = 10_000, contrast: float = 0.03, edge: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Extrema of differences of Gaussians (x, y, response), strongest first, and a 128-value descriptor of each."""
-    img = v.astype(float) / 255
+def keypoints(v: np.ndarray, most: int = 10_000, contrast: float = 0.03, edge: float = 10.0, octaves: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Extrema of differences of Gaussians (x, y, response), strongest first, and a 128-value descriptor of each.
+
+    Each further octave looks at the picture halved once more, as long as it has room for a descriptor.
+    """
+    img, found, described = v.astype(float) / 255, [], []
+    for k in range(octaves):
+        if k and min(img.shape) < 16:
+            break
+        p, d = _octave(img, contrast, edge)
+        p[:, :2] *= 2**k
+        found.append(p)
+        described.append(d)
+        if k + 1 < octaves:
+            img = _blurred(img, 1.6)[::2, ::2]
+    p, d = np.concatenate(found), np.concatenate(described)
+    order = np.lexsort((p[:, 0], p[:, 1], -p[:, 2]))[:most]
+    return p[order], d[order]
+
+
+def _octave(img: np.ndarray, contrast: float, edge: float) -> tuple[np.ndarray, np.ndarray]:
     stack = [_blurred(img, 1.6 * 2 ** (i / 3)) for i in range(6)]
     dog = np.stack([b - a for a, b in zip(stack, stack[1:])])
     found = []
@@ -204,7 +222,6 @@ def keypoints(v: np.ndarray, most: int = 10_000, contrast: float = 0.03, edge: f
         y, x = np.nonzero(peak & flat)
         found.append(np.column_stack([x + 1, y + 1, np.abs(c[y, x]), np.full(len(x), k)]))
     p = np.concatenate(found) if found else np.zeros((0, 4))
-    p = p[np.lexsort((p[:, 0], p[:, 1], -p[:, 2]))][:most]
     gy, gx = np.gradient(stack[1])
     mag, ang = np.hypot(gx, gy), np.arctan2(gy, gx)
     desc = np.zeros((len(p), 128))
@@ -222,28 +239,51 @@ def keypoints(v: np.ndarray, most: int = 10_000, contrast: float = 0.03, edge: f
     return p[:, :3], desc
 
 
-def track(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int = 10, steps: int = 40, stop: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Iterative least squares: where the window around each p in a lies in b, begun at q; and whether it stayed inside."""
+def _at(v: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between samples; places outside are those of the border."""
+    y, x = np.clip(y, 0, v.shape[0] - 1), np.clip(x, 0, v.shape[1] - 1)
+    y0, x0 = np.minimum(y.astype(int), max(v.shape[0] - 2, 0)), np.minimum(x.astype(int), max(v.shape[1] - 2, 0))
+    fy, fx = y - y0, x - x0
+    y1, x1 = np.minimum(y0 + 1, v.shape[0] - 1), np.minimum(x0 + 1, v.shape[1] - 1)
+    return (v[y0, x0] * (1 - fx) + v[y0, x1] * fx) * (1 - fy) + (v[y1, x0] * (1 - fx) + v[y1, x1] * fx) * fy
 
-    def at(v, y, x):
-        y0, x0 = np.clip(np.floor(y).astype(int), 0, v.shape[0] - 2), np.clip(np.floor(x).astype(int), 0, v.shape[1] - 2)
-        fy, fx = np.clip(y - y0, 0, 1), np.clip(x - x0, 0, 1)
-        return (v[y0, x0] * (1 - fx) + v[y0, x0 + 1] * fx) * (1 - fy) + (v[y0 + 1, x0] * (1 - fx) + v[y0 + 1, x0 + 1] * fx) * fy
 
+def _level(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int, steps: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    """One level of track(): all points step together, those that have settled drop out."""
     gy, gx = np.gradient(a)
     oy, ox = (g.ravel() for g in np.mgrid[-radius : radius + 1, -radius : radius + 1])
-    out, ok = q.astype(float).copy(), np.zeros(len(p), bool)
-    for n in range(len(p)):
-        y, x = p[n, 1] + oy, p[n, 0] + ox
-        t, dx, dy = at(a, y, x), at(gx, y, x), at(gy, y, x)
-        m = np.array([[dx @ dx, dx @ dy], [dx @ dy, dy @ dy]])
-        if np.linalg.eigvalsh(m)[0] < 1e-6:
-            continue
-        for _ in range(steps):
-            e = t - at(b, out[n, 1] + oy, out[n, 0] + ox)
-            d = np.linalg.solve(m, [dx @ e, dy @ e])
-            out[n] += d
-            if np.abs(d).max() < stop:
-                break
-        ok[n] = bool((out[n] >= 0).all() and out[n, 0] < b.shape[1] and out[n, 1] < b.shape[0])
+    y, x = p[:, 1, None] + oy, p[:, 0, None] + ox
+    t, dx, dy = _at(a, y, x), _at(gx, y, x), _at(gy, y, x)
+    xx, xy, yy = (dx * dx).sum(1), (dx * dy).sum(1), (dy * dy).sum(1)
+    det = xx * yy - xy * xy
+    ok = (xx + yy - np.sqrt((xx - yy) ** 2 + 4 * xy * xy)) / 2 >= 1e-6
+    out, live = q.copy(), np.flatnonzero(ok)
+    for _ in range(steps):
+        if not len(live):
+            break
+        e = t[live] - _at(b, out[live, 1, None] + oy, out[live, 0, None] + ox)
+        ex, ey = (dx[live] * e).sum(1), (dy[live] * e).sum(1)
+        d = np.column_stack([yy[live] * ex - xy[live] * ey, xx[live] * ey - xy[live] * ex]) / det[live, None]
+        out[live] += d
+        live = live[np.abs(d).max(1) >= stop]
     return out, ok
+
+
+def track(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, radius: int = 10, steps: int = 40, stop: float = 1e-3, levels: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Iterative least squares: where the window around each p in a lies in b, begun at q; and whether it stayed inside.
+
+    Begun on pictures that were halved `levels` times (as often as they stay larger than a window) and refined
+    on each larger one.
+    """
+    if not len(p):
+        return q.astype(float).copy(), np.zeros(0, bool)
+    stack = [(a.astype(float), b.astype(float))]
+    while len(stack) <= levels and min(*stack[-1][0].shape, *stack[-1][1].shape) >= 4 * radius:
+        stack.append(tuple(_blurred(v, 1.0)[::2, ::2] for v in stack[-1]))
+    scale = 0.5 ** (len(stack) - 1)
+    out = q * scale
+    for k in range(len(stack) - 1, -1, -1):
+        out, ok = _level(*stack[k], p * scale, out, radius, steps, stop)
+        if k:
+            out, scale = out * 2, scale * 2
+    return out, ok & np.isfinite(out).all(1) & (out >= 0).all(1) & (out[:, 0] < b.shape[1]) & (out[:, 1] < b.shape[0])

@@ -79,10 +79,10 @@ def scaled_rmse(scored: DataFrame, keys: list[str] = ["job"]) -> DataFrame:  # n
     return t.groupBy(*keys).agg((F.max("_peak") * F.sqrt(F.avg(part * part))).alias("rmse"))
 
 
-def spans_plane(x: str, y: str, eps: float = 1e-9):
-    """Aggregate: whether points are not all on one line."""
-    det = F.var_pop(x) * F.var_pop(y) - F.covar_pop(x, y) * F.covar_pop(x, y)
-    return F.coalesce(det > eps, F.lit(False))
+def spans_plane(x: str, y: str, eps: float = 1e-12):
+    """Aggregate: whether points are not all on one line. The smaller spread is held against the larger one, so units don't matter."""
+    vx, vy, c = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
+    return F.coalesce(vx * vy - c * c > eps * (vx + vy) * (vx + vy), F.lit(False))
 
 
 def gate_reasons(ratio, retained, vsui, plane):

@@ -104,16 +104,27 @@ AREA = "1737400.0::double * 1737400.0::double * abs(sin(radians({0}lat_max)) - s
 SQL["box_area"] = duck(f"select id, round({AREA.format('')} / 1e6, 3) km2 from boxes", "boxes")
 
 
+def _celled(t, side: float = 4.0, ring: int = 90):
+    """t once for each cell of latitude and longitude that a box meets; columns of longitude wrap around."""
+    cells = lambda low, high: F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side))
+    return t.withColumn("_row", F.explode(cells("lat_min", "lat_max"))).withColumn("_column", F.explode(F.array_distinct(F.transform(cells("lon_min", "lon_max"), lambda c: F.pmod(c, F.lit(ring))))))
+
+
+def _cell_pairs(b, columns: list[str]):
+    """Pairs of boxes that share a cell, by id1 < id2, each with its columns."""
+    b = _celled(b)
+    side = lambda k: b.select(*[F.col(c).alias(f"{c}{k}") for c in columns], "_row", "_column")
+    return side(1).join(side(2), ["_row", "_column"]).where("id1 < id2")
+
+
 @query
 def box_overlap(spark, d):
-    """Overlap of boxes as a share of the smaller one: joined by bands of latitude, each pair counted in its first band."""
+    """Overlap of boxes as a share of the smaller one: joined by cells, each pair counted in the first cell that both meet."""
     b = view(spark, d, "boxes").withColumn("area", _area(None))
-    band = lambda c: F.floor(F.col(c) / 4.0)
-    b = b.withColumn("_band", F.explode(F.sequence(band("lat_min"), band("lat_max"))))
-    x = b.select(*[F.col(c).alias(f"{c}1") for c in ("id", "lat_min", "lat_max", "lon_min", "lon_max", "area")], "_band")
-    y = b.select(*[F.col(c).alias(f"{c}2") for c in ("id", "lat_min", "lat_max", "lon_min", "lon_max", "area")], "_band")
-    j = x.join(y, "_band").where("id1 < id2 and lat_min1 < lat_max2 and lat_min2 < lat_max1 and lon_min1 < lon_max2 and lon_min2 < lon_max1")
-    j = j.where(F.col("_band") == F.floor(F.greatest("lat_min1", "lat_min2") / 4.0))
+    j = _cell_pairs(b, ["id", "lat_min", "lat_max", "lon_min", "lon_max", "area"])
+    j = j.where("lat_min1 < lat_max2 and lat_min2 < lat_max1 and lon_min1 < lon_max2 and lon_min2 < lon_max1")
+    first = lambda a, c: F.floor(F.greatest(a, c) / 4.0)
+    j = j.where((F.col("_row") == first("lat_min1", "lat_min2")) & (F.col("_column") == F.pmod(first("lon_min1", "lon_min2"), F.lit(90))))
     both = S.rectangle_area(F.greatest("lat_min1", "lat_min2"), F.least("lat_max1", "lat_max2"), F.greatest("lon_min1", "lon_min2"), F.least("lon_max1", "lon_max2"))
     return j.select(F.col("id1").alias("a"), F.col("id2").alias("b"), r6(both / F.least("area1", "area2")).alias("share"))
 
@@ -127,14 +138,10 @@ select a, b, round({AREA.format('')} / small, 6) share from m""", "boxes")
 @query
 def grid_overlap_wrap(spark, d):
     """Pairs of grids that overlap with any whole turn of longitude between them."""
-    b = view(spark, d, "boxes")
-    band = lambda c: F.floor(F.col(c) / 4.0)
-    b = b.withColumn("_band", F.explode(F.sequence(band("lat_min"), band("lat_max"))))
-    x = b.select(F.col("id").alias("a"), F.col("lat_min").alias("s1"), F.col("lat_max").alias("n1"), F.col("lon_min").alias("w1"), F.col("lon_max").alias("e1"), "_band")
-    y = b.select(F.col("id").alias("b"), F.col("lat_min").alias("s2"), F.col("lat_max").alias("n2"), F.col("lon_min").alias("w2"), F.col("lon_max").alias("e2"), "_band")
-    y = y.withColumn("_turn", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))))
-    j = x.join(y, "_band").where("a < b and s1 < n2 and s2 < n1 and w1 < e2 + _turn and w2 + _turn < e1")
-    return j.select("a", "b").distinct()
+    j = _cell_pairs(view(spark, d, "boxes"), ["id", "lat_min", "lat_max", "lon_min", "lon_max"])
+    j = j.withColumn("_turn", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))))
+    j = j.where("lat_min1 < lat_max2 and lat_min2 < lat_max1 and lon_min1 < lon_max2 + _turn and lon_min2 + _turn < lon_max1")
+    return j.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 SQL["grid_overlap_wrap"] = duck("""select distinct a.id a, b.id b from boxes a join boxes b on a.id < b.id and a.lat_min < b.lat_max and b.lat_min < a.lat_max,

@@ -323,7 +323,8 @@ select x::int x, y::int y, round(x + sum(w * dx), 3) sx, round(y + sum(w * dy),
 def spline_warp(spark, d):
     """The pixels resampled along a dense map of two splines."""
     px = view(spark, d, "px")
-    height = (px.agg(F.max("y")).first()[0] or 0) + 1
+    last = px.agg(F.max("y")).first()[0]
+    height = 0 if last is None else last + 1
     control = lambda i: spark.createDataFrame([(a, b, (w, u)[i]) for a, b, w, u in _CONTROLS], "cx double, cy double, w double")
     m = warp.coordinate_map(spark, 100, height, (control(0), (1.5, 1.01, -0.02)), (control(1), (-2.0, 0.015, 0.99)), step=1)
     return warp.warped(px, m).select("y", "x", F.round("v", 3).alias("v"))

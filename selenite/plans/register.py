@@ -19,7 +19,8 @@ from ..sources.raster import image_array
 from .views import view
 
 Q, SQL = {}, {}
-FEATURES, RATIO = 2048, 0.8
+#: Keypoints of a picture, ratio of the two best distances, and samples of a picture (the limit of an upload): each is one array in a task.
+FEATURES, RATIO, PIXELS, OCTAVES = 2048, 0.8, 1 << 24, 2
 
 
 def features(px: DataFrame, most: int = FEATURES, contrast: float = 0.01) -> DataFrame:
@@ -30,14 +31,14 @@ def features(px: DataFrame, most: int = FEATURES, contrast: float = 0.01) -> Dat
         if min(a.shape) < 8 or a.std() == 0:  # too little texture
             p, d = np.zeros((0, 2)), []
         else:
-            p, d = kernels.keypoints(a, most, contrast)
+            p, d = kernels.keypoints(a, most, contrast, octaves=OCTAVES)
         return pd.DataFrame({"job": key[0], "side": key[1], "x": p[:, 0], "y": p[:, 1], "v": pd.Series(list(d), dtype=object)})
 
     return px.select("job", "side", "y", "x", "w").groupBy("job", "side").applyInPandas(find, "job bigint, side string, x double, y double, v array<double>")
 
 
 def matches(feats: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """Reciprocal nearest neighbours that pass the ratio test both ways: job, i, sx, sy, rx, ry, conf."""
+    """Reciprocal nearest neighbours that pass the ratio test both ways, one to one by confidence: job, i, sx, sy, rx, ry, conf."""
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) < 2 or len(b) < 2:
@@ -54,7 +55,13 @@ def matches(feats: DataFrame, ratio: float = RATIO) -> DataFrame:
         (f, ok, c), (g, ok2, c2) = best
         s = np.flatnonzero(ok & ok2[f] & (g[f] == np.arange(len(f))))
         out = pd.DataFrame({"sx": a.x.to_numpy()[s], "sy": a.y.to_numpy()[s], "rx": b.x.to_numpy()[f[s]], "ry": b.y.to_numpy()[f[s]], "conf": np.minimum(c[s], c2[f[s]])})
-        out = out.sort_values(["ry", "rx", "sy", "sx"], ignore_index=True).drop_duplicates(["sx", "sy"]).drop_duplicates(["rx", "ry"])
+        out = out.sort_values(["conf", "ry", "rx", "sy", "sx"], ascending=[False, True, True, True, True], ignore_index=True)
+        used, keep = set(), []
+        for k, (x1, y1, x2, y2) in enumerate(zip(out.sx, out.sy, out.rx, out.ry)):  # the strongest first, each end once
+            if not {("s", x1, y1), ("r", x2, y2)} & used:
+                used |= {("s", x1, y1), ("r", x2, y2)}
+                keep.append(k)
+        out = out.iloc[keep].sort_values(["ry", "rx", "sy", "sx"], ignore_index=True)
         return out.assign(job=key[0], i=np.arange(1, len(out) + 1))[["job", "i", "sx", "sy", "rx", "ry", "conf"]]
 
     # both sides come from one table: columns of their own keep them apart
@@ -62,6 +69,28 @@ def matches(feats: DataFrame, ratio: float = RATIO) -> DataFrame:
     return g("s").cogroup(g("r")).applyInPandas(run, "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double")
 
 
+def refined(px: DataFrame, pairs: DataFrame, limit: float = S.MAX_RESIDUAL, back: float = 0.5) -> DataFrame:
+    """pairs with the reference's place tracked from the source, where tracking there and back again agrees; the others go.
+
+    px: job, side, y, x, w. Pictures of different sizes keep their pairs as they are.
+    """
+    names = ("job", "i", "sx", "sy", "rx", "ry", "conf")
+
+    def run(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("i", ignore_index=True)
+        s, r = (image_array(p[p.side == side].assign(dn=p.w), "f8") if (p.side == side).any() else np.zeros((0, 0)) for side in "sr")
+        if not len(t) or s.shape != r.shape:
+            return t[list(names)]
+        src, ref = t[["sx", "sy"]].to_numpy(float), t[["rx", "ry"]].to_numpy(float)
+        to, ok = kernels.track(s, r, src, ref)
+        again, ok2 = kernels.track(r, s, to, src)
+        keep = ok & ok2 & (np.hypot(*(again - src).T) <= back) & (np.hypot(*(to - ref).T) <= limit)
+        return t.assign(rx=to[:, 0], ry=to[:, 1])[list(names)][keep]
+
+    own = px.select("job", "side", "y", "x", "w").groupBy("job")
+    return own.cogroup(pairs.select(*names).groupBy("job")).applyInPandas(run, "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double")
+
+
 def judged(pairs: DataFrame, limit: float = S.MAX_RESIDUAL) -> DataFrame:
     """Adds inlier and res by a robust homography of each job, reference to source."""
 
@@ -91,9 +120,16 @@ def held_out(flagged: DataFrame) -> DataFrame:
 
 
 def register(px: DataFrame, width: float, height: float, window: int = 41) -> DataFrame:
-    """One row of metrics and a status for each job, from pixels job, side ('s' or 'r'), y, x, dn."""
-    found = cut(features(image.wallis(px, window, ["job", "side"])))
-    flagged = cut(ties.grid_flag(judged(matches(found)), width, height, F.col("inlier")))
+    """One row of metrics and a status for each job, from pixels job, side ('s' or 'r'), y, x, dn.
+
+    Candidates are the matches before tracking, so the inlier ratio counts what tracking rejects. Splines are
+    only fitted for jobs that pass the gates. A job with a picture beyond PIXELS samples is not looked at.
+    """
+    big = px.groupBy("job", "side").count().where(F.col("count") > PIXELS).select("job").distinct().withColumn("_big", F.lit(True))
+    own = px.join(big, "job", "left_anti")
+    conditioned = cut(image.wallis(own, window, ["job", "side"]).select("job", "side", "y", "x", "w"))
+    raw = cut(matches(cut(features(conditioned))))
+    flagged = cut(ties.grid_flag(judged(refined(conditioned, raw)), width, height, F.col("inlier")))
 
     def areas(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("i")
@@ -103,21 +139,27 @@ def register(px: DataFrame, width: float, height: float, window: int = 41) -> Da
     kept = F.col("retained")
     only = lambda c: F.when(kept, F.col(c))
     q = flagged.groupBy("job").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count_if("inlier").alias("inliers"), F.count_if(kept).alias("retained"), (F.count_if("inlier") / F.count(F.lit(1))).alias("ratio"),
-        (ties.spans_plane(only("sx"), only("sy")) & ties.spans_plane(only("rx"), only("ry"))).alias("plane"),
+        F.count(F.lit(1)).alias("refined"), F.count_if("inlier").alias("inliers"), F.count_if(kept).alias("retained"),
+        (ties.spans_plane(only("sx"), only("sy")) & ties.spans_plane(only("rx"), only("ry"))).alias("plane"), F.sqrt(F.avg(F.when(F.col("inlier"), F.col("res") * F.col("res")))).alias("consensus_rmse"),
     )
-    q = px.select("job").distinct().join(q, "job", "left").join(u, "job", "left").join(held_out(flagged), "job", "left")
-    zero = {"candidates": 0, "inliers": 0, "retained": 0, "ratio": 0.0, "vsui": 0.0, "withheld": 0}
-    q = q.fillna(zero).withColumn("plane", F.coalesce("plane", F.lit(False)))
+    n = raw.groupBy("job").agg(F.count(F.lit(1)).alias("candidates"))
+    q = px.select("job").distinct().join(n, "job", "left").join(q, "job", "left").join(u, "job", "left").join(big, "job", "left")
+    q = q.fillna({"candidates": 0, "refined": 0, "inliers": 0, "retained": 0, "vsui": 0.0}).withColumn("plane", F.coalesce("plane", F.lit(False)))
+    q = q.withColumn("ratio", F.when(F.col("candidates") > 0, F.col("inliers") / F.col("candidates")).otherwise(0.0))
     reasons = ties.gate_reasons(F.col("ratio"), F.col("retained"), F.col("vsui"), F.col("plane"))
-    q = q.withColumn("reasons", F.concat_ws(";", reasons))
+    q = cut(q.withColumn("reasons", F.concat_ws(";", F.when(F.col("_big"), "picture too large"), reasons)).drop("_big"))
+    passed = q.where("reasons = ''").select("job")
+    q = q.join(held_out(flagged.join(passed, "job", "left_semi")), "job", "left").fillna({"withheld": 0})
+    # the spline's error at ties left out of it; for a rejected job the consensus's own, which is a diagnosis and no validation
+    basis = F.when(F.col("reasons") != "", "rejected").when(F.col("withheld") >= 8, "withheld").otherwise("none")
+    q = q.withColumns({"basis": basis, "rmse": F.when(F.col("reasons") == "", F.col("rmse")).otherwise(F.col("consensus_rmse"))}).drop("consensus_rmse")
     return q.withColumn("status", S.quality_status(F.col("reasons") == "", F.col("withheld") >= 8, F.col("rmse"), F.col("vsui")))
 
 
 def register_pairs(spark, d):
-    """Two jobs: the smoothed pixels against themselves moved by (6, -4) and by (-3, 5)."""
+    """Two jobs: the smoothed pixels against themselves moved by (6, -4) and by (-3, 5); a margin that one of the two lacks is cut off."""
     m = image.box_moments(view(spark, d, "px"), 2).select("y", "x", F.col("m").alias("dn"))
-    low, high = m.agg(F.min("dn"), F.max("dn")).first()
+    low, high = (v or 0.0 for v in m.agg(F.min("dn"), F.max("dn")).first())
     m = cut(m.withColumn("dn", F.floor((F.col("dn") - low) / max(high - low, 1e-9) * 255).cast("double")))
     parts = None
     for job, (dx, dy) in enumerate(((6, -4), (-3, 5))):

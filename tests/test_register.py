@@ -16,6 +16,36 @@ def spots(n, dx=0.0, dy=0.0, seed=4):
     return np.clip(v, 0, 255).astype(int).astype(float)
 
 
+def lattice(n, dx=0.0, dy=0.0, cell=32, seed=21):
+    """A cluster of spots around the middle of each cell, so that the strongest tie of each is near it."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[:n, :n]
+    v = np.full((n, n), 127.0)
+    for cy in range(cell // 2, n, cell):
+        for cx in range(cell // 2, n, cell):
+            for _ in range(4):
+                i, j, s, a = cx + r.uniform(-6, 6), cy + r.uniform(-6, 6), r.uniform(1.8, 2.6), r.choice((-70, 70)) * r.uniform(0.7, 1)
+                v = v + a * np.exp(-((x - dx - i) ** 2 + (y - dy - j) ** 2) / (2 * s * s))
+    return np.clip(v, 0, 255).astype(int).astype(float)
+
+
+def test_whole_registration_is_complete(spark):
+    n = 256
+    y, x = np.indices((n, n))
+    parts = [pd.DataFrame({"job": 5, "side": s, "y": y.ravel(), "x": x.ravel(), "dn": v.ravel()}) for s, v in (("s", lattice(n, 3.25, -2.5)), ("r", lattice(n)))]
+    px = spark.createDataFrame(pd.concat(parts)).selectExpr("cast(job as bigint) job", "side", "cast(y as int) y", "cast(x as int) x", "dn")
+    r = register.register(px, float(n), float(n)).first()
+    assert (r.reasons, r.basis, r.status) == ("", "withheld", "complete")
+    assert r.rmse < 0.5 and r.vsui >= 0.75 and r.ratio >= 0.7 and r.withheld >= 8 and r.candidates >= r.refined >= r.inliers >= r.retained
+
+
+def test_pictures_beyond_the_limit_are_not_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(register, "PIXELS", 100)
+    px = spark.range(2 * 12 * 12).selectExpr("cast(1 as bigint) job", "if(id < 144, 's', 'r') side", "cast(id % 144 div 12 as int) y", "cast(id % 12 as int) x", "cast(id % 7 as double) dn")
+    r = register.register(px, 12.0, 12.0).first()
+    assert r.reasons.startswith("picture too large") and r.candidates == 0 and r.status == "review_required"
+
+
 def test_translation_flat_and_unrelated(spark):
     n = 192
     pairs = {0: (spots(n, 6, -4), spots(n)), 1: (np.zeros((n, n)), spots(n)), 2: (spots(n, seed=8), spots(n, seed=9))}
@@ -24,7 +54,9 @@ def test_translation_flat_and_unrelated(spark):
     px = spark.createDataFrame(pd.concat(parts)).selectExpr("cast(job as bigint) job", "side", "cast(y as int) y", "cast(x as int) x", "dn")
     got = {r.job: r for r in register.register(px, float(n), float(n)).collect()}
     assert set(got) == {0, 1, 2}
-    assert got[0].inliers >= 50 and got[0].ratio >= 0.7 and got[0].withheld >= 8 and got[0].rmse < 0.5 and "ratio" not in got[0].reasons
+    assert got[0].inliers >= 50 and got[0].ratio >= 0.7 and got[0].rmse < 0.5 and "ratio" not in got[0].reasons
+    # its ties are too uneven, so no spline is fitted and nothing is validated
+    assert got[0].reasons == "uniformity" and got[0].withheld == 0 and got[0].basis == "rejected"
     assert got[1].candidates == 0 and got[1].status == "review_required"
     assert got[2].status == "review_required"
 

@@ -520,6 +520,16 @@ def test_media_fragments_and_all_tracks(base_is_moof, explicit):
         assert len(op7_isomedia.summary(bytes(b))) == 2
 
 
+def test_media_of_a_whole_table(spark):
+    got = {r.doc_id: r for r in op7_isomedia.op7_media_boxes(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw = (r.text or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        x, n = got[r.doc_id], len(p) // 576
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert x.media_bytes > len(p) and x.feature.startswith(f"raw;{n}/25;samples={n};keyframes={-(-n // 12)};") and len(x.keyframes) == -(-n // 12)
+
+
 def test_media_of_an_awkward_table(spark, docs, none):
     for d in (docs, none):
         got = collections.Counter((r.doc_id, r.n_bytes, hashlib.sha256(r.media).hexdigest()) for r in op7_isomedia.stored(d).collect())
@@ -605,6 +615,18 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[k, : lens[k]]) == tuple(paths[int(np.argmax(score))])
 
 
+def test_personal_data_of_a_whole_table(spark, field):
+    """The query against base patterns tried by plain search and the field on one text at a time."""
+    got = {r.doc_id: r for r in op9_pii.op9_personal_data(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        base = brute_spans(r.text or "")
+        every = sorted(base + field.spans([r.text or ""], [base])[0], key=lambda s: (s[0], op9_pii.ORDER[s[1]], s[2]))
+        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        x = got[r.doc_id]
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(k == kind for _, k, _ in base) for kind in op9_pii.BASE)
+        assert x.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and x.spans == listed(every)
+
+
 @pytest.fixture(scope="module")
 def field():
     return op9_pii.Field(op9_pii.train(op9_pii.labelled_rows()))

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined results of every stage: an empty table gives an empty one; columns beside those of documents are
+kept, whatever their names; texts of any length are taken whole; repeated rows are judged alike. A null or
+empty text has no language and goes in the first stage, so no later stage of run() meets one; stages that
+are called by themselves keep such documents, but for the mix, which never takes a document without words.
 """
 
 from __future__ import annotations
@@ -17,22 +22,31 @@ ORACLE_SQL = None
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts without letters, or that no language explains best, go."""
+    """Documents whose language is found; texts without letters, or that no language explains with a probability of a half, go.
+
+    A null lang is filled in; ties between languages go to the first by code point.
+    """
     return op2_langid.kept_languages(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id stays; rows without a doc_id or without words are in no group and stay.
+    """
     return op10_minhash.deduplicated(docs, words=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in them replaced by its kind."""
+    """All documents, personal data in them replaced by its kind; of overlapping finds the first one's kind."""
     return op9_pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all beyond a target, up to three times below it."""
+    """Documents as often as the mix takes them: not at all beyond a target, up to three times below it.
+
+    A null source is a source of its own.
+    """
     return op1_mix.mixed_documents(docs)
 
 

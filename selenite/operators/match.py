@@ -10,13 +10,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """For each source descriptor its nearest and second nearest reference: s, r, d1, d2. Ties by r.
-
-    src and ref: id, v (array). Both sides are dealt into blocks; every pair of blocks meets in one task
-    of bounded size, where one matrix product gives all distances, and only two candidates for each
-    source leave it. The product only excludes what is farther than its rounding can explain; of equal
-    references the two first are enough. The exact counterpart of an approximate tree search.
+def _two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """For each row of a the two nearest rows of b: s, r, d. The product only excludes what is farther than its
+    rounding can explain; of equal references the two first are enough."""
+    b = b.sort_values("id", ignore_index=True)
+    y = np.stack(b.v.to_numpy()).astype(float) + 0.0  # one zero
+    same = pd.Series([v.tobytes() for v in y])
+    two = (same.groupby(same).cumcount() < 2).to_numpy()
+    y, ids = y[two], b.id.to_numpy()[two]
+    norms, out = (y * y).sum(1), []
+    for i in range(0, len(a), 1024):
+        x = np.stack(a.v.to_numpy()[i : i + 1024]).astype(float)
+        xx = (x * x).sum(1)[:, None]
+        d = xx + norms - 2 * x @ y.T
+        slack = 4 * (y.shape[1] + 4) * np.finfo(float).eps * (xx + norms)
+        k = min(2, d.shape[1])
+        row, col = np.nonzero(d - slack <= np.partition(d + slack, k - 1, axis=1)[:, k - 1 : k])
+        step = max(1, (1 << 22) // y.shape[1])
+        exact = np.sqrt(np.concatenate([((x[row[j : j + step]] - y[col[j : j + step]]) ** 2).sum(1) for j in range(0, len(row), step)]))
+        order = np.lexsort((ids[col], exact, row))
+        first = np.searchsorted(row, np.arange(len(x)))  # every row has k at least
+        order = order[(first[:, None] + np.arange(k)).ravel()]
+        out.append(pd.DataFrame({"s": a.id.to_numpy()[i : i + 1024][row[order]], "r": ids[col[order]], "d": exact[order]}))
+    return pd.concat(out)
+
+
+def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> DataFrame:
+    """side, s, r, d1, d2: 'f' the references of each source, 'b' the sources of each reference.
+
+    Both tables are dealt into blocks; every pair of blocks meets in one task of bounded size, where one matrix
+    product gives all distances, and only two candidates for each row leave it. Both sides come from one shuffle.
     """
     a, b = (max(1, -(-t.count() // block_rows)) for t in (src, ref))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -24,33 +47,28 @@ def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> Dat
     s = src.select("id", "v").withColumn("_a", dealt(a)).withColumn("_b", every(b))
     r = ref.select("id", "v").withColumn("_b", dealt(b)).withColumn("_a", every(a))
 
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"s": [], "r": [], "d": []})
-        b = b.sort_values("id", ignore_index=True)
-        y = np.stack(b.v.to_numpy()).astype(float) + 0.0  # one zero
-        same = pd.Series([v.tobytes() for v in y])
-        two = (same.groupby(same).cumcount() < 2).to_numpy()
-        y, ids = y[two], b.id.to_numpy()[two]
-        norms, out = (y * y).sum(1), []
-        for i in range(0, len(a), 1024):
-            x = np.stack(a.v.to_numpy()[i : i + 1024]).astype(float)
-            xx = (x * x).sum(1)[:, None]
-            d = xx + norms - 2 * x @ y.T
-            slack = 4 * (y.shape[1] + 4) * np.finfo(float).eps * (xx + norms)
-            k = min(2, d.shape[1])
-            row, col = np.nonzero(d - slack <= np.partition(d + slack, k - 1, axis=1)[:, k - 1 : k])
-            step = max(1, (1 << 22) // y.shape[1])
-            exact = np.sqrt(np.concatenate([((x[row[j : j + step]] - y[col[j : j + step]]) ** 2).sum(1) for j in range(0, len(row), step)]))
-            order = np.lexsort((ids[col], exact, row))
-            first = np.searchsorted(row, np.arange(len(x)))  # every row has k at least
-            order = order[(first[:, None] + np.arange(k)).ravel()]
-            out.append(pd.DataFrame({"s": a.id.to_numpy()[i : i + 1024][row[order]], "r": ids[col[order]], "d": exact[order]}))
-        return pd.concat(out)
-
-    found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(best, "s bigint, r bigint, d double")
-    two = found.groupBy("s").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("n"))
-    return two.select("s", F.col("n")[0]["r"].alias("r"), F.col("n")[0]["d"].alias("d1"), F.try_element_at("n", F.lit(2))["d"].alias("d2"))
+    def best(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"side": [], "s": [], "r": [], "d": []})
+        return pd.concat([_two_best(*((x, y) if side == "f" else (y, x))).assign(side=side) for side in sides])[["side", "s", "r", "d"]]
+
+    found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(best, "side string, s bigint, r bigint, d double")
+    two = found.groupBy("side", "s").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("n"))  # two of each block
+    return two.select("side", "s", F.col("n")[0]["r"].alias("r"), F.col("n")[0]["d"].alias("d1"), F.try_element_at("n", F.lit(2))["d"].alias("d2"))
+
+
+def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> DataFrame:
+    """For each source descriptor its nearest and second nearest reference: s, r, d1, d2. Ties by r.
+
+    src and ref: id, v (array). The exact counterpart of an approximate tree search.
+    """
+    return _nearest(src, ref, block_rows, "f").drop("side")
+
+
+def nearest_both(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """nearest_two from both sides; the second one's s are references."""
+    n = _nearest(src, ref, block_rows, "fb")
+    return tuple(n.where(F.col("side") == side).drop("side") for side in "fb")
 
 
 def ratio_test(nearest: DataFrame, ratio: float) -> DataFrame:

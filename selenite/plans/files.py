@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import image, kernels
+from ..operators import image, kernels, records
 from ..shared import cut, shared_dir
 from ..sources import odl, raster, xmllabel
 from .views import duck, view
@@ -72,6 +72,41 @@ def tiff_roundtrip(spark, d):
 SQL["tiff_roundtrip"] = duck("select (x // 50)::bigint tile, y, (x % 50)::int x, floor(dn)::double dn from px where x % 50 between 10 and 39 and y >= 1", "px")
 
 
+@query
+def tile_extract(spark, d):
+    """Tiles of a raw raster with their manifests, which are read back and held against the tiles."""
+    px = view(spark, d, "px").withColumn("dn", F.floor("dn").cast("double"))
+    from pyarrow import fs
+
+    height = (px.agg(F.max("y")).first()[0] or 0) + 1
+    store, root = fs.FileSystem.from_uri(folder := _folder(spark))
+    store.create_dir(root, recursive=True)
+    size = 0 if height < 4 else cut(raster.write_raw(px, f"{folder}/a.raw", ">i2", b"H" * 64)).first()[0]
+    boxes = [(k, 10 * k, k % 3, 20, height - 3) for k in range(6)] if size else []
+    r = spark.createDataFrame(boxes, "id bigint, x int, y int, w int, h int").withColumns({
+        "path": F.lit(f"{folder}/a.raw"), "file_size": F.lit(size), "file_sha256": F.sha2(F.lit("stated"), 256), "label": F.lit("H" * 64).cast("binary"), "format": F.lit("PDS3"), "dtype": F.lit(">i2"),
+        "width": F.lit(100), "height": F.lit(height), "offset": F.lit(64), "prefix": F.lit(0), "suffix": F.lit(0), "band": F.lit(0),
+    })
+    made = cut(raster.extract_tiles(r, f"{folder}/tiles"))
+
+    def read(batches):
+        for b in batches:
+            tiles = [raster.tiff_window(x) for x in b.content]
+            yield pd.DataFrame({"name": b.name, "digest": [hashlib.sha256(x).hexdigest() for x in b.content], "width": [a.shape[1] for a in tiles], "height": [a.shape[0] for a in tiles], "dtype": ["<" + a.dtype.str[1:] for a in tiles], "total": [float(a.astype(float).sum()) for a in tiles]})
+
+    store.create_dir(f"{root}/tiles")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(f"{folder}/tiles").select(F.substring_index("path", "/", -1).alias("name"), "content")
+    back = files.mapInPandas(read, "name string, digest string, width int, height int, dtype string, total double").join(made.select("id", "name", F.col("manifest").alias("content")), "name")
+    t = back.select("id", "content", F.col("digest").alias("tile_digest"), "width", "height", "dtype", F.lit(100).alias("layout_width"), F.lit(height).alias("layout_height"), F.lit(">i2").alias("layout_dtype"), "total")
+    out = cut(records.manifests(t).select("id", F.col("m.tile.x").alias("x"), "height", "total", F.concat_ws(";", "violations").alias("reasons")))
+    store.delete_dir(root)
+    return out
+
+
+SQL["tile_extract"] = duck("""+b as (select k, 10 * k x0, k % 3 y0, (select max(y) from px) - 2 h from (select unnest(range(6)) k))
+select k id, x0 x, h::int height, sum(floor(dn))::double total, '' reasons from b join px on x between x0 and x0 + 19 and y between y0 and y0 + h - 1 group by 1, 2, 3""", "px")
+
+
 @query
 def bundle_export(spark, d):
     """Images, tie records and dossiers of eight scenes, published together, read back and compared with what went in."""

@@ -301,7 +301,7 @@ SQL["ratio_match"] = f"with {KNN} select s, r, round(1 - d1 / d2, 6) conf from f
 @query
 def mutual_match(spark, d):
     a, b = _desc(spark, d)
-    m = match.reciprocal(match.ratio_test(match.nearest_two(a, b), RATIO), match.ratio_test(match.nearest_two(b, a), RATIO))
+    m = match.reciprocal(*(match.ratio_test(n, RATIO) for n in match.nearest_both(a, b)))
     return m.select("s", "r", r6("conf").alias("conf"))
 
 

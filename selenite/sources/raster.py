@@ -327,3 +327,61 @@ def write_raw(px: DataFrame, path: str, dtype: str, header: bytes = b"") -> Data
         yield pa.RecordBatch.from_pydict({"bytes": [n]})
 
     return strips.coalesce(1).sortWithinPartitions("strip").mapInArrow(append, "bytes bigint")
+
+
+TILE_FILES = "id bigint, name string, bytes bigint, sha256 string, manifest string"
+
+
+def extract_tiles(requests: DataFrame, folder: str) -> DataFrame:
+    """Windows of raw rasters as images of their own, each with a manifest that says where it comes from.
+
+    requests: id, path, file_size, file_sha256, label (binary), format, dtype, width, height, offset, prefix,
+    suffix, x, y, w, h, band. A row is one tile; a task reads no more than its rows of samples. An existing
+    tile is refused, and what a failed attempt wrote is removed, so a task that runs again begins anew.
+    """
+    import base64
+    import hashlib
+    import json
+
+    def one(fs, root: str, r) -> tuple:
+        dtype = np.dtype(r.dtype)
+        if not (0 <= r.x and 0 <= r.y and 0 < r.w <= r.width - r.x and 0 < r.h <= r.height - r.y):
+            raise ValueError("the window lies outside of the raster")
+        stride = r.width * dtype.itemsize + r.prefix + r.suffix
+        source, path = _open(r.path)
+        rows = []
+        with source.open_input_file(path) as f:
+            for y in range(r.y, r.y + r.h):
+                f.seek(r.offset + (r.band * r.height + y) * stride + r.prefix + r.x * dtype.itemsize)
+                rows.append(np.frombuffer(f.read(r.w * dtype.itemsize), dtype, r.w))
+        a = np.stack(rows)
+        a = a.astype(a.dtype.newbyteorder("="))
+        raw = verified(tiff_bytes(a), a, {})
+        digest = hashlib.sha256(raw).hexdigest()
+        tile = {"x": int(r.x), "y": int(r.y), "width": int(r.w), "height": int(r.h), "band": int(r.band)}
+        text = json.dumps({
+            "schema": "tile-1", "original_name": path.rpartition("/")[2], "original_format": r.format, "original_size": int(r.file_size), "original_sha256": r.file_sha256,
+            "original_label_base64": base64.b64encode(bytes(r.label)).decode(), "tile_sha256": digest, "tile": tile, "extractor": "selenite",
+        })
+        name = f"tile-{r.id}"
+        if any(fs.get_file_info(f"{root}/{name}{end}").type.name == "File" for end in (".tif", ".json")):
+            raise FileExistsError(f"{name} is there already")
+        stage = f"{root}/.stage-{uuid.uuid4().hex}"
+        fs.create_dir(stage)
+        try:
+            for end, b in ((".tif", raw), (".json", text.encode())):
+                with fs.open_output_stream(f"{stage}/{name}{end}") as f:
+                    f.write(b)
+            for end in (".tif", ".json"):  # the manifest last: a tile without one isn't published
+                fs.move(f"{stage}/{name}{end}", f"{root}/{name}{end}")
+        finally:
+            fs.delete_dir(stage)
+        return int(r.id), f"{name}.tif", len(raw), digest, text
+
+    def run(batches):
+        fs, root = _open(folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            yield pd.DataFrame([one(fs, root, r) for r in b.itertuples()], columns=[x.split()[0] for x in TILE_FILES.split(", ")])
+
+    return requests.mapInPandas(run, TILE_FILES)

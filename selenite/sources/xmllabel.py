@@ -10,20 +10,41 @@ from pyspark.sql import functions as F
 
 #: Fixed limits of a label.
 BYTES, ELEMENTS, DEPTH = 1 << 20, 20_000, 48
-#: The local tag names (lower case) that stand for each field.
-NAMES = {
-    "gsd": "pixel_resolution ground_sampling_distance map_resolution map_scale spatial_resolution",
-    "incidence": "incidence_angle solar_incidence_angle solar_incidence incidence",
-    "emission": "emission_angle emission",
-    "azimuth": "solar_azimuth_angle sub_solar_azimuth sun_azimuth solar_azimuth",
-    "lat_min": "south_bounding_coordinate minimum_latitude southernmost_latitude",
-    "lat_max": "north_bounding_coordinate maximum_latitude northernmost_latitude",
-    "lon_min": "west_bounding_coordinate minimum_longitude westernmost_longitude",
-    "lon_max": "east_bounding_coordinate maximum_longitude easternmost_longitude",
-    "product_id": "logical_identifier product_id data_set_id",
-    "instrument": "instrument_name instrument_id",
+#: The local tag names (lower case) and the fields that they stand for.
+TAGS = {
+    "pixel_resolution": "gsd",
+    "ground_sampling_distance": "gsd",
+    "map_resolution": "gsd",
+    "map_scale": "gsd",
+    "spatial_resolution": "gsd",
+    "incidence_angle": "incidence",
+    "solar_incidence_angle": "incidence",
+    "solar_incidence": "incidence",
+    "incidence": "incidence",
+    "emission_angle": "emission",
+    "emission": "emission",
+    "solar_azimuth_angle": "azimuth",
+    "sub_solar_azimuth": "azimuth",
+    "sun_azimuth": "azimuth",
+    "solar_azimuth": "azimuth",
+    "south_bounding_coordinate": "lat_min",
+    "minimum_latitude": "lat_min",
+    "southernmost_latitude": "lat_min",
+    "north_bounding_coordinate": "lat_max",
+    "maximum_latitude": "lat_max",
+    "northernmost_latitude": "lat_max",
+    "west_bounding_coordinate": "lon_min",
+    "minimum_longitude": "lon_min",
+    "westernmost_longitude": "lon_min",
+    "east_bounding_coordinate": "lon_max",
+    "maximum_longitude": "lon_max",
+    "easternmost_longitude": "lon_max",
+    "logical_identifier": "product_id",
+    "product_id": "product_id",
+    "data_set_id": "product_id",
+    "instrument_name": "instrument",
+    "instrument_id": "instrument",
 }
-TAGS = {tag: field for field, tags in NAMES.items() for tag in tags.split()}
 FIELDS = sorted(set(TAGS.values()))
 
 

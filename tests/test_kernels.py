@@ -9,8 +9,8 @@ from selenite.operators import image, kernels, match, ties
 
 
 def test_voronoi_cells():
-    assert kernels.voronoi_areas(np.array([[10.0, 50], [50, 50]]), 100, 100) == pytest.approx([3000, 7000])
-    assert kernels.voronoi_areas(np.array([[25.0, 25], [75, 25], [25, 75], [75, 75]]), 100, 100) == pytest.approx([2500] * 4)
+    assert kernels.voronoi_areas(np.array([[10.0, 30], [40, 30]]), 80, 60) == pytest.approx([1500, 3300])
+    assert kernels.voronoi_areas(np.array([[20.0, 15], [60, 15], [20, 45], [60, 45]]), 80, 60) == pytest.approx([1200] * 4)
     r = np.random.default_rng(3)
     p = r.random((64, 2)) * [953, 217]
     a = kernels.voronoi_areas(p, 953, 217)
@@ -26,7 +26,7 @@ def test_hull():
     assert kernels.polygon_area(kernels.hull(np.array([[0, 0], [1, 1], [2, 2]]))) == 0
 
 
-@pytest.mark.parametrize("seed", [6, 42, 73])
+@pytest.mark.parametrize("seed", [101, 202, 303])
 def test_spline_on_unseen_points(seed):
     warp = lambda p: p + np.column_stack([3 * np.sin(p[:, 1] / 60) + 1, 2 * np.cos(p[:, 0] / 80) - 1])
     g = np.stack(np.meshgrid(np.linspace(10, 500, 8), np.linspace(10, 370, 8)), -1).reshape(-1, 2)
@@ -43,7 +43,7 @@ def test_spline_keeps_affine_maps():
     assert np.abs(kernels.spline_apply(q, p, *kernels.spline_fit(p, m(p))) - m(q)).max() < 1e-6
 
 
-@pytest.mark.parametrize("seed", [73, 11, 29])
+@pytest.mark.parametrize("seed", [401, 502, 603])
 def test_homography_among_outliers(seed):
     r = np.random.default_rng(seed)
     h = np.array([[1.05, 0.03, 12], [-0.02, 0.97, -8], [1e-5, -2e-5, 1]])

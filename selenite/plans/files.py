@@ -238,45 +238,59 @@ select id, product_id, gsd, incidence, azimuth, concat_ws(';', case when broken
  case when azimuth is null then 'missing azimuth' end, case when incidence > 90 then 'incidence' end) reasons from f"""
 
 
-def _scenes(spark, d):
-    """Pixels as a smooth picture, in tiles with a halo of their neighbours."""
-    v = F.floor(127 + 60 * F.sin(F.col("x") / 3.0) * F.cos(F.col("y") / 4.0) + 40 * F.sin((F.col("x") * F.col("y")) / 97.0))
-    return view(spark, d, "px").select("y", "x", v.cast("double").alias("dn"), F.lit(0).cast("bigint").alias("scene"))
+def _smooth(spark, d):
+    """The pixels' local means: a picture that has structure at the scale of a keypoint."""
+    return image.box_moments(view(spark, d, "px"), 2).select("y", "x", F.col("m").alias("dn"))
+
+
+def _tile(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
+    """A tile's window as an array, and its first row and column."""
+    y0, x0 = int(pdf.y.min()), int(pdf.x.min())
+    return raster.image_array(pdf.assign(y=pdf.y - y0, x=pdf.x - x0), "f8"), y0, x0
+
+
+def _inside(key: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which places belong to the tile itself and not to its halo."""
+    return (x // image.TILE == key[1]) & (y // image.TILE == key[0])
 
 
 @query
 def keypoints(spark, d):
-    """The strongest keypoints of each tile with its halo, then of the whole: tile, x, y, response, and a digest of the descriptor."""
-    px = _scenes(spark, d).withColumn("tile", F.explode(F.array(F.lit(0), F.lit(1)))).where("(tile = 0 and x < 66) or (tile = 1 and x >= 34)")
+    """The strongest keypoints of the smoothed pixels, found by tile with a halo: x, y, response, and the descriptor's norm."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf.tile.iloc[0])
-        if pdf.y.nunique() < 8:
+    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, y0, x0 = _tile(pdf)
+        if min(a.shape) < 8:
             return pd.DataFrame(columns=["x", "y", "response", "norm"])
-        p, v = kernels.keypoints(raster.image_array(pdf.assign(x=pdf.x - 34 * t), "f8"), contrast=0.01)
-        x = p[:, 0] + 34 * t
-        own = (x < 50) if t == 0 else (x >= 50)
-        return pd.DataFrame({"x": x[own].astype(int), "y": p[own, 1].astype(int), "response": p[own, 2].round(6), "norm": np.linalg.norm(v[own], axis=1).round(4)})
+        p, v = kernels.keypoints(a, contrast=0.01)
+        x, y = p[:, 0] + x0, p[:, 1] + y0
+        own = _inside(key, x, y)
+        return pd.DataFrame({"x": x[own].astype(int), "y": y[own].astype(int), "response": p[own, 2].round(6), "norm": np.linalg.norm(v[own], axis=1).round(4)})
 
-    k = px.groupBy("tile").applyInPandas(find, "x int, y int, response double, norm double")
+    k = image.tiled(_smooth(spark, d), 24, 24).groupBy("_ty", "_tx").applyInPandas(find, "x int, y int, response double, norm double")
     return k.orderBy(F.desc("response"), "y", "x").limit(1024)  # the strongest ones are the feature
 
 
 @query
 def lk_refine(spark, d):
-    """Points tracked from a picture to itself shifted by (1.5, -0.75), forward and back, kept by the survival rule."""
-    px = _scenes(spark, d)
+    """Lattice points tracked by tile from the smoothed pixels to the same moved by (2, -1), there and back, kept by the survival rule."""
+    m = _smooth(spark, d)
+    both = m.withColumn("side", F.lit("a")).unionByName(m.select((F.col("y") - 1).alias("y"), (F.col("x") + 2).alias("x"), "dn", F.lit("b").alias("side")).where("y >= 0"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = raster.image_array(pdf, "f8")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, y0, x0 = _tile(pdf[pdf.side == "a"]) if (pdf.side == "a").any() else (np.zeros((0, 0)), 0, 0)
         if min(a.shape) < 40:
             return pd.DataFrame(columns=["x", "y", "dx", "dy", "kept"])
-        y, x = np.indices(a.shape)
-        b = 127 + 60 * np.sin((x - 1.5) / 3) * np.cos((y + 0.75) / 4) + 40 * np.sin((x - 1.5) * (y + 0.75) / 97)
-        p = np.array([(x, y) for y in range(20, a.shape[0] - 20, 12) for x in range(20, a.shape[1] - 20, 12)], float)
-        q, ok = kernels.track(a, b, p, p)
-        r, back = kernels.track(b, a, q, p)
-        kept = ok & back & (np.hypot(*(r - p).T) <= 0.5) & (np.hypot(*(q - p).T) <= S.MAX_RESIDUAL)
-        return pd.DataFrame({"x": p[:, 0].astype(int), "y": p[:, 1].astype(int), "dx": (q - p)[:, 0].round(2), "dy": (q - p)[:, 1].round(2), "kept": kept})
-
-    return px.groupBy("scene").applyInPandas(run, "x int, y int, dx double, dy double, kept boolean")
+        q = pdf[(pdf.side == "b") & (pdf.x - x0 < a.shape[1]) & (pdf.y - y0 < a.shape[0]) & (pdf.x >= x0) & (pdf.y >= y0)]
+        b = a.copy()
+        b[q.y.to_numpy() - y0, q.x.to_numpy() - x0] = q.dn.to_numpy()
+        ys, xs = (range(-(-v // 12) * 12 + 24, v + n - 20, 12) for v, n in zip((y0, x0), a.shape))
+        p = np.array([(x, y) for y in ys for x in xs], float).reshape(-1, 2)
+        p = p[_inside(key, p[:, 0], p[:, 1])] - (x0, y0)
+        to, ok = kernels.track(a, b, p, p)
+        r, back = kernels.track(b, a, to, p)
+        kept = ok & back & (np.hypot(*(r - p).T) <= 0.5) & (np.hypot(*(to - p).T) <= S.MAX_RESIDUAL)
+        x, y = p.T + np.array([[x0], [y0]])
+        return pd.DataFrame({"x": x.astype(int), "y": y.astype(int), "dx": (to - p)[:, 0].round(2), "dy": (to - p)[:, 1].round(2), "kept": kept})
+
+    return image.tiled(both, 48, 48).groupBy("_ty", "_tx").applyInPandas(run, "x int, y int, dx double, dy double, kept boolean")

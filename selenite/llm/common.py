@@ -68,6 +68,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: spread_join broadcasts keys that hold at least 1 / HOT of all rows; there can't be more than HOT of them.
+HOT = 20_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key and in `held` the number of rows that have it.
+
+    total is the number of rows. Facts of keys with a large share of the rows are broadcast, so those rows stay where
+    they are; the rest are shuffled by keys of which none holds a large share. Rows without facts go.
+    """
+    large = F.col("held") * HOT >= total
+    hot = facts.where(large).drop("held")
+    stay = rows.join(F.broadcast(hot), keys)
+    move = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(~large).drop("held"), keys)
+    return stay.unionByName(move)
+
+
 def offsets(totals: DataFrame, keys: list[str], cell: str, value: str, out: str, per: int = 1024) -> DataFrame:
     """Exclusive running total of value along cell within keys.
 

@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash
+from . import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash, op12_phrases, op13_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op8_line_frequency": op8_quality.op8_line_frequency,
         "op9_personal_data": op9_pii.op9_personal_data,
         "op10_near_duplicates": op10_minhash.op10_near_duplicates,
+        "op12_collocations": op12_phrases.op12_collocations,
+        "op13_token_counts": op13_counts.op13_token_counts,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": op1_mix.SQL,
         "op3_warc_normalise": op3_warc.SQL,
         "op8_line_frequency": op8_quality.SQL,
+        "op12_collocations": op12_phrases.SQL,
     }

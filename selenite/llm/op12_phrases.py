@@ -128,6 +128,17 @@ def _cuts(candidates: DataFrame) -> DataFrame:
     return c.select("lang", "gram", "a", "c.k", F.explode(F.create_map(F.lit("l"), "c.first", F.lit("r"), "c.rest")).alias("side", "part"))
 
 
+def scored(told: DataFrame) -> DataFrame:
+    """lang, gram, a, l, r, score of the lowest-scoring cut of each candidate, from rows (lang, gram, a, k, side, p)."""
+    one = lambda s: F.max(F.when(F.col("side") == s, F.col("p"))).alias(s)
+    cuts = told.groupBy("lang", "gram", "a", "k").agg(one("l"), one("r"))
+    exact = "cast({} as decimal(19,0)) * cast({} as decimal(19,0))"
+    # a is neither above l nor above r, so a score is a million at most
+    score = F.expr(f"(1000000BD * {exact.format('a', 'a')}) div ({exact.format('l', 'r')})").alias("score")
+    best = cuts.select("lang", "gram", "a", "k", "l", "r", score).groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    return best.select("lang", "gram", "a", "b.l", "b.r", "b.score")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = INSIDE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each lang, once those that a longer one explains are dropped."""
     spark = docs.sparkSession
@@ -141,12 +152,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     found = scratch.save(held.join(grams.select("lang", F.col("gram").alias("part"), F.col("f").alias("p")), ["lang", "part"]))
     total = found.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     told = spread_join(asked, found, ["lang", "part"], total)
-    one = lambda s: F.max(F.when(F.col("side") == s, F.col("p"))).alias(s)
-    told = told.groupBy("lang", "gram", "a", "k").agg(one("l"), one("r"))
-    whole = lambda c: F.col(c).cast("decimal(19,0)")
-    told = told.withColumns({"_top": (whole("a") * whole("a") * F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,0)"), "_low": (whole("l") * whole("r")).cast("decimal(38,0)")})
-    told = told.withColumn("score", F.expr("_top div _low"))
-    best = told.groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "gram", "a", "b.l", "b.r", "b.score")
+    best = scored(told)
     # words of a phrase that stand inside a longer one
     w = F.split("gram", " ")
     parts = F.array_join(F.slice(w, F.col("i"), 2), " ")

@@ -1,6 +1,6 @@
 """Queries of this folder and their SQL."""
 
-from . import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash, op12_phrases, op13_counts
+from . import op1_mix, op2_langid, op3_warc, op4_secrets, op5_license, op6_bpe, op7_isomedia, op8_quality, op9_pii, op10_minhash, op11_align, op12_phrases, op13_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_line_frequency": op8_quality.op8_line_frequency,
         "op9_personal_data": op9_pii.op9_personal_data,
         "op10_near_duplicates": op10_minhash.op10_near_duplicates,
+        "op11_token_alignment": op11_align.op11_token_alignment,
         "op12_collocations": op12_phrases.op12_collocations,
         "op13_token_counts": op13_counts.op13_token_counts,
     }

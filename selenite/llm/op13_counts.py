@@ -2,7 +2,8 @@
 
 A count is stored under two digests: that of the content as the tokenizer's own normaliser leaves it, and that of
 the tokenizer (its file, its library and the library's version). Documents are joined to the stored counts; of the
-digests that are missing, one text each is encoded by the library, and the counts are appended to the cache.
+digests that are missing, one text each is encoded by the library, and the counts are appended to the cache. Where a
+tokenizer provably encodes the stretches of a text apart, a worker gives the library each stretch that is new to it.
 
 Only texts that are missing are moved, compressed, and one of each digest from a task. A digest that holds a large
 part of all rows is joined by broadcast (see spread_join). An append that is cut short leaves rows that are right by
@@ -16,6 +17,7 @@ empty table gives an empty one and appends nothing; other columns are ignored, w
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows
 from .common import Scratch, shared_dir, small, spread_join, table
+from .op11_align import stretches
 
 LIMIT = 512
+#: Stretches of text whose counts a worker keeps, and the longest that it keeps.
+KEPT, KEPT_CHARS = 500_000, 64
 CACHED = "content binary, n_tokens bigint, tokenizer string"
 
 
@@ -44,19 +49,42 @@ class Tokenizer:
             own = t.normalizer.normalize_str if t.normalizer else None
             # added tokens are cut out of the text before it is normalised
             self.normal = lambda s: "n" + own(s) if own and not any(x in s for x in added) else "t" + s
-            self.count = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            self.library = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            self.apart = self.in_stretches(json.loads(spec))
             version = f"tokenizers {tokenizers.__version__}"
         elif kind == ".model":
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_proto=spec)
             self.normal = lambda s: "n" + sp.normalize(s) if s else "t"
-            self.count = lambda texts: [len(e) for e in sp.encode(texts, num_threads=1)]
+            self.library, self.apart = lambda texts: [len(e) for e in sp.encode(texts, num_threads=1)], False
             version = f"sentencepiece {sentencepiece.__version__}"
         else:
             raise ValueError(f"neither .json nor .model: {kind}")
+        self.known: dict[str, int] = {}
         self.digest = hashlib.sha256(version.encode() + b"\n" + spec).hexdigest()[:32]
 
+    @staticmethod
+    def in_stretches(spec: dict) -> bool:
+        """Whether a text's tokens are those of its stretches: a byte-level vocabulary that cuts words by the usual pattern."""
+        cut = spec.get("pre_tokenizer") or {}
+        plain = not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        alone = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and len(stretches(t["content"])) == 1 for t in spec.get("added_tokens", []))
+        return bool(plain and words and alone)
+
+    def count(self, texts: list[str]) -> list[int]:
+        if not self.apart:
+            return self.library(texts)
+        cut = [stretches(t) for t in texts]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        known = self.known
+        new = list({w for words in cut for w in words if w not in known})
+        counts = dict(zip(new, self.library(new)))
+        known |= {w: n for w, n in counts.items() if len(w) <= KEPT_CHARS}
+        return [sum([n if (n := known.get(w)) is not None else counts[w] for w in words]) for words in cut]
+
     def content(self, text: str | None) -> bytes:
         return hashlib.blake2b(self.normal(text or "").encode(), digest_size=16).digest()
 

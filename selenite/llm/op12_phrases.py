@@ -1,10 +1,14 @@
 """Collocations: phrases of two or three words that stand together far more often than their parts.
 
 Texts are split into pieces, and identical pieces become one with a multiplicity. A task counts the weighted n-grams of
-its pieces in duckdb, which spills what its memory can't hold, and sends them to hash buckets as compressed columns; a
+its pieces in duckdb, which spills what its memory can't hold, and sends them to hash buckets as compressed columns; each
 bucket adds up its parts in duckdb again and keeps n-grams that are frequent enough to be, or to be part of, a candidate.
 A candidate's parts stand in other buckets: it asks for their counts by rows that are shuffled to where those are.
 
+Words and pairs are counted first. A triple can't be more frequent than the two pairs in it, so triples are counted only
+where both may be frequent: frequent pairs are marked in a bitmap of CELLS bits, whatever their number, and a pair that
+shares a mark by chance only costs work. No count is estimated.
+
 An n-gram comes to its bucket once from each group of pieces, whatever its frequency, so no bucket is hot; parts that
 many candidates ask for are joined by broadcast (see spread_join). Products are decimals, so nothing overflows or rounds.
 
@@ -19,29 +23,32 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import bounded_batches
 from .common import Scratch, spread_join, table
+from .op10_minhash import M1, mix64
 
 LEAST, TOP, INSIDE = 10, 2000, 50
-#: Words of a group of pieces that are counted at a time, and MB that duckdb may use before it spills.
-GROUP, MEMORY = 1_500_000, 300
+#: n-grams of a group that is counted at a time, about, and MB that duckdb may use before it spills.
+GROUP, MEMORY = 3_000_000, 300
+#: Bits of the bitmap of frequent pairs, and of one of the segments that it is made of.
+CELLS, SEGMENT = 1 << 27, 1 << 16
+CACHE = 400_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: n-grams of one to three words of the pieces p (lang, piece, m), with the bucket that each belongs to.
-GRAMS = """
-with w as (select lang, m, string_split(piece, ' ') ws from p),
-g as (select lang, m, unnest(list_concat(ws,
-        list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
-        list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) gram from w)
-select hash(gram) % {buckets} as bucket, lang, gram, sum(m)::bigint as f from g group by lang, gram order by bucket, lang, gram
-"""
-#: Sums of the parts of a bucket: what is frequent, and beside it the words of each lang under an empty n-gram.
+#: Words and pairs of the pieces p (lang, piece, m).
+PAIRS = """select lang, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) gram, m
+from (select lang, m, string_split(piece, ' ') ws from p)"""
+#: The n-grams of a group, added up, with the bucket that each belongs to.
+DEALT = "select hash(gram) % {buckets} as bucket, lang, gram, sum(m)::bigint as f from ({grams}) group by lang, gram order by bucket, lang, gram"
+#: The parts q of a bucket, added up: what is frequent, and beside it the words of each lang under an empty n-gram.
 SUMS = """
-with s as (select lang, gram, sum(f)::bigint f from parts.q group by lang, gram)
+with s as (select lang, gram, sum(f)::bigint f from q group by lang, gram)
 select lang, gram, f from s where f >= {least}
 union all
 select lang, '', sum(f)::bigint from s where position(' ' in gram) = 0 group by lang
@@ -55,15 +62,110 @@ def _database(folder: str):
     return con
 
 
+PART = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
+
+
 def _pack(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(t)
+    with pa.ipc.new_stream(sink, PART, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+        w.write_table(t.cast(PART))
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(b: bytes) -> pa.Table:
-    return pa.ipc.open_stream(b).read_all()
+def _dealt(groups: Iterator[pa.Table], sql: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, part) of each group; sql has a group's n-grams (lang, gram, m) from its table p."""
+    for own in groups:
+        with tempfile.TemporaryDirectory() as folder, _database(folder) as con:
+            con.register("p", own)
+            out = con.sql(DEALT.format(buckets=buckets, grams=sql)).to_arrow_table().combine_chunks()
+        b = out.column("bucket").to_numpy()
+        at = [0, *(1 + (b[1:] != b[:-1]).nonzero()[0]).tolist(), len(b)] if len(b) else []
+        for i, j in zip(at, at[1:]):
+            part = _pack(out.slice(i, j - i).select(["lang", "gram", "f"]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(b[i])], pa.int64()), pa.array([part], pa.binary())], ["bucket", "part"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """A bucket at a time, for its parts come one after another; they are unpacked while duckdb reads them."""
+    rows = ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1)))
+    ahead = next(rows, None)
+    while ahead is not None:
+        bucket = ahead[0]
+
+        def parts():
+            nonlocal ahead
+            while ahead is not None and ahead[0] == bucket:  # noqa: B023
+                yield from pa.ipc.open_stream(ahead[1].as_buffer())
+                ahead = next(rows, None)
+
+        with tempfile.TemporaryDirectory() as folder, _database(folder) as con:
+            con.register("q", pa.RecordBatchReader.from_batches(PART, parts()))
+            yield from con.sql(SUMS.format(least=least)).to_arrow_table().to_batches(50_000)
+
+
+def _hashed(names, known: dict[str, int]) -> np.ndarray:
+    import xxhash
+
+    if len(known) > CACHE:
+        known.clear()
+    for w in set(names):
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, names), np.uint64, len(names))
+
+
+def _cells(lang: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """The bit of each pair, of `size`, from the hashes of its lang and words."""
+    return (mix64(mix64(lang * M1 + first) * M1 + second) & np.uint64(size - 1)).astype(np.int64)
+
+
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """The bitmap of pairs (lang, gram), CELLS / 8 bytes at most; it is put together from segments of one size."""
+
+    size = CELLS
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            words = b["gram"].str.split(" ")
+            c = _cells(*(_hashed(list(x), known) for x in (b["lang"], words.str[0], words.str[1])), size)
+            yield pd.DataFrame({"segment": c // SEGMENT, "bit": c % SEGMENT})
+
+    def segment(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(SEGMENT, np.uint8)
+        bits[b["bit"].to_numpy()] = 1
+        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    seen = pairs.select("lang", "gram").mapInPandas(cells, "segment bigint, bit bigint").distinct()
+    out = np.zeros((size // SEGMENT, SEGMENT // 8), np.uint8)
+    for r in seen.groupBy("segment").applyInPandas(segment, "segment bigint, bits binary").toLocalIterator():
+        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _triples(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.Table]:
+    """Groups of triples (lang, gram, m) of pieces whose pairs are both marked."""
+    known: dict[str, int] = {}
+    held, size = [], 0
+    for batch in batches:
+        langs, weights = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+        cut = [p.split(" ") for p in batch.column(1).to_pylist()]
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        of, words = np.repeat(np.arange(len(cut)), n), [w for c in cut for w in c]
+        if len(words) < 3:
+            continue
+        h, lang = _hashed(words, known), _hashed(langs, {})[of]
+        c = _cells(lang[:-1], h[:-1], h[1:], 8 * len(marks))
+        pair = (marks[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool) & (of[:-1] == of[1:])
+        at = np.flatnonzero(pair[:-1] & pair[1:])
+        grams = [f"{words[i]} {words[i + 1]} {words[i + 2]}" for i in at.tolist()]
+        held.append(pa.table({"lang": pa.array([langs[i] for i in of[at].tolist()], pa.string()), "gram": pa.array(grams, pa.string()), "m": pa.array(weights[of[at]])}))
+        size += len(at)
+        if size >= GROUP:
+            yield pa.concat_tables(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -74,48 +176,36 @@ def pieces(docs: DataFrame) -> DataFrame:
     return p.select("lang", words.alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
 
 
-def frequent(pieces: DataFrame, least: int) -> DataFrame:
-    """lang, gram, f of n-grams with f >= least, once each; and rows with an empty gram, whose f adds up to a lang's words."""
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
+def frequent(pieces: DataFrame, least: int, marks: np.ndarray | None = None) -> DataFrame:
+    """lang, gram, f of n-grams with f >= least, once each: triples whose pairs are marked, or else words and pairs.
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held):
-            with tempfile.TemporaryDirectory() as folder, _database(folder) as con:
-                con.register("p", pa.Table.from_batches(held))
-                out = con.sql(GRAMS.format(buckets=buckets)).to_arrow_table().combine_chunks()
-            b = out.column("bucket").to_numpy()
-            at = [0, *(1 + (b[1:] != b[:-1]).nonzero()[0]).tolist(), len(b)] if len(b) else []
-            for i, j in zip(at, at[1:]):
-                part = _pack(out.slice(i, j - i).select(["lang", "gram", "f"]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(b[i])], pa.int64()), pa.array([part], pa.binary())], ["bucket", "part"])
+    Words bring rows with an empty gram, whose f adds up to a lang's words.
+    """
+    spark = pieces.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * tasks
+    shared = None if marks is None else spark.sparkContext.broadcast(marks)
 
+    def groups(batches):
         held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes // 6
+        for b in batches:
+            held.append(b)
+            size += b.nbytes // 3  # bytes to a word or pair, about
             if size >= GROUP:
-                yield from flush(held)
+                yield pa.Table.from_batches(held)
                 held, size = [], 0
         if held:
-            yield from flush(held)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task has one or several whole buckets; their n-grams differ, so they can be added up together."""
-        with tempfile.TemporaryDirectory() as folder, _database(f"{folder}/spill") as con:
-            con.execute(f"attach '{folder}/parts' as parts; create table parts.q (lang varchar, gram varchar, f bigint)")
-            some = False
-            for batch in batches:
-                for part in batch.column(0).to_pylist():
-                    some = True
-                    con.register("own", _unpack(part))
-                    con.execute("insert into parts.q from own")
-            if some:
-                yield from con.sql(SUMS.format(least=least)).to_arrow_table().to_batches(50_000)
-
-    bounded_batches(pieces.sparkSession)
-    parts = pieces.select("lang", "piece", "m").mapInArrow(grams, "bucket bigint, part binary")
-    return parts.repartition(tasks, "bucket").select("part").mapInArrow(sums, "lang string, gram string, f bigint")
+            yield pa.Table.from_batches(held)
+
+    def deal(batches):
+        if shared is None:
+            return _dealt(groups(batches), PAIRS, buckets)
+        return _dealt(_triples(batches, shared.value), "select lang, gram, m from p", buckets)
+
+    bounded_batches(spark)
+    parts = pieces.select("lang", "piece", "m").mapInArrow(deal, "bucket bigint, part binary")
+    parts = parts.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return parts.mapInArrow(lambda batches: _sums(batches, least), "lang string, gram string, f bigint")
 
 
 def _cuts(candidates: DataFrame) -> DataFrame:
@@ -143,10 +233,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each lang, once those that a longer one explains are dropped."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    counts = scratch.save(frequent(pieces(docs), least))
+    own = scratch.save(pieces(docs))
+    counts = scratch.save(frequent(own, least))
+    pairs = counts.where("gram <> ''").where(F.size(F.split("gram", " ")) == 2)
+    triples = scratch.save(frequent(own, least, bitmap(pairs)).where("gram <> ''"))
+    scratch.drop(own)
     n = counts.where("gram = ''").groupBy("lang").agg(F.sum("f").alias("n"))
-    grams = counts.where("gram <> ''").select("lang", "gram", "f")
-    longer = grams.where(F.size(F.split("gram", " ")) >= 2)
+    grams = counts.where("gram <> ''").unionByName(triples).select("lang", "gram", "f")
+    longer = pairs.unionByName(triples)
     asked = scratch.save(_cuts(longer))
     held = asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("held"))
     found = scratch.save(held.join(grams.select("lang", F.col("gram").alias("part"), F.col("f").alias("p")), ["lang", "part"]))

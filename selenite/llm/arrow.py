@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as parse
 
 #: Rows of a batch that are turned into Python values at a time.
@@ -29,19 +29,57 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, ROWS)
 
 
+def _arrow(kinds: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(kinds)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
-    """For each batch, the columns as lists go to the function that make() built once in the task; it returns lists in the schema's order."""
+    """For each batch, the columns as lists go to the function that make() built once in the task; it returns lists (or Arrow arrays) in the schema's order."""
     bounded_batches(df.sparkSession)
     kinds: StructType = parse(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(kinds)
+    arrow = _arrow(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
         for b in pieces(batches):
             f = f or make()
             out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, arrow)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, kinds)
+
+
+def plain(names: list[str]) -> list[str]:
+    """Names c0, c1, ... to work under, so that no column can clash with ours and none needs quoting."""
+    return [f"c{i}" for i in range(len(names))]
+
+
+def beside(df: DataFrame, need: list[str], make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
+    """df's own columns, untouched, under their plain() names, and beside them those of schema, row for row.
+
+    Only the columns that are needed become Python values; the others pass as they are, whatever their names and types.
+    """
+    bounded_batches(df.sparkSession)
+    own, at = plain(df.columns), {n: df.columns.index(n) for n in need}
+    # names within a column may hold anything, so a struct's fields are told to Spark by its own types
+    kinds = StructType([StructField(n, f.dataType) for n, f in zip(own, df.schema)] + parse(schema).fields)
+    arrow = _arrow(parse(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = None
+        for b in pieces(batches):
+            f = f or make()
+            new = f({n: b.column(i).to_pylist() for n, i in at.items()})
+            more = [pa.array(x, t.type) for x, t in zip(new, arrow)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema=pa.schema([*b.schema, *arrow]))
+
+    return df.toDF(*own).mapInArrow(run, kinds)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until none of the taken ones is equal but for case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name

@@ -2,8 +2,8 @@
 
 Both tokenizers treat a text as a row of stretches that they encode independently of one another, such as a word with
 the blank before it. So each different stretch is encoded and aligned once, whatever texts it stands in, with relations
-throughout: tokens by posexplode, their ends by windowed cumulative lengths, the links by an equi-join on stretch and end,
-groups by running counts of the cuts, and tokens brought together by stretch and group. A stretch's links count as often
+throughout: tokens by posexplode, their ends by windowed cumulative lengths, the links where both sides are equal in
+stretch and end, groups by running counts of the cuts, and tokens brought together by stretch and group. A stretch's links count as often
 as it stands in the corpus. A document's figures are then the sums over its stretches and its groups their groups in a row.
 
 Stretches that make up a large part of a corpus are broadcast, at most STRETCHES of them and STRETCHES * 64 bytes; all
@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,13 +76,20 @@ class Pair:
         """Whether tokens of both give a blank and the text back."""
         return bool(text) and self.b.normalize(text).replace(BLANK, " ") == " " + text
 
-    def encode(self, parts: list[str]) -> tuple[list, list]:
-        a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         # a line end before a stretch keeps the blank that the model adds, and is a token of its own
-        b = [np.array(e[2:], np.int32) for e in self.b.encode(["\n" + p for p in parts], num_threads=1)]
+        b = [e[2:] for e in self.b.encode(["\n" + p for p in parts], num_threads=1)]
         return a, b
 
 
+def _lists(ids: list[list[int]], lengths: np.ndarray) -> list[pa.Array]:
+    """The ids and their lengths as columns of lists."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(list(map(len, ids)))]), pa.int32())
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, offsets[-1].as_py())
+    return [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (flat, lengths[flat])]
+
+
 def _tokens(units: DataFrame, pair) -> DataFrame:
     """cid, stretch, n (how often it stands in the texts), and of both tokenizers the ids and lengths."""
 
@@ -99,7 +108,7 @@ def _tokens(units: DataFrame, pair) -> DataFrame:
 
         def f(cols):
             a, b = p.encode(cols["stretch"])
-            return [cols["stretch"], cols["n"], a, [p.a_len[x] for x in a], b, [p.b_len[x] for x in b]]
+            return [cols["stretch"], cols["n"], *_lists(a, p.a_len), *_lists(b, p.b_len)]
 
         return f
 
@@ -108,22 +117,31 @@ def _tokens(units: DataFrame, pair) -> DataFrame:
     return map_rows(n, encoded, kinds).withColumn("cid", F.monotonically_increasing_id())
 
 
-def _ends(tokens: DataFrame, side: str, pos: str) -> DataFrame:
-    """cid, end, id (named as the side) and place of each token of one side."""
-    t = tokens.select("cid", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias(pos, "t"))
-    upto = Window.partitionBy("cid").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("cid", pos, F.col("t.id").alias(side), F.sum("t.len").over(upto).cast("int").alias("end"))
-
+def _aligned(tokens: DataFrame) -> DataFrame:
+    """cid, n, n_a, n_b, n_groups, groups (as text), links (a, b) of each stretch.
 
-def _groups(ends: DataFrame) -> DataFrame:
-    """cid, n_groups, groups (as text) from the tokens of both sides."""
+    Tokens of both sides are dealt by stretch once, and all that follows finds a stretch's rows together: the join of
+    both sides by stretch and end is therefore a grouping by them, and so is that of a group's tokens.
+    """
+    def side(ids: str, first: bool) -> DataFrame:
+        t = F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(f"{ids}_len").alias("len"))).alias("pos", "t")
+        return tokens.select("cid", "n", F.lit(first).alias("first"), t).select("cid", "n", "first", "pos", "t.id", "t.len")
+
+    upto = Window.partitionBy("cid", "first").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = side("a", True).unionByName(side("b", False)).repartition("cid").withColumn("end", F.sum("len").over(upto))
+    own = lambda first: F.max(F.when(F.col("first") == first, F.col("id")))
+    ends = t.groupBy("cid", "end").agg(F.max("n").alias("n"), own(True).alias("a"), own(False).alias("b"))
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy("cid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.col("i").isNotNull() & F.col("j").isNotNull()
-    t = ends.withColumn("g", F.count(F.when(cut, True)).over(before))
-    ids = lambda pos, side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(pos).isNotNull(), F.struct(pos, side)))), lambda x: x[side].cast("string")), ",")
-    g = t.groupBy("cid", "g").agg(F.concat(ids("i", "a"), F.lit("|"), ids("j", "b")).alias("t"))
-    rows = F.sort_array(F.collect_list(F.struct("g", "t")))
-    return g.groupBy("cid").agg(F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(rows, lambda x: x["t"]), ";").alias("groups"))
+    ends = ends.withColumn("g", F.count(F.when(cut, True)).over(before))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))))
+    g = ends.groupBy("cid", "g").agg(F.max("n").alias("n"), listed("a").alias("a"), listed("b").alias("b"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x[c].cast("string")), ",")
+    last = lambda c: F.element_at(c, -1)[c].alias(c)
+    g = g.select("cid", "n", "g", F.size("a").alias("x"), F.size("b").alias("y"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("t"), F.struct(last("a"), last("b")).alias("link"))
+    rows = F.sort_array(F.collect_list(F.struct("g", "t", "link"))).alias("r")
+    out = g.groupBy("cid").agg(F.max("n").alias("n"), F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), rows)
+    return out.select("cid", "n", "n_a", "n_b", "n_groups", F.array_join(F.transform("r", lambda x: x["t"]), ";").alias("groups"), F.transform("r", lambda x: x["link"]).alias("links"))
 
 
 class Alignment:
@@ -139,19 +157,17 @@ class Alignment:
         save, drop = self.scratch.save, self.scratch.drop
         self.units = save(self._units(docs))
         tokens = save(_tokens(self.units, self.pair))
-        ends = save(_ends(tokens, "a", "i").join(_ends(tokens, "b", "j"), ["cid", "end"], "full"))
-        links = ends.where("i is not null and j is not null").select("cid", "a", "b")
-        n = tokens.select("cid", "n")
-        pairs = links.join(n, "cid").groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("held"))
-        pairs = save(pairs)
+        aligned = save(_aligned(tokens))
+        links = aligned.select("cid", "n", F.explode("links").alias("l")).select("cid", "n", "l.a", "l.b")
+        pairs = save(links.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("held")))
         top = pairs.groupBy("b").agg(F.max("count").alias("_top"))  # as many rows as B has ids at most
         self.pairs = pairs.join(F.broadcast(top), "b").select("a", "b", "count", (F.col("count") == F.col("_top")).alias("best"), "held")
         total = pairs.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-        told = spread_join(links, self.pairs, ["a", "b"], total)
+        told = spread_join(links.drop("n"), self.pairs, ["a", "b"], total)
         sums = told.groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-        sizes = tokens.select("cid", "stretch", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
-        self.stats = save(sizes.join(_groups(ends), "cid").join(sums, "cid").select("stretch", "n", *[F.col(c).cast("long") for c in NUMBERS], "groups"))
-        drop(ends, tokens)
+        names = tokens.select("cid", "stretch")
+        self.stats = save(aligned.drop("links").join(sums, "cid").join(names, "cid").select("stretch", "n", *[F.col(c).cast("long") for c in NUMBERS], "groups"))
+        drop(aligned, tokens)
 
     def _units(self, docs: DataFrame) -> DataFrame:
         pair = self.pair
@@ -170,17 +186,17 @@ class Alignment:
         known = {w: i for i, w in enumerate(hot["stretch"])}
         hot = self.spark.sparkContext.broadcast((known, hot[NUMBERS].to_numpy(np.int64), hot["groups"].tolist()))
 
+        def rare(text: str, known: dict) -> list[str]:
+            """The stretches that aren't broadcast, each once, by their first place."""
+            return [w for w in dict.fromkeys(stretches(" " + text)) if w not in known]
+
         def asked():
             known = hot.value[0]
 
             def f(cols):
-                rows, want = [], []
-                for r, t in zip(cols["row"], cols["text"]):
-                    if t is not None:
-                        own = [w for w in set(stretches(" " + t)) if w not in known]
-                        rows += [r] * len(own)
-                        want += own
-                return [rows, want]
+                own = [[] if t is None else rare(t, known) for t in cols["text"]]
+                k = [i for w in own for i in range(len(w))]
+                return [[r for r, w in zip(cols["row"], own) for _ in w], k, list(itertools.chain.from_iterable(own))]
 
             return f
 
@@ -190,26 +206,27 @@ class Alignment:
 
             def f(cols):
                 out = []
-                for t, *own in zip(cols["text"], cols["stretch"], cols["groups"], *[cols[c] for c in NUMBERS]):
+                for t, told in zip(cols["text"], cols["told"]):
                     if t is None:
                         out.append(([0] * len(NUMBERS), of("")))
                         continue
-                    words, more, *own = [x or [] for x in own]
-                    here = {w: size + i for i, w in enumerate(words)}
+                    # answers are numbers and groups in one text, in the order of the questions
+                    told = [x.split(" ") for x in told or []]
+                    here = dict(zip(rare(t, known), range(size, size + len(told))))
                     at = [i if (i := known.get(w)) is not None else here[w] for w in stretches(" " + t)]
                     place = np.array(at)
                     sums = numbers[place[place < size]].sum(0)
-                    if words:
-                        sums = sums + np.array(own, np.int64).T[place[place >= size] - size].sum(0)
-                    out.append((sums.tolist(), of(";".join([texts[i] if i < size else more[i - size] for i in at]))))
+                    if told:
+                        sums = sums + np.array([x[:-1] for x in told]).astype(np.int64)[place[place >= size] - size].sum(0)
+                    out.append((sums.tolist(), of(";".join([texts[i] if i < size else told[i - size][-1] for i in at]))))
                 return [cols["doc_id"], *([x[0][k] for x in out] for k in range(len(NUMBERS))), [x[1] for x in out]]
 
             return f
 
-        want = map_rows(self.units.select("row", "text"), asked, "row bigint, stretch string")
-        rest = want.join(self.stats.where(~large).drop("n"), "stretch")
-        told = rest.groupBy("row").agg(F.collect_list(F.struct("stretch", "groups", *NUMBERS)).alias("r"))
-        both = self.units.join(told, "row", "left").select("doc_id", "text", *[F.col(f"r.{c}").alias(c) for c in ("stretch", "groups", *NUMBERS)])
+        want = map_rows(self.units.select("row", "text"), asked, "row bigint, k int, stretch string")
+        rest = self.stats.where(~large).select("stretch", F.concat_ws(" ", *NUMBERS, "groups").alias("told"))
+        told = want.join(rest, "stretch").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "told"))).alias("r"))
+        both = self.units.join(told, "row", "left").select("doc_id", "text", F.col("r.told").alias("told"))
         return map_rows(both, summed, f"doc_id bigint, {', '.join(f'{c} bigint' for c in NUMBERS)}, {last} string")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import plain
 from .common import cut, offsets, small, table, word_count
 
 #: The golden ratio as a fraction of 2**31, and the cells of the weight axis.
@@ -137,9 +138,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     twins = twins.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rows").where("_rows > 1")
     same = lambda a, b: [a[f"_{k}"].eqNullSafe(b[f"_{k}"]) for k in keys]
     j = copies.join(twins, same(copies, twins), "left").select(*[copies[f"_{k}"] for k in keys], F.ceil(F.col("_n") / F.coalesce("_rows", F.lit(1))).alias("_copies"))
-    d = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_words", word_count(F.col("_doc.text")))
-    on = (F.col("_doc.doc_id").eqNullSafe(j["_doc_id"])) & (F.col("_doc.source").eqNullSafe(j["_source"])) & (d["_words"] == j["_size"])
-    return d.join(j, on).select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_doc.*")
+    own = plain(docs.columns)
+    doc_id, source, text = (own[docs.columns.index(c)] for c in ("doc_id", "source", "text"))
+    d = docs.toDF(*own).withColumn("_words", word_count(F.col(text)))
+    on = F.col(doc_id).eqNullSafe(j["_doc_id"]) & F.col(source).eqNullSafe(j["_source"]) & (d["_words"] == j["_size"])
+    return d.join(j, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*own).toDF(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

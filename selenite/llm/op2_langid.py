@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import beside, map_rows, plain
 from .common import cut, table
 
 #: The sample that the classifier is fitted on: about so many different texts of each language, by their hash.
@@ -318,16 +318,24 @@ class Scorer:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, some)], np.where(some, post, 0.0).tolist()
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns keep, with lang_pred and score from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+SCORED = "lang_pred string, score double"
+
+
+def _scored(spark: SparkSession, model: dict):
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda cols: [*(cols[c] for c in keep), *scorer.texts(cols["text"])]
+        return lambda cols: scorer.texts(cols["text"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_rows(docs.select("text", *[c for c in keep if c != "text"]), make, f"{kinds}lang_pred string, score double")
+    return make
+
+
+def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """The columns keep, with lang_pred and score from the text alone."""
+    out = beside(docs, ["text"], _scored(docs.sparkSession, model), SCORED)
+    at = [plain(docs.columns)[docs.columns.index(c)] for c in keep]
+    return out.select(*at, "lang_pred", "score").toDF(*keep, "lang_pred", "score")
 
 
 def held_out():
@@ -349,8 +357,7 @@ def kept_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train(docs)
     if not model["langs"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs can clash
+    own = plain(docs.columns)
     at = own[docs.columns.index("lang")]
-    rows = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
-    out = predict(rows, model, own).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    out = beside(docs, ["text"], _scored(docs.sparkSession, model), SCORED).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return out.withColumn(at, F.coalesce(at, "lang_pred")).select(*own).toDF(*docs.columns)

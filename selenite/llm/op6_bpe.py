@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import beside, free, map_rows, plain
 from .common import table
 
 SHORT = 160
@@ -140,21 +140,27 @@ def _spec(path: str | None) -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The documents' own columns, with n_tokens and token_ids instead of the text (and of columns of those names)."""
+    """The documents' own columns, with n_tokens and token_ids instead of the text.
+
+    Own columns of those two names get an underscore before them.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(_spec(vocabulary))
-    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "token_ids")]
 
     def make():
         bpe = Bpe(spec.value)
 
         def f(cols):
             ids = [np.frombuffer(bpe.encode(t or ""), "<u4").astype("i4") for t in cols["text"]]
-            return [cols[c] for c in rest] + [[len(x) for x in ids], ids]
+            return [[len(x) for x in ids], ids]
 
         return f
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest)
-    return map_rows(docs, make, f"{kinds}, n_tokens bigint, token_ids array<int>")
+    out = beside(docs, ["text"], make, "n_tokens bigint, token_ids array<int>")
+    kept = [(a, b) for a, b in zip(plain(docs.columns), docs.columns) if b != "text"]
+    names, new = [], ["n_tokens", "token_ids"]
+    for _, b in kept:
+        names.append(free(b, names + new))
+    return out.select(*[a for a, _ in kept], *new).toDF(*names, *new)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import beside, map_rows, plain
 from .common import table
 
 BASE, ADDED = ("email", "ip", "card", "phone"), ("name", "ssn", "iban", "birth", "passport")
@@ -480,17 +480,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """All documents, with personal data in their texts replaced; n_chars follows where it is a column."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trained(labelled_table(spark)))
-    names = docs.columns
+    own, names = plain(docs.columns), docs.columns
 
     def make():
         find = _finder(model.value)
 
         def f(cols):
             _, every = find([t or "" for t in cols["text"]])
-            cols["text"] = [redacted(t, s) if s else t for t, s in zip(cols["text"], every)]
-            return [cols[c] for c in names]
+            return [[redacted(t, s) if s else t for t, s in zip(cols["text"], every)]]
 
         return f
 
-    out = map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = beside(docs, ["text"], make, "redacted string")
+    new = {"text": F.col("redacted")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(b, F.col(a)).alias(a) for a, b in zip(own, names)]).toDF(*names)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import beside, free, map_rows, plain
 from .common import table
 
 FRAME, SIDE, RATE = 576, 24, 25
@@ -199,6 +199,8 @@ def sample_table(buf: bytes, t: dict, more: dict[int, list[np.ndarray]] | None =
     codec = "+".join(k.decode("latin-1") for k, _, _ in boxes(buf, t[b"stsd"][0] + 8, t[b"stsd"][1]))
     same, n = struct.unpack_from(">II", buf, t[b"stsz"][0] + 4)
     if same:
+        if n * same > len(buf):
+            raise ValueError("samples lie outside")
         sizes = np.full(n, same, np.int64)
     else:
         if t[b"stsz"][0] + 12 + 4 * n > t[b"stsz"][1]:
@@ -206,6 +208,8 @@ def sample_table(buf: bytes, t: dict, more: dict[int, list[np.ndarray]] | None =
         sizes = np.frombuffer(buf, ">u4", n, t[b"stsz"][0] + 12).astype(np.int64)
     chunk = _numbers(buf, t[b"co64"], ">u8")[:, 0] if b"co64" in t else _numbers(buf, t[b"stco"], ">u4")[:, 0]
     runs = _numbers(buf, t[b"stsc"], ">u4", 3)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) < 1).any() or runs[-1, 0] > len(chunk) or runs[:, 1].max() > n):
+        raise ValueError("chunks and samples differ")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunk))))
     if len(per) != len(chunk) or per.sum() != n:
         raise ValueError("chunks and samples differ")
@@ -214,8 +218,11 @@ def sample_table(buf: bytes, t: dict, more: dict[int, list[np.ndarray]] | None =
     offset = np.repeat(chunk - total[first], per) + total[:-1]
     sync = np.ones(n, bool)
     if b"stss" in t:
+        keys = _numbers(buf, t[b"stss"], ">u4")[:, 0]
+        if len(keys) and (keys.min() < 1 or keys.max() > n):
+            raise ValueError("a sync sample doesn't exist")
         sync[:] = False
-        sync[_numbers(buf, t[b"stss"], ">u4")[:, 0] - 1] = True
+        sync[keys - 1] = True
     steps = _numbers(buf, t[b"stts"], ">u4", 2)
     ticks = int((steps[:, 0] * steps[:, 1]).sum())
     for rows in (more or {}).get(track, ()):
@@ -255,13 +262,12 @@ def summary(buf: bytes | None) -> list:
 
 def media_columns(df: DataFrame, content: str = "media") -> DataFrame:
     """df without the container, with the columns of SUMMARY: all its tracks, or an error."""
-    rest = [f for f in df.schema if f.name != content]
-
-    def make():
-        return lambda cols: [*(cols[f.name] for f in rest), *map(list, zip(*map(summary, cols[content])))]
-
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
-    return map_rows(df, make, kinds + SUMMARY)
+    out = beside(df, [content], lambda: lambda cols: list(map(list, zip(*map(summary, cols[content])))), SUMMARY)
+    kept = [(a, b) for a, b in zip(plain(df.columns), df.columns) if b != content]
+    names, new = [], ["tracks", "error"]
+    for _, b in kept:
+        names.append(free(b, names + new))
+    return out.select(*[a for a, _ in kept], *new).toDF(*names, *new)
 
 
 def stored(docs: DataFrame) -> DataFrame:

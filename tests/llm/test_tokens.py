@@ -136,6 +136,7 @@ NAMED = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 @pytest.mark.parametrize("least, top, inside, group", [(2, 9, 50, 50), (3, 2000, 90, 10**6), (1, 3, 1, 10**6)])
 def test_collocations_of_small_tables(spark, monkeypatch, least, top, inside, group):
     monkeypatch.setattr(op12_phrases, "GROUP", group)
+    monkeypatch.setattr(op12_phrases, "CELLS", 1 << 17)
     base = ["new york city. new york; old york", "New\tYork   City\r\nnew york", "a b c a b c a b c", "é ü é ü\x0bé ü", "", None, " .,;", "x" * 9000 + " y", "ab cd. ab cd! ab cd? ab  cd : e ab cd e"]
     data = [(t, lang) for i, t in enumerate(base * 3) for lang in [[None, "en", "und", "de"][i % 4]]]
     docs = spark.createDataFrame([(1, t, lang, "z") for t, lang in data], "doc_id bigint, text string, lang string, gram string").repartition(5)  # noqa: F811

@@ -6,7 +6,7 @@ throughout: tokens by posexplode, their ends by windowed cumulative lengths, the
 stretch and end, groups by running counts of the cuts, and tokens brought together by stretch and group. A stretch's links count as often
 as it stands in the corpus. A document's figures are then the sums over its stretches and its groups their groups in a row.
 
-Stretches that make up a large part of a corpus are broadcast, at most STRETCHES of them and STRETCHES * 64 bytes; all
+The stretches that stand most often in a corpus are broadcast, at most STRETCHES of them and STRETCHES * 64 bytes; all
 others are asked for by rows that are shuffled to where they are and sent back to the documents.
 
 Defined results: texts that are null, empty, or that a tokenizer doesn't give back byte for byte have no tokens; strings
@@ -32,7 +32,7 @@ from .arrow import map_rows
 from .common import Scratch, spread_join, table
 from .op6_bpe import byte_letters
 
-STRETCHES = 100_000
+STRETCHES = 200_000
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: Letters after which, and signs before which, a text may be cut; and all places where it is.
 LETTER, SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", ".,;:!?"
@@ -180,8 +180,16 @@ class Alignment:
 
     def documents(self, last: str, of) -> DataFrame:
         """doc_id, NUMBERS and a last column, of(the text's groups), for each row."""
-        n = self.stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        large = F.col("n") * STRETCHES >= F.lit(n) * F.ceil(F.octet_length("stretch") / 64)
+        # a stretch takes one place for every 64 bytes; those with most uses a place are broadcast, as far as there are places
+        places = F.ceil(F.octet_length("stretch") / 64)
+        level = F.floor(F.log2(F.col("n") / places) * 8)
+        left, least = STRETCHES, None
+        for r in self.stats.groupBy(level.alias("level")).agg(F.sum(places).alias("places")).orderBy(F.desc("level")).collect():
+            left -= r["places"]
+            if left < 0:
+                break
+            least = r["level"]
+        large = F.lit(False) if least is None else level >= least
         hot = self.stats.where(large).drop("n").toPandas()
         known = {w: i for i, w in enumerate(hot["stretch"])}
         hot = self.spark.sparkContext.broadcast((known, hot[NUMBERS].to_numpy(np.int64), hot["groups"].tolist()))

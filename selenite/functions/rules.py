@@ -127,7 +127,7 @@ def router_settings(files: DataFrame) -> DataFrame:
     t = t.withColumns(settings)
     keys = F.transform("_pairs", lambda p: p["k"])
     bad = S.violations(
-        (~F.col("_has"), "no routing"), (F.size(F.array_except(keys, F.array(*map(F.lit, ROUTING)))) > 0, "unknown key"), (F.size(F.array_distinct(keys)) < F.size(keys), "repeated key"),
+        (_no(F.col("_has")), "no routing"), (F.size(F.array_except(keys, F.array(*map(F.lit, ROUTING)))) > 0, "unknown key"), (F.size(F.array_distinct(keys)) < F.size(keys), "repeated key"),
         (F.exists(F.array(*map(F.col, ROUTING)), lambda v: _no(finite(v) & (v >= 0))), "value"),
     )
     return t.select("id", *ROUTING, bad.alias("violations"))

@@ -52,7 +52,9 @@ def degrees_of(value: Column, unit: Column) -> Column:
 
 
 def lenient_double(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    """The number that a text is, blanks around it aside; null for anything else, such as one with a type's letter or in hexadecimal."""
+    number = F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan))\s*$", 1)
+    return F.nullif(number, F.lit("")).try_cast("double")
 
 
 def local_name(tag: Column) -> Column:

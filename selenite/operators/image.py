@@ -28,13 +28,17 @@ def stretch(px: DataFrame, keys: list[str] = [], value: str = "value", low: floa
 
 
 def entropy(px: DataFrame, keys: list[str], value: str = "dn", null: float | None = 0.0) -> DataFrame:
-    """Shannon entropy in bits of the unit bins 0..255; samples equal to null don't count."""
+    """Shannon entropy in bits of the unit bins 0..255; samples equal to null don't count. A group without samples has 0 bits and n = 0."""
     v = F.col(value)
     ok = (v >= 0) & (v <= 256) if null is None else (v >= 0) & (v <= 256) & (v != null)
-    n = px.where(ok).groupBy(*keys, F.least(F.floor(v), F.lit(255)).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    p = F.col("_c") / F.sum("_c").over(Window.partitionBy(*keys))
-    n = n.withColumn("_p", p)
-    return n.groupBy(*keys).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"), F.sum("_c").alias("n"))
+    # a bin of samples that don't count keeps its group
+    bins = F.when(ok, F.least(F.floor(v), F.lit(255)))
+    n = px.groupBy(*keys, bins.alias("_bin")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_c", F.when(F.col("_bin").isNotNull(), F.col("_c")).otherwise(0))
+    # with c samples in a bin and n in all, the sum of -c/n log2(c/n) is log2(n) - sum(c log2 c)/n: no window is needed
+    part = F.when(F.col("_c") > 0, F.col("_c") * F.log2(F.col("_c").cast("double"))).otherwise(0.0)
+    n = n.groupBy(*keys).agg(F.sum(part).alias("_s"), F.sum("_c").alias("n"), F.max("_c").alias("_most"))
+    bits = F.when(F.col("_most") < F.col("n"), F.log2(F.col("n").cast("double")) - F.col("_s") / F.col("n")).otherwise(0.0)
+    return n.select(*keys, bits.alias("entropy"), "n")
 
 
 #: Samples along a side of a tile.

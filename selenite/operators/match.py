@@ -35,12 +35,27 @@ def _two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _finite(t: DataFrame):
+    return F.col("id").isNotNull() & F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def usable(t: DataFrame) -> DataFrame:
+    """Descriptors (id, v) that can be at a distance: with an id, and a vector of finite numbers only."""
+    return t.where(_finite(t))
+
+
+def unusable(t: DataFrame) -> int:
+    """How many rows usable() leaves out."""
+    return t.where(~_finite(t)).count()
+
+
 def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> DataFrame:
     """side, s, r, d1, d2: 'f' the references of each source, 'b' the sources of each reference.
 
     Both tables are dealt into blocks; every pair of blocks meets in one task of bounded size, where one matrix
     product gives all distances, and only two candidates for each row leave it. Both sides come from one shuffle.
     """
+    src, ref = usable(src), usable(ref)
     a, b = (max(1, -(-t.count() // block_rows)) for t in (src, ref))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -60,7 +75,8 @@ def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> Dat
 def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """For each source descriptor its nearest and second nearest reference: s, r, d1, d2. Ties by r.
 
-    src and ref: id, v (array). The exact counterpart of an approximate tree search.
+    src and ref: id, v (array); rows that aren't usable() are in no pair. The exact counterpart of an approximate
+    tree search.
     """
     return _nearest(src, ref, block_rows, "f").drop("side")
 

@@ -233,28 +233,49 @@ def pds4_records(labels: DataFrame, id_: str = "id", content: str = "content") -
     return t.select(*keep, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", F.get("_targets", F.lit(0)).alias("target"), F.lower(md5).alias("md5"), encoded.alias("encoded"), checks.alias("violations"))
 
 
-def resolved(scenes: DataFrame, separate: DataFrame, attached: DataFrame, container: DataFrame, fields: tuple[str, ...] = ("width", "height", "bands", "dtype")) -> DataFrame:
+#: What two labels of a scene must agree in.
+AGREE = ("width", "height", "bands", "dtype", "offset", "row_bytes")
+
+
+def resolved(scenes: DataFrame, separate: DataFrame, attached: DataFrame, container: DataFrame, fields: tuple[str, ...] = AGREE) -> DataFrame:
     """Which of a scene's labels counts, its fields, and the fields in which the labels differ.
 
-    scenes: id and mode (auto, separate, attached, none); the others: id and the fields, at most one row an id.
-    A separate label comes before an attached one and that before the container's own header, unless the mode
-    forces one; a forced label that isn't there is a violation, and so is a difference between labels that are.
+    scenes: id and mode (auto, separate, attached, none); the others: id, the fields, and where they have them
+    product_id and violations, at most one row an id. A separate label comes before an attached one and that before
+    the container's own header, unless the mode forces one. A separate label that is broken, or differs from an
+    attached one (or stands beside a broken one), refuses the scene in every mode but `attached`, where it is ignored
+    with a warning; so is a sound one in mode `none`.
     """
     def named(t: DataFrame, prefix: str) -> DataFrame:
-        return t.select("id", F.struct(*fields).alias(prefix))
+        has = {c.lower() for c in t.columns}
+        product = F.col("product_id") if "product_id" in has else F.lit(None).cast("string").alias("product_id")
+        broken = (F.size("violations") > 0 if "violations" in has else F.lit(False)).alias("broken")
+        return t.select("id", F.struct(*fields, product, broken).alias(prefix))
 
     t = scenes.join(named(separate, "_s"), "id", "left").join(named(attached, "_a"), "id", "left").join(named(container, "_c"), "id", "left")
     mode, s, a, c = (F.col(x) for x in ("mode", "_s", "_a", "_c"))
+    both = s.isNotNull() & a.isNotNull() & ~s["broken"] & ~a["broken"]
+    own = F.lower(F.element_at(F.split(s["product_id"], ":"), -1))
+    names = (F.coalesce(a["product_id"], F.lit("")) != "") & ~F.coalesce(own == F.lower(a["product_id"]), F.lit(False))
+    differ = F.filter(F.array(*[F.when(both & ~s[f].eqNullSafe(a[f]), F.lit(f)) for f in fields], F.when(both & names, F.lit("product_id"))), lambda x: x.isNotNull())
+    t = t.withColumn("conflicts", differ)
+    bad = s.isNotNull() & (s["broken"] | F.coalesce(a["broken"], F.lit(False)) | (F.size("conflicts") > 0))
+    forced = mode == "attached"
     route = (
-        F.when((mode == "separate") & s.isNotNull(), "separate").when((mode == "attached") & a.isNotNull(), "attached").when((mode == "none") & c.isNotNull(), "container")
-        .when((mode == "auto") & s.isNotNull(), "separate").when((mode == "auto") & a.isNotNull(), "attached").when((mode == "auto") & c.isNotNull(), "container")
+        F.when(forced | ((mode == "auto") & s.isNull() & a.isNotNull()), F.when(a.isNotNull() & ~a["broken"], "attached"))
+        .when(mode.isin("auto", "separate") & s.isNotNull(), F.when(~bad, "separate")).when(mode.isin("auto", "none") & ~bad & c.isNotNull(), "container")
     )
-    t = t.withColumn("route", route)
+    t = t.withColumns({"route": route, "_bad": bad})
     picked = F.when(F.col("route") == "separate", s).when(F.col("route") == "attached", a).when(F.col("route") == "container", c)
-    differ = F.filter(F.array(*[F.when(s.isNotNull() & a.isNotNull() & ~s[f].eqNullSafe(a[f]), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    t = t.withColumns({"_p": picked, "conflicts": F.when(mode == "none", F.array().cast("array<string>")).otherwise(differ)})
-    bad = S.violations((F.col("route").isNull(), "no label"), (F.size("conflicts") > 0, "conflict"))
-    return t.select(*scenes.columns, "route", *[F.col("_p")[f].alias(f) for f in fields], "conflicts", bad.alias("violations"))
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    found = S.violations(
+        (no(mode.isin("auto", "separate", "attached", "none")), "mode"), (~forced & F.coalesce(s["broken"], F.lit(False)), "separate label"),
+        (~forced & s.isNotNull() & no(s["broken"]) & F.coalesce(a["broken"], F.lit(False)), "conflict with a broken label"), (~forced & (F.size("conflicts") > 0), "conflict"),
+        ((forced | ((mode == "auto") & s.isNull())) & F.coalesce(a["broken"], F.lit(False)), "attached label"),
+    )
+    found = F.concat(found, F.when(F.col("route").isNull() & (F.size(found) == 0), F.array(F.lit("no label"))).otherwise(F.array().cast("array<string>")))
+    warned = S.violations((forced & s.isNotNull(), "separate label overridden"), ((mode == "none") & s.isNotNull() & ~F.col("_bad"), "separate label ignored"))
+    return t.withColumn("_p", picked).select(*scenes.columns, "route", *[F.col("_p")[f].alias(f) for f in fields], "conflicts", warned.alias("warnings"), found.alias("violations"))
 
 
 MANIFEST = "schema string, original_name string, original_format string, original_size bigint, original_sha256 string, original_label_base64 string, tile_sha256 string, tile struct<x: bigint, y: bigint, width: bigint, height: bigint, band: bigint>, extractor string"

@@ -79,23 +79,41 @@ select id, case when one then 2 * s end width, case when one then s end height,
 
 @query
 def resolve_labels(spark, d):
-    """Which label of a scene counts, its layout, and where labels differ; forced labels that aren't there."""
+    """Which label of a scene counts in each mode: labels that are missing, broken, or differ in size, type or product among them."""
     t = _part(spark, d)
-    layout = lambda w, kind: (w.alias("width"), F.col("s").alias("height"), F.lit(1).alias("bands"), kind.alias("dtype"))
-    separate = t.where("id % 2 = 0").select("id", *layout(F.col("s") + 1, F.lit("<u2")))
-    attached = t.where("id % 3 = 0").select("id", *layout(F.col("s") + F.when(F.col("id") % 5 == 0, 2).otherwise(1), F.when(F.col("id") % 7 == 0, ">i2").otherwise("<u2")))
+    m = lambda k: F.col("id") % k == 0
+    layout = lambda w, kind: (w.cast("bigint").alias("width"), F.col("s").alias("height"), F.lit(1).alias("bands"), kind.alias("dtype"), F.lit(64).alias("offset"), (w * 2).cast("bigint").alias("row_bytes"))
+    broken = lambda k: F.when(m(k), F.array(F.lit("size"))).otherwise(F.array().cast("array<string>")).alias("violations")
+    separate = t.where("id % 2 = 0").select("id", *layout(F.col("s") + 1, F.lit("<u2")), F.format_string("urn:x:p%d", "id").alias("product_id"), broken(23))
+    attached = t.where("id % 3 = 0").select("id", *layout(F.col("s") + F.when(m(5), 2).otherwise(1), F.when(m(7), ">i2").otherwise("<u2")), F.when(~m(17), F.format_string("P%d", F.when(m(13), F.col("id") + 1).otherwise(F.col("id")))).alias("product_id"), broken(19))
     container = t.where("id % 11 <> 0").select("id", *layout(F.col("s"), F.lit("|u1")))
-    mode = F.element_at(F.array(*map(F.lit, ("auto", "attached", "separate", "none"))), (F.col("id") % 4 + 1).cast("int"))
+    mode = F.element_at(F.array(*map(F.lit, ("auto", "attached", "separate", "none"))), (F.floor(F.col("id") / 6) % 4 + 1).cast("int"))
     r = records.resolved(t.select("id", mode.alias("mode")), separate, attached, container)
-    return r.select("id", "mode", "route", "width", "dtype", F.concat_ws(",", "conflicts").alias("conflicts"), F.concat_ws(";", "violations").alias("reasons"))
-
-
-SQL["resolve_labels"] = """with p as (select p_partkey::bigint id, p_size::bigint s, ['auto', 'attached', 'separate', 'none'][p_partkey % 4 + 1] mode from part),
-w as (select *, case when id % 2 = 0 then s + 1 end w1, case when id % 3 = 0 then s + case when id % 5 = 0 then 2 else 1 end end w2, case when id % 3 = 0 then case when id % 7 = 0 then '>i2' else '<u2' end end d2, case when id % 11 <> 0 then s end w3 from p),
-r as (select *, case when mode in ('auto', 'separate') and w1 is not null then 'separate' when mode in ('auto', 'attached') and w2 is not null then 'attached' when mode in ('auto', 'none') and w3 is not null then 'container' end route,
- case when mode <> 'none' and w1 is not null and w2 is not null then concat_ws(',', case when w1 <> w2 then 'width' end, case when d2 <> '<u2' then 'dtype' end) else '' end conflicts from w)
-select id, mode, route, case route when 'separate' then w1 when 'attached' then w2 when 'container' then w3 end width, case route when 'separate' then '<u2' when 'attached' then d2 when 'container' then '|u1' end dtype, conflicts,
- concat_ws(';', case when route is null then 'no label' end, case when conflicts <> '' then 'conflict' end) reasons from r"""
+    return r.select("id", "mode", "route", "width", "dtype", *[F.concat_ws(";", c).alias(c) for c in ("conflicts", "warnings", "violations")])
+
+
+#: The verdict for every mode and state of the two labels (no, ok, bad; `clash` where both are sound and differ), as the rules are written down.
+SQL["resolve_labels"] = """with verdicts(mode, sep, att, clash, route, warnings, violations) as (values
+ ('auto', 'no', 'no', false, 'container', '', ''), ('auto', 'no', 'ok', false, 'attached', '', ''), ('auto', 'no', 'bad', false, null, '', 'attached label'),
+ ('auto', 'ok', 'no', false, 'separate', '', ''), ('auto', 'ok', 'ok', false, 'separate', '', ''), ('auto', 'ok', 'ok', true, null, '', 'conflict'), ('auto', 'ok', 'bad', false, null, '', 'conflict with a broken label'),
+ ('auto', 'bad', 'no', false, null, '', 'separate label'), ('auto', 'bad', 'ok', false, null, '', 'separate label'), ('auto', 'bad', 'bad', false, null, '', 'separate label'),
+ ('attached', 'no', 'no', false, null, '', 'no label'), ('attached', 'no', 'ok', false, 'attached', '', ''), ('attached', 'no', 'bad', false, null, '', 'attached label'),
+ ('attached', 'ok', 'no', false, null, 'separate label overridden', 'no label'), ('attached', 'ok', 'ok', false, 'attached', 'separate label overridden', ''), ('attached', 'ok', 'ok', true, 'attached', 'separate label overridden', ''),
+ ('attached', 'ok', 'bad', false, null, 'separate label overridden', 'attached label'), ('attached', 'bad', 'no', false, null, 'separate label overridden', 'no label'), ('attached', 'bad', 'ok', false, 'attached', 'separate label overridden', ''),
+ ('attached', 'bad', 'bad', false, null, 'separate label overridden', 'attached label'),
+ ('separate', 'no', 'no', false, null, '', 'no label'), ('separate', 'no', 'ok', false, null, '', 'no label'), ('separate', 'no', 'bad', false, null, '', 'no label'),
+ ('separate', 'ok', 'no', false, 'separate', '', ''), ('separate', 'ok', 'ok', false, 'separate', '', ''), ('separate', 'ok', 'ok', true, null, '', 'conflict'), ('separate', 'ok', 'bad', false, null, '', 'conflict with a broken label'),
+ ('separate', 'bad', 'no', false, null, '', 'separate label'), ('separate', 'bad', 'ok', false, null, '', 'separate label'), ('separate', 'bad', 'bad', false, null, '', 'separate label'),
+ ('none', 'no', 'no', false, 'container', '', ''), ('none', 'no', 'ok', false, 'container', '', ''), ('none', 'no', 'bad', false, 'container', '', ''),
+ ('none', 'ok', 'no', false, 'container', 'separate label ignored', ''), ('none', 'ok', 'ok', false, 'container', 'separate label ignored', ''), ('none', 'ok', 'ok', true, null, '', 'conflict'), ('none', 'ok', 'bad', false, null, '', 'conflict with a broken label'),
+ ('none', 'bad', 'no', false, null, '', 'separate label'), ('none', 'bad', 'ok', false, null, '', 'separate label'), ('none', 'bad', 'bad', false, null, '', 'separate label')),
+p as (select p_partkey::bigint id, p_size::bigint s, ['auto', 'attached', 'separate', 'none'][p_partkey // 6 % 4 + 1] mode, case when p_partkey % 2 <> 0 then 'no' when p_partkey % 23 = 0 then 'bad' else 'ok' end sep,
+ case when p_partkey % 3 <> 0 then 'no' when p_partkey % 19 = 0 then 'bad' else 'ok' end att from part),
+c as (select *, case when sep = 'ok' and att = 'ok' then concat_ws(';', case when id % 5 = 0 then 'width' end, case when id % 7 = 0 then 'dtype' end, case when id % 5 = 0 then 'row_bytes' end, case when id % 13 = 0 and id % 17 <> 0 then 'product_id' end) else '' end conflicts from p)
+select id, mode, v.route0 route, case v.route0 when 'separate' then s + 1 when 'attached' then s + case when id % 5 = 0 then 2 else 1 end when 'container' then s end width,
+ case v.route0 when 'separate' then '<u2' when 'attached' then case when id % 7 = 0 then '>i2' else '<u2' end when 'container' then '|u1' end dtype, conflicts, v.warnings, v.violations
+from (select c.*, case when k.route = 'container' and id % 11 = 0 then null else k.route end route0, k.warnings, case when k.route = 'container' and id % 11 = 0 then 'no label' else k.violations end violations
+ from c join verdicts k on k.mode = c.mode and k.sep = c.sep and k.att = c.att and k.clash = (conflicts <> '')) v"""
 
 
 @query

@@ -22,8 +22,8 @@ def query(f):
     return f
 
 
-def _scored(spark, d):
-    return ties.consensus(view(spark, d, "tie"), H)
+def _scored(spark, d, numbered: bool = True):
+    return ties.consensus(view(spark, d, "tie" if numbered else "tie_unnumbered"), H)
 
 
 def _distinct(t):
@@ -116,7 +116,7 @@ def vsui_voronoi(spark, d):
 
 @query
 def spatial_occupancy(spark, d):
-    return ties.occupancy(_distinct(view(spark, d, "tie")), SIDE, SIDE).select("job", "n", "occupied", "share")
+    return ties.occupancy(_distinct(view(spark, d, "tie_unnumbered")), SIDE, SIDE).select("job", "n", "occupied", "share")
 
 
 SQL["spatial_occupancy"] = duck(f"""+o as (select job, count(*) n, count(distinct (least(floor(rx / {SIDE}::double * 5), 4), least(floor(ry / {SIDE}::double * 5), 4))) occupied
@@ -126,13 +126,13 @@ SQL["spatial_occupancy"] = duck(f"""+o as (select job, count(*) n, count(distinc
 @query
 def spatial_coverage(spark, d):
     """0.55 of the hull's share and 0.45 of the occupied cells' share, within 0..1. Hulls of parts are merged, so no job's ties meet in one task."""
-    t = _distinct(view(spark, d, "tie"))
+    t = _distinct(view(spark, d, "tie_unnumbered"))
 
     def part_hull(p):
         h = kernels.hull(p[["rx", "ry"]].to_numpy(float))
         return pd.DataFrame({"job": p.job.iloc[0], "i": 0, "rx": h[:, 0], "ry": h[:, 1]})
 
-    parts = t.select("job", "i", "rx", "ry", F.pmod(F.xxhash64("i"), F.lit(16)).alias("_p")).groupBy("job", "_p").applyInPandas(lambda p: part_hull(p), "job bigint, i bigint, rx double, ry double")
+    parts = t.select("job", "rx", "ry", F.pmod(F.xxhash64("rx", "ry"), F.lit(16)).alias("_p")).groupBy("job", "_p").applyInPandas(lambda p: part_hull(p), "job bigint, i bigint, rx double, ry double")
 
     def area(p):
         return pd.DataFrame({"job": [p.job.iloc[0]], "hull": [kernels.polygon_area(kernels.hull(p[["rx", "ry"]].to_numpy(float)))]})
@@ -144,7 +144,7 @@ def spatial_coverage(spark, d):
 
 @query
 def rmse_report(spark, d):
-    return ties.report(_scored(spark, d)).select("job", "candidates", "inliers", r6("rmse").alias("rmse"))
+    return ties.report(_scored(spark, d, False)).select("job", "candidates", "inliers", r6("rmse").alias("rmse"))
 
 
 SQL["rmse_report"] = duck(f"+{PROJ} select job, count(*) candidates, count(*) filter (res <= 3.5) inliers, round(sqrt(avg(res * res) filter (res <= 3.5)), 6) rmse from t group by 1", "tie")
@@ -152,7 +152,7 @@ SQL["rmse_report"] = duck(f"+{PROJ} select job, count(*) candidates, count(*) fi
 
 @query
 def residual_quantiles(spark, d):
-    return ties.report(_scored(spark, d)).select("job", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
+    return ties.report(_scored(spark, d, False)).select("job", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
 
 
 SQL["residual_quantiles"] = duck(f"+{PROJ} select job, round(quantile_cont(res, 0.5) filter (res <= 3.5), 4) median, round(quantile_cont(res, 0.95) filter (res <= 3.5), 4) p95 from t group by 1", "tie")
@@ -160,7 +160,7 @@ SQL["residual_quantiles"] = duck(f"+{PROJ} select job, round(quantile_cont(res,
 
 @query
 def inlier_ratio(spark, d):
-    return ties.report(_scored(spark, d)).select("job", r6("ratio").alias("ratio"), (F.col("candidates") - F.col("inliers")).alias("rejected"))
+    return ties.report(_scored(spark, d, False)).select("job", r6("ratio").alias("ratio"), (F.col("candidates") - F.col("inliers")).alias("rejected"))
 
 
 SQL["inlier_ratio"] = duck(f"+{PROJ} select job, round(count(*) filter (res <= 3.5) / count(*), 6) ratio, count(*) filter (res > 3.5) rejected from t group by 1", "tie")
@@ -168,7 +168,7 @@ SQL["inlier_ratio"] = duck(f"+{PROJ} select job, round(count(*) filter (res <= 3
 
 @query
 def scaled_rmse(spark, d):
-    return ties.scaled_rmse(_scored(spark, d)).select("job", r6("rmse").alias("rmse"))
+    return ties.scaled_rmse(_scored(spark, d, False)).select("job", r6("rmse").alias("rmse"))
 
 
 SQL["scaled_rmse"] = duck(f"+{PROJ} select job, round(sqrt(avg(res * res)), 6) rmse from t group by 1", "tie")
@@ -177,7 +177,7 @@ SQL["scaled_rmse"] = duck(f"+{PROJ} select job, round(sqrt(avg(res * res)), 6) r
 @query
 def report_rollup(spark, d):
     """Counts by job and line of thought (inlier or not), with subtotals."""
-    return _scored(spark, d).rollup("job", "inlier").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("conf"))
+    return _scored(spark, d, False).rollup("job", "inlier").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("conf"))
 
 
 SQL["report_rollup"] = duck(f"+{PROJ} select job, res <= 3.5 inlier, count(*) n, round(avg(conf), 6) conf from t group by rollup(job, inlier)", "tie")
@@ -382,7 +382,7 @@ SQL["csv_rows"] = duck("""select job, i, printf('P-%04d', i) || ',' || i || ',"a
 
 @query
 def dossier_json(spark, d):
-    q = ties.report(_scored(spark, d))
+    q = ties.report(_scored(spark, d, False))
     return q.select("job", F.to_json(F.struct("job", "candidates", "inliers", (F.col("candidates") - F.col("inliers")).alias("rejected"))).alias("dossier"))
 
 
@@ -418,7 +418,7 @@ SQL["shoelace_area"] = duck("""+v as (select job, rx * coalesce(lead(ry) over w,
 @query
 def matches_both_ways(spark, d):
     """Cells found as sources and as references (intersection), and sources only (difference)."""
-    t = view(spark, d, "tie")
+    t = view(spark, d, "tie_unnumbered")
     a = t.select("job", F.floor(F.col("sx") / 20).alias("u"), F.floor(F.col("sy") / 20).alias("v"))
     b = t.select("job", F.floor(F.col("rx") / 20).alias("u"), F.floor(F.col("ry") / 20).alias("v"))
     return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.exceptAll(a.intersect(b).select("job", "u", "v")).distinct().subtract(b).withColumn("kind", F.lit("source")))

@@ -161,3 +161,20 @@ def test_nearest_two_of_many_copies(spark):
             d = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), i) for i, y in refs_)
             want.append((s, d[0][1], d[0][0], d[1][0] if len(d) > 1 else None))
         assert sorted(map(tuple, match.nearest_two(make(srcs), make(refs_)).collect())) == want
+
+
+def test_vectors_that_are_no_vectors(spark):
+    """Rows with nulls, NaN or infinities are in no pair and change no other row's pairs."""
+    make = lambda rows: spark.createDataFrame(rows, "id bigint, v array<double>")
+    nan, inf = float("nan"), float("inf")
+    bad = [(90, None), (91, [nan, 1.0]), (92, [1.0, None]), (93, []), (None, [1.0, 2.0]), (94, [inf, 0.0]), (95, [1.0, -inf])]
+    src, ref = make([(0, [1.0, 2.0]), *bad]), make([(1, [1.0, 2.0]), (2, [0.0, 1.0]), *bad])
+    (row,) = match.nearest_two(src, ref).collect()
+    assert tuple(row) == (0, 1, 0.0, 2**0.5)
+    assert match.unusable(src) == len(bad) and match.nearest_two(make(bad), ref).count() == 0
+
+
+def test_entropy_of_one_value_and_of_none(spark):
+    px = spark.createDataFrame([(1, 5.0)] * 3 + [(2, None), (2, 0.0), (3, 1.0), (3, 2.0)], "k int, dn double")
+    got = {r.k: (r.entropy, r.n) for r in image.entropy(px, ["k"]).collect()}
+    assert got == {1: (0.0, 3), 2: (0.0, 0), 3: (1.0, 2)} and str(got[1][0]) == "0.0"

@@ -151,3 +151,61 @@ def test_png_bytes_read_back():
     a = np.random.default_rng(2).integers(0, 256, (9, 13)).astype(np.uint8)
     v, ok = raster.png_window(raster.png_bytes(a), 2, 1, 6, 7)
     assert (v == a[1:8, 2:8]).all() and ok.all()
+
+
+@pytest.mark.parametrize("text, want", [(" 5.5 ", 5.5), ("\t-1e3\n", -1000.0), (".5", 0.5), ("5.", 5.0), ("5d", None), ("7f", None), ("0x1p3", None), ("1 2", None), ("", None), (None, None), ("inf", float("inf")), ("+1", 1.0), ("1e", None)])
+def test_numbers_of_texts(spark, text, want):
+    from pyspark.sql import functions as F
+
+    from selenite.functions import scalar
+
+    assert spark.createDataFrame([(text,)], "t string").select(scalar.lenient_double(F.col("t"))).first()[0] == want
+
+
+def test_settings_without_text(spark):
+    from selenite.functions import rules
+
+    (row,) = rules.router_settings(spark.createDataFrame([(1, None)], "id int, text string")).collect()
+    assert row.violations == ["no routing"]
+
+
+def test_boxes_of_labels(spark):
+    """Edges in radians, corners where an edge is missing, instruments by name, and no emission angle."""
+    need = "<gsd>1</gsd><pixel_resolution unit='km/pixel'>2</pixel_resolution><incidence_angle>1</incidence_angle><solar_azimuth>2</solar_azimuth>"
+    edges = "".join(f"<{n}_bounding_coordinate unit='rad'>{v}</{n}_bounding_coordinate>" for n, v in (("south", 0.5), ("north", 1), ("west", 1), ("east", 2)))
+    corners = "<upper_left_latitude>4</upper_left_latitude><lower_right_latitude>-1</lower_right_latitude><corner_longitude>7</corner_longitude><upper_right_longitude unit='radian'>0.1</upper_right_longitude><upper_middle_latitude>x</upper_middle_latitude>"
+    texts = [need + edges, need + corners + edges.replace("north_b", "nrth_b"), need + corners + edges, need + "<name>my Camera</name><instrument_id>z</instrument_id><emission>x</emission>", need + edges.replace(">2<", ">y<")]
+    t = spark.createDataFrame([(i, f"<r>{x}</r>".encode()) for i, x in enumerate(texts)], "id int, content binary")
+    got = {r.id: r for r in xmllabel.telemetry(t).collect()}
+    box = lambda i: [None if v is None else round(v, 9) for v in (got[i].lat_min, got[i].lat_max, got[i].lon_min, got[i].lon_max)]
+    rad = [round(float(np.degrees(v)), 9) for v in (0.5, 1, 1, 2)]
+    assert box(0) == rad and box(2) == rad and box(1) == [-1, 4, round(float(np.degrees(0.1)), 9), 7]
+    assert got[0].emission == 0 and got[0].gsd == 2000 and got[0].violations == []
+    assert got[3].instrument == "MY CAMERA" and got[3].violations == ["emission number"] and "box number" in got[4].violations
+
+
+STATES = [(mode, separate, attached) for mode in ("auto", "separate", "attached", "none") for separate in ("no", "ok", "bad") for attached in ("no", "ok", "differs", "bad")]
+
+
+def test_label_modes(spark):
+    """Expectations of the modes one by one: what is refused, and what is only warned of."""
+    from selenite.operators import records
+
+    kinds = "id int, width int, height int, bands int, dtype string, offset int, row_bytes int, product_id string, violations array<string>"
+    row = lambda i, state, name: (i, 4 + (state == "differs"), 4, 1, "<i2", 0, 8, name, ["x"] if state == "bad" else [])
+    of = lambda k, name: spark.createDataFrame([row(i, s[k], name) for i, s in enumerate(STATES) if s[k] != "no"], kinds)
+    scenes = spark.createDataFrame([(i, s[0]) for i, s in enumerate(STATES)], "id int, mode string")
+    got = {r.id: r for r in records.resolved(scenes, of(1, "urn:a:P1"), of(2, "p1"), of(0, None).where("id < 0")).collect()}
+    for i, (mode, separate, attached) in enumerate(STATES):
+        sound = separate == "no" or separate == "ok" and attached in ("no", "ok")
+        if mode == "attached":  # a separate label, whatever it says, is overridden
+            want = "attached" if attached in ("ok", "differs") else None
+            assert bool(got[i].warnings) == (separate != "no")
+        elif mode == "separate":
+            want = "separate" if sound and separate == "ok" else None
+        elif mode == "auto":
+            want = ("separate" if sound else None) if separate != "no" else "attached" if attached in ("ok", "differs") else None
+        else:
+            want = None  # no container here
+        assert got[i].route == want and bool(got[i].violations) == (want is None), (STATES[i], got[i])
+        assert ("conflict" in got[i].violations) == (mode != "attached" and separate == "ok" and attached == "differs")

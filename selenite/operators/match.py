@@ -64,7 +64,7 @@ def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> Dat
 
     def best(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"side": [], "s": [], "r": [], "d": []})
+            return pd.DataFrame({"side": pd.Series([], dtype=object), "s": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=float)})
         return pd.concat([_two_best(*((x, y) if side == "f" else (y, x))).assign(side=side) for side in sides])[["side", "s", "r", "d"]]
 
     found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(best, "side string, s bigint, r bigint, d double")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ LEAST, TOP, INSIDE = 10, 2000, 50
 GROUP, MEMORY = 3_000_000, 300
 #: Bits of the bitmap of frequent pairs, and of one of the segments that it is made of.
 CELLS, SEGMENT = 1 << 27, 1 << 16
-CACHE = 400_000
+#: Bytes of pieces whose triples are looked for at a time.
+PIECES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words and pairs of the pieces p (lang, piece, m).
@@ -103,15 +105,13 @@ def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             yield from con.sql(SUMS.format(least=least)).to_arrow_table().to_batches(50_000)
 
 
-def _hashed(names, known: dict[str, int]) -> np.ndarray:
+def _hashed(names: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each name; each different one is hashed once."""
     import xxhash
 
-    if len(known) > CACHE:
-        known.clear()
-    for w in set(names):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, names), np.uint64, len(names))
+    names = names.dictionary_encode()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, names.dictionary.to_pylist()), np.uint64, len(names.dictionary))
+    return own[names.indices.to_numpy()]
 
 
 def _cells(lang: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
@@ -124,42 +124,51 @@ def bitmap(pairs: DataFrame) -> np.ndarray:
 
     size = CELLS
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = b["gram"].str.split(" ")
-            c = _cells(*(_hashed(list(x), known) for x in (b["lang"], words.str[0], words.str[1])), size)
-            yield pd.DataFrame({"segment": c // SEGMENT, "bit": c % SEGMENT})
+            words = pc.split_pattern(b.column(1), " ").flatten()
+            c = _cells(_hashed(b.column(0)), _hashed(words.take(pa.array(np.arange(0, len(words), 2)))), _hashed(words.take(pa.array(np.arange(1, len(words), 2)))), size)
+            yield pa.RecordBatch.from_arrays([pa.array(c // SEGMENT), pa.array(c % SEGMENT)], ["segment", "bit"])
 
     def segment(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(SEGMENT, np.uint8)
         bits[b["bit"].to_numpy()] = 1
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    seen = pairs.select("lang", "gram").mapInPandas(cells, "segment bigint, bit bigint").distinct()
+    seen = pairs.select("lang", "gram").mapInArrow(cells, "segment bigint, bit bigint").distinct()
     out = np.zeros((size // SEGMENT, SEGMENT // 8), np.uint8)
     for r in seen.groupBy("segment").applyInPandas(segment, "segment bigint, bits binary").toLocalIterator():
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The batches, so many put together that a table has about `size` bytes."""
+    held = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _triples(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.Table]:
     """Groups of triples (lang, gram, m) of pieces whose pairs are both marked."""
-    known: dict[str, int] = {}
     held, size = [], 0
-    for batch in batches:
-        langs, weights = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-        cut = [p.split(" ") for p in batch.column(1).to_pylist()]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        of, words = np.repeat(np.arange(len(cut)), n), [w for c in cut for w in c]
+    for own in _together(batches, PIECES):
+        langs, texts, weights = (own.column(i).combine_chunks() for i in range(3))
+        cut = pc.split_pattern(texts, " ")
+        words, n = cut.flatten(), pc.list_value_length(cut).to_numpy()
         if len(words) < 3:
             continue
-        h, lang = _hashed(words, known), _hashed(langs, {})[of]
-        c = _cells(lang[:-1], h[:-1], h[1:], 8 * len(marks))
+        of, h = np.repeat(np.arange(len(n)), n), _hashed(words)
+        c = _cells(_hashed(langs)[of[:-1]], h[:-1], h[1:], 8 * len(marks))
         pair = (marks[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool) & (of[:-1] == of[1:])
         at = np.flatnonzero(pair[:-1] & pair[1:])
-        grams = [f"{words[i]} {words[i + 1]} {words[i + 2]}" for i in at.tolist()]
-        held.append(pa.table({"lang": pa.array([langs[i] for i in of[at].tolist()], pa.string()), "gram": pa.array(grams, pa.string()), "m": pa.array(weights[of[at]])}))
+        grams = pc.binary_join_element_wise(*(words.take(pa.array(at + k)) for k in range(3)), " ")
+        held.append(pa.table({"lang": langs.take(pa.array(of[at])), "gram": grams, "m": weights.take(pa.array(of[at]))}))
         size += len(at)
         if size >= GROUP:
             yield pa.concat_tables(held)
@@ -186,20 +195,11 @@ def frequent(pieces: DataFrame, least: int, marks: np.ndarray | None = None) ->
     buckets = 4 * tasks
     shared = None if marks is None else spark.sparkContext.broadcast(marks)
 
-    def groups(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes // 3  # bytes to a word or pair, about
-            if size >= GROUP:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
+    size = 3 * GROUP  # three bytes to a word or pair, about
 
     def deal(batches):
         if shared is None:
-            return _dealt(groups(batches), PAIRS, buckets)
+            return _dealt(_together(batches, size), PAIRS, buckets)
         return _dealt(_triples(batches, shared.value), "select lang, gram, m from p", buckets)
 
     bounded_batches(spark)

@@ -51,6 +51,21 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
     return df.mapInArrow(run, kinds)
 
 
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
+    """The same for functions that take a batch of Arrow columns and return such columns."""
+    bounded_batches(df.sparkSession)
+    kinds: StructType = parse(schema)
+    arrow = _arrow(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = None
+        for b in pieces(batches):
+            f = f or make()
+            yield pa.RecordBatch.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip(f(b), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kinds)
+
+
 def plain(names: list[str]) -> list[str]:
     """Names c0, c1, ... to work under, so that no column can clash with ours and none needs quoting."""
     return [f"c{i}" for i in range(len(names))]

@@ -25,19 +25,39 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_arrow, map_rows
 from .common import Scratch, spread_join, table
 from .op6_bpe import byte_letters
 
 STRETCHES = 200_000
+#: Stretches that are encoded as one text.
+RUN = 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: Letters after which, and signs before which, a text may be cut; and all places where it is.
 LETTER, SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", ".,;:!?"
 stretches = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[{LETTER}])(?=[{SIGN}])").split
 BLANK = "▁"
+#: What \S excludes, spelled out for a library that knows fewer blanks, and a mark that hardly any text holds.
+BLANKS, MARK = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\U0010ffff"
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The stretches of all texts (with a blank before each; a null has none): the different ones, which of them stands at each place, and how many places a text has."""
+    texts = pa.array(texts, pa.string())
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        lists = pa.array([None if t is None else stretches(" " + t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        full = pc.binary_join_element_wise(" ", texts, "")
+        for before, after in ((f"[^{BLANKS}]", "[ \n]"), (f"[{LETTER}]", f"[{SIGN}]")):
+            full = pc.replace_substring_regex(full, f"({before})({after})", rf"\1{MARK}\2")
+        lists = pc.split_pattern(full, MARK)
+    words = lists.flatten().dictionary_encode()
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    return words.dictionary, words.indices.to_numpy().astype(np.int64), n
 
 
 class Pair:
@@ -82,39 +102,49 @@ class Pair:
         b = [e[2:] for e in self.b.encode(["\n" + p for p in parts], num_threads=1)]
         return a, b
 
-
-def _lists(ids: list[list[int]], lengths: np.ndarray) -> list[pa.Array]:
-    """The ids and their lengths as columns of lists."""
-    offsets = pa.array(np.concatenate([[0], np.cumsum(list(map(len, ids)))]), pa.int32())
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, offsets[-1].as_py())
-    return [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (flat, lengths[flat])]
+    def columns(self, parts: pa.Array) -> list[pa.Array]:
+        """ids and lengths of both, as lists. Stretches that may stand one after the other are encoded together and cut by their bytes."""
+        names = parts.to_pylist()
+        alone = np.array([w[0] != " " or w[-1].isspace() for w in names], bool)
+        order = np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])
+        k, rest = int(alone.sum()), [names[i] for i in order[int(alone.sum()) :]]
+        runs = ["".join(rest[i : i + RUN]) for i in range(0, len(rest), RUN)]
+        size = np.array([len(w.encode()) for w in rest], np.int64)
+        out = []
+        for ids, lengths in zip(self.encode([names[i] for i in order[:k]] + runs), (self.a_len, self.b_len)):
+            own = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+            each = np.array(list(map(len, ids[:k])), np.int64)
+            joined = own[each.sum() :]
+            ends = np.cumsum(lengths[joined])
+            upto = np.searchsorted(ends, np.cumsum(size), "right")  # tokens up to each stretch's end
+            if len(size) and ((ends[upto - 1] != np.cumsum(size)).any() or upto[-1] != len(joined)):
+                raise ValueError("a token lies across a cut")
+            each = np.concatenate([each, np.diff(upto, prepend=0)])
+            offsets = np.concatenate([[0], np.cumsum(each)])
+            back = np.argsort(order)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(own)).take(pa.array(back))
+            flat = lists.flatten().to_numpy()
+            out += [lists, pa.ListArray.from_arrays(lists.offsets, pa.array(lengths[flat]))]
+        return out
 
 
 def _tokens(units: DataFrame, pair) -> DataFrame:
     """cid, stretch, n (how often it stands in the texts), and of both tokenizers the ids and lengths."""
 
     def counted():
-        def f(cols):
-            n = collections.Counter()
-            for t in cols["text"]:
-                if t is not None:
-                    n.update(stretches(" " + t))
-            return [list(n), list(n.values())]
+        def f(batch):
+            words, at, _ = cut(batch.column(0))
+            return [words, pa.array(np.bincount(at, minlength=len(words)))]
 
         return f
 
     def encoded():
         p = pair()
+        return lambda batch: [batch.column(0), batch.column(1), *p.columns(batch.column(0))]
 
-        def f(cols):
-            a, b = p.encode(cols["stretch"])
-            return [cols["stretch"], cols["n"], *_lists(a, p.a_len), *_lists(b, p.b_len)]
-
-        return f
-
-    n = map_rows(units.select("text"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
+    n = map_arrow(units.select("text"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
     kinds = "stretch string, n bigint, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
-    return map_rows(n, encoded, kinds).withColumn("cid", F.monotonically_increasing_id())
+    return map_arrow(n, encoded, kinds).withColumn("cid", F.monotonically_increasing_id())
 
 
 def _aligned(tokens: DataFrame) -> DataFrame:
@@ -178,8 +208,8 @@ class Alignment:
 
         return map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), make, "row bigint, doc_id bigint, text string")
 
-    def documents(self, last: str, of) -> DataFrame:
-        """doc_id, NUMBERS and a last column, of(the text's groups), for each row."""
+    def documents(self, last: str, made) -> DataFrame:
+        """doc_id, NUMBERS and a last column, made(the text's groups), for each row."""
         # a stretch takes one place for every 64 bytes; those with most uses a place are broadcast, as far as there are places
         places = F.ceil(F.octet_length("stretch") / 64)
         level = F.floor(F.log2(F.col("n") / places) * 8)
@@ -194,48 +224,60 @@ class Alignment:
         known = {w: i for i, w in enumerate(hot["stretch"])}
         hot = self.spark.sparkContext.broadcast((known, hot[NUMBERS].to_numpy(np.int64), hot["groups"].tolist()))
 
-        def rare(text: str, known: dict) -> list[str]:
-            """The stretches that aren't broadcast, each once, by their first place."""
-            return [w for w in dict.fromkeys(stretches(" " + text)) if w not in known]
+        def places(batch_text, known):
+            """Of each place its text, the broadcast stretch there or -1, and else the question that it belongs to; and the questions.
+
+            A text asks for each of its other stretches once, in the order of their first places.
+            """
+            words, at, n = cut(batch_text)
+            of = np.repeat(np.arange(len(n)), n)
+            hot = np.fromiter((known.get(w, -1) for w in words.to_pylist()), np.int64, len(words))[at]
+            rare = np.flatnonzero(hot < 0)
+            _, first, which = np.unique(of[rare] * len(words) + at[rare], return_index=True, return_inverse=True)
+            order = np.argsort(first)  # by place, so by text too
+            question = np.empty(len(order), np.int64)
+            question[order] = np.arange(len(order))
+            asked = rare[first[order]]
+            return n, of, hot, rare, question[which], of[asked], words.take(pa.array(at[asked]))
 
         def asked():
             known = hot.value[0]
 
-            def f(cols):
-                own = [[] if t is None else rare(t, known) for t in cols["text"]]
-                k = [i for w in own for i in range(len(w))]
-                return [[r for r, w in zip(cols["row"], own) for _ in w], k, list(itertools.chain.from_iterable(own))]
+            def f(batch):
+                *_, of, stretch = places(batch.column(1), known)
+                k = np.arange(len(of)) - np.searchsorted(of, of)
+                return [batch.column(0).take(pa.array(of)), pa.array(k, pa.int32()), stretch]
 
             return f
 
         def summed():
             known, numbers, texts = hot.value
-            size = len(texts)
-
-            def f(cols):
-                out = []
-                for t, told in zip(cols["text"], cols["told"]):
-                    if t is None:
-                        out.append(([0] * len(NUMBERS), of("")))
-                        continue
-                    # answers are numbers and groups in one text, in the order of the questions
-                    told = [x.split(" ") for x in told or []]
-                    here = dict(zip(rare(t, known), range(size, size + len(told))))
-                    at = [i if (i := known.get(w)) is not None else here[w] for w in stretches(" " + t)]
-                    place = np.array(at)
-                    sums = numbers[place[place < size]].sum(0)
-                    if told:
-                        sums = sums + np.array([x[:-1] for x in told]).astype(np.int64)[place[place >= size] - size].sum(0)
-                    out.append((sums.tolist(), of(";".join([texts[i] if i < size else told[i - size][-1] for i in at]))))
-                return [cols["doc_id"], *([x[0][k] for x in out] for k in range(len(NUMBERS))), [x[1] for x in out]]
+            texts = pa.array(texts, pa.string())
+
+            def f(batch):
+                n, of, at, rare, question, _, stretch = places(batch.column(1), known)
+                # answers are numbers and groups in one text, in the order of the questions
+                told = pc.split_pattern(batch.column(2).flatten(), " ", max_splits=len(NUMBERS)).flatten()
+                columns = [told.take(pa.array(np.arange(i, len(told), len(NUMBERS) + 1))) for i in range(len(NUMBERS) + 1)]
+                if len(columns[0]) != len(stretch):
+                    raise ValueError("questions and answers differ")
+                more = np.stack([c.cast(pa.int64()).to_numpy() for c in columns[:-1]], 1)
+                every, names = np.concatenate([numbers, more]), pa.concat_arrays([texts, columns[-1].cast(pa.string())])
+                place = at.copy()
+                place[rare] = len(texts) + question
+                upto = np.concatenate([np.zeros((1, len(NUMBERS)), np.int64), np.cumsum(every[place], 0)])
+                edge = np.concatenate([[0], np.cumsum(n)])
+                total = upto[edge[1:]] - upto[edge[:-1]]
+                groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), names.take(pa.array(place))), ";")
+                return [batch.column(0), *map(pa.array, total.T), pa.array(list(map(made, groups.to_pylist())), pa.string())]
 
             return f
 
-        want = map_rows(self.units.select("row", "text"), asked, "row bigint, k int, stretch string")
+        want = map_arrow(self.units.select("row", "text"), asked, "row bigint, k int, stretch string")
         rest = self.stats.where(~large).select("stretch", F.concat_ws(" ", *NUMBERS, "groups").alias("told"))
         told = want.join(rest, "stretch").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "told"))).alias("r"))
         both = self.units.join(told, "row", "left").select("doc_id", "text", F.col("r.told").alias("told"))
-        return map_rows(both, summed, f"doc_id bigint, {', '.join(f'{c} bigint' for c in NUMBERS)}, {last} string")
+        return map_arrow(both, summed, f"doc_id bigint, {', '.join(f'{c} bigint' for c in NUMBERS)}, {last} string")
 
 
 def default_paths() -> tuple[str, str]:

@@ -145,31 +145,48 @@ def bicubic(points: DataFrame, px: DataFrame, a: float = -0.75) -> DataFrame:
     return _gathered(points, px, (-1, 0, 1, 2), lambda t: cubic_weight(t, a))
 
 
-def _gathered(points: DataFrame, px: DataFrame, steps: tuple[int, ...], weight) -> DataFrame:
+def supported(points: DataFrame, px: DataFrame, cubic: bool = False) -> DataFrame:
+    """v and ok at (sx, sy) of each point: ok where every neighbour that has a weight is a sample and not null; v is 0 elsewhere.
+
+    Neighbours are those of bilinear() or bicubic(); samples with a null or NaN are invalid, and so is a null place.
+    """
+    return _gathered(points, px, *(((-1, 0, 1, 2), cubic_weight) if cubic else ((0, 1), lambda t: 1 - np.abs(t))), support=True)
+
+
+def _gathered(points: DataFrame, px: DataFrame, steps: tuple[int, ...], weight, support: bool = False) -> DataFrame:
     """Points and samples meet by tile, samples with the halo of the kernel; a point's samples are looked up in an array.
 
-    Points are shuffled once and never repeated; a null place gives a null value.
+    Points are shuffled once and never repeated; a null place gives a null value. With support there is ok beside v.
     """
     low, high, names = -steps[0], steps[-1], points.columns
     place = lambda c: F.floor(F.floor(c) / TILE)
     p = points.withColumns({"_ty": place("sy"), "_tx": place("sx")})
-    samples = tiled(px.select("y", "x", F.col("dn").cast("double").alias("dn")), low, high, None)
+    # both sides may come from one table: columns of their own keep them apart
+    samples = tiled(px.select(F.col("y").alias("y"), F.col("x").alias("x"), F.col("dn").cast("double").alias("dn")), low, high, None)
 
     def gather(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         own = a.select(names)
-        v = np.zeros(a.num_rows)
-        if a.num_rows and b.num_rows:
+        v, ok = np.zeros(a.num_rows), np.zeros(a.num_rows, bool)
+        placed = key[0].as_py() is not None and key[1].as_py() is not None
+        if a.num_rows and b.num_rows and placed:
             y0, x0 = (int(k.as_py()) * TILE - low for k in key)
             grid = np.zeros((TILE + low + high,) * 2)
-            grid[_column(b, "y") - y0, _column(b, "x") - x0] = np.nan_to_num(_column(b, "dn"))
+            dn = _column(b, "dn")  # nulls are NaN here
+            grid[_column(b, "y") - y0, _column(b, "x") - x0] = np.nan_to_num(dn)
+            have = np.zeros(grid.shape, bool)
+            have[_column(b, "y") - y0, _column(b, "x") - x0] = np.isfinite(dn)
+            ok[:] = True
             sx, sy = _column(a, "sx"), _column(a, "sy")
             fx, fy = np.floor(sx), np.floor(sy)
             for j in steps:
                 wy, y = weight(sy - fy - j), (fy + j - y0).astype(int)
                 for i in steps:
-                    v += weight(sx - fx - i) * wy * grid[y, (fx + i - x0).astype(int)]
-        value = pa.array(v) if key[0].as_py() is not None and key[1].as_py() is not None else pa.nulls(a.num_rows, pa.float64())
-        return own.append_column("v", value)
+                    w, x = weight(sx - fx - i) * wy, (fx + i - x0).astype(int)
+                    v += w * grid[y, x]
+                    ok &= have[y, x] | (w == 0)
+        if support:
+            return own.append_column("v", pa.array(np.where(ok, v, 0.0))).append_column("ok", pa.array(ok))
+        return own.append_column("v", pa.array(v) if placed else pa.nulls(a.num_rows, pa.float64()))
 
     g = lambda t: t.groupBy("_ty", "_tx")
-    return g(p).cogroup(g(samples)).applyInArrow(gather, f"{_fields(points, names)}v double")
+    return g(p).cogroup(g(samples)).applyInArrow(gather, f"{_fields(points, names)}v double" + ", ok boolean" * support)

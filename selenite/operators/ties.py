@@ -119,3 +119,37 @@ def lonlat(ties: DataFrame, west: float, north: float, step: float) -> DataFrame
 
 def csv_rows(t: DataFrame, columns: list[str]) -> DataFrame:
     return t.select("job", "i", F.concat_ws(",", *[F.coalesce(S.csv_field(F.col(c)), F.lit("")) for c in columns]).alias("line"))
+
+
+#: Columns of a tie's record, and those that follow where a scene is a window of a larger one.
+RECORD = ("point_id", "src_x", "src_y", "ref_x", "ref_y", "lat", "lon", "residual_px", "confidence")
+FULL = ("src_full_x", "src_full_y", "ref_full_x", "ref_full_y")
+
+
+def tie_records(t: DataFrame, keys: list[str], grid: tuple[float, float, float] | None = None, full: bool = False, wrap: bool = False) -> DataFrame:
+    """keys, i, RECORD (and FULL), line (its CSV text) and violations of each tie.
+
+    t: keys, i, point_id, sx, sy, rx, ry (of the window), res, conf, and with full the windows' origins sx0, sy0, rx0, ry0.
+    With a grid (west, north, step of the window's first pixel; or columns of these names) lat and lon are those of
+    reference pixel centres, else they are empty; wrap brings lon into -180..180. Ids are unique within keys.
+    """
+    c = F.col
+    finite = lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v)
+    west, north, step = (F.lit(None).cast("double"),) * 3 if grid is None else (x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in grid)
+    lon = west + (c("rx") + 0.5) * step
+    lon = F.pmod(lon + 180, F.lit(360.0)) - 180 if wrap else lon
+    lat = north - (c("ry") + 0.5) * step
+    again = t.groupBy(*keys, "point_id").agg((F.count(F.lit(1)) > 1).alias("_again"))
+    # an id that is null is a violation of its own
+    t = t.join(again, [*keys, "point_id"], "left")
+    bad = S.violations(
+        (F.coalesce(c("point_id"), F.lit("")) == "", "no id"), (F.coalesce(c("_again"), F.lit(False)), "id again"), (~(finite(c("sx")) & finite(c("sy")) & finite(c("rx")) & finite(c("ry"))), "place"),
+        (~(finite(c("res")) & (c("res") >= 0)), "residual"), (~(finite(c("conf")) & c("conf").between(0, 1)), "confidence"), (F.coalesce(~lat.between(-90, 90), F.lit(False)), "latitude"),
+    )
+    made = [c("point_id"), c("sx").alias("src_x"), c("sy").alias("src_y"), c("rx").alias("ref_x"), c("ry").alias("ref_y"), lat.alias("lat"), lon.alias("lon"), c("res").alias("residual_px"), c("conf").alias("confidence")]
+    names = list(RECORD)
+    if full:
+        made += [(c(v) + c(f"{v}0")).alias(n) for v, n in zip(("sx", "sy", "rx", "ry"), FULL)]
+        names += FULL
+    t = t.select(*keys, "i", *made, bad.alias("violations"))
+    return t.withColumn("line", F.concat_ws(",", *[F.coalesce(S.csv_field(c(n).cast("string")), F.lit("")) for n in names]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import image, kernels, records
 from ..shared import cut, shared_dir
-from ..sources import odl, raster, xmllabel
+from ..sources import bundles, odl, raster, tiff, xmllabel
 from .views import duck, view
 
 Q, SQL = {}, {}
@@ -51,20 +51,24 @@ SQL["raw_roundtrip"] = duck("select y, x, floor(dn)::double dn from px where x b
 @query
 def tiff_roundtrip(spark, d):
     """Tiles of pixels as images of 16-bit samples, and a window of each read back."""
-    px = view(spark, d, "px").withColumn("tile", F.floor(F.col("x") / 50).cast("bigint"))
+    px = view(spark, d, "px").withColumns({"tile": F.floor(F.col("x") / 50).cast("bigint"), "row": F.floor(F.col("y") / 256).cast("bigint")})
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf.tile.iloc[0])
-        return pd.DataFrame({"tile": [t], "tiff": [raster.tiff_bytes(raster.image_array(pdf.assign(x=pdf.x - 50 * t), "u2"), rows=3)]})
+        t, r = int(pdf.tile.iloc[0]), int(pdf.row.iloc[0])
+        a = raster.image_array(pdf.assign(x=pdf.x - 50 * t, y=pdf.y - 256 * r), "u2")
+        return pd.DataFrame({"tile": [t], "row": [r], "tiff": [tiff.encoded(a, tiff.DEFLATE, rows=3)]})
 
-    files = cut(px.groupBy("tile").applyInPandas(write, "tile bigint, tiff binary"))
+    files = cut(px.groupBy("tile", "row").applyInPandas(write, "tile bigint, row bigint, tiff binary"))
 
     def read(batches):
         for b in batches:
-            for t, raw in zip(b.tile, b.tiff):
-                a = raster.tiff_window(raw, 10, 1, 30)
+            for t, r, raw in zip(b.tile, b.row, b.tiff):
+                f, first = tiff.opened(raw), int(r == 0)
+                if f.height <= first:
+                    continue
+                a = f.window(10, first, 30)[0][:, :, 0]
                 y, x = np.indices(a.shape)
-                yield pd.DataFrame({"tile": t, "y": y.ravel() + 1, "x": x.ravel() + 10, "dn": a.ravel().astype(float)})
+                yield pd.DataFrame({"tile": t, "y": (y.ravel() + first + 256 * r).astype("int32"), "x": (x.ravel() + 10).astype("int32"), "dn": a.ravel().astype(float)})
 
     return files.mapInPandas(read, "tile bigint, y int, x int, dn double")
 
@@ -87,16 +91,16 @@ def tile_extract(spark, d):
         "path": F.lit(f"{folder}/a.raw"), "file_size": F.lit(size), "file_sha256": F.sha2(F.lit("stated"), 256), "label": F.lit("H" * 64).cast("binary"), "format": F.lit("PDS3"), "dtype": F.lit(">i2"),
         "width": F.lit(100), "height": F.lit(height), "offset": F.lit(64), "prefix": F.lit(0), "suffix": F.lit(0), "band": F.lit(0),
     })
-    made = cut(raster.extract_tiles(r, f"{folder}/tiles"))
+    bundles.publish(bundles.tile_bundles(r), f"{folder}/tiles")
 
-    def read(batches):
-        for b in batches:
-            tiles = [raster.tiff_window(x) for x in b.content]
-            yield pd.DataFrame({"name": b.name, "digest": [hashlib.sha256(x).hexdigest() for x in b.content], "width": [a.shape[1] for a in tiles], "height": [a.shape[0] for a in tiles], "dtype": ["<" + a.dtype.str[1:] for a in tiles], "total": [float(a.astype(float).sum()) for a in tiles]})
+    def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(b.name, b.content))
+        raw = of["tile.tif"]
+        a = tiff.opened(raw).window()[0][:, :, 0]
+        return pd.DataFrame({"id": [int(key[0].removeprefix("tile-"))], "content": [of["tile.json"].decode()], "digest": [hashlib.sha256(raw).hexdigest()], "width": [a.shape[1]], "height": [a.shape[0]], "dtype": ["<" + a.dtype.str[1:]], "total": [float(a.astype(float).sum())]})
 
-    store.create_dir(f"{root}/tiles")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(f"{folder}/tiles").select(F.substring_index("path", "/", -1).alias("name"), "content")
-    back = files.mapInPandas(read, "name string, digest string, width int, height int, dtype string, total double").join(made.select("id", "name", F.col("manifest").alias("content")), "name")
+    store.create_dir(f"{root}/tiles", recursive=True)
+    back = bundles.published(spark, f"{folder}/tiles").groupBy("bundle").applyInPandas(read, "id bigint, content string, digest string, width int, height int, dtype string, total double")
     t = back.select("id", "content", F.col("digest").alias("tile_digest"), "width", "height", "dtype", F.lit(100).alias("layout_width"), F.lit(height).alias("layout_height"), F.lit(">i2").alias("layout_dtype"), "total")
     out = cut(records.manifests(t).select("id", F.col("m.tile.x").alias("x"), "height", "total", F.concat_ws(";", "violations").alias("reasons")))
     store.delete_dir(root)
@@ -107,45 +111,6 @@ SQL["tile_extract"] = duck("""+b as (select k, 10 * k x0, k % 3 y0, (select max(
 select k id, x0 x, h::int height, sum(floor(dn))::double total, '' reasons from b join px on x between x0 and x0 + 19 and y between y0 and y0 + h - 1 group by 1, 2, 3""", "px")
 
 
-@query
-def bundle_export(spark, d):
-    """Images, tie records and dossiers of eight scenes, published together, read back and compared with what went in."""
-    from pyarrow import fs
-
-    folder = _folder(spark)
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    px = view(spark, d, "px").withColumn("scene", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
-    ties = view(spark, d, "tie").withColumnRenamed("job", "scene")
-    made = cut(raster.write_bundle(px, ties, folder))
-    back = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), "content")
-
-    def contents(batches):
-        for b in batches:
-            n, total = [], []
-            for name, raw in zip(b.name, b.content):
-                if name.endswith(".tif"):
-                    a = raster.tiff_window(raw)
-                    n.append(a.size)
-                    total.append(float(np.floor(a.astype(float)).sum()))
-                else:
-                    rows = raw.decode().splitlines()[1:] if name.endswith(".csv") else [f",,,{json.loads(raw)['ties']}"]
-                    n.append(len(rows))
-                    total.append(float(sum(round(float(r.split(",")[3]) * 100) for r in rows)))
-            yield pd.DataFrame({"name": b.name, "digest": [hashlib.sha256(x).hexdigest() for x in b.content], "n": n, "total": total})
-
-    read = back.mapInPandas(contents, "name string, digest string, n bigint, total double")
-    same = F.coalesce(F.col("digest") == F.col("sha256"), F.lit(False)).alias("same")
-    out = cut(made.join(read, "name", "left").select("scene", "name", same, "n", "total"))
-    store.delete_dir(root)
-    return out
-
-
-SQL["bundle_export"] = duck("""+i as (select count(*) n, sum(floor(dn::float::double)) total from px), r as (select job, count(*) n, sum(round(conf * 100)) total from tie group by 1)
-select job scene, 'scene-' || job || kind name, true same, case kind when '.tif' then i.n when '.csv' then r.n else 1 end n,
- case kind when '.tif' then i.total when '.csv' then r.total else r.n * 100.0 end::double total from r, i, (select unnest(['.tif', '.csv', '.json']) kind)""", "px", "tie")
-
-
 @query
 def preview_png(spark, d):
     """A preview of the stretched, averaged pixels, at most 1024 of them along an axis, as a PNG in a data address."""

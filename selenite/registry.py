@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import files, labels, pixels, records, register, tiepoints
+from .plans import exports, files, labels, pixels, records, register, tiepoints
 
 FLAGSHIP = "quality_report"
-PARTS = (pixels, tiepoints, labels, records, files, register)
+PARTS = (pixels, tiepoints, labels, records, files, exports, register)
 
 
 def queries() -> dict:

@@ -7,7 +7,6 @@ than the window's samples of each.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from functools import reduce
 
@@ -82,116 +81,7 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     return r.load()
 
 
-# TIFF ---------------------------------------------------------------------------------------------
-
-TYPES = {"u1": (8, 1), "u2": (16, 1), "i2": (16, 2), "f4": (32, 3), "f8": (64, 3)}
-
-
-def geo_tags(west: float, north: float, step: float, nodata: float | None = None) -> dict[int, tuple | bytes]:
-    """Tags of a north-up grid in degrees: pixel size, the upper-left corner, area pixels, and the value of no data."""
-    keys = (1, 1, 0, 2, 1024, 0, 1, 2, 1025, 0, 1, 1)
-    tags: dict[int, tuple | bytes] = {33550: (step, step, 0.0), 33922: (0.0, 0.0, 0.0, west, north, 0.0), 34735: keys}
-    return tags | ({42113: f"{nodata!r}\0".encode()} if nodata is not None else {})
-
-
-def verified(b: bytes, like: np.ndarray, tags: dict[int, tuple | bytes]) -> bytes:
-    """The file, after its header was read again and found to say what was meant."""
-    _, t = tiff_tags(b)
-    bits, form = TYPES[like.dtype.str[1:]]
-    meant = {256: (like.shape[1],), 257: (like.shape[0],), 258: (bits,), 339: (form,)} | {k: v if isinstance(v, tuple) else (v,) for k, v in tags.items()}
-    if wrong := [k for k, v in meant.items() if t.get(k) != v]:
-        raise ValueError(f"the header's tags {wrong} differ")
-    return b
-
-
-def tiff_bytes(a: np.ndarray, rows: int = 64, tags: dict[int, tuple | bytes] | None = None) -> bytes:
-    """A little-endian TIFF of one band: deflated strips, integers by horizontal differences. Further tags are text, short integers or doubles."""
-    kind = a.dtype.str[1:] if a.dtype.str[1:] in TYPES else None
-    if kind is None or a.ndim != 2:
-        raise ValueError("one band of u1, u2, i2, f4 or f8 samples is stored")
-    bits, form = TYPES[kind]
-    whole = form in (1, 2)
-    strips = []
-    for y in range(0, a.shape[0], rows):
-        s = a[y : y + rows].astype(a.dtype.newbyteorder("<"))
-        if whole:
-            s = np.concatenate([s[:, :1], s[:, 1:] - s[:, :-1]], axis=1)
-        strips.append(zlib.compress(s.tobytes(), 6))
-    entries: list[tuple[int, int, int, bytes]] = []
-
-    def add(tag: int, type_: int, values: list[int]):
-        entries.append((tag, type_, len(values), struct.pack("<" + {3: "H", 4: "I"}[type_] * len(values), *values)))
-
-    at, offsets = 8, []
-    for s in strips:
-        offsets.append(at)
-        at += len(s)
-    for tag, type_, values in ((256, 4, [a.shape[1]]), (257, 4, [a.shape[0]]), (258, 3, [bits]), (259, 3, [8]), (262, 3, [1]), (273, 4, offsets), (277, 3, [1]), (278, 4, [rows]), (279, 4, list(map(len, strips))), (317, 3, [2 if whole else 1]), (339, 3, [form])):
-        add(tag, type_, values)
-    for tag, v in (tags or {}).items():
-        if isinstance(v, bytes):
-            entries.append((tag, 2, len(v), v))
-        elif all(isinstance(x, int) for x in v):
-            add(tag, 3, list(v))
-        else:
-            entries.append((tag, 12, len(v), struct.pack(f"<{len(v)}d", *v)))
-    entries.sort()
-    body = b"".join(strips)
-    body += b"\0" * (len(body) % 2)
-    start = 8 + len(body)
-    extra_at, extra, head = start + 2 + 12 * len(entries) + 4, b"", struct.pack("<H", len(entries))
-    for tag, type_, n, raw in entries:
-        if len(raw) <= 4:
-            head += struct.pack("<HHI", tag, type_, n) + raw.ljust(4, b"\0")
-        else:
-            head += struct.pack("<HHII", tag, type_, n, extra_at + len(extra))
-            extra += raw + b"\0" * (len(raw) % 2)
-    return b"II*\0" + struct.pack("<I", start) + body + head + struct.pack("<I", 0) + extra
-
-
-def tiff_tags(b: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the first directory of a TIFF; strings as bytes."""
-    if b[:4] not in (b"II*\0", b"MM\0*"):
-        raise ValueError("no TIFF")
-    o = "<" if b[:2] == b"II" else ">"
-    at = struct.unpack_from(o + "I", b, 4)[0]
-    out = {}
-    for k in range(struct.unpack_from(o + "H", b, at)[0]):
-        tag, type_, n = struct.unpack_from(o + "HHI", b, at + 2 + 12 * k)
-        size = {1: 1, 2: 1, 3: 2, 4: 4, 11: 4, 12: 8}.get(type_)
-        if size is None:
-            continue
-        where = at + 10 + 12 * k if size * n <= 4 else struct.unpack_from(o + "I", b, at + 10 + 12 * k)[0]
-        if where + size * n > len(b):
-            raise ValueError("a tag lies outside")
-        out[tag] = (b[where : where + n],) if type_ in (1, 2) else struct.unpack_from(f"{o}{n}" + {3: "H", 4: "I", 11: "f", 12: "d"}[type_], b, where)
-    return o, out
-
-
-def tiff_window(b: bytes, x: int = 0, y: int = 0, w: int | None = None, h: int | None = None) -> np.ndarray:
-    """Samples of a window; only the strips that it meets are inflated."""
-    o, t = tiff_tags(b)
-    width, height, rows = t[256][0], t[257][0], t.get(278, (t[257][0],))[0]
-    w, h = w or width - x, h or height - y
-    if x < 0 or y < 0 or x + w > width or y + h > height:
-        raise ValueError("the window lies outside of the image")
-    form = t.get(339, (1,))[0]
-    dtype = np.dtype(f"{o}{'uif'[form - 1]}{t[258][0] // 8}")
-    out = np.empty((h, w), dtype.newbyteorder("="))
-    for k in range(y // rows, (y + h - 1) // rows + 1):
-        raw = b[t[273][k] : t[273][k] + t[279][k]]
-        comp = t.get(259, (1,))[0]
-        if comp in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif comp != 1:
-            raise ValueError(f"compression {comp}")
-        n = min(rows, height - k * rows)
-        s = np.frombuffer(raw, dtype, n * width).reshape(n, width).astype(dtype.newbyteorder("="))
-        if t.get(317, (1,))[0] == 2:
-            s = np.cumsum(s, axis=1, dtype=s.dtype)
-        a, z = max(y, k * rows), min(y + h, k * rows + n)
-        out[a - y : z - y] = s[a - k * rows : z - k * rows, x : x + w]
-    return out
+# PNG, and what a file is -----------------------------------------------------------------------
 
 
 def png_bytes(a: np.ndarray) -> bytes:
@@ -270,42 +160,6 @@ def image_array(pdf: pd.DataFrame, dtype: str) -> np.ndarray:
     return a
 
 
-def write_bundle(px: DataFrame, ties: DataFrame, folder: str, dtype: str = "f4", grid: tuple[float, float, float] | None = None) -> DataFrame:
-    """For each scene an image, the ties' records and a dossier, published together; returns name, bytes and sha256.
-
-    All files are staged under other names and moved when all are written, so readers see all or none; an
-    existing bundle is refused. With a grid (west, north, step) the image is georeferenced and the records have
-    lon and lat, else those are blank. A scene's pixels are bounded by the upload limit (2**24 samples).
-    """
-    import hashlib
-    import json
-
-    def run(key: tuple, image: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        fs, root = _open(folder)
-        fs.create_dir(root, recursive=True)
-        scene = int(key[0])
-        place = lambda x, y: f"{grid[0] + (x + 0.5) * grid[2]!r},{grid[1] - (y + 0.5) * grid[2]!r}" if grid else ","
-        lines = ["id,rx,ry,conf,lon,lat", *(f"P-{i:04d},{float(rx)!r},{float(ry)!r},{float(c)!r},{place(float(rx), float(ry))}" for i, rx, ry, c in zip(rows.i, rows.rx, rows.ry, rows.conf))]
-        a, tags = image_array(image, dtype), geo_tags(*grid) if grid else {}
-        files = {f"scene-{scene}.tif": verified(tiff_bytes(a, tags=tags), a, tags), f"scene-{scene}.csv": ("\r\n".join(lines) + "\r\n").encode()}
-        files[f"scene-{scene}.json"] = json.dumps({"scene": scene, "ties": len(rows), "sha256": {n: hashlib.sha256(b).hexdigest() for n, b in files.items()}}, allow_nan=False).encode()
-        if any(fs.get_file_info(f"{root}/{n}").type.name == "File" for n in files):
-            raise FileExistsError(f"scene {scene} is published")
-        stage = f"{root}/.stage-{uuid.uuid4().hex}"
-        fs.create_dir(stage)
-        try:
-            for n, b in files.items():
-                with fs.open_output_stream(f"{stage}/{n}") as f:
-                    f.write(b)
-            for n in files:
-                fs.move(f"{stage}/{n}", f"{root}/{n}")
-        finally:
-            fs.delete_dir(stage)
-        return pd.DataFrame({"scene": scene, "name": list(files), "bytes": [len(b) for b in files.values()], "sha256": [hashlib.sha256(b).hexdigest() for b in files.values()]})
-
-    return px.groupBy("scene").cogroup(ties.groupBy("scene")).applyInPandas(run, "scene bigint, name string, bytes bigint, sha256 string")
-
-
 def write_raw(px: DataFrame, path: str, dtype: str, header: bytes = b"") -> DataFrame:
     """Pixels of one raster as a headed raw file: strips are packed on Spark, and one task appends them in order, a strip at a time."""
 
@@ -327,61 +181,3 @@ def write_raw(px: DataFrame, path: str, dtype: str, header: bytes = b"") -> Data
         yield pa.RecordBatch.from_pydict({"bytes": [n]})
 
     return strips.coalesce(1).sortWithinPartitions("strip").mapInArrow(append, "bytes bigint")
-
-
-TILE_FILES = "id bigint, name string, bytes bigint, sha256 string, manifest string"
-
-
-def extract_tiles(requests: DataFrame, folder: str) -> DataFrame:
-    """Windows of raw rasters as images of their own, each with a manifest that says where it comes from.
-
-    requests: id, path, file_size, file_sha256, label (binary), format, dtype, width, height, offset, prefix,
-    suffix, x, y, w, h, band. A row is one tile; a task reads no more than its rows of samples. An existing
-    tile is refused, and what a failed attempt wrote is removed, so a task that runs again begins anew.
-    """
-    import base64
-    import hashlib
-    import json
-
-    def one(fs, root: str, r) -> tuple:
-        dtype = np.dtype(r.dtype)
-        if not (0 <= r.x and 0 <= r.y and 0 < r.w <= r.width - r.x and 0 < r.h <= r.height - r.y):
-            raise ValueError("the window lies outside of the raster")
-        stride = r.width * dtype.itemsize + r.prefix + r.suffix
-        source, path = _open(r.path)
-        rows = []
-        with source.open_input_file(path) as f:
-            for y in range(r.y, r.y + r.h):
-                f.seek(r.offset + (r.band * r.height + y) * stride + r.prefix + r.x * dtype.itemsize)
-                rows.append(np.frombuffer(f.read(r.w * dtype.itemsize), dtype, r.w))
-        a = np.stack(rows)
-        a = a.astype(a.dtype.newbyteorder("="))
-        raw = verified(tiff_bytes(a), a, {})
-        digest = hashlib.sha256(raw).hexdigest()
-        tile = {"x": int(r.x), "y": int(r.y), "width": int(r.w), "height": int(r.h), "band": int(r.band)}
-        text = json.dumps({
-            "schema": "tile-1", "original_name": path.rpartition("/")[2], "original_format": r.format, "original_size": int(r.file_size), "original_sha256": r.file_sha256,
-            "original_label_base64": base64.b64encode(bytes(r.label)).decode(), "tile_sha256": digest, "tile": tile, "extractor": "selenite",
-        })
-        name = f"tile-{r.id}"
-        if any(fs.get_file_info(f"{root}/{name}{end}").type.name == "File" for end in (".tif", ".json")):
-            raise FileExistsError(f"{name} is there already")
-        stage = f"{root}/.stage-{uuid.uuid4().hex}"
-        fs.create_dir(stage)
-        try:
-            for end, b in ((".tif", raw), (".json", text.encode())):
-                with fs.open_output_stream(f"{stage}/{name}{end}") as f:
-                    f.write(b)
-            for end in (".tif", ".json"):  # the manifest last: a tile without one isn't published
-                fs.move(f"{stage}/{name}{end}", f"{root}/{name}{end}")
-        finally:
-            fs.delete_dir(stage)
-        return int(r.id), f"{name}.tif", len(raw), digest, text
-
-    def run(batches):
-        fs, root = _open(folder)
-        fs.create_dir(root, recursive=True)
-        for b in batches:
-            yield pd.DataFrame([one(fs, root, r) for r in b.itertuples()], columns=[x.split()[0] for x in TILE_FILES.split(", ")])
-
-    return requests.mapInPandas(run, TILE_FILES)

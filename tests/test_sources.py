@@ -47,15 +47,6 @@ def test_xml_limits():
             xmllabel.nodes(bad)
 
 
-@pytest.mark.parametrize("kind", ["u1", "u2", "i2", "f4", "f8"])
-def test_tiff_windows(kind):
-    a = (np.random.default_rng(1).random((37, 53)) * 200).astype(kind)
-    b = raster.tiff_bytes(a, rows=8)
-    assert (raster.tiff_window(b) == a).all() and (raster.tiff_window(b, 5, 7, 20, 19) == a[7:26, 5:25]).all()
-    with pytest.raises(ValueError):
-        raster.tiff_window(b, 50, 0, 10, 1)
-
-
 def test_padded_raw_rows(spark, tmp_path):
     a = np.arange(2 * 6 * 5).reshape(2, 6, 5).astype(">u2")
     rows = b"".join(b"PP" + r.tobytes() + b"S" for band in a for r in band)
@@ -68,16 +59,6 @@ def test_padded_raw_rows(spark, tmp_path):
         raster.read_raw(spark, f"file://{tmp_path}/b.raw", **o).collect()
 
 
-def test_bundle_is_not_overwritten(spark, tmp_path):
-    px = spark.createDataFrame([(1, y, x, float(x)) for y in range(4) for x in range(4)], "scene bigint, y int, x int, dn double")
-    ties = spark.createDataFrame([(1, 1, 0.5, 1.5, 0.25)], "scene bigint, i int, rx double, ry double, conf double")
-    folder = f"file://{tmp_path}/out"
-    assert {r["name"] for r in raster.write_bundle(px, ties, folder).collect()} == {"scene-1.tif", "scene-1.csv", "scene-1.json"}
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["scene-1.csv", "scene-1.json", "scene-1.tif"]
-    with pytest.raises(Exception, match="published"):
-        raster.write_bundle(px, ties, folder).collect()
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from selenite.plans.views import view
 
@@ -104,16 +85,6 @@ def test_steps():
     assert seen == [(None, 0), ("queued", 0), ("queued", 0), ("queued", 0), ("processing", 5), ("processing", 5), ("processing", 10), ("complete", 100), ("complete", 100), ("complete", 100)]
 
 
-def test_georeferenced_header():
-    a = np.arange(20, dtype="f4").reshape(4, 5)
-    tags = raster.geo_tags(22.0, 15.0, 0.001, -9999.0)
-    b = raster.verified(raster.tiff_bytes(a, tags=tags), a, tags)
-    t = raster.tiff_tags(b)[1]
-    assert t[33550] == (0.001, 0.001, 0.0) and t[33922][3:5] == (22.0, 15.0) and t[42113] == (b"-9999.0\0",)
-    with pytest.raises(ValueError):
-        raster.verified(b, a, raster.geo_tags(22.0, 16.0, 0.001))
-
-
 def chunked(kind, data):
     import struct
     import zlib

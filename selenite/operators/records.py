@@ -21,6 +21,7 @@ PDS4_KINDS = {
     "UnsignedByte": "|u1", "SignedByte": "|i1", "UnsignedLSB2": "<u2", "UnsignedLSB4": "<u4", "UnsignedMSB2": ">u2", "UnsignedMSB4": ">u4", "SignedLSB2": "<i2", "SignedLSB4": "<i4", "SignedMSB2": ">i2", "SignedMSB4": ">i4",
     "IEEE754LSBSingle": "<f4", "IEEE754LSBDouble": "<f8", "IEEE754MSBSingle": ">f4", "IEEE754MSBDouble": ">f8",
 }
+#: Keys of samples that are none.
 SPECIALS = ("NULL", "MISSING_CONSTANT", "INVALID_CONSTANT", "CORE_NULL", "LOW_REPR_SATURATION", "LOW_INSTR_SATURATION", "HIGH_REPR_SATURATION", "HIGH_INSTR_SATURATION")
 #: What a record has beside its layout; layouts are compared by their own columns.
 LAYOUT = ("width", "height", "bands", "dtype", "offset", "prefix", "suffix", "scale", "value_offset", "valid_min", "valid_max")
@@ -61,7 +62,8 @@ def layout_checks(t: DataFrame, file_size: Column) -> list[tuple[Column, str]]:
     out_of = lambda v: (v < low) | (v > high) | (whole & (v != F.floor(v)))
     return [
         (c("dtype").isNull(), "sample type"),
-        (~F.coalesce((c("width") >= 1) & (c("height") >= 1) & (c("bands") >= 1), F.lit(False)), "size"),
+        # samples of eight bytes must still be counted in 63 bits
+        (~F.coalesce((c("width") >= 1) & (c("height") >= 1) & (c("bands") >= 1) & F.try_multiply(F.try_multiply("width", F.lit(8).cast("long")), F.try_multiply("height", F.col("bands").cast("long"))).isNotNull(), F.lit(False)), "size"),
         (~F.coalesce((c("prefix") >= 0) & (c("suffix") >= 0), F.lit(False)), "row padding"),
         (c("valid_min") > c("valid_max"), "range"),
         (F.exists("specials", out_of) | (F.size("specials") > 32) | out_of(c("valid_min")) | out_of(c("valid_max")), "special value"),
@@ -76,35 +78,50 @@ def with_end(t: DataFrame) -> DataFrame:
     return t.withColumn("end_byte", F.try_add("offset", F.try_multiply("stride", F.try_multiply("height", "bands"))))
 
 
+#: The data sets and products of one instrument, whose labels must agree in more.
+LROC_SET, LROC_PRODUCT = r"^LRO-L-LROC-[23]-(EDR|CDR)-V\d+(\.\d+)*$", r"^M\d+[LR][EC]$"
+ROOT = ("PDS_VERSION_ID", "RECORD_TYPE", "RECORD_BYTES", "LABEL_RECORDS", "FILE_RECORDS", "^IMAGE", "PRODUCT_ID", "DATA_SET_ID", "TARGET_NAME", "FRAME_ID", "PRODUCT_TYPE", "START_TIME", "STOP_TIME", "INSTRUMENT_ID", "INSTRUMENT_NAME", "MD5_CHECKSUM")
+NUMBERS = ("SCALING_FACTOR", "OFFSET", "VALID_MINIMUM", "VALID_MAXIMUM")
+IMAGE = ("LINES", "LINE_SAMPLES", "BANDS", "SAMPLE_TYPE", "SAMPLE_BITS", "ENCODING_TYPE", "BAND_STORAGE_TYPE", "LINE_PREFIX_BYTES", "LINE_SUFFIX_BYTES", "PRODUCT_ID", "MD5_CHECKSUM", *NUMBERS, *SPECIALS)
+#: Names of files are compared and never opened; what could lead elsewhere is none.
+PLAIN_NAME = r"^(?!\.{1,2}$)[^/\\\\:\x00-\x1f]{1,255}$"
+
+
+def _no(x: Column) -> Column:
+    return ~F.coalesce(x, F.lit(False))
+
+
 def pds3_records(values: DataFrame, files: DataFrame, id_: str = "id") -> DataFrame:
-    """One record for each file with an attached label: layout, identity and violations.
+    """One record for each file with an attached label: layout, identity, checksum and its scope, and violations.
 
-    values: rows of odl.parsed with the label's id; files: id, file_name, file_size, and end (the byte after
-    the label's END, null if unknown). Only what a label says once counts; repeats are violations.
+    values: rows of odl.parsed with the label's id; files: id, file_name, file_size. Only what a label says once
+    counts, outside of all blocks or in its only outermost OBJECT = IMAGE; repeats are violations. What the label
+    occupies is LABEL_RECORDS records, or all up to its END where it doesn't say.
     """
-    v = values.withColumn("_at", F.concat_ws(":", "path", "key"))
-    root = ["PDS_VERSION_ID", "RECORD_TYPE", "RECORD_BYTES", "LABEL_RECORDS", "FILE_RECORDS", "^IMAGE", "PRODUCT_ID", "DATA_SET_ID", "TARGET_NAME", "FRAME_ID", "PRODUCT_TYPE", "START_TIME", "STOP_TIME", "INSTRUMENT_ID"]
-    image = ["LINES", "LINE_SAMPLES", "BANDS", "SAMPLE_TYPE", "SAMPLE_BITS", "ENCODING_TYPE", "BAND_STORAGE_TYPE", "LINE_PREFIX_BYTES", "LINE_SUFFIX_BYTES", "SCALING_FACTOR", "OFFSET", "VALID_MINIMUM", "VALID_MAXIMUM", *SPECIALS]
-    names = {f":{k}": f"r{i}" for i, k in enumerate(root)} | {f"IMAGE:{k}": f"i{i}" for i, k in enumerate(image)}
-    own = lambda at: F.col("_at") == at
-    one = F.struct("type", "value", "unit", "item")
+    c = F.col
+    outside, inside = c("block") == 0, (c("path") == "IMAGE") & (c("kinds") == "OBJECT")
+    v = values.withColumn("_at", F.when(outside, F.concat(F.lit(":"), "key")).when(inside, F.concat(F.lit("IMAGE:"), "key")))
+    names = {f":{k}": f"r{i}" for i, k in enumerate(ROOT)} | {f"IMAGE:{k}": f"i{i}" for i, k in enumerate(IMAGE)}
+    own = lambda at: c("_at") == at
+    one = F.struct("type", "value", "unit", "item", "form")
     t = v.groupBy(id_).agg(
-        F.max("violation").alias("_broken"), F.max(F.when(F.col("path").startswith("IMAGE"), True)).alias("_image"),
+        F.max("violation").alias("_broken"), F.max("last").alias("_last"), F.count_distinct(F.when(inside, c("block"))).alias("_images"),
         *[F.max(F.when(own(at), one)).alias(n) for at, n in names.items()],
         *[F.count_if(own(at)).alias(f"n_{n}") for at, n in names.items()],
     )
     t = files.join(t, id_, "left")
-    raw = lambda k, where="": F.col(names[f"{where}:{k}"])
-    text = lambda k: F.when(raw(k)["type"].isin("string", "name"), raw(k)["value"])
+    raw = lambda k, where="": c(names[f"{where}:{k}"])
+    text = lambda k, where="": F.when(raw(k, where)["type"].isin("string", "name"), raw(k, where)["value"])
 
-    def integer(k: str, where: str = "", default: int | None = None) -> Column:
+    def integer(k: str, where: str = "", default: int | None = None, units: bool = False) -> Column:
         x = raw(k, where)
-        got = F.when(x["type"] == "integer", F.try_to_number(x["value"], F.lit("S9999999999999999999")).cast("long"))
+        plain = (x["type"] == "integer") if units else (x["type"] == "integer") & x["unit"].isNull()
+        got = F.when(plain, F.try_to_number(x["value"], F.lit("S9999999999999999999")).cast("long"))
         return got if default is None else F.when(x.isNull(), F.lit(default).cast("long")).otherwise(got)
 
     def number(k: str, default: float | None = None) -> Column:
         x = raw(k, "IMAGE")
-        got = F.when(x["type"].isin("integer", "real"), x["value"].cast("double"))
+        got = F.when(x["type"].isin("integer", "real") & x["unit"].isNull(), x["value"].cast("double"))
         return got if default is None else F.when(x.isNull() | (x["type"] == "null"), F.lit(default)).otherwise(got)
 
     bits = integer("SAMPLE_BITS", "IMAGE")
@@ -112,47 +129,48 @@ def pds3_records(values: DataFrame, files: DataFrame, id_: str = "id") -> DataFr
     dtype = F.when(kind.endswith("f") & bits.isin(32, 64), F.concat(kind, (bits / 8).cast("int").cast("string")))
     dtype = dtype.when(~kind.endswith("f") & (bits == 8), F.concat(F.lit("|"), F.substring(kind, 2, 1), F.lit("1"))).when(~kind.endswith("f") & bits.isin(16, 32), F.concat(kind, (bits / 8).cast("int").cast("string")))
     pointer, record = raw("^IMAGE"), integer("RECORD_BYTES")
-    offset = F.when(pointer["type"] == "integer", F.when(pointer["unit"].isin("BYTE", "BYTES"), integer("^IMAGE") - 1).when(pointer["unit"].isNull(), F.try_multiply(integer("^IMAGE") - 1, record)))
+    at = integer("^IMAGE", units=True)
+    offset = F.when(pointer["unit"].isin("BYTE", "BYTES"), at - 1).when(pointer["unit"].isNull(), F.try_multiply(at - 1, record))
     specials = F.filter(F.array(*[number(k) for k in SPECIALS]), lambda x: x.isNotNull())
-    label_end = F.coalesce(F.try_multiply(integer("LABEL_RECORDS"), record), F.col("end"))
     t = t.withColumns({
         "width": integer("LINE_SAMPLES", "IMAGE"), "height": integer("LINES", "IMAGE"), "bands": integer("BANDS", "IMAGE", 1), "dtype": dtype, "offset": offset,
         "prefix": integer("LINE_PREFIX_BYTES", "IMAGE", 0), "suffix": integer("LINE_SUFFIX_BYTES", "IMAGE", 0), "scale": number("SCALING_FACTOR", 1.0), "value_offset": number("OFFSET", 0.0),
-        "specials": specials, "valid_min": number("VALID_MINIMUM"), "valid_max": number("VALID_MAXIMUM"), "label_end": label_end,
-        "product_id": text("PRODUCT_ID"), "data_set_id": text("DATA_SET_ID"), "target": text("TARGET_NAME"), "frame_id": text("FRAME_ID"), "level": text("PRODUCT_TYPE"), "instrument": text("INSTRUMENT_ID"),
+        "specials": specials, "valid_min": number("VALID_MINIMUM"), "valid_max": number("VALID_MAXIMUM"), "label_end": F.when(raw("LABEL_RECORDS").isNull(), c("_last")).otherwise(F.try_multiply(integer("LABEL_RECORDS"), record)),
+        "product_id": text("PRODUCT_ID"), "data_set_id": text("DATA_SET_ID"), "target": text("TARGET_NAME"), "frame_id": text("FRAME_ID"), "level": text("PRODUCT_TYPE"), "instrument": F.coalesce(text("INSTRUMENT_ID"), text("INSTRUMENT_NAME")),
+        "_start": text("START_TIME"), "_stop": text("STOP_TIME"), "_md5": text("MD5_CHECKSUM", "IMAGE"),
     })
     t = with_end(t)
-    c, size = F.col, F.col("file_size")
-    record_type = F.upper(raw("RECORD_TYPE")["value"])
+    size, record_type = c("file_size"), F.upper(raw("RECORD_TYPE")["value"])
     # a repeated key, or a list where one value belongs
     again = any_of([F.coalesce(c(f"n_{n}") > 1, F.lit(False)) for n in names.values()])
     storage = F.upper(F.coalesce(raw("BAND_STORAGE_TYPE", "IMAGE")["value"], F.when(c("bands") == 1, "BAND_SEQUENTIAL")))
     lroc = F.coalesce(F.upper("data_set_id").contains("LROC"), F.lit(False))
     expected = F.when(F.upper("data_set_id").contains("-CDR-"), "CDR").otherwise("EDR")
-    start, stop = (F.try_to_timestamp(F.replace(text(k), F.lit("Z"), F.lit("+00:00"))) for k in ("START_TIME", "STOP_TIME"))
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    moment = lambda k: F.try_to_timestamp(F.replace(c(k), F.lit("Z"), F.lit("+00:00")))
+    zoned = lambda k: c(k).rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    product, frame = F.upper("product_id"), F.upper("frame_id")
     identity = (
-        (F.upper("data_set_id").rlike(r"^LRO-L-LROC-[23]-(EDR|CDR)-V\d+(\.\d+)*$")) & (F.upper("level") == expected) & F.upper("product_id").rlike(r"^M\d+[LR][EC]$") & (F.lower(stem) == F.lower("product_id"))
-        & F.upper("frame_id").isin("LEFT", "RIGHT") & (F.upper(F.substring("product_id", -2, 1)) == F.upper(F.substring("frame_id", 1, 1))) & (F.upper(F.substring("product_id", -1, 1)) == F.substring(expected, 1, 1))
-        & (F.upper("target") == "MOON") & (stop >= start) & (c("width") <= NARROW_WIDTH) & (c("bands") == 1)
+        F.upper("data_set_id").rlike(LROC_SET) & (F.upper("level") == expected) & product.rlike(LROC_PRODUCT) & (F.lower(F.regexp_replace("file_name", r"\.[^.]*$", "")) == F.lower("product_id"))
+        & frame.isin("LEFT", "RIGHT") & (F.substring(product, -2, 1) == F.substring(frame, 1, 1)) & (F.substring(product, -1, 1) == F.substring(expected, 1, 1)) & (c("target") == "MOON") & (c("width") <= NARROW_WIDTH) & (c("bands") == 1)
     )
+    within = raw("PRODUCT_ID", "IMAGE").isNull() | (text("PRODUCT_ID", "IMAGE") == c("product_id"))
+    floats = F.coalesce(kind.endswith("f"), F.lit(False))
+    whole = lambda k: raw(k).isNotNull() & _no(integer(k) >= 1)
     checks = S.violations(
-        (c("_broken").isNotNull() | c("n_r0").isNull(), "unreadable"), (again, "ambiguous"),
-        (~F.coalesce(F.upper(raw("PDS_VERSION_ID")["value"]) == "PDS3", F.lit(False)), "version"),
-        (~F.coalesce(record_type.isin("FIXED_LENGTH", "UNDEFINED"), F.lit(False)) | ((record_type == "FIXED_LENGTH") & raw("RECORD_BYTES").isNull()), "record type"),
-        (raw("RECORD_BYTES").isNotNull() & ~F.coalesce(record >= 1, F.lit(False)), "record bytes"),
-        (raw("LABEL_RECORDS").isNotNull() & ~F.coalesce((c("label_end") <= HEADER) & (c("label_end") <= size) & (F.coalesce(c("end"), F.lit(0)) <= c("label_end")), F.lit(False)), "label records"),
-        (raw("FILE_RECORDS").isNotNull() & ~F.coalesce(F.try_multiply(integer("FILE_RECORDS"), record) == size, F.lit(False)), "file records"),
-        (c("offset").isNull(), "pointer"), (F.coalesce(c("offset") < c("label_end"), F.lit(False)), "pointer within label"),
-        (c("_image").isNull(), "no image"),
-        (~F.upper(F.coalesce(raw("ENCODING_TYPE", "IMAGE")["value"], F.lit("N/A"))).isin("N/A", "NONE", "UNCOMPRESSED"), "encoding"),
-        (~F.coalesce(storage == "BAND_SEQUENTIAL", F.lit(False)), "band order"),
-        (any_of([raw(k, "IMAGE").isNotNull() & (raw(k, "IMAGE")["type"] != "null") & number(k).isNull() for k in (*SPECIALS, "SCALING_FACTOR", "OFFSET", "VALID_MINIMUM", "VALID_MAXIMUM")]), "number"),
-        *layout_checks(t, size),
-        (F.coalesce(F.upper("target") != "MOON", F.lit(False)), "target"), (lroc & ~F.coalesce(identity, F.lit(False)), "identity"),
+        (_no(c("file_name").rlike(PLAIN_NAME)), "file name"), (c("_broken").isNotNull() | c("n_r0").isNull(), "unreadable"), (again, "ambiguous"), (_no(F.upper(raw("PDS_VERSION_ID")["value"]) == "PDS3"), "version"),
+        (_no(record_type.isin("FIXED_LENGTH", "UNDEFINED")) | ((record_type == "FIXED_LENGTH") & raw("RECORD_BYTES").isNull()), "record type"), (whole("RECORD_BYTES"), "record bytes"),
+        (raw("LABEL_RECORDS").isNotNull() & _no((integer("LABEL_RECORDS") >= 1) & (c("label_end") <= HEADER) & (c("label_end") <= size) & (c("_last") <= c("label_end"))), "label records"),
+        (raw("FILE_RECORDS").isNotNull() & _no((integer("FILE_RECORDS") >= 1) & (F.try_multiply(integer("FILE_RECORDS"), record) == size)), "file records"),
+        (_no(c("offset") >= 0), "pointer"), (F.coalesce(c("offset") < c("label_end"), F.lit(False)), "pointer within label"),
+        (F.coalesce(c("_images"), F.lit(0)) != 1, "not one image"), (~F.upper(F.coalesce(raw("ENCODING_TYPE", "IMAGE")["value"], F.lit("N/A"))).isin("N/A", "NONE", "UNCOMPRESSED"), "encoding"), (_no(storage == "BAND_SEQUENTIAL"), "band order"),
+        (any_of([raw(k, "IMAGE").isNotNull() & (raw(k, "IMAGE")["type"] != "null") & number(k).isNull() for k in (*SPECIALS, *NUMBERS)]), "number"),
+        (floats & any_of([F.coalesce(raw(k, "IMAGE")["form"] == "radix", F.lit(False)) for k in SPECIALS]), "bit pattern"),
+        *layout_checks(t, size), (F.coalesce(F.upper("target") != "MOON", F.lit(False)), "target"), (lroc & _no(identity), "identity"), (lroc & _no(within), "product of the image"),
+        (lroc & _no((moment("_stop") >= moment("_start")) & (zoned("_start") == zoned("_stop"))), "time"), (lroc & raw("MD5_CHECKSUM", "IMAGE").isNotNull() & _no(c("_md5").rlike("^[0-9a-fA-F]{32}$")), "checksum"),
     )
-    keep = [x for x in files.columns if x != "end"]
-    return t.select(*keep, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", "product_id", "data_set_id", "target", "frame_id", "level", "instrument", checks.alias("violations"))
+    # only one instrument's documents say what the checksum covers
+    scope = F.when(lroc & c("_md5").isNotNull(), "image_object").when(raw("MD5_CHECKSUM").isNotNull() | raw("MD5_CHECKSUM", "IMAGE").isNotNull(), "unknown")
+    return t.select(*files.columns, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", "product_id", "data_set_id", "target", "frame_id", "level", "instrument", F.when(lroc, F.lower("_md5")).alias("md5"), scope.alias("md5_scope"), checks.alias("violations"))
 
 
 #: The part of an XML label that a raster descriptor is made of; everything may be repeated, so that repeats can be refused.
@@ -162,6 +180,7 @@ _ARRAY = f"""array<struct<offset: {_MEASURE}, axes: array<string>, axis_index_or
  Axis_Array: array<struct<axis_name: array<string>, elements: array<string>, sequence_number: array<string>>>,
  Special_Constants: array<struct<missing_constant: array<string>, invalid_constant: array<string>, saturated_constant: array<string>, high_instrument_saturation: array<string>,
   low_instrument_saturation: array<string>, high_representation_saturation: array<string>, low_representation_saturation: array<string>, valid_minimum: array<string>, valid_maximum: array<string>>>>>"""
+XMLNS = r"""xmlns(:\w+)?\s*=\s*["']http://pds\.nasa\.gov/pds4/pds/v1["']"""
 _AREA = f"""array<struct<File: array<struct<file_name: array<string>, file_size: {_MEASURE}, md5_checksum: array<string>>>, Array_2D_Image: {_ARRAY}, Array_3D_Image: {_ARRAY},
  Encoded_Image: array<struct<encoding_standard_id: array<string>, offset: {_MEASURE}, object_length: {_MEASURE}>>>>"""
 AREAS = ("File_Area_Observational", "File_Area_Observational_Supplemental", "File_Area_Encoded_Image")
@@ -183,54 +202,79 @@ def _in_bytes(measure: Column) -> Column:
     return F.when(F.lower(F.coalesce(measure["_unit"], F.lit("byte"))).isin("byte", "bytes"), uint(measure["_VALUE"]))
 
 
+#: What a container's header says, in columns beside `container`, its format.
+CONTAINER = ("container_width", "container_height", "container_bands", "container_dtype", "container_scale", "container_offset")
+
+
+def _elements(text: Column, name: str) -> Column:
+    """The texts of all elements of a local name."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"<(?:[\w.-]+:)?{name}(?:\s[^>]*)?>([^<]*)<"), F.lit(1)), lambda x: F.trim(x))
+
+
 def pds4_records(labels: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
     """One record for each XML label (text) and the file that it is associated with (file_name, file_size): layout and violations.
 
-    An encoded image's layout is its container's, in columns container (its format), width, height, bands and dtype
-    of the row where it has them.
+    An encoded image's layout is its container's: columns container (its format) and CONTAINER, as far as the rows have
+    them; an encoded image without is a violation. Special constants are all that a label names as a constant or a
+    saturation; any other name is refused.
     """
+    c = F.col
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "rowTag": "Product_Observational"}
-    t = labels.withColumn("_x", F.from_xml(F.col(content), PDS4, options))
+    t = labels.withColumns({n: F.lit(None).cast({"container_dtype": "string"}.get(n, "double" if n in CONTAINER[4:] else "bigint")) for n in CONTAINER if n not in labels.columns})
+    text = F.regexp_replace(F.coalesce(c(content), F.lit("")), "(?s)<!--.*?-->", "")
+    # declarations are not read, and neither is what exceeds the limit
+    readable = (F.octet_length(c(content)) <= HEADER) & ~text.rlike("(?i)<!(DOCTYPE|ENTITY)")
+    t = t.withColumn("_text", F.when(F.coalesce(readable, F.lit(False)), text)).withColumn("_x", F.from_xml(c("_text"), PDS4, options))
     t = t.withColumn("_areas", F.flatten(F.array(*[F.coalesce(F.col(f"_x.{a}"), F.array()) for a in AREAS])))
     t = t.withColumn("_area", only(F.col("_areas")))
     t = t.withColumn("_file", only(F.col("_area.File"))).withColumn("_arrays", F.concat(F.coalesce("_area.Array_2D_Image", F.array()), F.coalesce("_area.Array_3D_Image", F.array())))
     t = t.withColumn("_array", only(F.col("_arrays"))).withColumn("_encoded", only(F.col("_area.Encoded_Image")))
-    c = F.col
     axes = F.array_sort(F.transform("_array.Axis_Array", lambda a: F.struct(uint(only(a["sequence_number"])).alias("n"), F.trim(only(a["axis_name"])).alias("name"), uint(only(a["elements"])).alias("size"))))
     t = t.withColumn("_axes", axes).withColumn("_names", F.concat_ws(",", F.transform("_axes", lambda a: a["name"])))
-    element, special = only(c("_array.Element_Array")), only(c("_array.Special_Constants"))
     size = lambda k: F.try_element_at("_axes", F.lit(k))["size"]
-    number = lambda values, default: F.when(F.coalesce(F.size(values), F.lit(-1)) < 1, F.lit(default).cast("double")).otherwise(S.lenient_double(only(values)))
-    names = ("missing_constant", "invalid_constant", "saturated_constant", "high_instrument_saturation", "low_instrument_saturation", "high_representation_saturation", "low_representation_saturation")
-    said = F.flatten(F.array(*[F.coalesce(special[n], F.array()) for n in names]))
-    t = t.withColumns({"_element": element, "_special": special, "_said": F.coalesce(said, F.array())})
+    finite = lambda v: F.when(F.abs(v) < float("inf"), v)
+    number = lambda values, default: F.when(F.coalesce(F.size(values), F.lit(-1)) < 1, F.lit(default).cast("double")).otherwise(finite(S.lenient_double(only(values))))
+    section = F.regexp_extract("_text", r"(?s)<(?:[\w.-]+:)?Special_Constants(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?Special_Constants\s*>", 1)
+    item = lambda k: F.regexp_extract_all(section, F.lit(r"<(?:[\w.-]+:)?([\w-]+)(?:\s[^>]*)?(?:/>|>([^<]*)<)"), F.lit(k))
+    t = t.withColumns({"_element": only(c("_array.Element_Array")), "_special": only(c("_array.Special_Constants")), "_said": F.filter(F.arrays_zip(item(1).alias("name"), item(2).alias("value")), lambda x: c("_array").isNotNull())})
+    constant = lambda x: x["name"].endswith("_constant") | x["name"].contains("saturation")
+    limit = lambda x: x["name"].isin("valid_minimum", "valid_maximum")
+    encoded = c("_encoded").isNotNull()
+    either = lambda own, name, zero=None: F.when(encoded, c(name) if zero is None else F.coalesce(c(name), F.lit(zero))).otherwise(own)
     t = t.withColumns({
-        "width": size(-1), "height": size(-2), "bands": F.when(F.size("_axes") == 3, size(1)).otherwise(F.lit(1).cast("long")), "dtype": looked_up(PDS4_KINDS, F.trim(only(c("_element.data_type")))),
-        "offset": _in_bytes(only(c("_array.offset"))), "prefix": F.lit(0).cast("long"), "suffix": F.lit(0).cast("long"), "scale": number(c("_element.scaling_factor"), 1.0), "value_offset": number(c("_element.value_offset"), 0.0),
-        "specials": F.transform("_said", lambda x: S.lenient_double(x)), "valid_min": number(c("_special.valid_minimum"), None), "valid_max": number(c("_special.valid_maximum"), None),
+        "width": either(size(-1), "container_width"), "height": either(size(-2), "container_height"), "bands": either(F.when(F.size("_axes") == 3, size(1)).otherwise(F.lit(1).cast("long")), "container_bands"),
+        "dtype": either(looked_up(PDS4_KINDS, F.trim(only(c("_element.data_type")))), "container_dtype"), "offset": F.when(encoded, F.lit(0).cast("long")).otherwise(_in_bytes(only(c("_array.offset")))),
+        "prefix": F.lit(0).cast("long"), "suffix": F.lit(0).cast("long"), "scale": either(number(c("_element.scaling_factor"), 1.0), "container_scale", 1.0), "value_offset": either(number(c("_element.value_offset"), 0.0), "container_offset", 0.0),
+        "specials": F.when(encoded, F.array().cast("array<double>")).otherwise(F.transform(F.filter("_said", constant), lambda x: finite(S.lenient_double(x["value"])))),
+        "valid_min": F.when(~encoded, number(c("_special.valid_minimum"), None)), "valid_max": F.when(~encoded, number(c("_special.valid_maximum"), None)),
     })
     t = with_end(t)
-    targets = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(c("_x.Observation_Area"), lambda o: o["Target_Identification"])), lambda x: F.transform(x["name"], lambda n: F.lower(F.trim(n))))))
-    t = t.withColumn("_targets", F.coalesce(targets, F.array().cast("array<string>")))
-    encoded = c("_encoded").isNotNull()
+    # a container's bytes are packed: where its samples end says nothing of the file
+    t = t.withColumns({k: F.when(~encoded, c(k)) for k in ("stride", "end_byte")})
+    targets = F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(F.flatten(F.transform(F.flatten(F.transform(c("_x.Observation_Area"), lambda o: o["Target_Identification"])), lambda x: x["name"])), F.array().cast("array<string>")), _elements(c("_text"), "target_name")), lambda n: F.lower(F.trim(n))), lambda n: n != ""))
+    products = F.array_distinct(_elements(c("_text"), "product_id"))
+    t = t.withColumns({"_targets": F.coalesce(targets, F.array().cast("array<string>")), "_products": F.coalesce(products, F.array().cast("array<string>")), "_logical": _elements(c("_text"), "logical_identifier")})
     declared = c("_file.file_size")
     md5 = only(c("_file.md5_checksum"))
-    raw = ~encoded & c("_area").isNotNull()
-    no = lambda x: ~F.coalesce(x, F.lit(False))
+    raw, has = ~encoded & c("_area").isNotNull(), c("_array").isNotNull()
+    length = c("_encoded.object_length")
+    said = lambda values: F.coalesce(F.size(values) > 0, F.lit(False))
     checks = S.violations(
-        (c("_area").isNull(), "file area"), (c("_area").isNotNull() & no(F.lower(F.trim(only(c("_file.file_name")))) == F.lower("file_name")), "file name"),
-        (F.coalesce(F.size(declared) > 0, F.lit(False)) & no(_in_bytes(only(declared)) == c("file_size")), "file size"),
-        (encoded & (no(_in_bytes(only(c("_encoded.offset"))) == 0) | (F.size("_arrays") > 0) | no(F.trim(only(c("_encoded.encoding_standard_id"))) == c("container"))), "encoded image"),
-        (raw & c("container").isNotNull(), "container"), (raw & (F.size("_arrays") != 1), "array"), (raw & c("_array").isNotNull() & c("offset").isNull(), "offset"),
-        (raw & c("_array").isNotNull() & no(F.trim(only(c("_array.axis_index_order"))) == "Last Index Fastest"), "index order"),
-        (raw & c("_array").isNotNull() & no((uint(only(c("_array.axes"))) == F.size("_axes")) & (F.transform("_axes", lambda a: a["n"]) == F.sequence(F.lit(1), F.greatest(F.size("_axes"), F.lit(1))).cast("array<bigint>")) & c("_names").isin("Line,Sample", "Band,Line,Sample")), "axes"),
-        (raw & any_of([c("scale").isNull(), c("value_offset").isNull(), F.exists("specials", lambda x: x.isNull())]), "number"),
-        *[(raw & bad, what) for bad, what in layout_checks(t, c("file_size"))],
-        (F.coalesce(F.size(c("_file.md5_checksum")) > 0, F.lit(False)) & no(F.trim(md5).rlike("^[0-9a-fA-F]{32}$")), "checksum"),
-        (F.size("_targets") > 1, "ambiguous target"), ((F.size("_targets") == 1) & no(F.get("_targets", F.lit(0)) == "moon"), "target"),
+        (c("_text").isNull(), "unreadable"), (c("_text").isNotNull() & _no(c("_text").rlike(XMLNS)), "namespace"), (_no(c("file_name").rlike(PLAIN_NAME)), "plain name"), (c("_area").isNull(), "file area"),
+        (c("_area").isNotNull() & _no(F.lower(F.trim(only(c("_file.file_name")))) == F.lower("file_name")), "file name"), (said(declared) & _no(_in_bytes(only(declared)) == c("file_size")), "file size"),
+        (encoded & (_no(_in_bytes(only(c("_encoded.offset"))) == 0) | (F.size("_arrays") > 0) | _no(F.trim(only(c("_encoded.encoding_standard_id"))) == c("container"))), "encoded image"),
+        (encoded & said(length) & _no(_in_bytes(only(length)) == c("file_size")), "object length"),
+        (raw & c("container").isNotNull(), "container"), (raw & (F.size("_arrays") != 1), "array"), (raw & has & c("offset").isNull(), "offset"), (raw & has & _no(F.trim(only(c("_array.axis_index_order"))) == "Last Index Fastest"), "index order"),
+        (raw & has & _no((uint(only(c("_array.axes"))) == F.size("_axes")) & (F.transform("_axes", lambda a: a["n"]) == F.sequence(F.lit(1), F.greatest(F.size("_axes"), F.lit(1))).cast("array<bigint>")) & c("_names").isin("Line,Sample", "Band,Line,Sample")), "axes"),
+        (raw & F.exists("_said", lambda x: ~constant(x) & ~limit(x)), "unknown constant"), (raw & (F.size("_array.Special_Constants") > 1), "constants"),
+        (raw & any_of([c("scale").isNull(), c("value_offset").isNull(), F.exists("specials", lambda x: x.isNull()), said(c("_special.valid_minimum")) & c("valid_min").isNull(), said(c("_special.valid_maximum")) & c("valid_max").isNull()]), "number"),
+        *[((raw | encoded) & bad, what) for bad, what in layout_checks(t, c("file_size"))],
+        (said(c("_file.md5_checksum")) & _no(F.trim(md5).rlike("^[0-9a-fA-F]{32}$")), "checksum"), (F.size("_products") > 1, "ambiguous product"),
+        (F.size("_targets") > 1, "ambiguous target"), ((F.size("_targets") == 1) & _no(F.get("_targets", F.lit(0)) == "moon"), "target"),
     )
-    keep = [x for x in labels.columns if x not in (content, "container")]
-    return t.select(*keep, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", F.get("_targets", F.lit(0)).alias("target"), F.lower(md5).alias("md5"), encoded.alias("encoded"), checks.alias("violations"))
+    keep = [x for x in labels.columns if x not in (content, "container", *CONTAINER)]
+    product = F.coalesce(F.get("_products", F.lit(0)), F.get("_logical", F.lit(0)))
+    return t.select(*keep, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", F.get("_targets", F.lit(0)).alias("target"), F.nullif(product, F.lit("")).alias("product_id"), F.lower(F.trim(md5)).alias("md5"), encoded.alias("encoded"), checks.alias("violations"))
 
 
 #: What two labels of a scene must agree in.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import image, ties
 from ..shared import cut, shared_dir
-from ..sources import bundles, tiff
+from ..sources import bundles, checksums, tiff
 from .tiepoints import SIDE
 from .views import duck, view
 
@@ -213,3 +213,28 @@ select tile || '-' || t.layout id, 100::bigint width, height::bigint height, ban
  'DN' unit, case when tile % 3 = 0 then round(40 - tile * 0.1::double, 6) end north, case when tile % 3 = 0 then 'map_projected' else 'unknown' end geometry, case when tile % 3 = 1 then 'not a lunar grid' else '' end notes,
  case when t.layout // 2 % 2 = 0 and least(height, 11) * 100 > 1000 then 'block budget' else '' end reasons from t join l on l.layout = t.layout
 union all select tile || '-' || (t.layout + 100), null, null, null, null, null, null, null, null, null, null, 'unknown', '', 'unreadable' from t where tile % 2 = 0""", "px")
+
+
+@query
+def label_checksums(spark, d):
+    """Texts of documents as files whose labels state a digest of all or of a part: what of them is found as stated."""
+    from pyarrow import fs
+
+    t = view(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("content")).where("id is not null").dropDuplicates(["id"])
+    files = t.select(F.format_string("doc-%d", F.floor(F.col("id") / 64)).alias("bundle"), F.format_string("%d.img", "id").alias("name"), "content")
+    folder = _folder(spark)
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
+    bundles.publish(files, folder)
+    size = F.octet_length("content").cast("bigint")
+    first = F.least(size, F.lit(10).cast("bigint"))
+    stated = F.when(F.col("id") % 5 == 0, F.md5("content")).otherwise(F.md5(F.substring("content", 11, 1 << 30)))
+    t = t.select("id", F.concat(F.lit(f"{folder}/"), F.format_string("doc-%d/%d.img", F.floor(F.col("id") / 64), "id")).alias("path"), size.alias("file_size"), first.alias("offset"), F.when(F.col("id") % 7 == 0, size + 1).otherwise(size).alias("end_byte"),
+                 F.when(F.col("id") % 11 == 0, F.md5(F.lit("other"))).when(F.col("id") % 13 > 0, stated).alias("md5"), F.when(F.col("id") % 13 > 0, F.when(F.col("id") % 3 == 0, "file").when(F.col("id") % 3 == 1, "image_object").otherwise("unknown")).alias("md5_scope"))
+    out = cut(checksums.verified(t).select("id", "md5_scope", "status"))
+    _dropped(folder)
+    return out
+
+
+SQL["label_checksums"] = """with t as (select doc_id id, octet_length(encode(coalesce(text, ''))) n, case when doc_id % 13 > 0 then ['file', 'image_object', 'unknown'][doc_id % 3 + 1] end scope from documents)
+select id, scope md5_scope, case when scope is null and id % 11 > 0 then 'none' when scope is null or scope = 'unknown' then 'scope unknown' when scope = 'image_object' and id % 7 = 0 then 'short file'
+ when id % 11 = 0 then 'mismatch' when (scope = 'file') = (id % 5 = 0) or n <= 10 and n = 0 then 'verified' else 'mismatch' end status from t"""

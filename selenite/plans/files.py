@@ -147,7 +147,7 @@ def _labels(spark, d):
 
 @query
 def odl_parse(spark, d):
-    return odl.parsed(_labels(spark, d).withColumn("content", F.col("text").cast("binary")))
+    return odl.parsed(_labels(spark, d).withColumn("content", F.col("text").cast("binary"))).select("id", *odl.VALUES, "violation")
 
 
 SQL["odl_parse"] = """with p as (select p_partkey id, p_size size from part),

@@ -34,7 +34,7 @@ def pds3_records(spark, d):
         line(" SAMPLE_BITS = ", F.when(m(5), 12).otherwise(16)), line(" NULL = ", F.when(m(3), 70000).otherwise(-32768)), line(" OFFSET = 1.5"), line("END_OBJECT = IMAGE"), line("END"),
     )
     labels = t.select("id", text.cast("binary").alias("content"))
-    files = t.select("id", F.format_string("P%d.IMG", "id").alias("file_name"), (F.col("rb") * (F.col("h") + 2) - F.when(m(11), 1).otherwise(0)).alias("file_size"), F.lit(None).cast("long").alias("end"))
+    files = t.select("id", F.format_string("P%d.IMG", "id").alias("file_name"), (F.col("rb") * (F.col("h") + 2) - F.when(m(11), 1).otherwise(0)).alias("file_size"))
     r = records.pds3_records(odl.parsed(labels), files)
     return r.select("id", "width", "height", "dtype", "offset", "end_byte", "value_offset", "target", F.concat_ws(";", "violations").alias("reasons"))
 

@@ -75,11 +75,14 @@ def scalar(word: str) -> tuple[str, str]:
 
 
 def statements(data: bytes) -> tuple[list[tuple], int]:
-    """((path, key, ordinal, item, type, text, unit) of every value, byte after END). A stack of open blocks, no recursion."""
+    """((path, key, ordinal, item, type, text, unit, kinds, block, form) of every value, byte after END). A stack of open blocks, no recursion.
+
+    kinds are those of the open blocks, block is the number of the innermost one (0 outside of all), form tells a radix.
+    """
     stream = list(tokens(data[:HEADER].decode("latin-1")))
     rows: list[tuple] = []
-    path: list[tuple[str, str]] = []
-    i, ordinal = 0, 0
+    path: list[tuple[str, str, int]] = []
+    i, ordinal, blocks = 0, 0, 0
 
     def take(kind: str) -> str:
         nonlocal i
@@ -110,7 +113,8 @@ def statements(data: bytes) -> tuple[list[tuple], int]:
             continue
         take("=")
         if key in ("OBJECT", "GROUP"):
-            path.append((key, take("WORD").upper()))
+            blocks += 1
+            path.append((key, take("WORD").upper(), blocks))
             if len(path) > BLOCKS:
                 raise OdlError("blocks too deep")
             continue
@@ -143,7 +147,8 @@ def statements(data: bytes) -> tuple[list[tuple], int]:
             item += 1
             if item > ITEMS:
                 raise OdlError("too many items")
-            rows.append(("/".join(n for _, n in path), key, ordinal, item, what, value, unit))
+            form = "radix" if kind == "WORD" and "#" in text else None
+            rows.append(("/".join(n for _, n, _ in path), key, ordinal, item, what, value, unit, "/".join(k for k, _, _ in path), path[-1][2] if path else 0, form))
             while depth and i < len(stream) and stream[i][0] == ")":
                 i, depth = i + 1, depth - 1
             if not depth:
@@ -165,7 +170,8 @@ def is_label(text: str) -> bool:
     return False
 
 
-ROWS = "path string, key string, ordinal int, item int, type string, value string, unit string, violation string"
+VALUES = ("path", "key", "ordinal", "item", "type", "value", "unit")
+ROWS = "path string, key string, ordinal int, item int, type string, value string, unit string, kinds string, block int, form string, last bigint, violation string"
 
 
 def _exploded(t: DataFrame, id_: str, column: str, rows, schema: str) -> DataFrame:
@@ -187,13 +193,14 @@ def _exploded(t: DataFrame, id_: str, column: str, rows, schema: str) -> DataFra
 
 
 def parsed(labels: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
-    """A row for each value of each label (binary), or one with a violation."""
+    """A row for each value of each label (binary), or one with a violation; last is the byte after the label's END."""
 
     def rows(data):
         try:
-            return [(*r, None) for r in statements(data or b"")[0]]
+            values, last = statements(data or b"")
+            return [(*r, last, None) for r in values]
         except OdlError as e:
-            return [(None,) * 7 + (str(e),)]
+            return [(None,) * 11 + (str(e),)]
 
     return _exploded(labels, id_, content, rows, ROWS)
 

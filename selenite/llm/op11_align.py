@@ -33,7 +33,7 @@ from .arrow import map_arrow, map_rows
 from .common import Scratch, spread_join, table
 from .op6_bpe import byte_letters
 
-STRETCHES = 200_000
+STRETCHES = 250_000
 #: Stretches that are encoded as one text.
 RUN = 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -128,12 +128,26 @@ class Pair:
         return out
 
 
+def _packed(texts: list[str | None]) -> list[bytes | None]:
+    import zstandard
+
+    z = zstandard.ZstdCompressor(3)
+    return [None if t is None else z.compress(t.encode()) for t in texts]
+
+
+def _texts(packed: pa.Array) -> pa.Array:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return pa.array([None if b is None else z.decompress(b) for b in packed.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def _tokens(units: DataFrame, pair) -> DataFrame:
     """cid, stretch, n (how often it stands in the texts), and of both tokenizers the ids and lengths."""
 
     def counted():
         def f(batch):
-            words, at, _ = cut(batch.column(0))
+            words, at, _ = cut(_texts(batch.column(0)))
             return [words, pa.array(np.bincount(at, minlength=len(words)))]
 
         return f
@@ -142,7 +156,7 @@ def _tokens(units: DataFrame, pair) -> DataFrame:
         p = pair()
         return lambda batch: [batch.column(0), batch.column(1), *p.columns(batch.column(0))]
 
-    n = map_arrow(units.select("text"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
+    n = map_arrow(units.select("z"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
     kinds = "stretch string, n bigint, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
     return map_arrow(n, encoded, kinds).withColumn("cid", F.monotonically_increasing_id())
 
@@ -175,7 +189,7 @@ def _aligned(tokens: DataFrame) -> DataFrame:
 
 
 class Alignment:
-    """The tables of an alignment: units (row, doc_id, text), pairs (a, b, count, best), stats (a row for each stretch)."""
+    """The tables of an alignment: units (row, doc_id, z: the packed text), pairs (a, b, count, best), stats (a row for each stretch)."""
 
     def __init__(self, docs: DataFrame, a_path: str, b_path: str):
         spark = docs.sparkSession
@@ -204,9 +218,9 @@ class Alignment:
 
         def make():
             p = pair()
-            return lambda cols: [cols["row"], cols["doc_id"], [t if p.whole(t) else None for t in cols["text"]]]
+            return lambda cols: [cols["row"], cols["doc_id"], _packed([t if p.whole(t) else None for t in cols["text"]])]
 
-        return map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), make, "row bigint, doc_id bigint, text string")
+        return map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), make, "row bigint, doc_id bigint, z binary")
 
     def documents(self, last: str, made) -> DataFrame:
         """doc_id, NUMBERS and a last column, made(the text's groups), for each row."""
@@ -244,7 +258,7 @@ class Alignment:
             known = hot.value[0]
 
             def f(batch):
-                *_, of, stretch = places(batch.column(1), known)
+                *_, of, stretch = places(_texts(batch.column(1)), known)
                 k = np.arange(len(of)) - np.searchsorted(of, of)
                 return [batch.column(0).take(pa.array(of)), pa.array(k, pa.int32()), stretch]
 
@@ -255,7 +269,7 @@ class Alignment:
             texts = pa.array(texts, pa.string())
 
             def f(batch):
-                n, of, at, rare, question, _, stretch = places(batch.column(1), known)
+                n, of, at, rare, question, _, stretch = places(_texts(batch.column(1)), known)
                 # answers are numbers and groups in one text, in the order of the questions
                 told = pc.split_pattern(batch.column(2).flatten(), " ", max_splits=len(NUMBERS)).flatten()
                 columns = [told.take(pa.array(np.arange(i, len(told), len(NUMBERS) + 1))) for i in range(len(NUMBERS) + 1)]
@@ -273,10 +287,10 @@ class Alignment:
 
             return f
 
-        want = map_arrow(self.units.select("row", "text"), asked, "row bigint, k int, stretch string")
+        want = map_arrow(self.units.select("row", "z"), asked, "row bigint, k int, stretch string")
         rest = self.stats.where(~large).select("stretch", F.concat_ws(" ", *NUMBERS, "groups").alias("told"))
         told = want.join(rest, "stretch").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "told"))).alias("r"))
-        both = self.units.join(told, "row", "left").select("doc_id", "text", F.col("r.told").alias("told"))
+        both = self.units.join(told, "row", "left").select("doc_id", "z", F.col("r.told").alias("told"))
         return map_arrow(both, summed, f"doc_id bigint, {', '.join(f'{c} bigint' for c in NUMBERS)}, {last} string")
 
 

@@ -36,11 +36,11 @@ from .op10_minhash import M1, mix64
 
 LEAST, TOP, INSIDE = 10, 2000, 50
 #: n-grams of a group that is counted at a time, about, and MB that duckdb may use before it spills.
-GROUP, MEMORY = 3_000_000, 300
+GROUP, MEMORY = 2_000_000, 200
 #: Bits of the bitmap of frequent pairs, and of one of the segments that it is made of.
 CELLS, SEGMENT = 1 << 27, 1 << 16
 #: Bytes of pieces whose triples are looked for at a time.
-PIECES = 4 << 20
+PIECES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words and pairs of the pieces p (lang, piece, m).
@@ -85,6 +85,8 @@ def _dealt(groups: Iterator[pa.Table], sql: str, buckets: int) -> Iterator[pa.Re
         for i, j in zip(at, at[1:]):
             part = _pack(out.slice(i, j - i).select(["lang", "gram", "f"]))
             yield pa.RecordBatch.from_arrays([pa.array([int(b[i])], pa.int64()), pa.array([part], pa.binary())], ["bucket", "part"])
+        del own, out, b
+        pa.default_memory_pool().release_unused()  # workers stay, and would keep it
 
 
 def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:

@@ -71,15 +71,16 @@ def plain(names: list[str]) -> list[str]:
     return [f"c{i}" for i in range(len(names))]
 
 
-def beside(df: DataFrame, need: list[str], make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
-    """df's own columns, untouched, under their plain() names, and beside them those of schema, row for row.
+def beside(df: DataFrame, need: list[str], make: Callable[[], Callable[[dict], list]], schema: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """df's own columns but for `without`, untouched, under their plain() names, and beside them those of schema, row for row.
 
     Only the columns that are needed become Python values; the others pass as they are, whatever their names and types.
     """
     bounded_batches(df.sparkSession)
     own, at = plain(df.columns), {n: df.columns.index(n) for n in need}
     # names within a column may hold anything, so a struct's fields are told to Spark by its own types
-    kinds = StructType([StructField(n, f.dataType) for n, f in zip(own, df.schema)] + parse(schema).fields)
+    kept = [i for i, n in enumerate(df.columns) if n not in without]
+    kinds = StructType([StructField(own[i], df.schema[i].dataType) for i in kept] + parse(schema).fields)
     arrow = _arrow(parse(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +89,7 @@ def beside(df: DataFrame, need: list[str], make: Callable[[], Callable[[dict], l
             f = f or make()
             new = f({n: b.column(i).to_pylist() for n, i in at.items()})
             more = [pa.array(x, t.type) for x, t in zip(new, arrow)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema=pa.schema([*b.schema, *arrow]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *more], schema=pa.schema([*(b.schema.field(i) for i in kept), *arrow]))
 
     return df.toDF(*own).mapInArrow(run, kinds)
 

@@ -333,7 +333,8 @@ def _scored(spark: SparkSession, model: dict):
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns keep, with lang_pred and score from the text alone."""
-    out = beside(docs, ["text"], _scored(docs.sparkSession, model), SCORED)
+    docs = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in dict.fromkeys(["text", *keep])])
+    out = beside(docs, ["text"], _scored(docs.sparkSession, model), SCORED, () if "text" in keep else ("text",))
     at = [plain(docs.columns)[docs.columns.index(c)] for c in keep]
     return out.select(*at, "lang_pred", "score").toDF(*keep, "lang_pred", "score")
 

@@ -155,7 +155,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         return f
 
-    out = beside(docs, ["text"], make, "n_tokens bigint, token_ids array<int>")
+    out = beside(docs, ["text"], make, "n_tokens bigint, token_ids array<int>", ("text",))
     kept = [(a, b) for a, b in zip(plain(docs.columns), docs.columns) if b != "text"]
     names, new = [], ["n_tokens", "token_ids"]
     for _, b in kept:

@@ -262,7 +262,7 @@ def summary(buf: bytes | None) -> list:
 
 def media_columns(df: DataFrame, content: str = "media") -> DataFrame:
     """df without the container, with the columns of SUMMARY: all its tracks, or an error."""
-    out = beside(df, [content], lambda: lambda cols: list(map(list, zip(*map(summary, cols[content])))), SUMMARY)
+    out = beside(df, [content], lambda: lambda cols: list(map(list, zip(*map(summary, cols[content])))), SUMMARY, (content,))
     kept = [(a, b) for a, b in zip(plain(df.columns), df.columns) if b != content]
     names, new = [], ["tracks", "error"]
     for _, b in kept:

@@ -491,8 +491,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return f
 
-    out = beside(docs, ["text"], make, "redacted string")
+    out = beside(docs, ["text"], make, "redacted string", ("text",))
     new = {"text": F.col("redacted")}
     if "n_chars" in names:
         new["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(b, F.col(a)).alias(a) for a, b in zip(own, names)]).toDF(*names)
+    return out.select(*[(new[b] if b in new else F.col(a)).alias(a) for a, b in zip(own, names)]).toDF(*names)

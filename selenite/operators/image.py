@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .spread import quantiles
 
 
 def window_scan(px: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
@@ -22,7 +23,7 @@ def mask_calibrate(px: DataFrame, scale: float, offset: float, specials=(), low=
 
 def stretch(px: DataFrame, keys: list[str] = [], value: str = "value", low: float = 0.01, high: float = 0.99) -> DataFrame:  # noqa: B006
     """Adds display: 0..255 between two exact percentiles of each image."""
-    q = px.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantiles(px, keys, value, [low, high]).withColumnRenamed("q", "_q")
     j = px.join(q, keys) if keys else px.crossJoin(F.broadcast(q))  # q is one row
     return j.withColumn("display", S.stretched(F.col(value), F.col("_q")[0], F.col("_q")[1]).cast("int")).drop("_q")
 

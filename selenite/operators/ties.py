@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .spread import quantiles
 
 
 def residuals(ties: DataFrame, h: list[float]) -> DataFrame:
@@ -66,17 +67,26 @@ def report(scored: DataFrame, keys: list[str] = ["job"]) -> DataFrame:  # noqa:
         F.count(F.lit(1)).alias("candidates"), F.count_if(ok).alias("inliers"),
         (F.count_if(ok) / F.count(F.lit(1))).alias("ratio"),
         F.sqrt(F.avg(F.when(ok, F.col("res") * F.col("res")))).alias("rmse"),
-        F.percentile(F.when(ok, F.col("res")), F.lit(0.5)).alias("median"),
-        F.percentile(F.when(ok, F.col("res")), F.lit(0.95)).alias("p95"),
     )
 
 
+def error_quantiles(scored: DataFrame, keys: list[str] = ["job"], **options) -> DataFrame:  # noqa: B006
+    """median and p95 of the inliers' residuals, exact, whatever share of the ties a job holds."""
+    q = quantiles(scored.select(*keys, F.when(F.col("inlier"), F.col("res")).alias("res")), keys, "res", [0.5, 0.95], **options)
+    return q.select(*keys, F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+
+
 def scaled_rmse(scored: DataFrame, keys: list[str] = ["job"]) -> DataFrame:  # noqa: B006
     """Root mean square by the largest residual, which can't overflow; null without rows."""
-    peak = F.max("res").over(Window.partitionBy(*keys))
-    t = scored.withColumn("_peak", peak)
-    part = F.when(F.col("_peak") > 0, F.col("res") / F.col("_peak")).otherwise(0.0)
-    return t.groupBy(*keys).agg((F.max("_peak") * F.sqrt(F.avg(part * part))).alias("rmse"))
+    # scaled by powers of two within a task's rows, so that partial sums of a job need not know its largest residual:
+    # residuals of one exponent are added up as they are, and the few sums of exponents then by the largest of them
+    power = F.when(F.col("res") > 0, F.floor(F.log2("res"))).otherwise(F.lit(None))
+    part = F.col("res") / F.pow(F.lit(2.0), F.col("_e"))
+    t = scored.select(*keys, "res", power.alias("_e")).groupBy(*keys, "_e").agg(F.count("res").alias("_n"), F.coalesce(F.sum(part * part), F.lit(0.0)).alias("_s"))
+    peak = F.max("_e").over(Window.partitionBy(*keys))
+    t = t.withColumn("_p", peak).withColumn("_t", F.col("_s") * F.pow(F.lit(4.0), F.coalesce(F.col("_e") - F.col("_p"), F.lit(0))))
+    root = F.sqrt(F.sum("_t") / F.sum("_n")) * F.pow(F.lit(2.0), F.coalesce(F.max("_p"), F.lit(0)))
+    return t.groupBy(*keys).agg(F.when(F.sum("_n") > 0, root).alias("rmse"))
 
 
 def spans_plane(x: str, y: str, eps: float = 1e-12):

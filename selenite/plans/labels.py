@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import spread
 from ..streaming import jobs
 from .views import duck, view
 
@@ -209,9 +209,8 @@ select job, kind from l where not done and m < (select max(ts) from je) - interv
 @query
 def stage_deltas(spark, d):
     """Milliseconds from each event of a job to its next one."""
-    w = Window.partitionBy("job").orderBy("ts", "event_id")
-    t = view(spark, d, "job_ev").withColumn("_n", F.lead("ts").over(w))
-    ms = (F.unix_micros(F.col("_n").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000
+    t = spread.with_next(view(spark, d, "job_ev"), ["job"], ["ts", "event_id"], ["ts"])
+    ms = (F.unix_micros(F.col("next.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000
     return t.select("job", "event_id", F.round(ms, 3).alias("ms"))
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import kernels, match, ties
+from ..operators import kernels, match, spread, ties
 from .views import duck, view
 
 Q, SQL = {}, {}
@@ -152,7 +151,7 @@ SQL["rmse_report"] = duck(f"+{PROJ} select job, count(*) candidates, count(*) fi
 
 @query
 def residual_quantiles(spark, d):
-    return ties.report(_scored(spark, d, False)).select("job", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
+    return ties.error_quantiles(_scored(spark, d, False)).select("job", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
 
 
 SQL["residual_quantiles"] = duck(f"+{PROJ} select job, round(quantile_cont(res, 0.5) filter (res <= 3.5), 4) median, round(quantile_cont(res, 0.95) filter (res <= 3.5), 4) p95 from t group by 1", "tie")
@@ -403,12 +402,13 @@ SQL["nearest_tie"] = duck("+n as (select job, i, sqrt((rx - 500) * (rx - 500) +
 @query
 def shoelace_area(spark, d):
     """Signed area of the closed line through each job's ties in order, by neighbouring vertices; taken positive."""
-    t = view(spark, d, "tie")
-    w = Window.partitionBy("job").orderBy("i")
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nx, ny = F.coalesce(F.lead("rx").over(w), F.first("rx").over(every)), F.coalesce(F.lead("ry").over(w), F.first("ry").over(every))
-    t = t.withColumn("c", F.col("rx") * ny - nx * F.col("ry"))
-    return t.groupBy("job").agg(F.round(F.abs(F.sum("c")) / 2, 3).alias("area"))
+    t = spread.with_next(view(spark, d, "tie").select("job", "i", "rx", "ry"), ["job"], ["i"], ["rx", "ry"])
+    side = lambda x, y, u, v: x * v - u * y
+    inner = F.sum(side(F.col("rx"), F.col("ry"), F.col("next.rx"), F.col("next.ry")))
+    first, last = (f(F.struct("rx", "ry"), "i") for f in (F.min_by, F.max_by))
+    t = t.groupBy("job").agg(F.coalesce(inner, F.lit(0.0)).alias("c"), first.alias("a"), last.alias("z"))
+    closed = F.col("c") + side(F.col("z.rx"), F.col("z.ry"), F.col("a.rx"), F.col("a.ry"))
+    return t.select("job", F.round(F.abs(closed) / 2, 3).alias("area"))
 
 
 SQL["shoelace_area"] = duck("""+v as (select job, rx * coalesce(lead(ry) over w, first_value(ry) over w) - coalesce(lead(rx) over w, first_value(rx) over w) * ry c

@@ -1,10 +1,14 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and joins that no key can overload."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hold at least 1 / HOT of all rows may be broadcast: there can't be more than HOT of them.
+HOT = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,5 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """The rows as written to the shared folder, so that a lost executor costs no recomputation of what lies before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key and in `held` the number of rows that have it.
+
+    total is the number of rows. Facts of keys with a large share of the rows are broadcast, so those rows stay where
+    they are; the rest are shuffled by keys of which none holds a large share. Rows without facts go.
+    """
+    large = F.col("held") * HOT >= total
+    hot = facts.where(large).drop("held")
+    stay = rows.join(F.broadcast(hot), keys)
+    move = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(~large).drop("held"), keys)
+    return stay.unionByName(move)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut, shared_dir, spread_join  # noqa: F401  the operators take them from here
+
 #: Words as the contracts of this folder define them: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
-
-    A folder of our own is on this machine's disk, so it is made only where tasks run on this machine too.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="selenite-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as written to the shared folder, so that a lost executor costs no recomputation of what lies before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables of one run: written as Parquet to the shared folder, dropped once nothing reads them any more.
 
@@ -68,23 +49,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: spread_join broadcasts keys that hold at least 1 / HOT of all rows; there can't be more than HOT of them.
-HOT = 20_000
-
-
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with the columns of facts, which has one row for each key and in `held` the number of rows that have it.
-
-    total is the number of rows. Facts of keys with a large share of the rows are broadcast, so those rows stay where
-    they are; the rest are shuffled by keys of which none holds a large share. Rows without facts go.
-    """
-    large = F.col("held") * HOT >= total
-    hot = facts.where(large).drop("held")
-    stay = rows.join(F.broadcast(hot), keys)
-    move = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(~large).drop("held"), keys)
-    return stay.unionByName(move)
-
-
 def offsets(totals: DataFrame, keys: list[str], cell: str, value: str, out: str, per: int = 1024) -> DataFrame:
     """Exclusive running total of value along cell within keys.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .common import cut, small, table
+from .common import cut, spread_join, table
 
 MAX_DOCS, LEAST_LEFT = 20, 0.3
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
@@ -79,8 +79,10 @@ def line_frequency_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left:
     base = cut(map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", host.alias("host"), "text"), make, kinds))
     # a document has a line once, so a plain count is one of documents, and each map task adds up what it can
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.h", "l.w")
-    often = cut(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("host", "h"))
-    gone = lines.join(small(often, often.count()), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
+    often = cut(lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > max_docs))
+    total = base.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    # a line that a good part of all documents of a host share stays where it is
+    gone = spread_join(lines, often, ["host", "h"], total).groupBy("row").agg(F.sum("w").alias("removed_words"))
     out = base.drop("lines", "host").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= F.lit(least_left) * F.col("n_words")
@@ -88,7 +90,7 @@ def line_frequency_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left:
 
 
 def op8_line_frequency(spark, sf_dir: str) -> DataFrame:
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"]
     return line_frequency_rules(table(spark, sf_dir, "documents")).select(*names)
 
 
@@ -112,5 +114,5 @@ f as (select w.doc_id, len(ws)::bigint n_words, coalesce(list_sum(list_transform
       from w left join lines using (doc_id) left join m using (doc_id)),
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and n_words - gone >= {LEAST_LEFT} * n_words kept from v
+       not base_failed and n_words - gone >= {LEAST_LEFT} * n_words kept, gone removed_words from v
 """

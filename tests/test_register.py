@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from selenite.operators import kernels
 from selenite.plans import register
 
 
@@ -39,11 +40,45 @@ def test_whole_registration_is_complete(spark):
     assert r.rmse < 0.5 and r.vsui >= 0.75 and r.ratio >= 0.7 and r.withheld >= 8 and r.candidates >= r.refined >= r.inliers >= r.retained
 
 
-def test_pictures_beyond_the_limit_are_not_looked_at(spark, monkeypatch):
-    monkeypatch.setattr(register, "PIXELS", 100)
-    px = spark.range(2 * 12 * 12).selectExpr("cast(1 as bigint) job", "if(id < 144, 's', 'r') side", "cast(id % 144 div 12 as int) y", "cast(id % 12 as int) x", "cast(id % 7 as double) dn")
-    r = register.register(px, 12.0, 12.0).first()
-    assert r.reasons.startswith("picture too large") and r.candidates == 0 and r.status == "review_required"
+def table(spark, parts):
+    """Pixels of {(job, side): array}."""
+    rows = []
+    for (job, side), v in parts.items():
+        y, x = np.indices(v.shape)
+        rows.append(pd.DataFrame({"job": job, "side": side, "y": y.ravel(), "x": x.ravel(), "dn": v.ravel()}))
+    return spark.createDataFrame(pd.concat(rows)).selectExpr("cast(job as bigint) job", "side", "cast(y as int) y", "cast(x as int) x", "dn", "dn w")
+
+
+def test_keypoints_by_tile_are_those_of_the_picture(spark):
+    """Several tiles, cut at odd sizes, and small and flat pictures: the same keypoints and descriptors as from the whole."""
+    wide = spots(150)[:, :97]
+    px = table(spark, {(1, "s"): wide, (1, "r"): np.full((40, 50), 9.0), (2, "s"): spots(70), (2, "r"): spots(70)[:6], (3, "s"): spots(70)[:, :20]})
+    for most in (10_000, 40):
+        got = {}
+        for r in register.features(px, most, 0.01, tile=32).collect():
+            got.setdefault((r.job, r.side), {})[r.x, r.y] = r.v
+        for key, v in {(1, "s"): wide, (2, "s"): spots(70), (3, "s"): spots(70)[:, :20]}.items():
+            p, d = kernels.keypoints(v, most, 0.01, octaves=register.OCTAVES)
+            assert len(p) > 1 and set(got[key]) == set(map(tuple, p[:, :2]))
+            for (x, y, _), own in zip(p, d):
+                assert np.allclose(got[key][x, y], own, atol=1e-9) or list(map(tuple, p[:, :2])).count((x, y)) > 1
+        assert (1, "r") not in got and (2, "r") not in got
+
+
+def test_tracking_by_patch_is_that_of_the_picture(spark):
+    n = 330
+    a, b = spots(n, 2.25, -1.5), spots(n)
+    p, _ = kernels.keypoints(a, 150, 0.01)
+    at = [(1, i, x, y, x - 2.0, y + 1.0, 0.5) for i, (x, y, _) in enumerate(p)] + [(9, 0, 1.0, 1.0, 2.0, 2.0, 0.5)]
+    pairs = spark.createDataFrame([tuple(float(v) if k > 1 else int(v) for k, v in enumerate(r)) for r in at], "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double")
+    px = table(spark, {(1, "s"): a, (1, "r"): b, (9, "s"): a[:50], (9, "r"): b[:60]})
+    got = {(r.job, r.i): (r.rx, r.ry) for r in register.refined(px, pairs, tile=128).collect()}
+    src, ref = np.array([r[2:4] for r in at[:-1]]), np.array([r[4:6] for r in at[:-1]])
+    to, ok = kernels.track(a, b, src, ref)
+    again, ok2 = kernels.track(b, a, to, src)
+    keep = ok & ok2 & (np.hypot(*(again - src).T) <= 0.5) & (np.hypot(*(to - ref).T) <= 3.5)
+    assert keep.sum() > 100 and set(got) == {(1, int(i)) for i in np.flatnonzero(keep)} | {(9, 0)}
+    assert all(np.allclose(got[1, int(i)], to[i], atol=1e-3) for i in np.flatnonzero(keep)) and got[9, 0] == (2.0, 2.0)
 
 
 def test_translation_flat_and_unrelated(spark):

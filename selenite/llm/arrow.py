@@ -22,11 +22,11 @@ def bounded_batches(spark) -> None:
             spark.conf.set(name, ours)
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches, ROWS at a time."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so many at a time."""
     for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.slice(i, ROWS)
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def _arrow(kinds: StructType) -> pa.Schema:
@@ -59,9 +59,10 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for b in pieces(batches):
+        for b in pieces(batches, ROWS // 2):
             f = f or make()
             yield pa.RecordBatch.from_arrays([x if x.type == t.type else x.cast(t.type) for x, t in zip(f(b), arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker stays, and would keep it
 
     return df.mapInArrow(run, kinds)
 

@@ -33,7 +33,7 @@ from .arrow import map_arrow, map_rows
 from .common import Scratch, spread_join, table
 from .op6_bpe import byte_letters
 
-STRETCHES = 250_000
+STRETCHES = 200_000
 #: Stretches that are encoded as one text.
 RUN = 64
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]

@@ -94,14 +94,6 @@ def blocks(size: Column, block: int) -> Column:
     return F.ceil(F.coalesce(size, F.lit(0)) / block).cast("long")
 
 
-def window_cost(width: Column, item: Column, prefix: Column, start: Column, x: Column, y: Column, w: Column, h: Column) -> list[Column]:
-    """Samples, bytes, seeks (one a row), and the first and last byte of a window of a raw raster."""
-    stride = width * item + prefix
-    first = start + y * stride + prefix + x * item
-    cost = {"pixels": w * h, "bytes": w * h * item, "seeks": h, "first_byte": first, "end_byte": first + (h - 1) * stride + w * item}
-    return [v.cast("long").alias(k) for k, v in cost.items()]
-
-
 def displayed(px: DataFrame, identity: bool, specials: list[float]) -> DataFrame:
     """y, x, display: uncalibrated bytes as they are, anything else stretched between two percentiles of the valid samples; masked ones are 0."""
     from ..operators import image

@@ -127,13 +127,22 @@ def preview_png(spark, d):
 
 @query
 def container_kinds(spark, d):
-    """Containers by their first bytes."""
-    heads = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("49492A00", "4D4D002A", "89504E470D0A1A0A", "FFD8FFE0", "424D0000", "00000000")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    """What files are by their first bytes: rows of pixels as images in two containers and as raw samples with and without a label, and texts."""
+    px = view(spark, d, "px").withColumns({"tile": F.floor(F.col("y") / 16).cast("bigint")})
 
-    return view(spark, d, "part").select(F.col("p_partkey").alias("id"), raster.container(heads).alias("kind"))
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf.tile.iloc[0])
+        a = raster.image_array(pdf.assign(y=pdf.y - 16 * t), "u1")
+        label = b"/* of a tile */ PDS_VERSION_ID = PDS3\r\nEND\r\n"
+        return pd.DataFrame({"tile": t, "content": [tiff.encoded(a.astype("u2")), tiff.encoded(a), raster.png_bytes(a), label + a.tobytes(), b"\0" + a.tobytes()]})
+
+    made = px.groupBy("tile").applyInPandas(write, "tile bigint, content binary")
+    texts = view(spark, d, "documents").select(F.lit(-1).cast("bigint").alias("tile"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return made.unionByName(texts).groupBy("tile", raster.container(F.col("content")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["container_kinds"] = "select p_partkey id, ['tiff', 'tiff', 'png', 'jpeg', 'bmp', 'unknown'][p_partkey % 6 + 1] kind from part"
+SQL["container_kinds"] = duck("""+t as (select distinct (y // 16)::bigint tile from px) select tile, kind, case kind when 'tiff' then 2 else 1 end::bigint n from t, (select unnest(['tiff', 'png', 'pds3', 'unknown']) kind)
+union all select -1, case when text like 'BM%' then 'bmp' when contains(encode(text)[:4096]::varchar, 'PDS_VERSION_ID') then 'pds3' else 'unknown' end, count(*) from documents group by 1, 2""", "px")
 
 
 def _labels(spark, d):
@@ -221,18 +230,18 @@ def _inside(key: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @query
 def keypoints(spark, d):
-    """The strongest keypoints of the smoothed pixels, found by tile with a halo: x, y, response, and the descriptor's norm."""
+    """The strongest keypoints of the smoothed pixels, found by tile with a halo: x, y, response, and what its descriptor adds up to, weighted by place."""
 
     def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, y0, x0 = _tile(pdf)
         if min(a.shape) < 8:
-            return pd.DataFrame(columns=["x", "y", "response", "norm"])
+            return pd.DataFrame(columns=["x", "y", "response", "shape"])
         p, v = kernels.keypoints(a, contrast=0.01)
         x, y = p[:, 0] + x0, p[:, 1] + y0
         own = _inside(key, x, y)
-        return pd.DataFrame({"x": x[own].astype(int), "y": y[own].astype(int), "response": p[own, 2].round(6), "norm": np.linalg.norm(v[own], axis=1).round(4)})
+        return pd.DataFrame({"x": x[own].astype(int), "y": y[own].astype(int), "response": p[own, 2].round(6), "shape": (v[own] @ np.arange(1, 129)).round(3)})
 
-    k = image.tiled(_smooth(spark, d), 24, 24).groupBy("_ty", "_tx").applyInPandas(find, "x int, y int, response double, norm double")
+    k = image.tiled(_smooth(spark, d), 24, 24).groupBy("_ty", "_tx").applyInPandas(find, "x int, y int, response double, shape double")
     return k.orderBy(F.desc("response"), "y", "x").limit(1024)  # the strongest ones are the feature
 
 

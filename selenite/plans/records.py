@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import records, warp
-from ..sources import odl
+from ..shared import cut, shared_dir
+from ..sources import odl, raster
 from .views import duck, view
 
 Q, SQL = {}, {}
@@ -301,27 +306,49 @@ SQL["upload_copy"] = "select doc_id id, coalesce(octet_length(encode(text)), 0)
 
 @query
 def read_accounting(spark, d):
-    """What windows of rasters cost: pixels, bytes and seeks, a read for each row and band, without reading any."""
-    p = _part(spark, d)
-    t = p.select("id", (F.col("s") * 100).alias("width"), F.lit(2).alias("item"), F.lit(4).alias("prefix"), F.lit(64).alias("start"), (F.col("s") * 10).alias("x"), F.col("s").alias("y"), F.lit(50).alias("w"), (F.col("s") % 7 + 1).alias("h"))
-    return t.select("id", *rules.window_cost(*[F.col(c) for c in ("width", "item", "prefix", "start", "x", "y", "w", "h")]))
+    """Windows of a raw raster read one by one: samples, valid ones among them, and the bytes and seeks that the reads really took."""
+    from pyarrow import fs
 
-
-SQL["read_accounting"] = """with p as (select p_partkey::bigint id, p_size::bigint s from part)
-select id, 50 * (s % 7 + 1) pixels, 100 * (s % 7 + 1) bytes, s % 7 + 1 seeks, 64 + s * (200 * s + 4) + 4 + 20 * s first_byte, 64 + (s + s % 7) * (200 * s + 4) + 4 + 20 * s + 100 end_byte from p"""
+    px = view(spark, d, "px").withColumn("dn", F.floor("dn").cast("double"))
+    height = (px.agg(F.max("y")).first()[0] or 0) + 1
+    store, root = fs.FileSystem.from_uri(folder := f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}")
+    store.create_dir(root, recursive=True)
+    size = cut(raster.write_raw(px, f"{folder}/a.raw", ">i2", b"H" * 64)).first()
+    # windows of 25 x 16 samples over the whole raster, the lowest ones as high as is left
+    n = 0 if size is None or not size[0] > 64 else -(-height // 16)
+    windows = spark.range(4 * n).select("id", (F.col("id") % 4 * 25).cast("int").alias("x"), F.expr("cast(id div 4 * 16 as int)").alias("y"))
+    path = f"{folder}/a.raw"
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, x, y in zip(b["id"], b["x"], b["y"]):
+                reader = raster.RawReader({"path": path, "dtype": ">i2", "width": 100, "height": height, "offset": 64, "x": x, "y": y, "w": 25, "h": min(16, height - y)})
+                parts = [batch for p in reader.partitions() for batch in reader.read(p)]
+                dn = np.concatenate([p.column(3).to_numpy() for p in parts])
+                rows.append((i, len(dn), int((dn != 255).sum()), reader.bytes_read, reader.seeks, float(dn[dn != 255].sum())))
+            yield pd.DataFrame(rows, columns=["id", "pixels", "valid", "bytes", "seeks", "total"])
+
+    out = cut(windows.repartition("y").mapInPandas(run, "id bigint, pixels bigint, valid bigint, bytes bigint, seeks bigint, total double"))
+    store.delete_dir(root)
+    return out
+
+
+SQL["read_accounting"] = duck("""select (y // 16 * 4 + x // 25)::bigint id, count(*) pixels, count(*) filter (floor(dn) <> 255) valid, 2 * count(*) bytes, count(distinct y) seeks, coalesce(sum(floor(dn)) filter (floor(dn) <> 255), 0)::double total
+from px group by 1""", "px")
 
 
 _CONTROLS = [(100.0 + 137 * k % 800, 50.0 + 211 * k % 900, ((k * 7) % 5 - 2) / 50000.0, ((k * 3) % 5 - 2) / 50000.0) for k in range(9)]
-_SIZE = (77, 53)
 
 
 @query
 def spline_map(spark, d):
-    """The source place of every pixel by a lattice of step 8."""
+    """The source place of every pixel of the raster by a lattice of step 8."""
+    last = view(spark, d, "px").agg(F.max("y")).first()[0]
     control = lambda i: spark.createDataFrame([(a, b, (w, u)[i]) for a, b, w, u in _CONTROLS], "cx double, cy double, w double")
-    args = (spark, *_SIZE, (control(0), (1.5, 1.01, -0.02)), (control(1), (-2.0, 0.015, 0.99)))
+    args = (spark, 100, 1 if last is None else last + 1, (control(0), (1.5, 1.01, -0.02)), (control(1), (-2.0, 0.015, 0.99)))
     m = warp.coordinate_map(*args, step=8)
-    return m.select("x", "y", F.round("sx", 3).alias("sx"), F.round("sy", 3).alias("sy"))
+    return m.where(F.lit(last is not None)).select("x", "y", F.round("sx", 3).alias("sx"), F.round("sy", 3).alias("sy"))
 
 
 def _spline_sql(x: str, y: str, w: int, affine: tuple[float, float, float]) -> str:
@@ -330,11 +357,11 @@ def _spline_sql(x: str, y: str, w: int, affine: tuple[float, float, float]) -> s
     return f"({affine[0]}::double + {affine[1]}::double * {x} + {affine[2]}::double * {y} + {terms})"
 
 
-SQL["spline_map"] = f"""with l as (select i, j, (i * 8 - 4.5)::double u, (j * 8 - 4.5)::double v from (select unnest(range({-(-_SIZE[0] // 8) + 2})) i), (select unnest(range({-(-_SIZE[1] // 8) + 2})) j)),
+SQL["spline_map"] = duck(f"""+top as (select max(y) + 1 h from px), l as (select i, j, (i * 8 - 4.5)::double u, (j * 8 - 4.5)::double v from (select unnest(range({-(-100 // 8) + 2})) i), (select unnest(range((select (h + 7) // 8 + 2 from top))) j)),
 g as (select i, j, {_spline_sql('u', 'v', 0, (1.5, 1.01, -0.02))} - u dx, {_spline_sql('u', 'v', 1, (-2.0, 0.015, 0.99))} - v dy from l),
-p as (select x, y, (x + 4) // 8 i, (y + 4) // 8 j, ((x + 4) % 8 + 0.5) / 8.0::double fx, ((y + 4) % 8 + 0.5) / 8.0::double fy from (select unnest(range({_SIZE[0]})) x), (select unnest(range({_SIZE[1]})) y))
+p as (select x, y, (x + 4) // 8 i, (y + 4) // 8 j, ((x + 4) % 8 + 0.5) / 8.0::double fx, ((y + 4) % 8 + 0.5) / 8.0::double fy from px)
 select x::int x, y::int y, round(x + sum(w * dx), 3) sx, round(y + sum(w * dy), 3) sy from (
- select x, y, dx, dy, (case when g.i = p.i then 1 - fx else fx end) * (case when g.j = p.j then 1 - fy else fy end) w from p join g on g.i between p.i and p.i + 1 and g.j between p.j and p.j + 1) group by 1, 2, x, y"""
+ select x, y, dx, dy, (case when g.i = p.i then 1 - fx else fx end) * (case when g.j = p.j then 1 - fy else fy end) w from p join g on g.i between p.i and p.i + 1 and g.j between p.j and p.j + 1) group by 1, 2, x, y""", "px")
 
 
 @query

@@ -14,7 +14,7 @@ TIE0 = """select l_suppkey%8 job, row_number() over (partition by l_suppkey%8 or
 TIE = f"""select cast(job as bigint) job, cast(i as bigint) i, cast(1.03 as double)*rx+cast(0.02 as double)*ry+5+q/50+case when ln=7 then 40 else 0 end sx,
  cast(1.02 as double)*ry-cast(0.015 as double)*rx+20 sy, rx, ry, conf from ({TIE0}) tie0"""
 TELEM = "select p_partkey id, cast(p_size as double)/4 gsd, p_retailprice-90*floor(p_retailprice/90) inc from part"
-BOXES = """select s_suppkey id, lat_min, lat_min+4 lat_max, lon_min, lon_min+20 lon_max from (select s_suppkey,
+BOXES = """select s_suppkey id, lat_min, least(lat_min+8, cast(90 as double)) lat_max, lon_min, lon_min+40 lon_max from (select s_suppkey,
  cast((s_suppkey*37)%170-85 as double) lat_min, cast((s_suppkey*53)%360-180 as double) lon_min from supplier) t"""
 JOB_EV = """select user_id job, ts, event_id, case event_type when 'signup' then 'queued' when 'view' then 'processing'
  when 'click' then 'progress' when 'purchase' then 'complete' else 'failed' end kind from events"""

@@ -43,6 +43,7 @@ class RawReader(DataSourceReader):
         if not (0 <= self.x and 0 <= self.y and 0 < self.w <= self.width - self.x and 0 < self.h <= self.height - self.y):
             raise ValueError("the window lies outside of the raster")
         self.stride = self.width * self.dtype.itemsize + self.prefix + self.suffix
+        self.bytes_read = self.seeks = 0
 
     def partitions(self):
         return [Band(b, i, min(i + ROWS_A_TASK, self.y + self.h)) for b in range(self.bands) for i in range(self.y, self.y + self.h, ROWS_A_TASK)]
@@ -53,6 +54,7 @@ class RawReader(DataSourceReader):
             for y in range(part.first, part.last):
                 f.seek(self.offset + (part.band * self.height + y) * self.stride + self.prefix + self.x * self.dtype.itemsize)
                 raw = f.read(self.w * self.dtype.itemsize)
+                self.seeks, self.bytes_read = self.seeks + 1, self.bytes_read + len(raw)
                 if len(raw) != self.w * self.dtype.itemsize:
                     raise ValueError(f"the raster ends within row {y}")
                 dn = np.frombuffer(raw, self.dtype).astype(float)

@@ -49,27 +49,132 @@ def unusable(t: DataFrame) -> int:
     return t.where(~_finite(t)).count()
 
 
+_FOUND = "side string, s bigint, r bigint, d double"
+
+
+def _best_of(found: DataFrame) -> DataFrame:
+    two = found.groupBy("side", "s").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("n"))  # two of each block
+    return two.select("side", "s", F.col("n")[0]["r"].alias("r"), F.col("n")[0]["d"].alias("d1"), F.try_element_at("n", F.lit(2))["d"].alias("d2"))
+
+
+def _met(key: tuple, x: pd.DataFrame, y: pd.DataFrame, sides: str) -> pd.DataFrame:
+    if x.empty or y.empty:
+        return pd.DataFrame({"side": pd.Series([], dtype=object), "s": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=float)})
+    return pd.concat([_two_best(*((x, y) if side == "f" else (y, x))).assign(side=side) for side in sides])[["side", "s", "r", "d"]]
+
+
 def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> DataFrame:
     """side, s, r, d1, d2: 'f' the references of each source, 'b' the sources of each reference.
 
-    Both tables are dealt into blocks; every pair of blocks meets in one task of bounded size, where one matrix
-    product gives all distances, and only two candidates for each row leave it. Both sides come from one shuffle.
+    Tables of a block's size meet in one matrix product that serves both sides. Larger ones go through an index.
     """
     src, ref = usable(src), usable(ref)
+    a, b = (-(-t.count() // block_rows) for t in (src, ref))
+    if max(a, b) > 1:
+        pairs = {"f": (src, ref), "b": (ref, src)}
+        return reduce(DataFrame.unionByName, [_indexed(*pairs[s], block_rows).withColumn("side", F.lit(s)) for s in sides])
+    g = lambda t: t.select(F.col("id").alias("id"), F.col("v").alias("v"), F.lit(0).alias("_b")).groupBy("_b")
+    return _best_of(g(src).cogroup(g(ref)).applyInPandas(lambda key, x, y: _met(key, x, y, sides), _FOUND))
+
+
+#: Centres of the index at most, and rows that a centre stands for at least.
+CENTRES, A_CENTRE = 1024, 32
+
+
+def _distances(v: pd.Series, centres: np.ndarray) -> np.ndarray:
+    """From each vector to each centre, exact to a few units of rounding."""
+    x = np.stack(v.to_numpy()).astype(float)
+    d = (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T
+    return np.sqrt(np.maximum(d, 0))
+
+
+def _assigned(t: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, v, the nearest centre c and the distance d to it."""
+    shared = t.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for b in batches:
+            d = _distances(b.v, shared.value)
+            c = d.argmin(1)
+            yield pd.DataFrame({"id": b.id, "v": b.v, "c": c.astype("int32"), "d": d[np.arange(len(c)), c]})
+
+    return t.select("id", "v").mapInPandas(run, "id bigint, v array<double>, c int, d double")
+
+
+def _blocks(t: DataFrame, counts: dict[int, int], block_rows: int, name: str) -> DataFrame:
+    """t with the number of its row's block within the cluster c, so that a block has about block_rows rows."""
+    n = F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, max(1, -(-k // block_rows)))]) if counts else F.create_map().cast("map<int,int>")
+    return t.withColumn(name, F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(n, F.col("c")), F.lit(1))).cast("int"))
+
+
+def _count(t: DataFrame) -> dict[int, int]:
+    return {r["c"]: r["n"] for r in t.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # CENTRES rows at most
+
+
+def _indexed(src: DataFrame, ref: DataFrame, block_rows: int) -> DataFrame:
+    """s, r, d1, d2 of each source, as exact as comparing all pairs, but only with clusters that can hold one of its two nearest.
+
+    References are dealt to the nearest of a bounded number of centres. Two of a source's own cluster give a bound for
+    its second nearest; a cluster whose centre is farther than that bound and the cluster's radius holds neither. Clusters
+    and their sources are cut into blocks, so one that many rows are near is many tasks.
+    """
+    from ..shared import cut
+
+    n = ref.count()
+    first = ref.orderBy(F.xxhash64("id"), "id").limit(max(1, min(CENTRES, n // A_CENTRE))).select("v").toPandas()
+    if first.empty:
+        return src.select(F.col("id").alias("s"), F.col("id").alias("r"), F.lit(0.0).alias("d1"), F.lit(0.0).alias("d2")).limit(0)
+    centres = np.stack(first.v.to_numpy()).astype(float)
+    refs, srcs = cut(_assigned(ref, centres)), cut(_assigned(src, centres))
+    sizes = refs.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).toPandas()  # CENTRES rows at most
+    held = dict(zip(sizes.c.tolist(), sizes.n.tolist()))
+    radius = np.full(len(centres), -np.inf)
+    radius[sizes.c.to_numpy()] = sizes.radius.to_numpy()
+    own = lambda t, *c: t.select(*[F.col(x).alias(x) for x in ("id", "v", *c)])
+    every = lambda counts: F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, max(1, -(-k // block_rows)))]), F.col("c")), F.lit(1)) - 1))
+
+    def bounds(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty:
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "bound": pd.Series([], dtype=float)})
+        if len(y) < 2:
+            return pd.DataFrame({"id": x.id, "bound": np.inf})
+        two = _two_best(x, y)
+        return pd.DataFrame({"id": two.s.to_numpy()[1::2], "bound": two.d.to_numpy()[1::2]})
+
+    near = _count(srcs)
+    x = _blocks(own(srcs, "c"), near, block_rows, "_b")
+    # any two references bound the second nearest, so of a large cluster one block will do
+    y = _blocks(own(refs, "c"), held, block_rows, "_part").where("_part = 0").withColumn("_b", every(near) if near else F.lit(0))
+    g = lambda t, *k: t.groupBy(*k)
+    bound = cut(g(x, "c", "_b").cogroup(g(y, "c", "_b")).applyInPandas(bounds, "id bigint, bound double")).groupBy("id").agg(F.min("bound").alias("bound"))
+    shared = src.sparkSession.sparkContext.broadcast((centres, radius))
+
+    def asked(batches):
+        points, reach = shared.value
+        for b in batches:
+            d = _distances(b.v, points)
+            slack = 1e-9 * (d + np.abs(reach) + np.where(np.isfinite(b.bound), b.bound, 0).reshape(-1, 1)) + 1e-6 * np.sqrt(np.finfo(float).eps) * (1 + d)
+            row, c = np.nonzero((reach >= 0) & (d - reach - slack <= b.bound.to_numpy()[:, None]))
+            yield pd.DataFrame({"id": b.id.to_numpy()[row], "v": b.v.to_numpy()[row], "c": c.astype("int32")})
+
+    want = cut(own(srcs).join(bound, "id").mapInPandas(asked, "id bigint, v array<double>, c int"))
+    asks = _count(want)
+    x = _blocks(want, asks, block_rows, "_b").withColumn("_part", every(held))
+    y = _blocks(own(refs, "c"), held, block_rows, "_part").withColumn("_b", every(asks) if asks else F.lit(0))
+    found = g(x, "c", "_part", "_b").cogroup(g(y, "c", "_part", "_b")).applyInPandas(lambda key, p, q: _met(key, p, q, "f"), _FOUND)
+    return _best_of(found).drop("side")
+
+
+def _all_pairs(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> DataFrame:
+    """The same by every pair of blocks, for comparison."""
+    src, ref = usable(src), usable(ref)
     a, b = (max(1, -(-t.count() // block_rows)) for t in (src, ref))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     s = src.select("id", "v").withColumn("_a", dealt(a)).withColumn("_b", every(b))
     r = ref.select("id", "v").withColumn("_b", dealt(b)).withColumn("_a", every(a))
-
-    def best(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"side": pd.Series([], dtype=object), "s": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=float)})
-        return pd.concat([_two_best(*((x, y) if side == "f" else (y, x))).assign(side=side) for side in sides])[["side", "s", "r", "d"]]
-
-    found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(best, "side string, s bigint, r bigint, d double")
-    two = found.groupBy("side", "s").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("n"))  # two of each block
-    return two.select("side", "s", F.col("n")[0]["r"].alias("r"), F.col("n")[0]["d"].alias("d1"), F.try_element_at("n", F.lit(2))["d"].alias("d2"))
+    found = s.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(lambda key, x, y: _met(key, x, y, sides), _FOUND)
+    return _best_of(found)
 
 
 def nearest_two(src: DataFrame, ref: DataFrame, block_rows: int = 20_000) -> DataFrame:

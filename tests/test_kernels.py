@@ -178,3 +178,23 @@ def test_entropy_of_one_value_and_of_none(spark):
     px = spark.createDataFrame([(1, 5.0)] * 3 + [(2, None), (2, 0.0), (3, 1.0), (3, 2.0)], "k int, dn double")
     got = {r.k: (r.entropy, r.n) for r in image.entropy(px, ["k"]).collect()}
     assert got == {1: (0.0, 3), 2: (0.0, 0), 3: (1.0, 2)} and str(got[1][0]) == "0.0"
+
+
+def test_nearest_by_index(spark, monkeypatch):
+    """The index finds what all pairs find: clusters, copies, one hot cluster, few references; and it asks for few pairs of what is clustered."""
+    r = np.random.default_rng(12)
+    make = lambda v, first=0: spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    clustered = lambda n: (r.random((20, 3)) * 100)[r.integers(0, 20, n)] + r.random((n, 3))
+    hot = np.concatenate([np.tile(r.random(3), (300, 1)) + r.random((300, 3)) * 1e-3, r.random((100, 3)) * 50])
+    asked = []
+    count = match._count
+    monkeypatch.setattr(match, "_count", lambda t: asked.append(count(t)) or asked[-1])
+    cases = [(clustered(700), clustered(900)), (hot[::2], hot), (r.random((90, 8)), r.random((300, 8))), (r.random((80, 2)), np.repeat(r.random((3, 2)), 40, 0)), (r.random((70, 2)), r.random((1, 2)))]
+    for s, t in cases:
+        src, ref = make(s), make(t, 5000)
+        got, want = (sorted(map(tuple, f(src, ref).collect())) for f in (lambda a, b: match._indexed(a, b, 64), lambda a, b: match._all_pairs(a, b, 64, "f").drop("side")))
+        assert got == want and len(got) == len(s)
+    one = {c: n for c, n in asked[1].items()}
+    assert sum(one.values()) < 700 * 28 / 3  # of 28 centres
+    both = [sorted(map(tuple, n.collect())) for n in match.nearest_both(make(cases[0][0]), make(cases[0][1], 5000), 64)]
+    assert len(both[0]) == 700 and len(both[1]) == 900

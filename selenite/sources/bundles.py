@@ -66,6 +66,7 @@ class BundleWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         fs, root = _open(self.folder)
+        fs.create_dir(root, recursive=True)  # there even if nothing is published
         try:
             todo, seen = [], set()
             for m in filter(None, messages):

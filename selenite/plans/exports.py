@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import image, ties
 from ..shared import cut, shared_dir
-from ..sources import bundles, checksums, tiff
+from ..sources import bundles, checksums, images, raster, tiff
 from .tiepoints import SIDE
 from .views import duck, view
 
@@ -238,3 +238,31 @@ def label_checksums(spark, d):
 SQL["label_checksums"] = """with t as (select doc_id id, octet_length(encode(coalesce(text, ''))) n, case when doc_id % 13 > 0 then ['file', 'image_object', 'unknown'][doc_id % 3 + 1] end scope from documents)
 select id, scope md5_scope, case when scope is null and id % 11 > 0 then 'none' when scope is null or scope = 'unknown' then 'scope unknown' when scope = 'image_object' and id % 7 = 0 then 'short file'
  when id % 11 = 0 then 'mismatch' when (scope = 'file') = (id % 5 = 0) or n <= 10 and n = 0 then 'verified' else 'mismatch' end status from t"""
+
+
+@query
+def container_samples(spark, d):
+    """Rows of pixels as PNG, BMP and JPEG files, read back by Spark's own decoder: what the samples of each add up to."""
+    px = view(spark, d, "px").withColumn("tile", F.floor(F.col("y") / 64).cast("bigint"))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf.tile.iloc[0])
+        a = raster.image_array(pdf.assign(y=pdf.y - 64 * t), "u1")
+        rgb = np.stack([a, a // 2, 255 - a], 2)
+        return pd.DataFrame({"bundle": f"tile-{t}", "name": ["a.png", "a.bmp", "a.jpg", "a.webp"], "content": [raster.png_bytes(a), images.bmp_bytes(rgb), images.jpeg_blocks(a), b"RIFF\0\0\0\0WEBPVP8 "]})
+
+    bundles.publish(px.groupBy("tile").applyInPandas(write, bundles.FILES), folder := _folder(spark))
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "a.*"}
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    s = images.samples(spark, folder, **options).where("valid").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dn"), 3).alias("total"))
+    t = images.headers(spark, folder, **options).join(s, "path", "left")
+    out = cut(t.select(part(-2).alias("tile"), part(-1).alias("name"), "width", "height", "bands", "n", "total", F.concat_ws(";", "violations").alias("reasons")))
+    _dropped(folder)
+    return out
+
+
+SQL["container_samples"] = duck("""+t as (select y // 64 tile, y % 64 y, x, floor(dn)::int v from px),
+s as (select tile, max(y) + 1 h, count(*) n, sum(v)::double plain, sum((v + v // 2 + 255 - v) / 3::double) mean from t group by 1)
+select 'tile-' || tile tile, k.name, case k.name when 'a.jpg' then 800 when 'a.webp' then null else 100 end::int width, case k.name when 'a.jpg' then 8 * h when 'a.webp' then null else h end::int height, case k.name when 'a.bmp' then 3 when 'a.webp' then null else 1 end::int bands,
+ case k.name when 'a.jpg' then 64 * n when 'a.webp' then null else n end n, round(case k.name when 'a.jpg' then 64 * plain when 'a.png' then plain when 'a.bmp' then mean end, 3) total, case k.name when 'a.webp' then 'unreadable' else '' end reasons
+from s, (select unnest(['a.png', 'a.bmp', 'a.jpg', 'a.webp']) name) k""", "px")

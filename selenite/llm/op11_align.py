@@ -42,19 +42,25 @@ LETTER, SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", ".,;:!?"
 stretches = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[{LETTER}])(?=[{SIGN}])").split
 BLANK = "▁"
 #: What \S excludes, spelled out for a library that knows fewer blanks, and a mark that hardly any text holds.
-BLANKS, MARK = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\U0010ffff"
+BLANKS, MARK = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\x01"
 
 
-def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The stretches of all texts (with a blank before each; a null has none): the different ones, which of them stands at each place, and how many places a text has."""
+def marked(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The texts, with a blank before each and a mark at every cut; and as they are those that hold the mark themselves."""
     texts = pa.array(texts, pa.string())
-    if pc.any(pc.match_substring(texts, MARK)).as_py():
-        lists = pa.array([None if t is None else stretches(" " + t) for t in texts.to_pylist()], pa.list_(pa.string()))
-    else:
-        full = pc.binary_join_element_wise(" ", texts, "")
-        for before, after in ((f"[^{BLANKS}]", "[ \n]"), (f"[{LETTER}]", f"[{SIGN}]")):
-            full = pc.replace_substring_regex(full, f"({before})({after})", rf"\1{MARK}\2")
-        lists = pc.split_pattern(full, MARK)
+    held = pc.match_substring(texts, MARK)
+    full = pc.binary_join_element_wise(" ", pc.if_else(held, None, texts), "")
+    for before, after in ((f"[^{BLANKS}]", "[ \n]"), (f"[{LETTER}]", f"[{SIGN}]")):
+        full = pc.replace_substring_regex(full, f"({before})({after})", rf"\1{MARK}\2")
+    return full, pc.if_else(held, texts, None)
+
+
+def cut(full: pa.Array, raw: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The stretches of marked() texts (a null has none): the different ones, which of them stands at each place, and how many places a text has."""
+    lists = pc.split_pattern(full, MARK)
+    if raw.null_count < len(raw):
+        own = zip(lists.to_pylist(), raw.to_pylist())
+        lists = pa.array([a if t is None else stretches(" " + t) for a, t in own], pa.list_(pa.string()))
     words = lists.flatten().dictionary_encode()
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
     return words.dictionary, words.indices.to_numpy().astype(np.int64), n
@@ -128,11 +134,11 @@ class Pair:
         return out
 
 
-def _packed(texts: list[str | None]) -> list[bytes | None]:
+def _packed(texts: pa.Array) -> list[bytes | None]:
     import zstandard
 
     z = zstandard.ZstdCompressor(3)
-    return [None if t is None else z.compress(t.encode()) for t in texts]
+    return [None if t is None else z.compress(t.encode()) for t in texts.to_pylist()]
 
 
 def _texts(packed: pa.Array) -> pa.Array:
@@ -147,7 +153,7 @@ def _tokens(units: DataFrame, pair) -> DataFrame:
 
     def counted():
         def f(batch):
-            words, at, _ = cut(_texts(batch.column(0)))
+            words, at, _ = cut(_texts(batch.column(0)), batch.column(1))
             return [words, pa.array(np.bincount(at, minlength=len(words)))]
 
         return f
@@ -156,7 +162,7 @@ def _tokens(units: DataFrame, pair) -> DataFrame:
         p = pair()
         return lambda batch: [batch.column(0), batch.column(1), *p.columns(batch.column(0))]
 
-    n = map_arrow(units.select("z"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
+    n = map_arrow(units.select("z", "raw"), counted, "stretch string, n bigint").groupBy("stretch").agg(F.sum("n").alias("n"))
     kinds = "stretch string, n bigint, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
     return map_arrow(n, encoded, kinds).withColumn("cid", F.monotonically_increasing_id())
 
@@ -189,7 +195,7 @@ def _aligned(tokens: DataFrame) -> DataFrame:
 
 
 class Alignment:
-    """The tables of an alignment: units (row, doc_id, z: the packed text), pairs (a, b, count, best), stats (a row for each stretch)."""
+    """The tables of an alignment: units (row, doc_id, z: the packed text with its cuts, raw: texts that hold the mark), pairs (a, b, count, best), stats (a row for each stretch)."""
 
     def __init__(self, docs: DataFrame, a_path: str, b_path: str):
         spark = docs.sparkSession
@@ -218,9 +224,16 @@ class Alignment:
 
         def make():
             p = pair()
-            return lambda cols: [cols["row"], cols["doc_id"], _packed([t if p.whole(t) else None for t in cols["text"]])]
 
-        return map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), make, "row bigint, doc_id bigint, z binary")
+            def f(batch):
+                whole = pa.array([t if p.whole(t) else None for t in batch.column(2).to_pylist()], pa.string())
+                full, raw = marked(whole)
+                return [batch.column(0), batch.column(1), pa.array(_packed(full), pa.binary()), raw]
+
+            return f
+
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        return map_arrow(rows, make, "row bigint, doc_id bigint, z binary, raw string")
 
     def documents(self, last: str, made) -> DataFrame:
         """doc_id, NUMBERS and a last column, made(the text's groups), for each row."""
@@ -238,12 +251,12 @@ class Alignment:
         known = {w: i for i, w in enumerate(hot["stretch"])}
         hot = self.spark.sparkContext.broadcast((known, hot[NUMBERS].to_numpy(np.int64), hot["groups"].tolist()))
 
-        def places(batch_text, known):
+        def places(z, raw, known):
             """Of each place its text, the broadcast stretch there or -1, and else the question that it belongs to; and the questions.
 
             A text asks for each of its other stretches once, in the order of their first places.
             """
-            words, at, n = cut(batch_text)
+            words, at, n = cut(_texts(z), raw)
             of = np.repeat(np.arange(len(n)), n)
             hot = np.fromiter((known.get(w, -1) for w in words.to_pylist()), np.int64, len(words))[at]
             rare = np.flatnonzero(hot < 0)
@@ -258,7 +271,7 @@ class Alignment:
             known = hot.value[0]
 
             def f(batch):
-                *_, of, stretch = places(_texts(batch.column(1)), known)
+                *_, of, stretch = places(batch.column(1), batch.column(2), known)
                 k = np.arange(len(of)) - np.searchsorted(of, of)
                 return [batch.column(0).take(pa.array(of)), pa.array(k, pa.int32()), stretch]
 
@@ -269,9 +282,9 @@ class Alignment:
             texts = pa.array(texts, pa.string())
 
             def f(batch):
-                n, of, at, rare, question, _, stretch = places(_texts(batch.column(1)), known)
+                n, of, at, rare, question, _, stretch = places(batch.column(1), batch.column(2), known)
                 # answers are numbers and groups in one text, in the order of the questions
-                told = pc.split_pattern(batch.column(2).flatten(), " ", max_splits=len(NUMBERS)).flatten()
+                told = pc.split_pattern(batch.column(3).flatten(), " ", max_splits=len(NUMBERS)).flatten()
                 columns = [told.take(pa.array(np.arange(i, len(told), len(NUMBERS) + 1))) for i in range(len(NUMBERS) + 1)]
                 if len(columns[0]) != len(stretch):
                     raise ValueError("questions and answers differ")
@@ -287,10 +300,10 @@ class Alignment:
 
             return f
 
-        want = map_arrow(self.units.select("row", "z"), asked, "row bigint, k int, stretch string")
+        want = map_arrow(self.units.select("row", "z", "raw"), asked, "row bigint, k int, stretch string")
         rest = self.stats.where(~large).select("stretch", F.concat_ws(" ", *NUMBERS, "groups").alias("told"))
         told = want.join(rest, "stretch").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "told"))).alias("r"))
-        both = self.units.join(told, "row", "left").select("doc_id", "z", F.col("r.told").alias("told"))
+        both = self.units.join(told, "row", "left").select("doc_id", "z", "raw", F.col("r.told").alias("told"))
         return map_arrow(both, summed, f"doc_id bigint, {', '.join(f'{c} bigint' for c in NUMBERS)}, {last} string")
 
 

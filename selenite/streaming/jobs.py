@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 TERMINAL = ("complete", "failed")
@@ -113,3 +114,66 @@ def state_stream(events: DataFrame, stall: str | None = "15 minutes") -> DataFra
     e = events.withWatermark("ts", stall or "15 minutes").dropDuplicatesWithinWatermark(["event_id"])
     timeout = GroupStateTimeout.EventTimeTimeout if stall else GroupStateTimeout.NoTimeout
     return e.groupBy("job").applyInPandasWithState(run, "job bigint, status string, progress int", STATE, "update", timeout)
+
+
+CHANGES = "job bigint, status string, progress int, claimed_by bigint, cause string"
+
+
+class JobProcessor(StatefulProcessor):
+    """One job's state: what it has come to, which event claimed it, and a timer that fails it when it falls silent.
+
+    A job that has ended is kept for `keep` of event time, so that late results meet it and change nothing, and then
+    forgotten. cause says what made a row: events, or silence.
+    """
+
+    def __init__(self, stall_ms: int, keep_ms: int):
+        self.stall, self.keep = stall_ms, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "status string, progress int, claimed_by bigint, last bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        status, progress, claimed, last = self.state.get() if self.state.exists() else (None, 0, None, 0)
+        before = (status, progress, claimed)
+        for event in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            was = status
+            status, progress = step(status, progress, event.kind)
+            if was == "queued" and status == "processing":
+                claimed = int(event.event_id)  # the first one has it, whoever asks later
+            last = max(last, int(event.ts.timestamp() * 1000))
+        if status is None:
+            return
+        self.state.update((status, progress, claimed, last))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(last + (self.keep if status in TERMINAL else self.stall) + 1)
+        if (status, progress, claimed) != before:
+            yield self._row(key, status, progress, claimed, "events")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, _, claimed, last = self.state.get() if self.state.exists() else (None, 0, None, 0)
+        if status is None or status in TERMINAL:
+            self.state.clear()
+            return
+        self.state.update(("failed", 100, claimed, last))
+        self.handle.registerTimer(last + self.stall + self.keep + 1)
+        yield self._row(key, "failed", 100, claimed, "silence")
+
+    @staticmethod
+    def _row(key, status, progress, claimed, cause) -> pd.DataFrame:
+        return pd.DataFrame({"job": [key[0]], "status": [status], "progress": [progress], "claimed_by": pd.array([claimed], "Int64"), "cause": [cause]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_stream(events: DataFrame, stall: str = "15 minutes", keep: str = "1 day", late: str = "1 minute") -> DataFrame:
+    """CHANGES of jobs from a stream of events: claims, progress, ends, and the expiry of jobs without news for `stall`.
+
+    Events may come late by `late`; repeated deliveries are dropped within the watermark. Needs Spark's RocksDB state
+    store (spark.sql.streaming.stateStore.providerClass).
+    """
+    ms = lambda x: int(pd.Timedelta(x).total_seconds() * 1000)
+    e = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return e.groupBy("job").transformWithStateInPandas(JobProcessor(ms(stall), ms(keep)), CHANGES, "Update", "EventTime")

@@ -28,6 +28,26 @@ def stretch(px: DataFrame, keys: list[str] = [], value: str = "value", low: floa
     return j.withColumn("display", S.stretched(F.col(value), F.col("_q")[0], F.col("_q")[1]).cast("int")).drop("_q")
 
 
+def gray_unit(px: DataFrame, keys: list[str], bands: tuple[str, ...] = ("dn",), floats: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Gray samples from 0 to 1 (keys, y, x, g), and keys with violations of the pictures that have none.
+
+    bands: one column, or blue, green, red and perhaps alpha, which doesn't count. A picture of floats whose largest
+    sample is 1 at most is taken as it is, whatever the band; any other is divided by 255. Samples that are null, not
+    finite, or outside of 0..255 refuse their whole picture.
+    """
+    if len(bands) not in (1, 3, 4):
+        raise ValueError("one band, or blue, green, red and perhaps alpha")
+    every = F.array(*[F.col(b).cast("double") for b in bands])
+    bad = F.exists(every, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    of = px.groupBy(*keys).agg(F.bool_or(bad).alias("_bad"), F.min(F.array_min(every)).alias("_low"), F.max(F.array_max(every)).alias("_high"))
+    why = S.violations((F.col("_bad"), "not finite"), (~F.col("_bad") & ((F.col("_low") < 0) | (F.col("_high") > 255)), "range"))
+    of = of.withColumn("violations", why)
+    scale = F.when(F.lit(floats) & (F.col("_high") <= 1), 1.0).otherwise(255.0)
+    tone = F.col(bands[0]).cast("double") if len(bands) == 1 else S.luma(*[F.col(b).cast("double") for b in (bands[2], bands[1], bands[0])])
+    ok = of.where(F.size("violations") == 0).select(*keys, scale.alias("_scale"))
+    return px.join(ok, keys).select(*keys, "y", "x", (tone / F.col("_scale")).alias("g")), of.where(F.size("violations") > 0).select(*keys, "violations")
+
+
 def entropy(px: DataFrame, keys: list[str], value: str = "dn", null: float | None = 0.0) -> DataFrame:
     """Shannon entropy in bits of the unit bins 0..255; samples equal to null don't count. A group without samples has 0 bits and n = 0."""
     v = F.col(value)

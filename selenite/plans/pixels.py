@@ -292,3 +292,20 @@ def footprint_ring(spark, d):
 
 
 SQL["footprint_ring"] = duck("select id, " + " || ' ' || ".join(f"{x}::bigint || ',' || {y}::bigint" for x, y in [("lon_min", "lat_max"), ("lon_max", "lat_max"), ("lon_max", "lat_min"), ("lon_min", "lat_min"), ("lon_min", "lat_max")]) + " ring from boxes", "boxes")
+
+
+@query
+def gray_unit(spark, d):
+    """Four pictures of the pixels to gray from 0 to 1: in 0..255, in 0..1, beyond 255, and in three bands of which one is blank."""
+    p = view(spark, d, "px").select("y", "x", F.explode(F.array(*map(F.lit, range(4)))).alias("k"), F.floor("dn").alias("v"))
+    of = lambda *v: F.element_at(F.array(*[F.col("v") * m for m in v]), F.col("k") + 1)
+    p = p.select("k", "y", "x", of(1.0, 1 / 256, 2.0, 0.0).alias("b"), of(1.0, 1 / 256, 2.0, 0.5).alias("g"), of(1.0, 1 / 256, 2.0, 1.0).alias("r"))
+    good, bad = image.gray_unit(p, ["k"], ("b", "g", "r"))
+    t = good.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("g"), 4).alias("total"), F.round(F.max("g"), 6).alias("most"))
+    return p.select("k").distinct().join(t, "k", "left").join(bad, "k", "left").select("k", "n", "total", "most", F.coalesce(F.concat_ws(";", "violations"), F.lit("")).alias("reasons"))
+
+
+SQL["gray_unit"] = duck("""+p as (select unnest(range(4)) k, floor(dn) v from px), g as (select k, case k when 3 then 0.587::double * v * 0.5 + 0.299::double * v when 1 then v / 256 else v end / case k when 1 then 1 else 255 end::double g from p),
+h as (select max(floor(dn)) * 2 > 255 far from px)
+select k::int k, case when k = 2 and far then null else count(*) end n, case when k = 2 and far then null else round(sum(g * case k when 2 then 2 else 1 end), 4) end total, case when k = 2 and far then null else round(max(g * case k when 2 then 2 else 1 end), 6) end most,
+ case when k = 2 and far then 'range' else '' end reasons from g, h group by k, far""", "px")

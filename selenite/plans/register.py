@@ -7,11 +7,14 @@ ties are tracked in. Matching, the robust fit and the spline see one job's featu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import scalar as S
 from ..operators import image, kernels, ties
 from ..shared import cut
@@ -196,14 +199,30 @@ def held_out(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy("job").applyInPandas(run, "job bigint, withheld bigint, rmse double")
 
 
-def register(px: DataFrame, width: float, height: float, window: int = 41) -> DataFrame:
+#: Matchers by name: from conditioned pictures (job, side, y, x, w) to ties (job, i, sx, sy, rx, ry, conf). Others may be added.
+MATCHERS: dict[str, Callable[[DataFrame], DataFrame]] = {"keypoints": lambda conditioned: matches(cut(features(conditioned)))}
+
+
+def register(px: DataFrame, width: float, height: float, window: int = 41, matcher: str = "keypoints", progress: Callable[[int, str], None] | None = None) -> DataFrame:
     """One row of metrics and a status for each job, from pixels job, side ('s' or 'r'), y, x, dn.
 
+    matcher names one of MATCHERS; a job of whose ties one breaks the contract (finite places, confidences from 0 to 1,
+    numbers that don't repeat) has no ties and says so. progress is told the percentage and name of each stage as it begins.
+
     Candidates are the matches before tracking, so the inlier ratio counts what tracking rejects. Splines are
     only fitted for jobs that pass the gates. Pictures may have any size.
     """
+    if matcher not in MATCHERS:
+        raise ValueError(f"no matcher {matcher}: {sorted(MATCHERS)}")
+    tell = progress or (lambda percent, stage: None)
+    tell(30, "conditioning")
     conditioned = cut(image.wallis(px, window, ["job", "side"]).select("job", "side", "y", "x", "w"))
-    raw = cut(matches(cut(features(conditioned))))
+    tell(40, "matching")
+    raw = cut(MATCHERS[matcher](conditioned).select("job", F.col("i").cast("bigint").alias("i"), *[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "rx", "ry", "conf")]))
+    broken = raw.where(F.size(rules.match_violations(*[F.col(c) for c in ("sx", "sy", "rx", "ry", "conf")])) > 0).select("job")
+    broken = cut(broken.unionByName(raw.groupBy("job", "i").count().where("count > 1 or i is null").select("job")).distinct().withColumn("_broken", F.lit(True)))
+    raw = raw.join(broken, "job", "left_anti")
+    tell(60, "filtering")
     flagged = cut(ties.grid_flag(judged(refined(conditioned, raw)), width, height, F.col("inlier")))
 
     def areas(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -218,11 +237,12 @@ def register(px: DataFrame, width: float, height: float, window: int = 41) -> Da
         (ties.spans_plane(only("sx"), only("sy")) & ties.spans_plane(only("rx"), only("ry"))).alias("plane"), F.sqrt(F.avg(F.when(F.col("inlier"), F.col("res") * F.col("res")))).alias("consensus_rmse"),
     )
     n = raw.groupBy("job").agg(F.count(F.lit(1)).alias("candidates"))
-    q = px.select("job").distinct().join(n, "job", "left").join(q, "job", "left").join(u, "job", "left")
+    q = px.select("job").distinct().join(n, "job", "left").join(q, "job", "left").join(u, "job", "left").join(broken, "job", "left")
     q = q.fillna({"candidates": 0, "refined": 0, "inliers": 0, "retained": 0, "vsui": 0.0}).withColumn("plane", F.coalesce("plane", F.lit(False)))
     q = q.withColumn("ratio", F.when(F.col("candidates") > 0, F.col("inliers") / F.col("candidates")).otherwise(0.0))
     reasons = ties.gate_reasons(F.col("ratio"), F.col("retained"), F.col("vsui"), F.col("plane"))
-    q = cut(q.withColumn("reasons", F.concat_ws(";", reasons)))
+    q = cut(q.withColumn("reasons", F.concat_ws(";", F.when(F.col("_broken"), "match contract"), reasons)).drop("_broken"))
+    tell(75, "spline")
     passed = q.where("reasons = ''").select("job")
     q = q.join(held_out(flagged.join(passed, "job", "left_semi")), "job", "left").fillna({"withheld": 0})
     # the spline's error at ties left out of it; for a rejected job the consensus's own, which is a diagnosis and no validation

@@ -198,3 +198,19 @@ def test_nearest_by_index(spark, monkeypatch):
     assert sum(one.values()) < 700 * 28 / 3  # of 28 centres
     both = [sorted(map(tuple, n.collect())) for n in match.nearest_both(make(cases[0][0]), make(cases[0][1], 5000), 64)]
     assert len(both[0]) == 700 and len(both[1]) == 900
+
+
+def test_gray_pictures(spark):
+    """Detection of 0..1 is of the whole picture, not of a band or a sample; one bad sample refuses its picture."""
+    nan = float("nan")
+    data = [(1, 0.5, 1.0, 0.0), (1, 0.25, 0.25, 0.25), (2, 0.5, 1.0, 0.0), (2, 2.0, 0.0, 0.0), (3, nan, 0.0, 0.0), (3, 1.0, 1.0, 1.0), (4, -1.0, 0.0, 0.0), (5, 255.5, 0.0, 0.0), (6, None, 0.0, 0.0), (7, 255.0, 255.0, 255.0)]
+    px = spark.createDataFrame([(k, i, 0, b, g, r) for i, (k, b, g, r) in enumerate(data)], "k int, y int, x int, b double, g double, r double")
+    good, bad = image.gray_unit(px, ["k"], ("b", "g", "r"))
+    got = {r.y: r.g for r in good.collect()}
+    luma = lambda b, g, r: 0.114 * b + 0.587 * g + 0.299 * r
+    assert got == {i: pytest.approx(luma(b, g, r) / (1 if k == 1 else 255)) for i, (k, b, g, r) in enumerate(data) if k in (1, 2, 7)}
+    assert {r.k: r.violations for r in bad.collect()} == {3: ["not finite"], 4: ["range"], 5: ["range"], 6: ["not finite"]}
+    whole, _ = image.gray_unit(px.where("k = 1"), ["k"], ("b",), floats=False)
+    assert sorted(r.g for r in whole.collect()) == [0.25 / 255, 0.5 / 255]
+    with pytest.raises(ValueError):
+        image.gray_unit(px, ["k"], ("b", "g"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from selenite.operators import kernels
 from selenite.plans import register
@@ -98,3 +99,19 @@ def test_translation_flat_and_unrelated(spark):
 
 def test_small_tables(spark):
     assert {r.status for r in register.register_pairs(spark, "/root/testdata/sf0.001").collect()} <= {"review_required", "complete"}
+
+
+def test_other_matchers_and_progress(spark, monkeypatch):
+    """A matcher of one's own takes part under the same contract; stages are told in order."""
+    n, told = 48, []
+    own = [(1, i, float(x), float(y), float(x), float(y), 0.5 + i / 1000) for i, (x, y) in enumerate((x, y) for x in range(4, n, 6) for y in range(4, n, 6))]
+    bad = [(2, 0, 1.0, 1.0, 1.0, 1.0, 1.5), (2, 1, 2.0, 2.0, 2.0, 2.0, 0.5), (3, 7, 1.0, 1.0, 1.0, 1.0, 0.5), (3, 7, 2.0, 2.0, 2.0, 2.0, 0.5)]
+    monkeypatch.setitem(register.MATCHERS, "given", lambda conditioned: spark.createDataFrame(own + bad, "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double"))
+    v = spots(n)
+    px = table(spark, {(j, s): v for j in (1, 2, 3) for s in "sr"})
+    got = {r.job: r for r in register.register(px, float(n), float(n), matcher="given", progress=lambda percent, stage: told.append((percent, stage))).collect()}
+    assert got[1].candidates == len(own) and got[1].inliers > 40 and "contract" not in got[1].reasons
+    assert all(got[j].candidates == 0 and got[j].reasons.startswith("match contract") and got[j].status == "review_required" for j in (2, 3))
+    assert told == [(30, "conditioning"), (40, "matching"), (60, "filtering"), (75, "spline")]
+    with pytest.raises(ValueError, match="no matcher"):
+        register.register(px, float(n), float(n), matcher="other")

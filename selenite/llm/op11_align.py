@@ -45,22 +45,22 @@ BLANK = "▁"
 BLANKS, MARK = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "\x01"
 
 
-def marked(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """The texts, with a blank before each and a mark at every cut; and as they are those that hold the mark themselves."""
+def marked(texts: pa.Array, first: str = " ") -> tuple[pa.Array, pa.Array]:
+    """The texts, with a blank (or another first) before each and a mark at every cut; and as they are those that hold the mark themselves."""
     texts = pa.array(texts, pa.string())
     held = pc.match_substring(texts, MARK)
-    full = pc.binary_join_element_wise(" ", pc.if_else(held, None, texts), "")
+    full = pc.binary_join_element_wise(first, pc.if_else(held, None, texts), "")
     for before, after in ((f"[^{BLANKS}]", "[ \n]"), (f"[{LETTER}]", f"[{SIGN}]")):
         full = pc.replace_substring_regex(full, f"({before})({after})", rf"\1{MARK}\2")
     return full, pc.if_else(held, texts, None)
 
 
-def cut(full: pa.Array, raw: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def cut(full: pa.Array, raw: pa.Array, first: str = " ") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The stretches of marked() texts (a null has none): the different ones, which of them stands at each place, and how many places a text has."""
     lists = pc.split_pattern(full, MARK)
     if raw.null_count < len(raw):
         own = zip(lists.to_pylist(), raw.to_pylist())
-        lists = pa.array([a if t is None else stretches(" " + t) for a, t in own], pa.list_(pa.string()))
+        lists = pa.array([a if t is None else stretches(first + t) for a, t in own], pa.list_(pa.string()))
     words = lists.flatten().dictionary_encode()
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
     return words.dictionary, words.indices.to_numpy().astype(np.int64), n

@@ -21,12 +21,14 @@ import json
 import os
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_arrow, map_rows
 from .common import Scratch, shared_dir, small, spread_join, table
-from .op11_align import stretches
+from .op11_align import cut, marked, stretches
 
 LIMIT = 512
 #: Stretches of text whose counts a worker keeps, and the longest that it keeps.
@@ -73,17 +75,23 @@ class Tokenizer:
         alone = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and len(stretches(t["content"])) == 1 for t in spec.get("added_tokens", []))
         return bool(plain and words and alone)
 
-    def count(self, texts: list[str]) -> list[int]:
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; of stretches that are new to the worker the library is asked once."""
         if not self.apart:
-            return self.library(texts)
-        cut = [stretches(t) for t in texts]
+            texts = texts.to_pylist()
+            parts = (self.library(texts[i : i + 32]) for i in range(0, len(texts), 32))  # encodings take many times the text's memory
+            return np.array([n for p in parts for n in p], np.int64)
+        words, at, n = cut(*marked(texts, ""), "")
+        words = words.to_pylist()
         if len(self.known) > KEPT:
             self.known.clear()
-        known = self.known
-        new = list({w for words in cut for w in words if w not in known})
+        new = [w for w in words if w not in self.known]
         counts = dict(zip(new, self.library(new)))
-        known |= {w: n for w, n in counts.items() if len(w) <= KEPT_CHARS}
-        return [sum([n if (n := known.get(w)) is not None else counts[w] for w in words]) for words in cut]
+        self.known |= {w: k for w, k in counts.items() if len(w) <= KEPT_CHARS}
+        each = np.fromiter((k if (k := self.known.get(w)) is not None else counts[w] for w in words), np.int64, len(words))
+        upto = np.concatenate([[0], np.cumsum(each[at])])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        return upto[edge[1:]] - upto[edge[:-1]]
 
     def content(self, text: str | None) -> bytes:
         return hashlib.blake2b(self.normal(text or "").encode(), digest_size=16).digest()
@@ -127,11 +135,9 @@ def count_tokens(docs: DataFrame, cache: str, path: str, limit: int = LIMIT) ->
 
         t, z = Tokenizer(kind, file.value), zstandard.ZstdDecompressor()
 
-        def f(cols):
-            n = []
-            for i in range(0, len(cols["z"]), 32):  # the library's encodings take many times the text's memory
-                n += t.count([z.decompress(x).decode() for x in cols["z"][i : i + 32]])
-            return [cols["content"], n]
+        def f(batch):
+            texts = pa.array([z.decompress(x) for x in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            return [batch.column(0), pa.array(t.count(texts))]
 
         return f
 
@@ -141,7 +147,7 @@ def count_tokens(docs: DataFrame, cache: str, path: str, limit: int = LIMIT) ->
     if n := missing.count():
         texts = map_rows(docs.select("text"), packed, "content binary, z binary").join(small(missing, n), "content", "left_semi")
         texts = texts.groupBy("content").agg(F.first("z").alias("z"))
-        new = map_rows(texts, counted, "content binary, n_tokens bigint")
+        new = map_arrow(texts, counted, "content binary, n_tokens bigint")
         new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     facts = scratch.save(held.join(stored(spark, cache, version), "content"))
     total = facts.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]

@@ -11,8 +11,6 @@ are called by themselves keep such documents, but for the mix, which never takes
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from selenite.llm import common, op1_mix, op2_langid, op6_bpe, op9_pii, op10_minhash
@@ -65,10 +63,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the documents of sf_dir; what lies between them is written to the shared folder."""
-    docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """The result of all stages over the documents of sf_dir; what lies between them is written to the shared folder.
+
+    A stage's table is dropped once the next one's is written; the last of them is what the result is read from.
+    """
+    docs, scratch = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

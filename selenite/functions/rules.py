@@ -52,6 +52,19 @@ def grid_violations(west: Column, north: Column, step: Column, width: Column, he
     )
 
 
+def overlap_status(a: Column, b: Column) -> Column:
+    """Of two windows (west, north, step, width, height): `unknown` where either has no grid, else whether they overlap at any turn of longitude."""
+    known = F.lit(True)
+    for g in (a, b):
+        known = known & g.isNotNull() & g["west"].isNotNull() & g["north"].isNotNull() & g["step"].isNotNull()
+    south = lambda g: g["north"] - g["height"] * g["step"]
+    east = lambda g: g["west"] + g["width"] * g["step"]
+    level = F.least(a["north"], b["north"]) > F.greatest(south(a), south(b))
+    turns = [F.greatest(a["west"], b["west"] + t) < F.least(east(a), east(b) + t) for t in (-360.0, 0.0, 360.0)]
+    meets = F.coalesce(level & (turns[0] | turns[1] | turns[2]), F.lit(False))
+    return F.when(~F.coalesce(known, F.lit(False)), "unknown").when(meets, "verified_grid_overlap").otherwise("nonoverlap")
+
+
 def box(edges: Column, corners: Column) -> Column:
     """Bounds by the four edges where all are there, else by the corners' least and largest; null without either."""
     names = ("lat_min", "lat_max", "lon_min", "lon_max")

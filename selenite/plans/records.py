@@ -383,3 +383,18 @@ def _cubic(t: str) -> str:
 SQL["spline_warp"] = duck(f"""+pt as (select y, x, {_spline_sql('x', 'y', 0, (1.5, 1.01, -0.02))} sx, {_spline_sql('x', 'y', 1, (-2.0, 0.015, 0.99))} sy from px),
 t as (select y, x, sx, sy, floor(sy)::int + j ty, floor(sx)::int + i tx from pt, (select unnest([-1, 0, 1, 2]) i), (select unnest([-1, 0, 1, 2]) j))
 select t.y, t.x, round(sum({_cubic('sx - tx')} * {_cubic('sy - ty')} * coalesce(dn, 0)), 3) v from t left join px on px.y = ty and px.x = tx group by 1, 2""", "px")
+
+
+@query
+def overlap_status(spark, d):
+    """Whether the windows of customers' scenes overlap with those of their nations' suppliers: scenes without a grid among them."""
+    grid = lambda k, some: F.when(some, F.struct(((k * 53) % 720 - 360).cast("double").alias("west"), ((k * 37) % 160 - 70).cast("double").alias("north"), F.lit(0.25).alias("step"), F.lit(200).alias("width"), F.lit(80).alias("height")))
+    c = view(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("n"), grid(F.col("c_custkey"), F.col("c_custkey") % 7 > 0).alias("ga"))
+    s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"), grid(F.col("s_suppkey"), F.col("s_suppkey") % 5 > 0).alias("gb"))
+    return c.join(s, "n").select("n", rules.overlap_status(F.col("ga"), F.col("gb")).alias("status")).groupBy("n", "status").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+SQL["overlap_status"] = """with c as (select c_nationkey n, c_custkey % 7 > 0 known, (c_custkey * 53) % 720 - 360 w, (c_custkey * 37) % 160 - 70 t from customer),
+s as (select s_nationkey n, s_suppkey % 5 > 0 known, (s_suppkey * 53) % 720 - 360 w, (s_suppkey * 37) % 160 - 70 t from supplier)
+select c.n, case when not (c.known and s.known) then 'unknown' when abs(c.t - s.t) < 20 and (abs(c.w - s.w) < 50 or abs(c.w - s.w - 360) < 50 or abs(c.w - s.w + 360) < 50) then 'verified_grid_overlap' else 'nonoverlap' end status, count(*) pairs
+from c join s on c.n = s.n group by 1, 2"""

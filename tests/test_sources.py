@@ -180,3 +180,16 @@ def test_label_modes(spark):
             want = None  # no container here
         assert got[i].route == want and bool(got[i].violations) == (want is None), (STATES[i], got[i])
         assert ("conflict" in got[i].violations) == (mode != "attached" and separate == "ok" and attached == "differs")
+
+
+def test_overlap_of_windows(spark):
+    from pyspark.sql import functions as F
+
+    from selenite.functions import rules
+
+    g = lambda west: (west, 10.0, 0.01, 64, 64)
+    cases = [(g(359.8), g(-0.1), "verified_grid_overlap"), (g(359.8), g(60.0), "nonoverlap"), (g(1.0), None, "unknown"), (None, None, "unknown"), ((1.0, None, 0.01, 64, 64), g(1.0), "unknown"), (g(0.0), (0.0, 9.36, 0.01, 64, 64), "nonoverlap"), (g(0.0), (0.63, 9.37, 0.01, 64, 64), "verified_grid_overlap")]
+    kind = "struct<west: double, north: double, step: double, width: int, height: int>"
+    t = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], f"i int, a {kind}, b {kind}")
+    got = {r.i: r.s for r in t.select("i", rules.overlap_status(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]

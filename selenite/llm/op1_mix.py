@@ -149,13 +149,15 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     rows, sized, s = mix(table(spark, sf_dir, "documents"))
     n_sources = s.count()
     keys = ["sid", "start", "doc_id", "size"]
-    took = rows.groupBy(*keys).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    # a slot takes one block, and of a block a document is one piece
+    took = rows.groupBy(*keys).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     placed = _streams(sized, s, n_sources).select(*keys)
     on = [placed[k].eqNullSafe(took[k]) for k in keys]
-    d = placed.join(took, on, "left").select(placed["sid"], placed["doc_id"], placed["size"], F.coalesce("taken", F.lit(0)).alias("taken"))
+    d = placed.join(took, on, "left").select(placed["sid"], placed["doc_id"], placed["size"], F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
     blank = sized.where("size = 0").join(small(s.select(F.col("source").alias("_s"), "sid"), n_sources), F.col("source").eqNullSafe(F.col("_s")))
-    d = d.unionByName(blank.select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken")))
-    return d.join(small(s.select("sid", "source_size", "target"), n_sources), "sid").select("doc_id", "size", "source_size", "target", "taken")
+    none = F.lit(0).cast("long")
+    d = d.unionByName(blank.select("sid", "doc_id", "size", none.alias("taken"), F.lit(None).cast("long").alias("first_slot"), none.alias("n_slots")))
+    return d.join(small(s.select("sid", "source_size", "target"), n_sources), "sid").select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 SQL = r"""
@@ -172,10 +174,22 @@ f as (select *, cap * (all_w - w0) <= weight * (total - c0) is_full from c),
 t as (select *, case when is_full then cap else
              (total - coalesce(sum(case when is_full then cap end) over (), 0)) * weight
              / (all_w - coalesce(sum(case when is_full then weight end) over (), 0)) end target from f),
-p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint take,
-             sum(d.size) over (partition by t.sid order by d.h, d.doc_id, d.size rows unbounded preceding)::bigint - d.size o
-      from d join t on d.source is not distinct from t.source)
+b0 as (select *, floor(target)::bigint take, greatest(1, least(1024, floor(target)::bigint // 256, source_size))::bigint block from t),
+b1 as (select *, (source_size + block - 1) // block blocks, case when source_size > 0 then take // source_size else 0 end whole from b0),
+b2 as (select *, (whole * blocks + (take - whole * source_size + block - 1) // block)::bigint quota from b1),
+b as (select *, (sum(quota) over (order by sid rows unbounded preceding) - quota)::bigint edge, (sum(quota) over ())::bigint slots from b2),
+n as (select slot, floor((slot % 2147483648 * 1327217885 % 2147483648)::double / 2147483648.0::double * (select any_value(slots) from b))::bigint v from (select unnest(range((select any_value(slots) from b))) slot)),
+h as (select sid, slot, row_number() over (partition by sid order by slot) - 1 k from n join b on v >= edge and v < edge + quota),
+k as (select h.sid, slot, k from h join b using (sid) where k < quota
+      union all select sid, slots + edge + i, i from (select *, unnest(range(coalesce((select count(*) from h where h.sid = b.sid), 0), quota)) i from b)),
+s as (select k.sid, slot, k % blocks bl, take - k // blocks * source_size remains from k join b using (sid)),
+p as (select row_number() over () id, d.doc_id, d.size, b.sid, b.source_size, b.target, b.take, b.block,
+             sum(d.size) over (partition by b.sid order by d.h, d.doc_id, d.size rows unbounded preceding)::bigint - d.size o
+      from d join b on d.source is not distinct from b.source),
+q as (select p.*, unnest(range(o // block, (least(o + size, take) - 1) // block + 1)) bl from p where size > 0 and o < take),
+u as (select q.id, min(slot)::bigint first_slot, count(*) n_slots from q join s on s.sid = q.sid and s.bl = q.bl
+      where least(o + size, (q.bl + 1) * block, remains) > greatest(o, q.bl * block) group by 1)
 select doc_id, size, source_size, target,
        (greatest(0, least(o + size, take) - o) + greatest(0, least(source_size + o + size, take) - source_size - o)
-        + greatest(0, least(2 * source_size + o + size, take) - 2 * source_size - o))::bigint taken from p
+        + greatest(0, least(2 * source_size + o + size, take) - 2 * source_size - o))::bigint taken, first_slot, coalesce(n_slots, 0) n_slots from p left join u using (id)
 """

@@ -47,6 +47,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
             f = f or make()
             out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, arrow)], schema=arrow)
+            del out
+        pa.default_memory_pool().release_unused()  # the worker stays, and would keep it
 
     return df.mapInArrow(run, kinds)
 
@@ -91,6 +93,8 @@ def beside(df: DataFrame, need: list[str], make: Callable[[], Callable[[dict], l
             new = f({n: b.column(i).to_pylist() for n, i in at.items()})
             more = [pa.array(x, t.type) for x, t in zip(new, arrow)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *more], schema=pa.schema([*(b.schema.field(i) for i in kept), *arrow]))
+            del new, more
+        pa.default_memory_pool().release_unused()
 
     return df.toDF(*own).mapInArrow(run, kinds)
 

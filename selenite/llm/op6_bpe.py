@@ -24,7 +24,7 @@ from .common import table
 
 SHORT = 160
 #: Words kept with their ids in a worker; longer words than KEEP_CHARS are not kept.
-CACHE, KEEP_CHARS = 500_000, 64
+CACHE, KEEP_CHARS = 250_000, 64
 NONE = 1 << 40
 
 

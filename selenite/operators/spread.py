@@ -66,7 +66,7 @@ def quantiles(t: DataFrame, keys: list[str], value: str, shares: list[float], at
     t = t.select(*keys, F.col(value).cast("double").alias("v"))
     plain = lambda x: x.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
     # NaN and infinities aren't ranges of anything
-    sizes = cut(t.where(F.abs("v") < float("inf")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    sizes = t.where(F.abs("v") < float("inf")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     odd = t.where(F.isnan("v") | (F.abs("v") == float("inf"))).select(*keys).distinct()
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most <= at_once:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distances that a task holds at a time.
+CELLS = 1 << 22
+
+
 def _two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """For each row of a the two nearest rows of b: s, r, d. The product only excludes what is farther than its
     rounding can explain; of equal references the two first are enough."""
@@ -19,19 +23,31 @@ def _two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     two = (same.groupby(same).cumcount() < 2).to_numpy()
     y, ids = y[two], b.id.to_numpy()[two]
     norms, out = (y * y).sum(1), []
-    for i in range(0, len(a), 1024):
-        x = np.stack(a.v.to_numpy()[i : i + 1024]).astype(float)
-        xx = (x * x).sum(1)[:, None]
-        d = xx + norms - 2 * x @ y.T
-        slack = 4 * (y.shape[1] + 4) * np.finfo(float).eps * (xx + norms)
-        k = min(2, d.shape[1])
-        row, col = np.nonzero(d - slack <= np.partition(d + slack, k - 1, axis=1)[:, k - 1 : k])
+    k, eps = min(2, len(y)), 4 * (y.shape[1] + 4) * np.finfo(float).eps
+    rows = max(1, CELLS // len(y))
+    for i in range(0, len(a), rows):
+        x = np.stack(a.v.to_numpy()[i : i + rows]).astype(float)
+        xx = (x * x).sum(1)
+        high = x @ y.T  # the squared distance and its slack, eps * (xx + norms)
+        high *= -2
+        high += (1 + eps) * norms
+        high += (1 + eps) * xx[:, None]
+        at = np.arange(len(x))
+        first = high.argmin(1)
+        bound = high[at, first]
+        if k == 2:
+            high[at, first] = np.inf
+            least, bound = bound, high.min(1)
+            high[at, first] = least
+        high -= 2 * eps * norms
+        row, col = np.nonzero(high <= (bound + 2 * eps * xx)[:, None])
+        del high
         step = max(1, (1 << 22) // y.shape[1])
         exact = np.sqrt(np.concatenate([((x[row[j : j + step]] - y[col[j : j + step]]) ** 2).sum(1) for j in range(0, len(row), step)]))
         order = np.lexsort((ids[col], exact, row))
         first = np.searchsorted(row, np.arange(len(x)))  # every row has k at least
         order = order[(first[:, None] + np.arange(k)).ravel()]
-        out.append(pd.DataFrame({"s": a.id.to_numpy()[i : i + 1024][row[order]], "r": ids[col[order]], "d": exact[order]}))
+        out.append(pd.DataFrame({"s": a.id.to_numpy()[i : i + rows][row[order]], "r": ids[col[order]], "d": exact[order]}))
     return pd.concat(out)
 
 
@@ -79,6 +95,8 @@ def _nearest(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> Dat
 
 #: Centres of the index at most, and rows that a centre stands for at least.
 CENTRES, A_CENTRE = 1024, 32
+#: Questions to clusters that leave a task at a time, each with its vector.
+ASKS = 1 << 14
 
 
 def _distances(v: pd.Series, centres: np.ndarray) -> np.ndarray:
@@ -88,12 +106,20 @@ def _distances(v: pd.Series, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def _parts(batches, centres: int):
+    """Batches of so many rows that their distances to all centres are few."""
+    rows = max(1, CELLS // centres)
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 def _assigned(t: DataFrame, centres: np.ndarray) -> DataFrame:
     """id, v, the nearest centre c and the distance d to it."""
     shared = t.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches, len(shared.value)):
             d = _distances(b.v, shared.value)
             c = d.argmin(1)
             yield pd.DataFrame({"id": b.id, "v": b.v, "c": c.astype("int32"), "d": d[np.arange(len(c)), c]})
@@ -108,7 +134,8 @@ def _blocks(t: DataFrame, counts: dict[int, int], block_rows: int, name: str) ->
 
 
 def _count(t: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in t.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # CENTRES rows at most
+    n = F.sum("n") if "n" in t.columns else F.count(F.lit(1))
+    return {r["c"]: r["n"] for r in t.groupBy("c").agg(n.alias("n")).collect()}  # CENTRES rows at most
 
 
 def _indexed(src: DataFrame, ref: DataFrame, block_rows: int) -> DataFrame:
@@ -116,7 +143,9 @@ def _indexed(src: DataFrame, ref: DataFrame, block_rows: int) -> DataFrame:
 
     References are dealt to the nearest of a bounded number of centres. Two of a source's own cluster give a bound for
     its second nearest; a cluster whose centre is farther than that bound and the cluster's radius holds neither. Clusters
-    and their sources are cut into blocks, so one that many rows are near is many tasks.
+    and their sources are cut into blocks, so one that many rows are near is many tasks. What clusters are asked is counted
+    first: where that would move more rows than comparing all pairs of blocks does, as it does without clusters or in many
+    dimensions, all pairs of blocks are compared.
     """
     from ..shared import cut
 
@@ -151,24 +180,45 @@ def _indexed(src: DataFrame, ref: DataFrame, block_rows: int) -> DataFrame:
 
     def asked(batches):
         points, reach = shared.value
-        for b in batches:
+        for b in _parts(batches, len(points)):
             d = _distances(b.v, points)
             slack = 1e-9 * (d + np.abs(reach) + np.where(np.isfinite(b.bound), b.bound, 0).reshape(-1, 1)) + 1e-6 * np.sqrt(np.finfo(float).eps) * (1 + d)
-            row, c = np.nonzero((reach >= 0) & (d - reach - slack <= b.bound.to_numpy()[:, None]))
-            yield pd.DataFrame({"id": b.id.to_numpy()[row], "v": b.v.to_numpy()[row], "c": c.astype("int32")})
-
-    want = cut(own(srcs).join(bound, "id").mapInPandas(asked, "id bigint, v array<double>, c int"))
-    asks = _count(want)
+            yield b, (reach >= 0) & (d - reach - slack <= b.bound.to_numpy()[:, None])
+
+    def counted(batches):
+        for _, near in asked(batches):
+            yield pd.DataFrame({"c": np.arange(near.shape[1], dtype="int32"), "n": near.sum(0)})
+
+    def listed(batches):
+        for b, near in asked(batches):
+            row, c = np.nonzero(near)
+            for i in range(0, len(row), ASKS):
+                at = row[i : i + ASKS]
+                yield pd.DataFrame({"id": b.id.to_numpy()[at], "v": b.v.to_numpy()[at], "c": c[i : i + ASKS].astype("int32")})
+
+    bounded = cut(own(srcs).join(bound, "id"))
+    asks = {c: k for c, k in _count(bounded.mapInPandas(counted, "c int, n bigint")).items() if k}
+    blocks = lambda k: max(1, -(-k // block_rows))
+    moved = sum(k * blocks(held[c]) + held[c] * blocks(k) for c, k in asks.items())
+    rows = sum(near.values())
+    if moved > rows * blocks(n) + n * blocks(rows):
+        return _all_pairs(src, ref, block_rows, "f").drop("side")
+    want = cut(bounded.mapInPandas(listed, "id bigint, v array<double>, c int"))
     x = _blocks(want, asks, block_rows, "_b").withColumn("_part", every(held))
     y = _blocks(own(refs, "c"), held, block_rows, "_part").withColumn("_b", every(asks) if asks else F.lit(0))
     found = g(x, "c", "_part", "_b").cogroup(g(y, "c", "_part", "_b")).applyInPandas(lambda key, p, q: _met(key, p, q, "f"), _FOUND)
     return _best_of(found).drop("side")
 
 
+#: Blocks of a side at least, as far as each has so many rows.
+LEAST_BLOCKS, A_BLOCK = 8, 1000
+
+
 def _all_pairs(src: DataFrame, ref: DataFrame, block_rows: int, sides: str) -> DataFrame:
-    """The same by every pair of blocks, for comparison."""
+    """The same by every pair of blocks: each row moves once for each block of the other side, and a task holds two blocks."""
     src, ref = usable(src), usable(ref)
-    a, b = (max(1, -(-t.count() // block_rows)) for t in (src, ref))
+    # some blocks at least, as the pairs of blocks are the tasks
+    a, b = (max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // A_BLOCK)) for n in (src.count(), ref.count()))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     s = src.select("id", "v").withColumn("_a", dealt(a)).withColumn("_b", every(b))

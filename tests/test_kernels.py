@@ -214,3 +214,24 @@ def test_gray_pictures(spark):
     assert sorted(r.g for r in whole.collect()) == [0.25 / 255, 0.5 / 255]
     with pytest.raises(ValueError):
         image.gray_unit(px, ["k"], ("b", "g"))
+
+
+def test_neighbours_without_clusters_move_few_rows(spark, monkeypatch):
+    """Vectors that no bound sets apart aren't sent to every cluster, and no task holds more than so many distances."""
+    from selenite.operators import match
+
+    r = np.random.default_rng(5)
+    make = lambda v, first: spark.createDataFrame([(first + i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    src, ref = make(r.normal(size=(150, 32)), 0), make(r.normal(size=(640, 32)), 5000)
+    written = []
+    monkeypatch.setattr("selenite.shared.cut", lambda t: written.append((t.columns, t.count())) or t)
+    got = sorted(map(tuple, match._indexed(src, ref, 200).collect()))
+    assert max(n for _, n in written) <= 640
+    assert got == sorted(map(tuple, match._all_pairs(src, ref, 200, "f").drop("side").collect()))
+    x, y = (np.array([q.v for q in t.orderBy("id").collect()]) for t in (src, ref))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    assert [(s, q) for s, q, *_ in got] == [(i, 5000 + j) for i, j in enumerate(d.argmin(1))]
+    monkeypatch.setattr(match, "CELLS", 700)
+    t = lambda v, first: pd.DataFrame({"id": np.arange(first, first + len(v)), "v": list(v)})
+    two = match._two_best(t(x, 0), t(y, 5000))
+    assert np.allclose(two.d.to_numpy().reshape(-1, 2), np.sort(d, 1)[:, :2]) and two.s.tolist() == np.repeat(np.arange(150), 2).tolist()

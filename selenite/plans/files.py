@@ -78,7 +78,9 @@ SQL["tiff_roundtrip"] = duck("select (x // 50)::bigint tile, y, (x % 50)::int x,
 
 @query
 def tile_extract(spark, d):
-    """Tiles of a raw raster with their manifests, which are read back and held against the tiles."""
+    """Tiles of a raw raster with their manifests, which are read back and held against the tiles.
+
+    A box beyond what a tile may hold is as many tiles, one below the other; what they hold is put together again."""
     px = view(spark, d, "px").withColumn("dn", F.floor("dn").cast("double"))
     from pyarrow import fs
 
@@ -86,8 +88,12 @@ def tile_extract(spark, d):
     store, root = fs.FileSystem.from_uri(folder := _folder(spark))
     store.create_dir(root, recursive=True)
     size = 0 if height < 4 else cut(raster.write_raw(px, f"{folder}/a.raw", ">i2", b"H" * 64)).first()[0]
+    most = bundles.WINDOW_PIXELS // 20
     boxes = [(k, 10 * k, k % 3, 20, height - 3) for k in range(6)] if size else []
-    r = spark.createDataFrame(boxes, "id bigint, x int, y int, w int, h int").withColumns({
+    r = spark.createDataFrame(boxes, "box int, x int, y int, w int, h int")
+    # the box's number and the number of the part
+    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / most).cast("int")))).withColumn("id", F.col("part").cast("bigint") * 6 + F.col("box"))
+    r = r.withColumns({"y": F.col("y") + F.col("part") * most, "h": F.least(F.lit(most), F.col("h") - F.col("part") * most)}).repartition("id").withColumns({
         "path": F.lit(f"{folder}/a.raw"), "file_size": F.lit(size), "file_sha256": F.sha2(F.lit("stated"), 256), "label": F.lit("H" * 64).cast("binary"), "format": F.lit("PDS3"), "dtype": F.lit(">i2"),
         "width": F.lit(100), "height": F.lit(height), "offset": F.lit(64), "prefix": F.lit(0), "suffix": F.lit(0), "band": F.lit(0),
     })
@@ -102,7 +108,9 @@ def tile_extract(spark, d):
     store.create_dir(f"{root}/tiles", recursive=True)
     back = bundles.published(spark, f"{folder}/tiles").groupBy("bundle").applyInPandas(read, "id bigint, content string, digest string, width int, height int, dtype string, total double")
     t = back.select("id", "content", F.col("digest").alias("tile_digest"), "width", "height", "dtype", F.lit(100).alias("layout_width"), F.lit(height).alias("layout_height"), F.lit(">i2").alias("layout_dtype"), "total")
-    out = cut(records.manifests(t).select("id", F.col("m.tile.x").alias("x"), "height", "total", F.concat_ws(";", "violations").alias("reasons")))
+    parts = records.manifests(t).groupBy((F.col("id") % 6).alias("id"), F.col("m.tile.x").alias("x"))
+    reasons = F.concat_ws(";", F.array_sort(F.array_distinct(F.flatten(F.collect_list("violations")))))
+    out = cut(parts.agg(F.sum("height").cast("int").alias("height"), F.sum("total").alias("total"), reasons.alias("reasons")))
     store.delete_dir(root)
     return out
 

@@ -182,4 +182,5 @@ def write_raw(px: DataFrame, path: str, dtype: str, header: bytes = b"") -> Data
                     n += len(raw)
         yield pa.RecordBatch.from_pydict({"bytes": [n]})
 
-    return strips.coalesce(1).sortWithinPartitions("strip").mapInArrow(append, "bytes bigint")
+    # a shuffle, so that strips are packed by many tasks
+    return strips.repartition(1).sortWithinPartitions("strip").mapInArrow(append, "bytes bigint")

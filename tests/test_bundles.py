@@ -197,3 +197,13 @@ def test_extracted_tiles(spark, tmp_path):
     for bad, match in ((row(1, 3), "other contents"), (row(3, 8), "outside")):
         with pytest.raises(Exception, match=match):
             bundles.publish(bundles.tile_bundles(spark.createDataFrame([bad], kinds)), folder)
+
+
+@pytest.mark.parametrize("most", [20 * 4, 20 * 7])
+def test_boxes_beyond_a_tile(spark, monkeypatch, most):
+    """A box of more samples than a tile may hold is many tiles; rows, samples and totals are those of the whole box."""
+    from selenite.plans import files
+
+    want = sorted(map(tuple, files.tile_extract(spark, "/root/testdata/sf0.01").collect()))
+    monkeypatch.setattr(bundles, "WINDOW_PIXELS", most)
+    assert sorted(map(tuple, files.tile_extract(spark, "/root/testdata/sf0.01").collect())) == want and len(want) == 6

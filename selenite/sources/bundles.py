@@ -133,12 +133,13 @@ IMAGE, TIES, DOSSIER = "registered_output.tif", "tiepoints.csv", "registration_d
 WINDOW_PIXELS = 1 << 20
 
 
-def window_bundles(px: DataFrame, rows: DataFrame, height: int, width: int, grid: tuple[float, float, float] | None = None, scale: float = 1.0, value_offset: float = 0.0, columns: tuple[str, ...] = (), dtype: str = "f8", tile: tuple[int, int] | None = None) -> DataFrame:
+def window_bundles(px: DataFrame, rows: DataFrame, height: int, width: int, grid: tuple[float, float, float] | None = None, scale: float = 1.0, value_offset: float = 0.0, columns: tuple[str, ...] = (), dtype: str = "f8", tile: tuple[int, int] | None = None, turn: int | None = None) -> DataFrame:
     """Rows of FILES: for each window of height x width samples its image with an internal mask, its ties and its dossier.
 
     px: y, x (of the whole scene), v, ok, each once, every sample of a window that has any; rows: wy, wx (number of the
     window), i, line (see ties.tie_records), columns being the names in the first line, and violations, which refuse the
-    whole write. grid is the scene's: west, north, step. The image is read again and held against what was meant.
+    whole write. grid is the scene's: west, north, step; with turn, a strip longer than the globe is scenes of so many rows
+    of windows, one below the other, each with this grid. The image is read again and held against what was meant.
     """
     if not 0 < height * width <= WINDOW_PIXELS:
         raise ValueError(f"a window has {WINDOW_PIXELS} samples at most")
@@ -159,7 +160,7 @@ def window_bundles(px: DataFrame, rows: DataFrame, height: int, width: int, grid
         a[y, x], ok[y, x] = np.where(image.ok, image.v, 0), image.ok
         tags = tiff.metadata_tag(1, [scale], [value_offset], None, {"georeferenced": str(grid is not None).lower(), "coordinate_convention": "window; zero-based pixel centres"})
         if grid:
-            tags |= tiff.moon_tags(grid[0] + wx * width * grid[2], grid[1] - wy * height * grid[2], grid[2])
+            tags |= tiff.moon_tags(grid[0] + wx * width * grid[2], grid[1] - (wy % turn if turn else wy) * height * grid[2], grid[2])
         raw = tiff.encoded(a, mask=ok, tags=tags, tile=tile)
         back = tiff.opened(raw)
         got, valid = back.window()

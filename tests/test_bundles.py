@@ -207,3 +207,16 @@ def test_boxes_beyond_a_tile(spark, monkeypatch, most):
     want = sorted(map(tuple, files.tile_extract(spark, "/root/testdata/sf0.01").collect()))
     monkeypatch.setattr(bundles, "WINDOW_PIXELS", most)
     assert sorted(map(tuple, files.tile_extract(spark, "/root/testdata/sf0.01").collect())) == want and len(want) == 6
+
+
+def test_windows_below_the_globe(spark, monkeypatch):
+    """A raster longer than from pole to pole is scenes one below the other; results are those of going on south."""
+    from selenite.plans import exports
+
+    want = sorted(map(tuple, exports.window_bundle(spark, "/root/testdata/sf0.01").collect()))
+    monkeypatch.setattr(exports, "TURN", 1)
+    got = sorted(map(tuple, exports.window_bundle(spark, "/root/testdata/sf0.01").collect()))
+    assert [(r[0], *(pytest.approx(v) for v in r[1:])) for r in got] == want
+    # the second row of windows would lie below the pole
+    monkeypatch.setattr(exports, "GRID", (359.5, -89.0, 0.01))
+    assert len(exports.window_bundle(spark, "/root/testdata/sf0.01").collect()) == len(want)

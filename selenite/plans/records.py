@@ -387,11 +387,14 @@ select t.y, t.x, round(sum({_cubic('sx - tx')} * {_cubic('sy - ty')} * coalesce(
 
 @query
 def overlap_status(spark, d):
-    """Whether the windows of customers' scenes overlap with those of their nations' suppliers: scenes without a grid among them."""
+    """Whether the windows of customers' scenes overlap with those of their nations' suppliers: scenes without a grid among them.
+
+    Equal windows of a nation are compared once and count as often as they stand, so no pair of copies is made."""
     grid = lambda k, some: F.when(some, F.struct(((k * 53) % 720 - 360).cast("double").alias("west"), ((k * 37) % 160 - 70).cast("double").alias("north"), F.lit(0.25).alias("step"), F.lit(200).alias("width"), F.lit(80).alias("height")))
     c = view(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("n"), grid(F.col("c_custkey"), F.col("c_custkey") % 7 > 0).alias("ga"))
     s = view(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"), grid(F.col("s_suppkey"), F.col("s_suppkey") % 5 > 0).alias("gb"))
-    return c.join(s, "n").select("n", rules.overlap_status(F.col("ga"), F.col("gb")).alias("status")).groupBy("n", "status").agg(F.count(F.lit(1)).alias("pairs"))
+    c, s = (t.groupBy("n", g).agg(F.count(F.lit(1)).alias(f"k{g}")) for t, g in ((c, "ga"), (s, "gb")))
+    return c.join(s, "n").select("n", rules.overlap_status(F.col("ga"), F.col("gb")).alias("status"), (F.col("kga") * F.col("kgb")).alias("k")).groupBy("n", "status").agg(F.sum("k").alias("pairs"))
 
 
 SQL["overlap_status"] = """with c as (select c_nationkey n, c_custkey % 7 > 0 known, (c_custkey * 53) % 720 - 360 w, (c_custkey * 37) % 160 - 70 t from customer),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import image, kernels, records
-from ..shared import cut, shared_dir
+from ..shared import cut, dealt, shared_dir
 from ..sources import bundles, odl, raster, tiff, xmllabel
 from .views import duck, view
 
@@ -154,7 +154,7 @@ union all select -1, case when text like 'BM%' then 'bmp' when contains(encode(t
 
 
 def _labels(spark, d):
-    p = view(spark, d, "part")
+    p = dealt(view(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     text = F.format_string(
         "PDS_VERSION_ID = PDS3 /* made up */\r\nRECORD_BYTES = %d\r\n^IMAGE = (\"a.img\", %d <BYTES>)\r\nOBJECT = IMAGE\r\n LINES = 16#%s#\r\n NAME = 'low %d'\r\n SCALE = %d.5 <m>\r\n X = (1, (2, NULL))\r\nEND_OBJECT = IMAGE\r\n%s",
         "p_size", "p_partkey", F.hex("p_size"), F.col("p_partkey") % 7, F.col("p_size"), F.when(F.col("p_partkey") % 11 == 0, "END_GROUP\r\nEND\r\n").otherwise("END\r\n"),

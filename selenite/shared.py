@@ -28,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a small table that a task gets where each of them costs much.
+COSTLY = 10_000
+
+
+def dealt(t: DataFrame, key: str, rows: int = COSTLY) -> DataFrame:
+    """The rows of a table whose file is small for the work on them, dealt by key to tasks of about so many rows, one a core at least.
+
+    Splits of a file and merged partitions go by bytes, which would leave labels that a table's rows stand for to a few tasks.
+    """
+    n = t.count()
+    return t.repartition(max(t.sparkSession.sparkContext.defaultParallelism, -(-n // rows)), key)
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """rows with the columns of facts, which has one row for each key and in `held` the number of rows that have it.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +100,9 @@ def pds3_records(values: DataFrame, files: DataFrame, id_: str = "id") -> DataFr
     occupies is LABEL_RECORDS records, or all up to its END where it doesn't say.
     """
     c = F.col
+    names = _places()
     outside, inside = c("block") == 0, (c("path") == "IMAGE") & (c("kinds") == "OBJECT")
     v = values.withColumn("_at", F.when(outside, F.concat(F.lit(":"), "key")).when(inside, F.concat(F.lit("IMAGE:"), "key")))
-    names = {f":{k}": f"r{i}" for i, k in enumerate(ROOT)} | {f"IMAGE:{k}": f"i{i}" for i, k in enumerate(IMAGE)}
     own = lambda at: c("_at") == at
     one = F.struct("type", "value", "unit", "item", "form")
     t = v.groupBy(id_).agg(
@@ -109,7 +110,66 @@ def pds3_records(values: DataFrame, files: DataFrame, id_: str = "id") -> DataFr
         *[F.max(F.when(own(at), one)).alias(n) for at, n in names.items()],
         *[F.count_if(own(at)).alias(f"n_{n}") for at, n in names.items()],
     )
-    t = files.join(t, id_, "left")
+    return _pds3(files.join(t, id_, "left"), files.columns)
+
+
+def _places() -> dict[str, str]:
+    """Columns of what a label says, by place."""
+    return {f":{k}": f"r{i}" for i, k in enumerate(ROOT)} | {f"IMAGE:{k}": f"i{i}" for i, k in enumerate(IMAGE)}
+
+
+def pds3_attached(files: DataFrame, id_: str = "id", content: str = "content") -> DataFrame:
+    """The records of pds3_records from files with the bytes of their label beside them (id, file_name, file_size, content).
+
+    A label is read and laid out as one row within its batch, so nothing is shuffled and no label's values meet again.
+    """
+    from ..sources import odl
+
+    names, keep = _places(), [c for c in files.columns if c != content]
+    one = "struct<type: string, value: string, unit: string, item: int, form: string>"
+    own = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in keep)
+    rest = ", ".join([f"{n} {one}" for n in names.values()] + [f"n_{n} bigint" for n in names.values()])
+    fields = ("type", "value", "unit", "item", "form")
+    # as by an aggregate's max: null before all values
+    order = lambda x: [(v is not None, v if v is not None else 0) for v in x]
+
+    def laid(data: bytes | None) -> tuple:
+        said: dict[str, list[tuple]] = {}
+        try:
+            values, last = odl.statements(data or b"")
+        except odl.OdlError as e:
+            return str(e), None, 0, said
+        if not values:
+            return "no values", None, 0, said
+        images = set()
+        for path, key, _, item, kind, value, unit, kinds, block, form in values:
+            if block == 0:
+                said.setdefault(f":{key}", []).append((kind, value, unit, item, form))
+            elif path == "IMAGE" and kinds == "OBJECT":
+                said.setdefault(f"IMAGE:{key}", []).append((kind, value, unit, item, form))
+            if path == "IMAGE" and kinds == "OBJECT":
+                images.add(block)
+        return None, last, len(images), said
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):  # labels of up to 1 MiB: a few at a time
+                part = b.slice(i, 512)
+                made = [laid(x) for x in part.column(content).to_pylist()]
+                columns = [part.column(c) for c in keep] + [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                kind = pa.struct([(f, pa.int32() if f == "item" else pa.string()) for f in fields])
+                best = lambda x: dict(zip(fields, max(x, key=order))) if x else None
+                columns += [pa.array([best(m[3].get(at)) for m in made], kind) for at in names]
+                columns += [pa.array([len(m[3].get(at, ())) for m in made], pa.int64()) for at in names]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_broken", "_last", "_images", *names.values(), *[f"n_{n}" for n in names.values()]])
+
+    t = files.select(*keep, content).mapInArrow(run, f"{own}_broken string, _last bigint, _images bigint, {rest}")
+    return _pds3(t, keep)
+
+
+def _pds3(t: DataFrame, kept: list[str]) -> DataFrame:
+    """Records from files beside what their labels say by place."""
+    c, names = F.col, _places()
     raw = lambda k, where="": c(names[f"{where}:{k}"])
     text = lambda k, where="": F.when(raw(k, where)["type"].isin("string", "name"), raw(k, where)["value"])
 
@@ -170,7 +230,7 @@ def pds3_records(values: DataFrame, files: DataFrame, id_: str = "id") -> DataFr
     )
     # only one instrument's documents say what the checksum covers
     scope = F.when(lroc & c("_md5").isNotNull(), "image_object").when(raw("MD5_CHECKSUM").isNotNull() | raw("MD5_CHECKSUM", "IMAGE").isNotNull(), "unknown")
-    return t.select(*files.columns, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", "product_id", "data_set_id", "target", "frame_id", "level", "instrument", F.when(lroc, F.lower("_md5")).alias("md5"), scope.alias("md5_scope"), checks.alias("violations"))
+    return t.select(*kept, *LAYOUT[:7], "stride", "end_byte", *LAYOUT[7:], "specials", "product_id", "data_set_id", "target", "frame_id", "level", "instrument", F.when(lroc, F.lower("_md5")).alias("md5"), scope.alias("md5_scope"), checks.alias("violations"))
 
 
 #: The part of an XML label that a raster descriptor is made of; everything may be repeated, so that repeats can be refused.

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import records, warp
-from ..shared import cut, shared_dir
-from ..sources import odl, raster
+from ..shared import cut, dealt, shared_dir
+from ..sources import raster
 from .views import duck, view
 
 Q, SQL = {}, {}
@@ -29,7 +29,7 @@ def _part(spark, d):
 @query
 def pds3_records(spark, d):
     """Attached labels to layout records: pointers in records and in bytes, and what is wrong with some of them."""
-    t = _part(spark, d).withColumn("rb", (F.col("s") % 8 + 1) * 200).withColumn("h", F.col("s") + 5)
+    t = dealt(_part(spark, d), "id").withColumn("rb", (F.col("s") % 8 + 1) * 200).withColumn("h", F.col("s") + 5)
     m = lambda k: F.col("id") % k == 0
     line = lambda *x: F.concat(*[v.cast("string") if not isinstance(v, str) else F.lit(v) for v in x], F.lit("\r\n"))
     text = F.concat(
@@ -38,9 +38,8 @@ def pds3_records(spark, d):
         line("OBJECT = IMAGE"), line(" LINES = ", F.col("h")), F.when(m(13), line(" LINES = ", F.col("h"))).otherwise(""), line(" LINE_SAMPLES = ", (F.col("rb") / 2).cast("int")), line(" SAMPLE_TYPE = MSB_INTEGER"),
         line(" SAMPLE_BITS = ", F.when(m(5), 12).otherwise(16)), line(" NULL = ", F.when(m(3), 70000).otherwise(-32768)), line(" OFFSET = 1.5"), line("END_OBJECT = IMAGE"), line("END"),
     )
-    labels = t.select("id", text.cast("binary").alias("content"))
-    files = t.select("id", F.format_string("P%d.IMG", "id").alias("file_name"), (F.col("rb") * (F.col("h") + 2) - F.when(m(11), 1).otherwise(0)).alias("file_size"))
-    r = records.pds3_records(odl.parsed(labels), files)
+    files = t.select("id", F.format_string("P%d.IMG", "id").alias("file_name"), (F.col("rb") * (F.col("h") + 2) - F.when(m(11), 1).otherwise(0)).alias("file_size"), text.cast("binary").alias("content"))
+    r = records.pds3_attached(files)
     return r.select("id", "width", "height", "dtype", "offset", "end_byte", "value_offset", "target", F.concat_ws(";", "violations").alias("reasons"))
 
 
@@ -55,7 +54,7 @@ select id, rb // 2 width, h height, case when id % 5 <> 0 then '>i2' end dtype,
 @query
 def pds4_records(spark, d):
     """XML labels to layout records: axes by their sequence numbers whatever their order in the text, and what is wrong with some."""
-    t = _part(spark, d)
+    t = dealt(_part(spark, d), "id")
     m = lambda k: F.col("id") % k == 0
     axis = lambda name, size, n: F.concat(F.lit(f"<Axis_Array><axis_name>{name}</axis_name><elements>"), size.cast("string"), F.lit("</elements><sequence_number>"), n.cast("string"), F.lit("</sequence_number></Axis_Array>"))
     line, sample = axis("Line", F.col("s"), F.lit(1)), axis("Sample", F.col("s") * 2, F.when(m(5), 3).otherwise(2))

@@ -145,3 +145,29 @@ def test_checksums_by_scope(spark, tmp_path, scope):
     got = {r.id: r.status for r in checksums.verified(t).collect()}
     outside = "verified" if scope == "image_object" else "mismatch"
     assert got == {0: "verified", 1: "mismatch", 2: outside, 3: "verified", 4: "none", 5: "mismatch", 9: "short file" if scope == "image_object" else "verified", 10: "unreadable", 11: "scope unknown"}
+
+
+def test_labels_laid_out_in_their_batch(spark):
+    """Files with their labels beside them give the records of parsed values joined to files, repeats and broken ones too, without a shuffle."""
+    from selenite.operators import records
+    from selenite.sources import odl
+
+    head = "PDS_VERSION_ID = PDS3\nRECORD_TYPE = UNDEFINED\n^IMAGE = 101 <BYTES>\n"
+    image = "OBJECT = IMAGE\n LINES = 3\n LINE_SAMPLES = 4\n SAMPLE_TYPE = MSB_INTEGER\n SAMPLE_BITS = 16\n%sEND_OBJECT = IMAGE\n"
+    texts = [head + image % "" + "END\n", head + image % " NULL = 16#FF#\n" + "END\n", head + "TARGET_NAME = (MOON, MARS)\n" + image % " LINES = 30\n OFFSET = NULL\n" + "END\n", head + image % "" + image % "" + "END\n", head + image % "", "END\n", "", "( = \n",
+             head + "GROUP = IMAGE\n LINES = 7\nEND_GROUP\n" + image % "" + "END\n", head + "OBJECT = IMAGE\nEND_OBJECT\nEND\n", None]
+    t = spark.createDataFrame([(i, f"F{i}.IMG", 124, None if x is None else x.encode()) for i, x in enumerate(texts)], "id bigint, file_name string, file_size bigint, content binary")
+    df = records.pds3_attached(t)
+    want = records.pds3_records(odl.parsed(t.select("id", "content")), t.drop("content"))
+    assert df.columns == want.columns
+    rows = lambda x: sorted((tuple(r) for r in x.collect()), key=lambda r: r[0])
+    assert rows(df) == rows(want) and len(rows(df)) == len(texts)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_dealt_by_rows(spark):
+    """A table whose file is one split is many tasks where a row costs much."""
+    from selenite.shared import dealt
+
+    t = dealt(spark.range(500).coalesce(1), "id", 20)
+    assert t.rdd.getNumPartitions() == 25 and t.count() == 500

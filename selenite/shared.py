@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """While it lasts, batches of rows with large contents have about so many bytes; for what runs within, such as a write or cut()."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
+
+
 #: Rows of a small table that a task gets where each of them costs much.
 COSTLY = 10_000
 

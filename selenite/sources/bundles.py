@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..shared import small_batches
 from . import tiff
 from .raster import _open
 
@@ -49,7 +51,8 @@ class BundleWriter(DataSourceArrowWriter):
         fs, root = _open(self.folder)
         stage, bundles = f"{root}/.stage-{self.run}/{uuid.uuid4().hex}", {}
         for batch in iterator:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):  # a file at a time
+                r = {c: batch.column(c)[k].as_py() for c in ("bundle", "name", "content")}
                 if not all(NAME.fullmatch(r[k] or "") for k in ("bundle", "name")) or r["name"] == MANIFEST:
                     raise ValueError(f"not a name of a file: {r['bundle']}/{r['name']}")
                 own = bundles.setdefault(r["bundle"], {})
@@ -59,6 +62,7 @@ class BundleWriter(DataSourceArrowWriter):
                 fs.create_dir(f"{stage}/{r['bundle']}", recursive=True)
                 with fs.open_output_stream(f"{stage}/{r['bundle']}/{r['name']}") as f:
                     f.write(r["content"] or b"")
+        pa.default_memory_pool().release_unused()  # the worker stays, and would keep it
         for name, files in bundles.items():
             with fs.open_output_stream(f"{stage}/{name}/{MANIFEST}") as f:
                 f.write(_manifest(files))
@@ -116,7 +120,8 @@ def publish(files: DataFrame, folder: str) -> None:
     """Writes rows of FILES; all files of a bundle go through one task."""
     spark = files.sparkSession
     spark.dataSource.register(Bundles)
-    files.select("bundle", "name", "content").repartition("bundle").write.format("bundles").mode("append").option("path", folder).save()
+    with small_batches(spark):
+        files.select("bundle", "name", "content").repartition("bundle").write.format("bundles").mode("append").option("path", folder).save()
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:

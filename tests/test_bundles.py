@@ -220,3 +220,25 @@ def test_windows_below_the_globe(spark, monkeypatch):
     # the second row of windows would lie below the pole
     monkeypatch.setattr(exports, "GRID", (359.5, -89.0, 0.01))
     assert len(exports.window_bundle(spark, "/root/testdata/sf0.01").collect()) == len(want)
+
+
+def test_files_come_in_small_batches(spark, tmp_path):
+    """Contents of a task don't come as one batch, and a session's own setting is the same afterwards."""
+    from selenite.shared import small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name, None)
+    t = spark.range(64, numPartitions=1).select(F.expr("cast(repeat('x', 1 << 20) as binary)").alias("content"))
+
+    def largest(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    with small_batches(spark):
+        assert spark.conf.get(name) == str(4 << 20)
+        assert t.mapInArrow(largest, "n bigint").agg(F.max("n")).first()[0] <= 5
+    assert spark.conf.get(name, None) == kept
+    bundles.publish(files(spark), f"file://{tmp_path}/out")
+    assert spark.conf.get(name, None) == kept

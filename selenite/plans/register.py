@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import scalar as S
 from ..operators import image, kernels, ties
-from ..shared import cut
+from ..shared import cut, small_batches
 from ..sources.raster import image_array
 from .views import view
 
@@ -167,7 +167,8 @@ def refined(px: DataFrame, pairs: DataFrame, limit: float = S.MAX_RESIDUAL, back
     pairs = pairs.select(*names).join(same, "job", "left")
     equal = pairs.where(F.coalesce("_same", F.lit(False))).drop("_same")
     t = equal.join(_patches(px, equal, "s", "sx", "sy", tile), ["job", "i"], "left").join(_patches(px, equal, "r", "rx", "ry", tile), ["job", "i"], "left")
-    done = t.repartition("job", "i").mapInPandas(run, "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double")
+    with small_batches(px.sparkSession):  # two patches of 150 kB each are in a row
+        done = cut(t.repartition("job", "i").mapInPandas(run, "job bigint, i bigint, sx double, sy double, rx double, ry double, conf double"))
     return done.unionByName(pairs.where(~F.coalesce("_same", F.lit(False))).drop("_same"))
 
 

@@ -65,27 +65,31 @@ def quantiles(t: DataFrame, keys: list[str], value: str, shares: list[float], at
     """
     t = t.select(*keys, F.col(value).cast("double").alias("v"))
     plain = lambda x: x.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
-    # NaN and infinities aren't ranges of anything
-    sizes = t.where(F.abs("v") < float("inf")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    odd = t.where(F.isnan("v") | (F.abs("v") == float("inf"))).select(*keys).distinct()
+    # NaN and infinities aren't ranges of anything. No filter looks at v: it would have the value's whole expression
+    # evaluated anew for each place that v stands in, and on long ones that costs many times the rest
+    whole = F.when(F.abs("v") < float("inf"), F.col("v"))
+    sizes = t.groupBy(*keys).agg(F.count(whole).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high"), F.count_if(F.isnan("v") | (F.abs("v") == float("inf"))).alias("odd"))
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if most <= at_once:
         return plain(t)
-    large = sizes.where((F.col("n") > at_once) & (F.col("n") * HOT >= total))
-    odd = odd.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    large = cut(large.join(odd, _same(keys), "left_anti") if keys else large if odd.isEmpty() else large.limit(0))
+    large = cut(sizes.where((F.col("n") > at_once) & (F.col("n") * HOT >= total) & (F.col("odd") == 0)).drop("odd"))
+    if large.isEmpty():
+        return plain(t)
+    of_large = F.broadcast(large.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
     place = lambda q: F.lit(q) * (F.col("n") - 1)
     both = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in shares])))
-    found = _ranked(t, keys, large.select(*keys, F.explode(both).alias("rank"), "low", "high"))
+    # each round reads the values again, but doesn't make them again
+    values = (t.join(of_large, _same(keys), "left_semi") if keys else t).persist()
+    try:
+        found = _ranked(values, keys, large.select(*keys, F.explode(both).alias("rank"), "low", "high"))
+    finally:
+        values.unpersist()
     by = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_v"))
     by = _beside(large, by, keys)
     at = lambda r: F.col("_v")[r]
     mid = lambda q: F.when(F.floor(place(q)) == F.ceil(place(q)), at(F.floor(place(q)))).otherwise((F.ceil(place(q)) - place(q)) * at(F.floor(place(q))) + (place(q) - F.floor(place(q))) * at(F.ceil(place(q))))
     by = by.select(*keys, F.array(*map(mid, shares)).alias("q"))
-    if not keys:
-        return by if not large.isEmpty() else plain(t)
-    rest = t.join(F.broadcast(large.select(*[F.col(k).alias(f"_k_{k}") for k in keys])), _same(keys), "left_anti")
-    return by.unionByName(plain(rest))
+    return by.unionByName(plain(t.join(of_large, _same(keys), "left_anti"))) if keys else by
 
 
 def with_next(t: DataFrame, keys: list[str], order: list[str], columns: list[str], at_once: int = AT_ONCE) -> DataFrame:

@@ -44,6 +44,20 @@ def test_a_large_group(spark):
     assert got.q[0] == pytest.approx(want, rel=1e-12)
 
 
+def test_values_are_not_made_anew(spark):
+    """However many rounds the ranges take, a value is made for each pass over the table only: two for sizes, one to keep it, one for small groups."""
+    made, n = spark.sparkContext.accumulator(0), 2000
+
+    def value(i):
+        made.add(1)
+        return (i * 7919 % n) ** 3 / 7.0
+
+    t = spark.range(n).repartition(3).select(F.lit(1).alias("k"), F.udf(value, "double")("id").alias("v"))
+    (got,) = spread.quantiles(t, ["k"], "v", SHARES, 0).collect()
+    assert got.q == pytest.approx(np.quantile([i**3 / 7.0 for i in range(n)], SHARES).tolist(), rel=1e-12)
+    assert made.value <= 4 * n
+
+
 @pytest.mark.parametrize("parts", ["1", "7"])
 def test_neighbours_by_ranges(spark, parts):
     r = random.Random(2)

@@ -36,6 +36,8 @@ UNSEEN = 1e-7
 SCALE = 30.0
 #: Words that a worker keeps at most; fewer where a row of many languages would take much memory.
 CACHE, CELLS = 400_000, 1 << 22
+#: Letters of the texts whose new words are looked for at a time, and words that are laid out together (fewer for many languages).
+PORTION, TOGETHER = 1 << 20, 2048
 
 RUNS = re.compile(r"[^\W\d_]+").findall
 
@@ -268,6 +270,18 @@ def train(labelled: DataFrame, path: str | None = None, docs_per_lang: int = TRA
     return {"langs": langs, "pieces": pieces, "p": np.round(p, 12) + 1e-12}
 
 
+class Numbered(dict):
+    """Numbers words as they are asked for; those asked for the first time stand in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Scorer:
     """Log probabilities of words in all languages, kept for words met before."""
 
@@ -278,38 +292,46 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows = Numbered()
         self.table = np.zeros((1 << 16, self.n + 1))
 
     def learn(self, words: list[str]) -> None:
+        """Rows of the table for the words that were numbered last."""
         got = np.zeros((len(words), self.n + 1))
-        scored = [(k, s) for k, w in enumerate(words) if (s := marked(w))]
+        # words of about a length share a lattice
+        scored = sorted(((k, s) for k, w in enumerate(words) if (s := marked(w))), key=lambda x: len(x[1]))
         short = [x for x in scored if len(x[1]) <= SHORT]
-        for i in range(0, len(short), 4096):
-            lat = Lattice([s for _, s in short[i : i + 4096]], self.trie)
+        step = max(32, min(TOGETHER, 4 * TOGETHER // max(self.n, 1)))
+        for i in range(0, len(short), step):
+            lat = Lattice([s for _, s in short[i : i + step]], self.trie)
             a = lat.forward(self.p)[np.arange(lat.words), lat.size]
-            got[[k for k, _ in short[i : i + 4096]]] = np.column_stack([np.log(a) - np.log(SCALE) * lat.size[:, None], np.ones(lat.words)])
-        for k, s in scored:
-            if len(s) > SHORT:
-                got[k] = [*(LongWord(s, self.trie).forward(self.p) - np.log(SCALE) * len(s)), 1]
-        n = len(self.rows)
+            got[[k for k, _ in short[i : i + step]]] = np.column_stack([np.log(a) - np.log(SCALE) * lat.size[:, None], np.ones(lat.words)])
+        for k, s in scored[len(short) :]:
+            got[k] = [*(LongWord(s, self.trie).forward(self.p) - np.log(SCALE) * len(s)), 1]
+        n = len(self.rows) - len(words)
         while n + len(words) > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
         self.table[n : n + len(words)] = got
-        self.rows |= zip(words, range(n, n + len(words)))
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its posterior probability for each text."""
-        if len(self.rows) > min(CACHE, CELLS // (self.n + 1)):
-            self.clear()
         sums = np.zeros((len(texts), self.n + 1))
-        for k, t in enumerate(texts):
-            words = RUNS(t.lower()) if t else []
-            if words:
-                known = self.rows
-                if missing := [w for w in set(words) if w not in known]:
-                    self.learn(missing)
-                sums[k] = self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+        k = 0
+        while k < len(texts):
+            if len(self.rows) > min(CACHE, CELLS // (self.n + 1)):
+                self.clear()
+            # the new words of some texts are scored together
+            first, size, at = k, 0, []
+            while k < len(texts) and size < PORTION:
+                words = RUNS(texts[k].lower()) if texts[k] else []
+                at.append(np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words)))
+                size += len(texts[k] or "")
+                k += 1
+            if self.rows.new:
+                self.learn(self.rows.new)
+                self.rows.new = []
+            for i, x in enumerate(at, first):
+                sums[i] = self.table[x].sum(0)
         if not self.n:
             return ["und"] * len(texts), [0.0] * len(texts)
         log, best = sums[:, :-1], sums[:, :-1].argmax(1)

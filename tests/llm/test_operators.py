@@ -139,6 +139,31 @@ def test_language_of_texts_by_plain_sums(spark, docs):
     assert seen > 40
 
 
+def test_new_words_of_texts_are_scored_together(monkeypatch):
+    """Texts with a new word each make a few lattices, not one each; results are those of a text at a time, whatever the portions and however often words are forgotten."""
+    pieces, r, made = sorted({" ", *"abcdefgh", "ab", "cd", " a", " be", "fgh"}), random.Random(4), []
+    model = {"langs": ["x", "y", "z"], "pieces": pieces, "p": np.random.default_rng(4).dirichlet(np.ones(len(pieces)), 3).T + 1e-12}
+    word = lambda: "".join(r.choices("abcdefghq", k=r.choice([1, 3, 9, 20, 90])))
+    texts = [" ".join(word() for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    texts[5:9] = [None, "", "12 ²", texts[0]]
+    alone = [op2_langid.Scorer(model).texts([t]) for t in texts]
+    want = [x[0][0] for x in alone], pytest.approx([x[1][0] for x in alone], rel=1e-12)
+
+    class Counted(op2_langid.Lattice):
+        def __init__(self, *a):
+            made.append(1)
+            super().__init__(*a)
+
+    monkeypatch.setattr(op2_langid, "Lattice", Counted)
+    assert op2_langid.Scorer(model).texts(texts) == want
+    assert len(made) <= 5
+    for portion, cache in ((1, 50), (200, 50), (5000, 400_000)):
+        monkeypatch.setattr(op2_langid, "PORTION", portion)
+        monkeypatch.setattr(op2_langid, "CACHE", cache)
+        scorer = op2_langid.Scorer(model)
+        assert scorer.texts(texts) == want and scorer.texts(texts) == want
+
+
 def test_language_held_out(spark):
     out = op2_langid.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     got = [(r.lang == r.lang_pred) for r in out.where("held_out").collect()]

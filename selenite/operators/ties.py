@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,17 +151,20 @@ def tie_records(t: DataFrame, keys: list[str], grid: tuple[float, float, float]
     lon = west + (c("rx") + 0.5) * step
     lon = F.pmod(lon + 180, F.lit(360.0)) - 180 if wrap else lon
     lat = north - (c("ry") + 0.5) * step
-    again = t.groupBy(*keys, "point_id").agg((F.count(F.lit(1)) > 1).alias("_again"))
-    # an id that is null is a violation of its own
-    t = t.join(again, [*keys, "point_id"], "left")
-    bad = S.violations(
-        (F.coalesce(c("point_id"), F.lit("")) == "", "no id"), (F.coalesce(c("_again"), F.lit(False)), "id again"), (~(finite(c("sx")) & finite(c("sy")) & finite(c("rx")) & finite(c("ry"))), "place"),
+    # an id that is null is a violation of its own; ties that lie with their keys already are not moved for this
+    t = t.withColumn("_again", c("point_id").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(*keys, "point_id")) > 1))
+    checks = (
+        (F.coalesce(c("point_id"), F.lit("")) == "", "no id"), (c("_again"), "id again"), (~(finite(c("sx")) & finite(c("sy")) & finite(c("rx")) & finite(c("ry"))), "place"),
         (~(finite(c("res")) & (c("res") >= 0)), "residual"), (~(finite(c("conf")) & c("conf").between(0, 1)), "confidence"), (F.coalesce(~lat.between(-90, 90), F.lit(False)), "latitude"),
     )
+    # a list is made of the few that have any
+    bad = F.when(functools.reduce(lambda a, b: a | b, (x for x, _ in checks)), S.violations(*checks)).otherwise(F.array().cast("array<string>"))
     made = [c("point_id"), c("sx").alias("src_x"), c("sy").alias("src_y"), c("rx").alias("ref_x"), c("ry").alias("ref_y"), lat.alias("lat"), lon.alias("lon"), c("res").alias("residual_px"), c("conf").alias("confidence")]
     names = list(RECORD)
     if full:
         made += [(c(v) + c(f"{v}0")).alias(n) for v, n in zip(("sx", "sy", "rx", "ry"), FULL)]
         names += FULL
     t = t.select(*keys, "i", *made, bad.alias("violations"))
-    return t.withColumn("line", F.concat_ws(",", *[F.coalesce(S.csv_field(c(n).cast("string")), F.lit("")) for n in names]))
+    # numbers need no quotes, and their text is not made again to look for what would
+    text = lambda n: S.csv_field(c(n)) if n == "point_id" else c(n).cast("string")
+    return t.withColumn("line", F.concat_ws(",", *[F.coalesce(text(n), F.lit("")) for n in names]))

@@ -40,25 +40,41 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
-#: Orders to a cell of the ties' numbering; a cell of a job is ranked in one task.
-ORDERS = 1 << 14
+#: A cell of the ties' numbering has 2**CELL consecutive orders; a cell of a job is ranked in one task.
+CELL = 14
+#: What a tie's columns are made from, and its places.
+COMPACT = ["(l_partkey * 7) % 1000 + l_tax * 10 rx", "(l_orderkey * 13) % 1000 + l_discount * 5 ry", "q", "ln", "1 - l_discount * 5 conf"]
+PLACE = ["cast(1.03 as double) * rx + cast(0.02 as double) * ry + 5 + q / 50 + case when ln = 7 then 40 else 0 end sx", "cast(1.02 as double) * ry - cast(0.015 as double) * rx + 20 sy", "rx", "ry", "conf"]
 
 
-def _ties(lines: DataFrame, numbered: bool) -> DataFrame:
-    """The view tie, or without i where nothing reads it: the number is what costs a shuffle and a join. Numbers run within cells of consecutive orders and then over the cells' counts, so no job is ranked in one task."""
-    t = lines.selectExpr(
-        "cast(l_suppkey % 8 as bigint) job", f"cast(floor(l_orderkey / {ORDERS}) as bigint) cell", "(l_partkey * 7) % 1000 + l_tax * 10 rx", "(l_orderkey * 13) % 1000 + l_discount * 5 ry",
-        "l_quantity q", "l_linenumber ln", "1 - l_discount * 5 conf", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus",
+def tie_lines(lines: DataFrame) -> DataFrame:
+    """The table's rows with job and cell of their ties."""
+    return lines.selectExpr(
+        "cast(l_suppkey % 8 as bigint) job", f"cast(shiftright(l_orderkey, {CELL}) as bigint) cell", "l_quantity q", "l_linenumber ln",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus",
     )
+
+
+def tie_bases(t: DataFrame) -> DataFrame:
+    """job, cell, n (its ties) and _base, the ties of the job in the cells before."""
+    before = Window.partitionBy("job").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return t.groupBy("job", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def numbered_ties(t: DataFrame, bases: DataFrame) -> DataFrame:
+    """job, i and COMPACT of rows of tie_lines(), which may be some of the table's as long as their cells are whole; bases are the whole table's.
+
+    Numbers run within cells of consecutive orders and then over the cells' counts, so no job is ranked in one task.
+    """
     order = ["l_orderkey", "ln", "l_partkey", "l_suppkey", "q", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
-    place = ["cast(1.03 as double) * rx + cast(0.02 as double) * ry + 5 + q / 50 + case when ln = 7 then 40 else 0 end sx", "cast(1.02 as double) * ry - cast(0.015 as double) * rx + 20 sy", "rx", "ry", "conf"]
-    if not numbered:
-        return t.selectExpr("job", *place)
     rank = F.row_number().over(Window.partitionBy("job", "cell").orderBy(*order))
-    before = Window.partitionBy("job").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = t.groupBy("job", "cell").agg(F.count(F.lit(1)).alias("_n")).select("job", "cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    t = t.withColumn("_rank", rank).join(base, ["job", "cell"])
-    return t.selectExpr("job", "_base + _rank i", *place)
+    return t.withColumn("_rank", rank).join(bases.select("job", "cell", "_base"), ["job", "cell"]).selectExpr("job", "_base + _rank i", *COMPACT)
+
+
+def _ties(lines: DataFrame, numbered: bool) -> DataFrame:
+    """The view tie, or without i where nothing reads it: the number is what costs a shuffle and a join."""
+    t = tie_lines(lines)
+    return numbered_ties(t, tie_bases(t)).selectExpr("job", "i", *PLACE) if numbered else t.selectExpr("job", *COMPACT).selectExpr("job", *PLACE)
 
 
 def duck(sql: str, *names: str) -> str:

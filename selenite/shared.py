@@ -30,17 +30,63 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 4 << 20):
-    """While it lasts, batches of rows with large contents have about so many bytes; for what runs within, such as a write or cut()."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session while it lasts, for what runs within, such as a write or cut()."""
     kept = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """While it lasts, batches of rows with large contents have about so many bytes."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def small_splits(spark: SparkSession, size: int = 16 << 20):
+    """While it lasts, a task reads about so many bytes of files, for ranges of a table that lie close together in its files."""
+    return setting(spark, "spark.sql.files.maxPartitionBytes", str(size))
+
+
+@contextmanager
+def no_shuffles_left(spark: SparkSession):
+    """While it lasts, files of a write's or a checkpoint's shuffles go once it is done, and don't wait for the driver's garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
+#: Rows of a round at least, rounds of a table (about), and ranges of a key that rounds are made up of.
+ROUND, ROUNDS, BINS = 2_000_000, 16, 4096
+
+
+def rounds(counts: DataFrame, key: str, parts: int = ROUNDS) -> list[tuple[int, int, int]]:
+    """Ranges of an integer key, one after the other: first, last, and their rows, of which counts has in n how many a key has.
+
+    A range has so small a part of all rows, or ROUND where that is more; so what a round keeps on disk is a small share of the
+    table, and the rounds stay few. Every key that isn't null is in one of them. A range of one key may have more rows.
+    """
+    counts = counts.where(F.col(key).isNotNull())
+    low, high, total = counts.agg(F.min(key), F.max(key), F.sum("n")).first()
+    if low is None:
+        return []
+    most, per = max(ROUND, -(-total // parts)), (high - low) // BINS + 1
+    out = []
+    for at, n in counts.groupBy(F.expr(f"(`{key}` - ({low})) div {per}").alias("bin")).agg(F.sum("n")).orderBy("bin").collect():
+        first, last = low + at * per, low + (at + 1) * per - 1
+        if out and out[-1][2] + n <= most:
+            out[-1] = (out[-1][0], last, out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
 #: Rows of a small table that a task gets where each of them costs much.
 COSTLY = 10_000
 

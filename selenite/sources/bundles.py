@@ -116,12 +116,14 @@ class Bundles(DataSource):
         return BundleWriter(self.options["path"])
 
 
-def publish(files: DataFrame, folder: str) -> None:
-    """Writes rows of FILES; all files of a bundle go through one task."""
+def publish(files: DataFrame, folder: str, together: bool = False) -> None:
+    """Writes rows of FILES; all files of a bundle go through one task. With together they are in one already, as those of
+    window_bundles(), and are written where they are made; a bundle that comes from two tasks is refused."""
     spark = files.sparkSession
     spark.dataSource.register(Bundles)
     with small_batches(spark):
-        files.select("bundle", "name", "content").repartition("bundle").write.format("bundles").mode("append").option("path", folder).save()
+        files = files.select("bundle", "name", "content")
+        (files if together else files.repartition("bundle")).write.format("bundles").mode("append").option("path", folder).save()
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,8 +157,8 @@ def window_bundles(px: DataFrame, rows: DataFrame, height: int, width: int, grid
         wy, wx = int(key[0]), int(key[1])
         if image.empty:
             raise ValueError(f"ties of window {wy}, {wx}, which has no image")
-        if (bad := ties[ties.violations.map(len) > 0]).size:
-            raise ValueError(f"ties of window {wy}, {wx}: {bad.violations.iloc[0][0]}")
+        if (bad := ties.bad.dropna()).size:
+            raise ValueError(f"ties of window {wy}, {wx}: {bad.iloc[0]}")
         y, x = image.y.to_numpy() - wy * height, image.x.to_numpy() - wx * width
         shape = int(y.max()) + 1, int(x.max()) + 1
         if len(image) != shape[0] * shape[1]:
@@ -180,7 +182,7 @@ def window_bundles(px: DataFrame, rows: DataFrame, height: int, width: int, grid
         return pd.DataFrame({"bundle": f"window-{wy}-{wx}", "name": list(files), "content": list(files.values())})
 
     g = lambda t, *own: t.select("wy", "wx", *own).groupBy("wy", "wx")
-    return g(p, "y", "x", "v", "ok").cogroup(g(rows, "i", "line", "violations")).applyInPandas(run, FILES)
+    return g(p, "y", "x", "v", "ok").cogroup(g(rows, "i", "line", F.get("violations", F.lit(0)).alias("bad"))).applyInPandas(run, FILES)
 
 
 def tile_bundles(requests: DataFrame, extractor: str = "selenite") -> DataFrame:

@@ -242,3 +242,96 @@ def test_files_come_in_small_batches(spark, tmp_path):
     assert spark.conf.get(name, None) == kept
     bundles.publish(files(spark), f"file://{tmp_path}/out")
     assert spark.conf.get(name, None) == kept
+
+
+def test_windows_by_strips(spark, monkeypatch, tmp_path):
+    """Strips of windows are published one after the other: texts of one only are on the disk, no shuffle stays, and rows are those of a single strip."""
+    from pathlib import Path
+
+    from selenite import shared
+    from selenite.plans import exports
+
+    want = sorted(map(tuple, exports.window_bundle(spark, "/root/testdata/sf0.01").collect()))
+    monkeypatch.setattr(shared, "ROUND", 12_000)
+    monkeypatch.setattr(exports, "_folder", lambda spark: f"file://{tmp_path}/out")
+    plain, strips = bundles.publish, []
+
+    def publish(files, folder, **how):
+        plain(files, folder, **how)
+        there = sorted((tmp_path / "out").glob("*/window-*"))
+        strips.append({p.name for p in there})
+        assert {p.parent for p in there} == {Path(folder.removeprefix("file://"))} and all((p / bundles.TIES).exists() for p in there)
+
+    monkeypatch.setattr(bundles, "publish", publish)
+    got = sorted(map(tuple, exports.window_bundle(spark, "/root/testdata/sf0.01").collect()))
+    assert got == want and len(want) == 4
+    assert len(strips) > 1 and sorted(x for s in strips for x in s) == [r[0] for r in want]
+    assert not (tmp_path / "out").exists()
+
+
+def test_ties_of_strips_are_numbered_as_a_whole(spark, monkeypatch, tmp_path):
+    """Numbers made by ranges of orders are those of the view, and each tie is in the strip of its window."""
+    from selenite import shared
+    from selenite.plans import exports, views
+
+    d = "/root/testdata/sf0.01"
+    monkeypatch.setattr(shared, "ROUND", 12_000)
+    monkeypatch.setattr(views, "CELL", 10)
+    monkeypatch.setattr(exports, "CELL", 10)
+    lines = views.tie_lines(views.view(spark, d, "lineitem"))
+    assert len(shared.rounds(views.tie_bases(lines), "cell")) > 3
+    strips = [(0, 1, 0), (2, 4, 0), (5, 9, 0)]
+    kept = exports._kept_ties(spark, lines, lambda t: t.withColumns({"wy": F.floor(F.col("ry") / 102).cast("bigint"), "wx": F.lit(0).cast("bigint")}), strips, f"file://{tmp_path}/ties")
+    want = sorted(map(tuple, views.view(spark, d, "tie").select("job", "i", "rx", "ry", "sx", "sy", "conf").collect()))
+    assert sorted(map(tuple, kept.selectExpr("job", "i", *views.PLACE).select("job", "i", "rx", "ry", "sx", "sy", "conf").collect())) == want
+    assert {(r.strip, r.wy) for r in kept.select("strip", "wy").distinct().collect()} == {(0, 0), (0, 1), (1, 2), (1, 3), (1, 4), (2, 5), (2, 6), (2, 7), (2, 8), (2, 9)}
+
+
+def test_rounds(spark, monkeypatch):
+    """Ranges follow one another, hold every key, and have few rows unless a range of keys that is counted as one has more."""
+    from selenite import shared
+
+    monkeypatch.setattr(shared, "ROUND", 10)
+    counts = lambda rows: spark.createDataFrame(rows, "k bigint, n bigint")
+    assert shared.rounds(counts([]), "k") == []
+    assert shared.rounds(counts([(-3, 4), (-2, 4), (0, 9), (7, 30), (8, 1), (None, 5)]), "k")[:3] == [(-3, -2, 8), (0, 0, 9), (7, 7, 30)]
+    many = shared.rounds(counts([(k * 1000 - 2**40, 1) for k in range(5000)]), "k")
+    assert len(many) <= 2 * shared.ROUNDS + 1 and sum(n for *_, n in many) == 5000 and max(n for *_, n in many) <= -(-5000 // shared.ROUNDS)
+    assert all(a[1] < b[0] for a, b in zip(many, many[1:])) and many[0][0] == -(2**40) and many[-1][1] >= 4999 * 1000 - 2**40
+
+
+def test_files_that_are_together(spark, tmp_path):
+    """Files that lie with their bundle are not moved; a bundle of two tasks is refused."""
+    one = files(spark).repartition(1)
+    bundles.publish(one, f"file://{tmp_path}/out", together=True)
+    assert len(names(tmp_path / "out")) == 24
+    with pytest.raises(Exception, match="from two tasks"):
+        bundles.publish(spark.range(2, numPartitions=2).selectExpr("'b' bundle", "concat('f', id) name", "cast('1' as binary) content"), f"file://{tmp_path}/two", together=True)
+    assert not (tmp_path / "two").exists() or names(tmp_path / "two") == []
+
+
+def test_a_broken_bundle_is_no_row(spark, tmp_path):
+    from selenite.plans import exports
+
+    bundles.publish(files(spark, [("window-0-0", bundles.TIES, ",".join([*ties_columns()]).encode() + b"\r\n")]), f"file://{tmp_path}/out")
+    with pytest.raises(Exception, match="lacks its image"):
+        exports._window_contents(spark, f"file://{tmp_path}/out").collect()
+
+
+def ties_columns():
+    from selenite.operators import ties
+
+    return (*ties.RECORD, *ties.FULL)
+
+
+@pytest.mark.parametrize("empty", [("lineitem",), ("events",), ("lineitem", "events")])
+def test_windows_of_empty_tables(spark, tmp_path, empty):
+    """Without ties the windows are all there; without samples there is no window for a tie."""
+    from selenite.plans import exports
+
+    for t in ("lineitem", "events"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (rows.limit(0) if t in empty else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = exports.window_bundle(spark, str(tmp_path)).collect()
+    want = exports.window_bundle(spark, "/root/testdata/sf0.001").collect() if "events" not in empty else []
+    assert sorted(r[:7] for r in got) == sorted(r[:7] for r in want) and all(r.ties == r.lon == 0 for r in got)
